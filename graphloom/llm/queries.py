@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, suffix_dedup
 
 QUERIES = {
+    "op5_suffix_dedup": suffix_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
