@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, suffix_dedup
+from . import bpe, exact_dedup, ngram_join, suffix_dedup
 
 QUERIES = {
+    "op9_bpe": bpe.query,
     "op7_ngram_jaccard_join": ngram_join.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
