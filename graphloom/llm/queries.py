@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, ngram_join, suffix_dedup
+from . import bpe, exact_dedup, ngram_join, secret_scan, suffix_dedup
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.query,
     "op9_bpe": bpe.query,
     "op7_ngram_jaccard_join": ngram_join.query,
     "op5_suffix_dedup": suffix_dedup.query,
