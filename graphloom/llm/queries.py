@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, ngram_join, secret_scan, suffix_dedup
+from . import bpe, exact_dedup, ngram_join, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_secret_scan": secret_scan.query,
     "op9_bpe": bpe.query,
     "op7_ngram_jaccard_join": ngram_join.query,
