@@ -246,7 +246,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> t
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.xxhash64("doc_id", text).alias("rk"), "doc_id", text.alias("text"))
     slim = source.select("rk", "text").where(F.octet_length("text") >= length)
-    counts = slim.mapInArrow(lambda it: anchors(it, length, True), "kh long").groupBy("kh").count().where("count > 1").select("kh")
+    # Written out, so that the join's other side, which may hold a very frequent rank, can be split.
+    counts = stored(slim.mapInArrow(lambda it: anchors(it, length, True), "kh long").groupBy("kh").count().where("count > 1").select("kh"), "ranks")
     found = stored(slim.mapInArrow(lambda it: anchors(it, length), "kh long, hh long, rk long, spot long").join(counts, "kh"), "anchors")
     pairs = stored(found.groupBy("kh", "hh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "spot")).alias("one")), "pairs")
     ranks = pairs.groupBy("kh").agg(F.count(F.lit(1)).alias("pairs"), F.min("n").alias("least")).where("least = 1").select("kh", (F.col("pairs") > wide).alias("wide"))
