@@ -44,8 +44,9 @@ PERCENT = 80
 COMMON = 1 << 16
 #: Counters of each partition's Misra-Gries sketch.
 COUNTERS = 1 << 17
-#: Rounds of comparison with leaders before pairs are listed.
-STAR_ROUNDS = 3
+#: Rounds of comparison with leaders before pairs are listed; after the first, only while some open tile is above SMALL_TILE.
+STAR_ROUNDS = 4
+SMALL_TILE = 256
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 
 
@@ -98,21 +99,22 @@ def common_shingles(docs: DataFrame, most: int = COMMON) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per text: size and digest of its set, and its prefix shingles."""
+    """Per text: size, digest and bitmap of its set, and its prefix shingles."""
     for batch in batches:
-        size, digest, prefix = [], [], []
+        size, digest, bits, prefix = [], [], [], []
         for s in sets(batch.column("text")):
             n = len(s)
             size.append(n)
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+            bits.append(bitmap(s, bitmap_bits(n)).tobytes() if n else None)
             take = n - -(-PERCENT * n // 100) + 1 if n else 0
             if len(common) and n:
                 hit = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                 s = np.concatenate([s[~hit], s[hit]])
             prefix.append(s[:take].view(np.int64))
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()),
-            "prefix": pa.array(prefix, pa.list_(pa.int64())),
+            "doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int32()), "digest": pa.array(digest, pa.binary()),
+            "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
         })
 
 
@@ -170,77 +172,70 @@ def _reach(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``x, y`` that link."""
-    texts = docs.select("doc_id", "text")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    bits = stored(texts.join(ids, "doc_id").mapInArrow(signatures, "doc_id long, n long, bits binary, text string"), "signatures")
-    slim = bits.select("doc_id", "n", "bits")
-    left = slim.select(F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    right = slim.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    close = pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long")
-    one = bits.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
-    two = bits.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
-    return close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct()
+def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``x, y`` that link: bitmaps first, then the texts of what is left."""
+    left = signatures.select(F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    right = signatures.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    close = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long"), "close")
+    ids = close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id")
+    one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
+    two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
+    return stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = list(sets(batch.column("text")))
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in found], pa.int64()),
-            "bits": pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in found], pa.binary()), "text": batch.column("text"),
-        })
-
-
-def _labels(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Component of every linked set, and the tiles with a component each; sets without link are their own."""
+def _relabel(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the linked sets, and the rows of tiles that still hold more than one component."""
     found = stored(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
     marked = tiles.drop("c").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    return found, marked
+    mixed = stored(marked.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h"), "mixed")
+    return found, stored(marked.join(mixed, "h"), "tiles")
 
 
-def _open(tiles: DataFrame) -> DataFrame:
-    """Rows of tiles that hold more than one component."""
-    mixed = tiles.groupBy("h", "band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h", "band")
-    return tiles.join(mixed, ["h", "band"])
+def _banded(tiles: DataFrame) -> DataFrame:
+    """Each row in the tile of its own size band and of the next, so that sets within reach of each other meet."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    return tiles.select("*", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
 
 
 def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Each row's set size and class (``doc_id, n, rep``), and the components of classes (``node, component``)."""
     common = common_shingles(docs, most_common)
-    rows = stored(docs.select("doc_id", "text").mapInArrow(lambda it: describe(it, common), "doc_id long, n long, digest binary, prefix array<long>"), "sets")
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    of_row = rows.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    heads = rows.select("doc_id", "n", "prefix", "digest").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    slots = heads.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("h"))
-    shared = slots.groupBy("h").count().where("count > 1").select("h")
-    tiles = stored(
-        slots.join(shared, "h").select("h", "doc_id", "n", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"), F.col("doc_id").alias("c")), "tiles"
+    rows = stored(
+        docs.select("doc_id", "text").mapInArrow(lambda it: describe(it, common), "doc_id long, n int, digest binary, bits binary, prefix array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "sets"
     )
+    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("digest", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
+    of_row = rows.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
+    heads = rows.join(classes.select("row"), "row")
+    signatures = stored(heads.select("doc_id", "n", "bits"), "signatures")
+    slots = heads.select("doc_id", "n", F.explode("prefix").alias("h"))
+    shared = stored(slots.groupBy("h").count().where("count > 1").select("h"), "shared")
+    tiles = stored(slots.join(shared, "h").withColumn("c", F.col("doc_id")), "tiles")
     known = None
     for k in range(star_rounds):
-        # Another leader each round, of another component than the least where the tile has several.
+        banded = _banded(tiles)
+        # Another leader each round; from the second on, of whichever component a hash puts first.
         rank = F.struct(F.xxhash64(F.lit(k), F.col("c")) if k else F.lit(0), F.col("doc_id"), F.col("n"), F.col("c"))
-        leader = tiles.groupBy("h", "band").agg(F.min(rank).alias("lead")).select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"))
-        pairs = tiles.join(leader, ["h", "band"]).where(f"doc_id <> y and c <> d and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
-        more = stored(verified(stored(pairs, "pairs"), docs), "links")
+        leader = stored(banded.groupBy("h", "band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"), "k"), "leaders")
+        # Small tiles are done sooner by listing their pairs.
+        if k and not leader.where(f"k > {SMALL_TILE}").head(1):
+            break
+        pairs = banded.join(leader, ["h", "band"]).where(f"doc_id <> y and c <> d and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
+        more = verified(pairs, signatures, docs)
         known = more if known is None else known.unionByName(more)
-        found, marked = _labels(tiles, known)
-        tiles = stored(_open(marked), "tiles")
-        if tiles.isEmpty():
-            return of_row, found
-    t, u = tiles.alias("t"), tiles.alias("u")
-    # The share of prefix shingles that 80 % needs; bands repeat some, so they are counted once.
+        found, tiles = _relabel(tiles, known)
+    # A pair at 80 % shares more of its prefix shingles than texts with some passage in common do.  A tile's two bands may both hold a pair; it counts once.
+    t, u = _banded(tiles).alias("t"), _banded(tiles).alias("u")
     need = f"ceil({PERCENT} * (n1 + n2) / {100 + PERCENT}.0)"
     pairs = (
-        t.join(u, ["h", "band"]).where(f"t.doc_id < u.doc_id and t.c <> u.c and (t.own = t.band or u.own = u.band) and {_reach('t.n', 'u.n')}")
-        .groupBy(F.col("t.doc_id").alias("x"), F.col("u.doc_id").alias("y"))
-        .agg(F.countDistinct("h").alias("shared"), F.first("t.n").alias("n1"), F.first("u.n").alias("n2"))
+        t.join(u, ["h", "band"]).where(f"t.doc_id < u.doc_id and t.c <> u.c and t.band = greatest(t.own, u.own) and {_reach('t.n', 'u.n')}")
+        .groupBy(F.col("t.doc_id").alias("x"), F.col("u.doc_id").alias("y"), F.col("t.n").alias("n1"), F.col("u.n").alias("n2"))
+        .agg(F.count(F.lit(1)).alias("shared"))
         .where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
     )
-    known = stored(known.unionByName(stored(verified(stored(pairs, "pairs"), docs), "links")), "links")
+    last = verified(pairs, signatures, docs)
+    known = last if known is None else known.unionByName(last)
     return of_row, components(known.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
@@ -249,7 +244,7 @@ def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds:
     of_row, found = links(docs, most_common, star_rounds)
     return (
         of_row.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     )
 
 
