@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, ngram_join, secret_scan, suffix_dedup, toxicity
+from . import bpe, exact_dedup, language_id, ngram_join, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
+    "op8_language_id": language_id.query,
     "op2_toxicity": toxicity.query,
     "op3_secret_scan": secret_scan.query,
     "op9_bpe": bpe.query,
