@@ -34,8 +34,8 @@ from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-#: Words a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 200_000
+#: Words in each of a worker's two generations of memory; a full one replaces the older.
+REMEMBERED = 250_000
 #: Fixed values of the vocabulary format: how a normalised text splits into words.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 #: The same for texts whose letters are all below U+0180 and whose digits are ASCII.
@@ -61,7 +61,6 @@ class Vocabulary:
         size = max([*ids.values(), *self.added.values()]) + 1
         letters = byte_letters()
         # One character a symbol: a byte within a word, or a byte that ends it.
-        self.inside = {b: chr(b) for b in range(256)}
         symbol = {x: chr(i) for i, x in enumerate(letters)} | {x + END: chr(256 + i) for i, x in enumerate(letters)}
         self.left, self.right = [-1] * size, [-1] * size
         self.rank = [-1] * size
@@ -85,6 +84,8 @@ class Vocabulary:
         self.shorter = [-1] * size
         for s, t in by_symbols.items():
             self.shorter[t] = next((by_symbols[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_symbols), -1)
+        # Words that are one token: a token is reached by its own merges.
+        self.whole = {(s[:-1] + chr(ord(s[-1]) - 256)).encode("latin-1"): t for s, t in by_symbols.items() if ord(s[-1]) >= 256}
         self.seams: dict[tuple[int, int], bool] = {}
         names = [b""] * size
         for token, t in [*ids.items(), *self.added.items()]:
@@ -118,6 +119,8 @@ class Vocabulary:
 
     def encode_word(self, word: bytes) -> list[int]:
         n = len(word)
+        if (whole := self.whole.get(word)) is not None:
+            return [whole]
         symbols = word[:-1].decode("latin-1") + chr(256 + word[-1])
         longest = [-1] * n
         for end, (size, t) in self.automaton.iter(symbols):
@@ -153,33 +156,41 @@ def split(text: str) -> list[str]:
 
 
 class Coder(dict):
-    """Remembers for each word its ids, and both as text."""
+    """Remembers for each word its ids and its decoded tokens, both as text.
+
+    Words in use move on to the new generation, so frequent ones are never forgotten.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, tuple[str, str]] = {}
 
-    def __missing__(self, word: str) -> tuple[str, str, tuple[int, ...]]:
-        ids = self.vocabulary.encode_word(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: str) -> tuple[str, str]:
+        out = self.older.get(word)
+        if out is None:
+            ids = self.vocabulary.encode_word(word.encode("utf-8", "surrogatepass"))
+            out = (" ".join(map(str, ids)), self.vocabulary.decode(ids).decode())
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = (" ".join(map(str, ids)), self.vocabulary.decode(ids).decode(), tuple(ids))
+        self[word] = out
         return out
 
-    def words(self, text: str) -> list[tuple[str, str, tuple[int, ...]]]:
+    def words(self, text: str) -> list[tuple[str, str]]:
         v = self.vocabulary
         if v.cut is None or "<" not in text:
             return [self[w] for w in split(text)]
         out = []
         for part in v.cut.split(text):
             if (t := v.added.get(part)) is not None:
-                out.append((str(t), v.decode([t]).decode(), (t,)))
+                out.append((str(t), v.decode([t]).decode()))
             elif part:
                 out += [self[w] for w in split(part)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [t for _, _, ids in self.words(text or "") for t in ids]
+        return [int(t) for ids, _ in self.words(text or "") for t in ids.split(" ")]
 
 
 _CODERS: dict[str, Coder] = {}
