@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, ngram_join, secret_scan, suffix_dedup, toxicity
+from . import bpe, exact_dedup, language_id, mixing, ngram_join, secret_scan, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op1_topk_search": topk_search.query,
+    "op6_mixing": mixing.query,
     "op8_language_id": language_id.query,
     "op2_toxicity": toxicity.query,
     "op3_secret_scan": secret_scan.query,
@@ -15,5 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_topk_search": topk_search.SQL,
+    "op6_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
