@@ -59,7 +59,7 @@ def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             out.append(np.multiply.accumulate(x))
         have = (out[0], out[1])
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[lane] = have
     return have
 

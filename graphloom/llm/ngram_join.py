@@ -77,10 +77,9 @@ def sets(column: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
 
 def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS) -> Iterator[pa.RecordBatch]:
     """Misra-Gries over a partition's shingles."""
-    keys, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
     for batch in batches:
         for _, h, _ in shingles(batch.column(0)):
-            total += len(h)
             new, n = np.unique(h, return_counts=True)
             both = np.concatenate([keys, new])
             keys, inverse = np.unique(both, return_inverse=True)
@@ -88,8 +87,8 @@ def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS) -> Ite
             if len(keys) > counters:
                 counts = counts - np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]
                 keys, counts = keys[counts > 0], counts[counts > 0]
-    # What a partition holds once or twice can't lift a shingle among the common ones.
-    keep = counts > max(1, total // counters)
+    # What a partition holds only once or twice beyond the sketch's cut can't lift a shingle among the common ones.
+    keep = counts > 2
     yield pa.RecordBatch.from_pydict({"h": keys[keep].view(np.int64), "n": counts[keep]})
 
 
@@ -98,9 +97,16 @@ def common_shingles(docs: DataFrame, most: int = COMMON) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(U64))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what a batch's sets take."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def describe(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Per text: size, digest and bitmap of its set, and its prefix shingles."""
-    for batch in batches:
+    for batch in sliced(batches):
         size, digest, bits, prefix = [], [], [], []
         for s in sets(batch.column("text")):
             n = len(s)
@@ -146,7 +152,7 @@ def may_link(n1: int, b1: bytes, n2: int, b2: bytes) -> bool:
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         n1, n2 = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
         b1, b2 = batch.column("bits1").to_pylist(), batch.column("bits2").to_pylist()
         keep = [may_link(*x) for x in zip(n1, b1, n2, b2, strict=True)]
@@ -155,7 +161,7 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact decision over the sorted shingle arrays of both texts."""
-    for batch in batches:
+    for batch in sliced(batches):
         keep = []
         for s, t in zip(sets(batch.column("text1")), sets(batch.column("text2")), strict=True):
             both = len(np.intersect1d(s, t, assume_unique=True))
