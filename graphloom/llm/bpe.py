@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -166,11 +167,13 @@ class Coder(dict):
         self.vocabulary = vocabulary
         self.older: dict[str, tuple[str, str]] = {}
 
+    def entry(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.vocabulary.decode(ids).decode()
+
     def __missing__(self, word: str) -> tuple[str, str]:
         out = self.older.get(word)
         if out is None:
-            ids = self.vocabulary.encode_word(word.encode("utf-8", "surrogatepass"))
-            out = (" ".join(map(str, ids)), self.vocabulary.decode(ids).decode())
+            out = self.entry(self.vocabulary.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -184,7 +187,7 @@ class Coder(dict):
         out = []
         for part in v.cut.split(text):
             if (t := v.added.get(part)) is not None:
-                out.append((str(t), v.decode([t]).decode()))
+                out.append(self.entry([t]))
             elif part:
                 out += [self[w] for w in split(part)]
         return out
@@ -193,14 +196,24 @@ class Coder(dict):
         return [int(t) for ids, _ in self.words(text or "") for t in ids.split(" ")]
 
 
-_CODERS: dict[str, Coder] = {}
+class BinaryCoder(Coder):
+    """Remembers for each word its ids as little-endian 32-bit integers."""
+
+    def entry(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def array(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(self.words(text or "")), dtype="<i4")
+
+
+_CODERS: dict[tuple[type, str], Coder] = {}
 
 
-def coder(vocabulary: str) -> Coder:
+def coder(vocabulary: str, kind: type = Coder) -> Coder:
     """The worker's coder for a vocabulary file's contents."""
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    key = kind, hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _CODERS:
-        _CODERS[key] = Coder(Vocabulary(vocabulary))
+        _CODERS[key] = kind(Vocabulary(vocabulary))
     return _CODERS[key]
 
 

@@ -254,5 +254,15 @@ def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one with the least id; columns as they are.
+
+    Rows that share an id stay or go together: they stay if one of them is the first of its component.  Rows without id stay.
+    """
+    placed = jaccard_components(docs).where("doc_id is not null")
+    gone = placed.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
+    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

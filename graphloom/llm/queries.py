@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, ngram_join, secret_scan, suffix_dedup, topk_search, toxicity
+from . import bpe, exact_dedup, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
+    "op4_packing": packing.query,
     "op1_topk_search": topk_search.query,
     "op6_mixing": mixing.query,
     "op8_language_id": language_id.query,
