@@ -4,20 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup as copies
+from graphloom.llm import bpe, exact_dedup as copies, mixing, ngram_join, toxicity as grammar
 from graphloom.llm.common import stored, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the lexicon is learned from the labelled ones among those that came."""
+    return grammar.keep_clean(docs, grammar.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of texts equal up to the case of A-Z the one with the largest id stays."""
     return copies.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 80 % of their five-word shingles the one with the smallest id stays."""
+    return ngram_join.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document may come twice, or not at all."""
+    return mixing.take(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, a row for each document that came."""
+    return bpe.round_trip(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("encode", encode),
 ]
 
-#: Toxicity and encoding are learned or table-driven, which SQL can't express; tests hold the stages against plain versions.
+#: Learned scores and token ids can't be expressed in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
