@@ -43,10 +43,10 @@ PERCENT = 80
 #: The most frequent shingles that are ordered last, 8 bytes each wherever they are sent.
 COMMON = 1 << 16
 #: Counters of each partition's Misra-Gries sketch.
-COUNTERS = 1 << 17
-#: Rounds of comparison with leaders before pairs are listed; after the first, only while some open tile is above SMALL_TILE.
+COUNTERS = 1 << 19
+#: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
 STAR_ROUNDS = 4
-SMALL_TILE = 256
+PAIRS_EACH = 16
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 
 
@@ -75,18 +75,35 @@ def sets(column: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(h[at[i] : at[i + 1]])
 
 
-def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS) -> Iterator[pa.RecordBatch]:
-    """Misra-Gries over a partition's shingles."""
+def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS, at_once: int = 3 * COUNTERS) -> Iterator[pa.RecordBatch]:
+    """Misra-Gries over a partition's shingles, taking in ``at_once`` of them at a time."""
     keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def take(new: list[np.ndarray]) -> None:
+        nonlocal keys, counts
+        fresh, n = np.unique(np.concatenate(new), return_counts=True)
+        at = np.searchsorted(keys, fresh)
+        known = np.zeros(len(fresh), dtype=bool)
+        if len(keys):
+            known = keys[np.minimum(at, len(keys) - 1)] == fresh
+            counts[at[known]] += n[known]
+        keys, counts = np.concatenate([keys, fresh[~known]]), np.concatenate([counts, n[~known]])
+        if len(keys) > counters:
+            counts = counts - np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+
+    held, n = [], 0
     for batch in batches:
         for _, h, _ in shingles(batch.column(0)):
-            new, n = np.unique(h, return_counts=True)
-            both = np.concatenate([keys, new])
-            keys, inverse = np.unique(both, return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > counters:
-                counts = counts - np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]
-                keys, counts = keys[counts > 0], counts[counts > 0]
+            held.append(h)
+            n += len(h)
+            if n >= at_once:
+                take(held)
+                held, n = [], 0
+    if n:
+        take(held)
     # What a partition holds only once or twice beyond the sketch's cut can't lift a shingle among the common ones.
     keep = counts > 2
     yield pa.RecordBatch.from_pydict({"h": keys[keep].view(np.int64), "n": counts[keep]})
@@ -224,8 +241,8 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
         # Another leader each round; from the second on, of whichever component a hash puts first.
         rank = F.struct(F.xxhash64(F.lit(k), F.col("c")) if k else F.lit(0), F.col("doc_id"), F.col("n"), F.col("c"))
         leader = stored(banded.groupBy("h", "band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"), "k"), "leaders")
-        # Small tiles are done sooner by listing their pairs.
-        if k and not leader.where(f"k > {SMALL_TILE}").head(1):
+        # Where tiles are small, listing their pairs is less work than another round.
+        if k and (cost := leader.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first())[0] is not None and cost[1] <= PAIRS_EACH * cost[0]:
             break
         pairs = banded.join(leader, ["h", "band"]).where(f"doc_id <> y and c <> d and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
         more = verified(pairs, signatures, docs)
