@@ -80,7 +80,7 @@ class Vocabulary:
         for token, s in spelled.items():
             self.length[ids[token]] = len(s)
             by_symbols[s] = ids[token]
-            self.automaton.add_word(s, (len(s), ids[token]))
+            self.automaton.add_word(s, ids[token])
         self.automaton.make_automaton()
         self.shorter = [-1] * size
         for s, t in by_symbols.items():
@@ -96,10 +96,7 @@ class Vocabulary:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def seam(self, a: int, b: int) -> bool:
-        """Whether merging leaves a seam between tokens a and b when they stand side by side."""
-        known = self.seams.get((a, b))
-        if known is not None:
-            return known
+        """Whether merging leaves a seam between tokens a and b when they stand side by side; the answer is remembered."""
         x, y, before = a, b, len(self.merged)
         while True:
             # A merge over the seam comes first if its rank is below that of the merge just undone; of equal ranks the left one does.
@@ -123,25 +120,36 @@ class Vocabulary:
         if (whole := self.whole.get(word)) is not None:
             return [whole]
         symbols = word[:-1].decode("latin-1") + chr(256 + word[-1])
-        longest = [-1] * n
-        for end, (size, t) in self.automaton.iter(symbols):
-            at = end - size + 1
-            if longest[at] < 0 or size > self.length[longest[at]]:
-                longest[at] = t
-        usable = [True] * (n + 1)
+        longest = [-1] * (n + 1)
+        length, shorter, seams = self.length, self.shorter, self.seams
+        # Matches come by their end, so the last one to start at a place is the longest there.
+        for end, t in self.automaton.iter(symbols):
+            longest[end - length[t] + 1] = t
+        failed: set[int] = set()
         out: list[int] = []
         at, t = 0, longest[0]
         while at < n:
-            while t >= 0 and not (usable[at + self.length[t]] and (not out or self.seam(out[-1], t))):
-                t = self.shorter[t]
+            if out:
+                last = out[-1]
+                while t >= 0:
+                    if at + length[t] not in failed:
+                        fits = seams.get((last, t))
+                        if fits is None:
+                            fits = self.seam(last, t)
+                        if fits:
+                            break
+                    t = shorter[t]
+            else:
+                while t >= 0 and length[t] in failed:
+                    t = shorter[t]
             if t >= 0:
                 out.append(t)
-                at += self.length[t]
-                t = longest[at] if at < n else -1
+                at += length[t]
+                t = longest[at]
             else:
-                usable[at] = False
+                failed.add(at)
                 t = out.pop()
-                at -= self.length[t]
+                at -= length[t]
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
