@@ -9,10 +9,11 @@
    share makes no large tile unless the texts have little else.
 3. A tile is a prefix shingle within a band of set sizes (each set also enters the next
    band, so that any two sets in reach of each other meet).  In each tile every set is compared
-   with one leader, and components are labelled; a few rounds, each with other
-   leaders, join near copies with work linear in the tile, however large.
-4. Only for tiles that still hold several components are their pairs listed, and
-   of those only the ones that share enough prefix shingles for 80 %.
+   with one leader, and components are labelled, which joins near copies with work linear
+   in the tile, however large.
+4. Only for tiles that still hold several components are pairs listed: not those of a set
+   far from the leader with one linked to it, which the triangle inequality rules out, and
+   only those that share enough prefix shingles for 80 %.
 5. Every candidate pair is first held against hashed bitmaps: the sets differ in at least
    as many shingles as the bitmaps differ in bits, which bounds the overlap from
    above.  What passes is decided by intersecting the sorted arrays.
@@ -40,8 +41,10 @@ from .components import components
 WORDS = 5
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: The most frequent shingles that are ordered last, 8 bytes each wherever they are sent.
-COMMON = 1 << 16
+#: Below this similarity to a tile's leader a set can't link with any that links with the leader: distances of 0.4 and 0.2 add up.
+FAR_PERCENT = 100 - 2 * (100 - PERCENT)
+#: The most frequent shingles that are ordered last, rarer ones first; 9 bytes each wherever they are sent.
+COMMON = 1 << 19
 #: Counters of each partition's Misra-Gries sketch.
 COUNTERS = 1 << 19
 #: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
@@ -109,9 +112,22 @@ def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS, at_onc
     yield pa.RecordBatch.from_pydict({"h": keys[keep].view(np.int64), "n": counts[keep]})
 
 
-def common_shingles(docs: DataFrame, most: int = COMMON) -> np.ndarray:
-    rows = docs.select("text").mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(U64))
+def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and the class of each: four to a doubling of its count."""
+    rows = docs.select("text").mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)
+    found = rows.select("h", F.floor(4 * F.log2("n")).cast("int").alias("c")).toArrow()
+    h, c = found.column(0).to_numpy().astype(np.int64).view(U64), found.column(1).to_numpy().astype(np.uint8)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def rare_first(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set in the one order that all sets share: shingles that aren't common by hash, then common ones by class and hash."""
+    keys, classes = common
+    if not len(keys) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return s[np.argsort(np.where(keys[at] == s, classes[at], 0), kind="stable")]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -121,7 +137,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
-def describe(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def describe(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Per text: size, digest and bitmap of its set, and its prefix shingles."""
     for batch in sliced(batches):
         size, digest, bits, prefix = [], [], [], []
@@ -131,10 +147,7 @@ def describe(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
             bits.append(bitmap(s, bitmap_bits(n)).tobytes() if n else None)
             take = n - -(-PERCENT * n // 100) + 1 if n else 0
-            if len(common) and n:
-                hit = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                s = np.concatenate([s[~hit], s[hit]])
-            prefix.append(s[:take].view(np.int64))
+            prefix.append(rare_first(s, common)[:take].view(np.int64))
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int32()), "digest": pa.array(digest, pa.binary()),
             "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
@@ -159,21 +172,24 @@ def fold(packed: np.ndarray, bits: int) -> np.ndarray:
     return packed
 
 
-def may_link(n1: int, b1: bytes, n2: int, b2: bytes) -> bool:
-    """False only if the bitmaps rule out a link: overlap <= (n1 + n2 - differing bits) / 2."""
+def most_common(n1: int, b1: bytes, n2: int, b2: bytes) -> int:
+    """Upper bound of the overlap by the bitmaps: (n1 + n2 - differing bits) / 2."""
     x, y = np.frombuffer(b1, np.uint8), np.frombuffer(b2, np.uint8)
     bits = 8 * min(len(x), len(y))
     apart = int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum())
-    most = min(n1, n2, (n1 + n2 - apart) // 2)
-    return 100 * most >= PERCENT * (n1 + n2 - most)
+    return min(n1, n2, (n1 + n2 - apart) // 2)
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bitmaps let through, with grade 1; those that may link have ``close`` too."""
     for batch in sliced(batches):
         n1, n2 = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
         b1, b2 = batch.column("bits1").to_pylist(), batch.column("bits2").to_pylist()
-        keep = [may_link(*x) for x in zip(n1, b1, n2, b2, strict=True)]
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        most = np.array([most_common(*x) for x in zip(n1, b1, n2, b2, strict=True)], dtype=np.int64)
+        union = np.array(n1, dtype=np.int64) + np.array(n2, dtype=np.int64) - most
+        near = 100 * most >= FAR_PERCENT * union
+        out = batch.select(["x", "y"]).append_column("close", pa.array(100 * most >= PERCENT * union, pa.bool_()))
+        yield out.filter(pa.array(near, pa.bool_()))
 
 
 def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,30 +211,59 @@ def _reach(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``x, y`` that link: bitmaps first, then the texts of what is left."""
+def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the distinct pairs ``x, y`` those near by their bitmaps, and those that link, which their texts decide."""
     left = signatures.select(F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     right = signatures.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    close = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long"), "close")
+    near = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long, close boolean"), "near")
+    close = near.where("close").select("x", "y")
     ids = close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id")
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
-    return stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
-
+    return near, stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
 
-def _relabel(tiles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of the linked sets, and the rows of tiles that still hold more than one component."""
-    found = stored(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-    marked = tiles.drop("c").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    mixed = stored(marked.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h"), "mixed")
-    return found, stored(marked.join(mixed, "h"), "tiles")
 
-
-def _banded(tiles: DataFrame) -> DataFrame:
+def _banded(slots: DataFrame) -> DataFrame:
     """Each row in the tile of its own size band and of the next, so that sets within reach of each other meet."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    return tiles.select("*", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
+    return slots.select("*", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
+
+
+def _star(tiles: DataFrame, k: int) -> DataFrame:
+    """Every row of a tile of several with the tile's leader ``y``; each round has other leaders, from another component where there are several."""
+    rank = F.struct(F.xxhash64(F.lit(k), F.col("c")) if k else F.lit(0), F.col("doc_id"), F.col("n"))
+    leader = stored(tiles.groupBy("h", "band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m")), "leaders")
+    return stored(tiles.join(leader, ["h", "band"]).drop("c"), "faced")
+
+
+def _graded(faced: DataFrame, near: DataFrame, links: DataFrame, components_: DataFrame) -> DataFrame:
+    """Rows of tiles that hold several components, with their component and how they stand to the leader: 2 linked, 1 near, 0 far."""
+    ends = [F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")]
+    marks = near.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("g")).unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(2).alias("g"))).groupBy("a", "b").agg(F.max("g").alias("g"))
+    rows = faced.select("h", "band", "own", "doc_id", "n", "y", *ends).join(marks, ["a", "b"], "left").withColumn("g", F.when(F.col("doc_id") == F.col("y"), 2).otherwise(F.coalesce("g", F.lit(0))))
+    label = components_.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    rows = stored(rows.join(label, "doc_id", "left").select("h", "band", "own", "doc_id", "n", "g", F.coalesce("c", "doc_id").alias("c")), "rows")
+    mixed = stored(rows.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "band"), "mixed")
+    return stored(rows.join(mixed, ["h", "band"]), "tiles")
+
+
+def _pairs(tiles: DataFrame) -> DataFrame:
+    """Pairs of different components that may link.
+
+    What is far from the leader (under FAR_PERCENT) can't reach what is linked with it, as Jaccard distance
+    is a metric; so rows near the leader meet all others, and far ones each other.  A pair at PERCENT
+    shares more of its prefix shingles than texts with some passage in common do.
+    """
+    u = tiles.select("h", "band", F.col("doc_id").alias("id2"), F.col("n").alias("m2"), F.col("own").alias("own2"), F.col("c").alias("c2"), F.col("g").alias("g2"))
+    meet = f"c <> c2 and band = greatest(own, own2) and {_reach('n', 'm2')}"
+    some = tiles.where("g = 1").join(u, ["h", "band"]).where(f"({meet}) and (g2 <> 1 or doc_id < id2)")
+    far = tiles.where("g = 0").join(u.where("g2 = 0"), ["h", "band"]).where(f"({meet}) and doc_id < id2")
+    both = some.unionByName(far).select(
+        F.least("doc_id", "id2").alias("x"), F.greatest("doc_id", "id2").alias("y"),
+        F.when(F.col("doc_id") < F.col("id2"), F.col("n")).otherwise(F.col("m2")).alias("n1"), F.when(F.col("doc_id") < F.col("id2"), F.col("m2")).otherwise(F.col("n")).alias("n2"),
+    )
+    return both.groupBy("x", "y", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -234,32 +279,26 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
     signatures = stored(heads.select("doc_id", "n", "bits"), "signatures")
     slots = heads.select("doc_id", "n", F.explode("prefix").alias("h"))
     shared = stored(slots.groupBy("h").count().where("count > 1").select("h"), "shared")
-    tiles = stored(slots.join(shared, "h").withColumn("c", F.col("doc_id")), "tiles")
+    tiles = _banded(slots.join(shared, "h")).withColumn("c", F.col("doc_id"))
     known = None
     for k in range(star_rounds):
-        banded = _banded(tiles)
-        # Another leader each round; from the second on, of whichever component a hash puts first.
-        rank = F.struct(F.xxhash64(F.lit(k), F.col("c")) if k else F.lit(0), F.col("doc_id"), F.col("n"), F.col("c"))
-        leader = stored(banded.groupBy("h", "band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"), "k"), "leaders")
-        # Where tiles are small, listing their pairs is less work than another round.
-        if k and (cost := leader.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first())[0] is not None and cost[1] <= PAIRS_EACH * cost[0]:
+        faced = _star(tiles, k)
+        pairs = faced.where(f"doc_id <> y and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
+        near, more = verified(pairs, signatures, docs)
+        known = more if known is None else stored(known.unionByName(more).distinct(), "links")
+        found = stored(components(known.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+        tiles = _graded(faced, near, more, found)
+        # Where few rows are left to meet, listing their pairs is less work than another round.
+        each = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("if(g = 1, 1, 0)")).alias("b"), F.sum(F.expr("if(g = 0, 1, 0)")).alias("f"))
+        size, cost = each.agg(F.sum("k"), F.sum(F.col("b") * F.col("k") + F.col("f") * F.col("f"))).first()
+        if not size:
+            return of_row, found
+        if cost <= PAIRS_EACH * size:
             break
-        pairs = banded.join(leader, ["h", "band"]).where(f"doc_id <> y and c <> d and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
-        more = verified(pairs, signatures, docs)
-        known = more if known is None else known.unionByName(more)
-        found, tiles = _relabel(tiles, known)
-    # A pair at 80 % shares more of its prefix shingles than texts with some passage in common do.  A tile's two bands may both hold a pair; it counts once.
-    t, u = _banded(tiles).alias("t"), _banded(tiles).alias("u")
     need = f"ceil({PERCENT} * (n1 + n2) / {100 + PERCENT}.0)"
-    pairs = (
-        t.join(u, ["h", "band"]).where(f"t.doc_id < u.doc_id and t.c <> u.c and t.band = greatest(t.own, u.own) and {_reach('t.n', 'u.n')}")
-        .groupBy(F.col("t.doc_id").alias("x"), F.col("u.doc_id").alias("y"), F.col("t.n").alias("n1"), F.col("u.n").alias("n2"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
-    )
-    last = verified(pairs, signatures, docs)
-    known = last if known is None else known.unionByName(last)
-    return of_row, components(known.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    listed = _pairs(tiles).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
+    _, last = verified(listed, signatures, docs)
+    return of_row, components(known.unionByName(last).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
 def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS) -> DataFrame:
