@@ -220,12 +220,12 @@ SNAPS = "snaps AS (SELECT concat('scan:', CAST(event_id AS STRING)) AS scan_id,
 
 
 @query("qry_09_list_snapshots", f"""
-WITH {SCANS}, {SNAPS} SELECT s.id, s.project_id, s.status, s.started_at, complete, fact_count, sequence, s.id = 'scan:4' AS active FROM scans s LEFT JOIN snaps ON snaps.scan_id = s.id WHERE s.id = 'scan:4' OR sequence IS NOT NULL
-ORDER BY active DESC, sequence DESC NULLS LAST, s.id LIMIT 20""")
+WITH {SCANS}, {SNAPS} SELECT s.id, s.project_id, s.status, s.started_at, coalesce(complete, false) AS complete, coalesce(fact_count, 0) AS fact_count, coalesce(sequence, -1) AS sequence, s.id = 'scan:4' AS active FROM scans s LEFT JOIN snaps ON snaps.scan_id = s.id WHERE s.id = 'scan:4' OR sequence IS NOT NULL
+ORDER BY s.id = 'scan:4' DESC, snaps.sequence DESC NULLS LAST, s.id LIMIT 20""")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet").where("event_id % 3 = 0")
     snaps = e.select(F.concat(F.lit("scan:"), F.col("event_id").cast("string")).alias("scan_id"), (F.col("event_id") % 2 == 0).alias("complete"), (F.col("event_id") * 10).alias("fact_count"), F.col("event_id").alias("sequence"))
-    return lookup.list_snapshots(scans(s, d), snaps, "scan:4")
+    return lookup.list_snapshots(scans(s, d), snaps, "scan:4").na.fill(False, ["complete"]).na.fill(0, ["fact_count"]).na.fill(-1, ["sequence"])
 
 
 # --- predicates, aggregates, sets ----------------------------------------------------------------------------------------
@@ -608,9 +608,9 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query("snp_06_architecture_trends", f"""
 WITH {METRICS}, n AS (SELECT * FROM m ORDER BY sequence DESC LIMIT 10)
-SELECT scan_id, sequence, cycles, max_degree, cycles - lag(cycles) OVER (ORDER BY sequence) AS cycles_change, max_degree - lag(max_degree) OVER (ORDER BY sequence) AS max_degree_change FROM n""")
+SELECT scan_id, sequence, cycles, max_degree, coalesce(cycles - lag(cycles) OVER (ORDER BY sequence), 0) AS cycles_change, coalesce(max_degree - lag(max_degree) OVER (ORDER BY sequence), 0) AS max_degree_change FROM n""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return snapshot.trends(_metrics(s, d))
+    return snapshot.trends(_metrics(s, d)).na.fill(0, ["cycles_change", "max_degree_change"])
 
 
 @query("snp_05_quality_gate", """
