@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytescan import released
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -191,7 +192,7 @@ class Coder(dict):
     def words(self, text: str) -> list[tuple[str, str]]:
         v = self.vocabulary
         if v.cut is None or "<" not in text:
-            return [self[w] for w in split(text)]
+            return list(map(self.__getitem__, split(text)))
         out = []
         for part in v.cut.split(text):
             if (t := v.added.get(part)) is not None:
@@ -254,8 +255,11 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+def round_trip(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
+    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    Workers remember words from one task to the next if ``keep``; where other stages share them, better not.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +273,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+        if not keep:
+            _CODERS.clear()
+            released()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

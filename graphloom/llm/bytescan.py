@@ -7,6 +7,9 @@ Everything here works on the UTF-8 bytes of a whole batch of texts at once: one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def text_buffers(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_buffers(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield ``(first row, row after, bytes, offsets)`` for runs of rows of about ``most`` bytes.
 
     Nulls read as empty.  A single text above ``most`` comes alone and whole.
@@ -48,6 +51,14 @@ def text_buffers(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, i
         at = end
 
 
+def released() -> None:
+    """Gives freed memory back: a worker lives on for other tasks, and its executor's memory is shared."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the lane's base, and of its inverse, for exponents 0 to n."""
     have = _POWERS.get(lane)
@@ -59,7 +70,7 @@ def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = 1
             out.append(np.multiply.accumulate(x))
         have = (out[0], out[1])
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[lane] = have
     return have
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import U64, RangeHash, lower_ascii, mix, text_buffers, words
+from .bytescan import U64, RangeHash, lower_ascii, mix, released, text_buffers, words
 from .common import stored, table
 from .components import components
 
@@ -46,10 +46,12 @@ FAR_PERCENT = 100 - 2 * (100 - PERCENT)
 #: The most frequent shingles that are ordered last, rarer ones first; 9 bytes each wherever they are sent.
 COMMON = 1 << 19
 #: Counters of each partition's Misra-Gries sketch.
-COUNTERS = 1 << 19
+COUNTERS = 1 << 18
 #: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
 STAR_ROUNDS = 4
 PAIRS_EACH = 16
+#: Rows of a tile from which its pairs are compared by bitmaps within tasks, and rows of a block of such a tile.
+WIDE_TILE, BLOCK = 256, 4096
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 
 
@@ -110,6 +112,7 @@ def frequent(batches: Iterator[pa.RecordBatch], counters: int = COUNTERS, at_onc
     # What a partition holds only once or twice beyond the sketch's cut can't lift a shingle among the common ones.
     keep = counts > 2
     yield pa.RecordBatch.from_pydict({"h": keys[keep].view(np.int64), "n": counts[keep]})
+    released()
 
 
 def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +138,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    released()
 
 
 def describe(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,63 @@ def _pairs(tiles: DataFrame) -> DataFrame:
     return both.groupBy("x", "y", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of wide tiles that their bitmaps let through.  Rows come sorted by tile and pair of blocks ``i <= j``."""
+    for rows in grouped(batches, ["h", "band", "i", "j"]):
+        ids, n, g, c, own, blk = (rows.column(x).to_numpy() for x in ("doc_id", "n", "g", "c", "own", "blk"))
+        maps = [np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()]
+        least = min(map(len, maps)) * 8
+        maps = np.stack([fold(m, least) for m in maps]).view(U64)
+        band, i, j = rows.column("band")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        xs, ys = [], []
+        for r in np.flatnonzero(g < 2):
+            other = (c != c[r]) & (np.maximum(own, own[r]) == band) & (100 * np.minimum(n, n[r]) >= PERCENT * np.maximum(n, n[r]))
+            if i != j:
+                other &= blk != blk[r]
+            # Near rows meet all, far ones each other; of two alike the smaller id looks.
+            other &= ((g != 1) | (ids > ids[r])) if g[r] == 1 else ((g == 0) & (ids > ids[r]))
+            at = np.flatnonzero(other)
+            if len(at):
+                apart = np.bitwise_count(maps[at] ^ maps[r]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(np.minimum(n[at], n[r]), (n[at].astype(np.int64) + n[r] - apart) // 2)
+                at = at[100 * most >= PERCENT * (n[at].astype(np.int64) + n[r] - most)]
+                xs.append(np.minimum(ids[at], ids[r]))
+                ys.append(np.maximum(ids[at], ids[r]))
+        if xs:
+            yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as one table for each key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
+        at = [0, *cut.tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if a == b:
+                continue
+            key = tuple(x[a] for x in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _wide_pairs(tiles: DataFrame, wide: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Close pairs of wide tiles.  A tile of over BLOCK rows is dealt out as pairs of blocks, so that no task holds it all."""
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiles.join(wide.select("h", "band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).join(signatures.select("doc_id", "bits"), "doc_id")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", "band", F.least("blk", "to").cast("int").alias("i"), F.greatest("blk", "to").cast("int").alias("j"), "blk", "own", "doc_id", "n", "g", "c", "bits")
+    return rows.repartition(n, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j").mapInArrow(compare_blocks, "x long, y long").distinct()
+
+
+def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS, wide_tile: int = WIDE_TILE) -> tuple[DataFrame, DataFrame]:
     """Each row's set size and class (``doc_id, n, rep``), and the components of classes (``node, component``)."""
     common = common_shingles(docs, most_common)
     rows = stored(
@@ -289,21 +349,23 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
         found = stored(components(known.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
         tiles = _graded(faced, near, more, found)
         # Where few rows are left to meet, listing their pairs is less work than another round.
-        each = tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("if(g = 1, 1, 0)")).alias("b"), F.sum(F.expr("if(g = 0, 1, 0)")).alias("f"))
-        size, cost = each.agg(F.sum("k"), F.sum(F.col("b") * F.col("k") + F.col("f") * F.col("f"))).first()
+        each = stored(tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("if(g = 1, 1, 0)")).alias("b"), F.sum(F.expr("if(g = 0, 1, 0)")).alias("f")), "sizes")
+        wide = each.where(F.col("k") > wide_tile)
+        size, cost = each.agg(F.sum("k"), F.sum(F.when(F.col("k") <= wide_tile, F.col("b") * F.col("k") + F.col("f") * F.col("f")).otherwise(0))).first()
         if not size:
             return of_row, found
         if cost <= PAIRS_EACH * size:
             break
     need = f"ceil({PERCENT} * (n1 + n2) / {100 + PERCENT}.0)"
-    listed = _pairs(tiles).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
-    _, last = verified(listed, signatures, docs)
+    # A pair that meets in a wide tile is settled there; the others' shared shingles are all counted here.
+    listed = _pairs(tiles.join(wide.select("h", "band"), ["h", "band"], "left_anti")).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
+    _, last = verified(listed.unionByName(_wide_pairs(tiles, wide, signatures)).distinct(), signatures, docs)
     return of_row, components(known.unionByName(last).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
-def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS, wide_tile: int = WIDE_TILE) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``."""
-    of_row, found = links(docs, most_common, star_rounds)
+    of_row, found = links(docs, most_common, star_rounds, wide_tile)
     return (
         of_row.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

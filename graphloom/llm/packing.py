@@ -16,7 +16,6 @@ each by itself.  Ids may be null.  An empty table gives no rows.  Extra columns
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +34,9 @@ PAD = 49407
 
 _SCHEMA = pa.schema([
     ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
-    ("doc_ids", pa.list_(pa.int64())), ("position_starts", pa.list_(pa.int32())), ("ids_sha256", pa.string()),
+    ("doc_ids", pa.list_(pa.int64())), ("position_starts", pa.list_(pa.int32())),
 ])
-_DDL = "pack_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, position_starts array<int>, ids_sha256 string"
+_DDL = "pack_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, doc_ids array<long>, position_starts array<int>"
 
 
 class Capacities:
@@ -99,24 +98,26 @@ def pieces(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def packed(docs: DataFrame, length: int = LENGTH, group: int = GROUP, path: str | None = None, pad: int = PAD) -> DataFrame:
-    """Packed rows: ``pack_id, n_tokens, input_ids, cu_seqlens, doc_ids, position_starts, ids_sha256``."""
+    """Packed rows: ``pack_id, n_tokens, input_ids, cu_seqlens, doc_ids, position_starts``."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def flush(held: list[tuple[int | None, int, np.ndarray]], first: int) -> Iterator[pa.RecordBatch]:
-        rows = best_fit_decreasing([len(x) for _, _, x in held], length)
+        sizes = [len(x) for _, _, x in held]
+        rows = best_fit_decreasing(sizes, length)
         for a in range(0, len(rows), 256):
-            out: dict[str, list] = {k: [] for k in _SCHEMA.names}
-            for number, row in enumerate(rows[a : a + 256]):
-                parts = [held[i] for i in row]
-                ids = np.concatenate([x for _, _, x in parts]).astype("<i4")
-                out["pack_id"].append(first + a + number)
-                out["n_tokens"].append(len(ids))
-                out["input_ids"].append(np.concatenate([ids, np.full(length - len(ids), pad, "<i4")]).tobytes())
-                out["cu_seqlens"].append([0, *np.cumsum([len(x) for _, _, x in parts]).tolist()])
-                out["doc_ids"].append([d for d, _, _ in parts])
-                out["position_starts"].append([at for _, at, _ in parts])
-                out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-            yield pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
+            some = rows[a : a + 256]
+            matrix = np.full((len(some), length), pad, dtype="<i4")
+            ends = []
+            for line, row in zip(matrix, some, strict=True):
+                at = [0]
+                for i in row:
+                    line[at[-1] : at[-1] + sizes[i]] = held[i][2]
+                    at.append(at[-1] + sizes[i])
+                ends.append(at)
+            yield pa.RecordBatch.from_pydict({
+                "pack_id": range(first + a, first + a + len(some)), "n_tokens": [e[-1] for e in ends], "input_ids": [line.tobytes() for line in matrix], "cu_seqlens": ends,
+                "doc_ids": [[held[i][0] for i in row] for row in some], "position_starts": [[held[i][1] for i in row] for row in some],
+            }, schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(sent.value, BinaryCoder)
