@@ -71,6 +71,9 @@ def conjunction(parts: list[Query]) -> Query:
 
 def disjunction(parts: list[Query]) -> Query:
     flat = list(dict.fromkeys(parts))
+    # An alternative that asks for all that another asks for, and more, adds nothing.
+    plain = {q: frozenset(mentioned(q)) for q in flat if q is not True and (q[0] == "tri" or all(x[0] == "tri" for x in q[1]) and q[0] == "and")}
+    flat = [q for q in flat if q not in plain or not any(other < plain[q] for other in plain.values())]
     return True if not flat or True in flat else flat[0] if len(flat) == 1 else ("or", tuple(flat))
 
 
