@@ -118,7 +118,7 @@ class Engine:
         def answer(s: DataFrame) -> Envelope:
             found = traverse.impact(self.graph, s, max_depth, edge_kinds, min_confidence)
             named = found.join(self.graph.nodes.select("id", "canonical_name", "kind"), "id").select("id", "canonical_name", "kind", "distance", S.confidence_name(F.col("rank")).alias("path_confidence"), "via").orderBy("distance", "canonical_name", "id")
-            entries = [r.asDict() for r in traverse.entry_points(self.graph, found, entry_roles or ["application.controller", "application.command"]).select("id", "kind", "distance").orderBy("distance", "id").limit(limit).collect()]
+            entries = [r.asDict() for r in traverse.entry_points(self.graph, found, entry_roles or S.ENTRY_ROLES).select("id", "kind", "distance").orderBy("distance", "id").limit(limit).collect()]
             by = {r["distance"]: r["n"] for r in counts.histogram(found, "distance").collect()}
             return self._answer("dependants", named, S.between("limit", limit, 1, 500), entry_points=entries, by_distance=by)
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing about a place.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "new", "of", "on", "or", "that", "the", "this", "to", "with"]
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "our", "so", "that", "the", "their", "this", "to", "via", "we", "will", "with",
+    "add", "build", "create", "implement", "make", "new", "feature", "support",
+]
 
 
 def words(text: Column) -> Column:
@@ -16,10 +19,10 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words of three letters or more that aren't stop words; of two or more if there are none."""
-    plain = F.filter(F.array_distinct(words(text)), lambda w: ~w.isin(STOP_WORDS))
-    long = F.filter(plain, lambda w: F.length(w) >= 3)
-    return F.when(F.size(long) > 0, long).otherwise(F.filter(plain, lambda w: F.length(w) >= 2))
+    """Distinct words of three letters or more that aren't stop words; all of two or more if there are none."""
+    every = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    long = F.filter(every, lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS))
+    return F.when(F.size(long) > 0, long).otherwise(F.filter(every, lambda w: F.length(w) >= 2))
 
 
 def tail(name: Column) -> Column:

@@ -8,14 +8,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Roles by name suffix, path fragment, base class and tool file.
-SUFFIX_ROLES = {"Controller": "application.controller", "Service": "application.service", "Repository": "application.repository", "Command": "application.command", "Listener": "application.listener", "Job": "application.job", "Middleware": "application.middleware", "Policy": "application.policy"}
-PATH_ROLES = [("/Http/Controllers/", "application.controller"), ("/Http/Middleware/", "application.middleware"), ("/Console/Commands/", "application.command"), ("/Listeners/", "application.listener"), ("/Jobs/", "application.job"), ("/Models/", "application.model"), ("/Policies/", "application.policy"), ("/Providers/", "application.provider")]
-BASE_ROLES = {"Illuminate\\Database\\Eloquent\\Model": "laravel.model", "Illuminate\\Console\\Command": "laravel.command", "Illuminate\\Support\\ServiceProvider": "laravel.provider"}
-FRAMEWORK_ROLES = ["nestjs.controller", "nestjs.module", "nestjs.provider", "python.fastapi_route", "python.django_model", "typescript.react_component", "typescript.next_route", "typescript.vue_component"]
+from ..schema import TEST_ROLE, TOOL_ROLE
+
+# Roles by name suffix, path fragment, base class, interface, attribute and scanner list.
+SUFFIX_ROLES = {"Controller": "application.controller", "Service": "application.service", "Repository": "persistence.repository", "Middleware": "application.middleware", "Listener": "messaging.listener", "Event": "messaging.event", "Job": "messaging.job", "Command": "application.command"}
+LARAVEL_SUFFIX_ROLES = {"Controller": "laravel.controller", "Command": "laravel.command", "Job": "laravel.job", "Event": "laravel.event", "Listener": "laravel.listener", "Middleware": "laravel.middleware", "Provider": "laravel.provider", "Policy": "laravel.policy", "Repository": "laravel.repository"}
+PATH_ROLES = [("/Http/Controllers/", "laravel.controller"), ("/Http/Middleware/", "laravel.middleware"), ("/Console/Commands/", "laravel.command"), ("/Jobs/", "laravel.job"), ("/Events/", "laravel.event"), ("/Listeners/", "laravel.listener"), ("/Providers/", "laravel.provider"), ("/Policies/", "laravel.policy"), ("/Models/", "laravel.model"), ("/Repositories/", "laravel.repository")]
+BASE_ROLES = {
+    "Illuminate\\Routing\\Controller": "laravel.controller", "Illuminate\\Database\\Eloquent\\Model": "laravel.model", "Illuminate\\Foundation\\Console\\Command": "laravel.command", "Illuminate\\Console\\Command": "laravel.command",
+    "Illuminate\\Support\\ServiceProvider": "laravel.provider", "Illuminate\\Foundation\\Support\\Providers\\EventServiceProvider": "laravel.provider", "Illuminate\\Foundation\\Http\\Middleware": "laravel.middleware",
+}
+INTERFACE_ROLES = {"Illuminate\\Contracts\\Queue\\ShouldQueue": "laravel.queued", "Illuminate\\Contracts\\Events\\Dispatcher": "laravel.event_dispatcher"}
+SYMFONY_BASES = {"\\AbstractController": "symfony.controller"}
+SYMFONY_INTERFACES = {"\\EventSubscriberInterface": "symfony.event_subscriber", "\\MessageHandlerInterface": "symfony.message_handler"}
+SYMFONY_ATTRIBUTES = {"AsCommand": "symfony.command", "AsEventListener": "symfony.event_listener", "AsMessageHandler": "symfony.message_handler", "Route": "symfony.route_handler", "AsAlias": "symfony.service", "Autoconfigure": "symfony.service"}
+LISTED_ROLES = {
+    "nestjs_roles": ["nestjs.module", "nestjs.controller", "nestjs.provider"],
+    "python_framework_roles": ["django.middleware", "django.model", "django.view", "fastapi.route_handler", "python.task"],
+    "typescript_framework_roles": ["nextjs.layout", "nextjs.page", "nextjs.route_handler", "nextjs.server_action", "react.component", "react.hook", "state.store", "vue.component", "vue.composable"],
+}
 UNDER_ROOTS = ["src", "lib", "app", "source"]
 TEST_SEGMENTS = ["tests", "test", "spec"]
-TOOL_STEMS = r"(?:^|/)(?:[\w.-]+\.(?:config|conf)|\.[\w-]+rc|gulpfile|gruntfile|webpack\.mix|rollup|vite|jest\.setup)\.(?:js|cjs|mjs|ts|cts|mts|json)$"
+TOOL_FILES = r"(?:^|/)(?:[^/]+\.(?:config|conf)|\.[^/.]+rc|gulpfile|gruntfile|conftest)\.(?:js|cjs|mjs|jsx|ts|mts|cts|tsx|py)$"
 
 #: A rule takes nodes with ``relative_path`` and gives ``node_id, role, confidence, rule_id``.
 Rule = Callable[[DataFrame], DataFrame]
@@ -25,30 +39,57 @@ def _given(rows: DataFrame, role: Column | str, confidence: str, rule: str) -> D
     return rows.select(F.col("id").alias("node_id"), (role if isinstance(role, Column) else F.lit(role)).alias("role"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule_id")).where("role is not null")
 
 
-def by_suffix(nodes: DataFrame, table: dict[str, str] = SUFFIX_ROLES) -> DataFrame:
+def by_suffix(nodes: DataFrame, table: dict[str, str] = SUFFIX_ROLES, rule: str = "name_suffix") -> DataFrame:
     """Classes by the end of their name; one may match several rows of the table."""
     found = F.filter(F.array(*[F.when(F.col("display_name").endswith(s), F.lit(r)) for s, r in table.items()]), lambda x: x.isNotNull())
-    return _given(nodes.where("kind = 'class'").withColumn("role", F.explode(found)), F.col("role"), "possible", "name_suffix")
+    return _given(nodes.where("kind = 'class'").withColumn("role", F.explode(found)), F.col("role"), "possible", rule)
+
+
+def by_laravel_suffix(nodes: DataFrame) -> DataFrame:
+    return by_suffix(nodes, LARAVEL_SUFFIX_ROLES, "laravel_suffix")
+
+
+def _listed(attribute: str) -> Column:
+    return F.coalesce(F.from_json(F.get_json_object("attributes_json", f"$.{attribute}"), "array<string>"), F.array().cast("array<string>"))
+
+
+def _matching(values: Column, test: Callable[[Column, str], Column], table: dict[str, str]) -> Column:
+    """Roles of the table's rows that some value fits."""
+
+    def some(key: str) -> Column:
+        return F.exists(values, lambda v: test(v, key))
+
+    return F.filter(F.array(*[F.when(some(k), F.lit(r)) for k, r in table.items()]), lambda x: x.isNotNull())
 
 
 def by_base_class(nodes: DataFrame) -> DataFrame:
-    role = F.lit(None).cast("string")
-    for base, r in BASE_ROLES.items():
-        role = F.when(F.get_json_object("attributes_json", "$.extends") == base, r).otherwise(role)
-    return _given(nodes, role, "certain", "base_class")
+    """Equal base class or interface."""
+    base = F.filter(F.array(F.get_json_object("attributes_json", "$.extends")), lambda x: x.isNotNull())
+    same = lambda v, k: v == k
+    roles = F.array_distinct(F.concat(_matching(base, same, BASE_ROLES), _matching(_listed("implements"), same, INTERFACE_ROLES)))
+    return _given(nodes.where("kind = 'class'").withColumn("role", F.explode(roles)), F.col("role"), "certain", "laravel_types")
+
+
+def by_symfony(nodes: DataFrame) -> DataFrame:
+    """The end of the base class or of an interface, or an attribute's short name."""
+    base = F.filter(F.array(F.get_json_object("attributes_json", "$.extends")), lambda x: x.isNotNull())
+    ends = lambda v, k: v.endswith(k)
+    short = F.transform(_listed("php_attributes"), lambda x: F.element_at(F.split(x, r"\\"), -1))
+    roles = F.array_distinct(F.concat(_matching(base, ends, SYMFONY_BASES), _matching(_listed("implements"), ends, SYMFONY_INTERFACES), _matching(short, lambda v, k: v == k, SYMFONY_ATTRIBUTES)))
+    return _given(nodes.where("kind IN ('class', 'method')").withColumn("role", F.explode(roles)), F.col("role"), "certain", "symfony")
 
 
 def by_path(nodes: DataFrame) -> DataFrame:
     """The first fragment that the path contains."""
     role = F.lit(None).cast("string")
     for fragment, r in reversed(PATH_ROLES):
-        role = F.when(F.col("relative_path").contains(fragment), r).otherwise(role)
-    return _given(nodes.where("kind = 'class'"), role, "probable", "path_fragment")
+        role = F.when(F.concat(F.lit("/"), "relative_path").contains(fragment), r).otherwise(role)
+    return _given(nodes.where("kind = 'class'"), role, "probable", "laravel_paths")
 
 
 def by_attribute(nodes: DataFrame) -> DataFrame:
     """Allowed roles that the scanner listed."""
-    roles = F.array_intersect(F.from_json(F.get_json_object("attributes_json", "$.roles"), "array<string>"), F.array(*[F.lit(r) for r in FRAMEWORK_ROLES]))
+    roles = F.array_distinct(F.concat(*[F.array_intersect(_listed(a), F.array(*[F.lit(r) for r in allowed])) for a, allowed in LISTED_ROLES.items()]))
     return _given(nodes.withColumn("role", F.explode(roles)), F.col("role"), "certain", "framework_roles")
 
 
@@ -65,16 +106,16 @@ def is_test_path(path: Column) -> Column:
 
 
 def by_test_path(nodes: DataFrame) -> DataFrame:
-    return _given(nodes.where(F.col("kind").isin("module", "class", "function", "method")).where(is_test_path(F.col("relative_path"))), "test", "certain", "test_module")
+    return _given(nodes.where(is_test_path(F.col("relative_path"))), TEST_ROLE, "probable", "test_modules")
 
 
 def by_tool_config(nodes: DataFrame) -> DataFrame:
-    return _given(nodes.where(F.col("relative_path").rlike(TOOL_STEMS)), "tool.config", "certain", "tool_config")
+    return _given(nodes.where(F.col("relative_path").rlike(TOOL_FILES)), TOOL_ROLE, "certain", "tool_config")
 
 
 def by_entry_point(paths: DataFrame) -> Rule:
     """``paths``: relative_path of the manifests' entry points."""
-    return lambda nodes: _given(nodes.where("kind = 'module'").join(F.broadcast(paths.select("relative_path").distinct()), "relative_path", "left_semi"), "entry_point", "certain", "manifest_entry")
+    return lambda nodes: _given(nodes.where("kind = 'module'").join(F.broadcast(paths.select("relative_path").distinct()), "relative_path", "left_semi"), "application.entry_point", "certain", "manifest_entry")
 
 
 def explicit(roles: dict[str, str]) -> Rule:
@@ -85,7 +126,10 @@ def explicit(roles: dict[str, str]) -> Rule:
     return rule
 
 
-RULES: list[Rule] = [by_suffix, by_base_class, by_path, by_attribute, by_test_path, by_tool_config]
+#: The rules of every project, and those of the frameworks that it uses.
+RULES: list[Rule] = [by_suffix, by_attribute, by_test_path, by_tool_config]
+LARAVEL: list[Rule] = [by_base_class, by_path, by_laravel_suffix]
+SYMFONY: list[Rule] = [by_symfony]
 
 
 def classify(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

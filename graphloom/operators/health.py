@@ -10,8 +10,7 @@ from ..graph import Graph, flag, is_external
 from . import counts, scc
 from .traverse import closure
 
-#: Roles whose components are found by a framework's convention and so need no caller.
-CONVENTION_ROLES = [S.TEST_ROLE, "application.controller", "application.command", "application.listener", "tool.config", "entry_point"]
+CONVENTION_ROLES = S.CONVENTION_ROLES
 
 
 def _marked(g: Graph) -> DataFrame:

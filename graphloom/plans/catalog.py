@@ -134,9 +134,9 @@ def _(g: Graph) -> DataFrame:
 
 
 @on_graph("jon_10_semi_joins", """
-SELECT id FROM nodes n WHERE EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = n.id AND role IN ('test', 'application.controller')) AND EXISTS (SELECT 1 FROM memberships m WHERE m.node_id = n.id AND boundary_id LIKE 'b:Brand#1%')""")
+SELECT id FROM nodes n WHERE EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = n.id AND role IN ('quality.test_module', 'application.controller')) AND EXISTS (SELECT 1 FROM memberships m WHERE m.node_id = n.id AND boundary_id LIKE 'b:Brand#1%')""")
 def _(g: Graph) -> DataFrame:
-    rows = g.nodes.join(g.classifications.where(F.col("role").isin("test", "application.controller")), F.col("id") == F.col("node_id"), "left_semi")
+    rows = g.nodes.join(g.classifications.where(F.col("role").isin(S.TEST_ROLE, "application.controller")), F.col("id") == F.col("node_id"), "left_semi")
     return rows.join(g.memberships.where(F.col("boundary_id").startswith("b:Brand#1")), F.col("id") == F.col("node_id"), "left_semi").select("id")
 
 
@@ -418,7 +418,7 @@ def _(g: Graph) -> DataFrame:
 
 @on_graph("imp_03_test_impact", f"""
 WITH {bfs(DIRECT, 3)}, a AS (SELECT id, distance FROM reached UNION ALL SELECT id, 0 FROM ({DIRECT}) q),
-t AS (SELECT a.*, n.display_name, f.relative_path FROM a JOIN nodes n ON n.id = a.id JOIN files f ON f.id = n.file_id WHERE EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = a.id AND role = 'test'))
+t AS (SELECT a.*, n.display_name, f.relative_path FROM a JOIN nodes n ON n.id = a.id JOIN files f ON f.id = n.file_id WHERE EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = a.id AND role = 'quality.test_module'))
 SELECT relative_path, min(distance) AS distance, array_to_string(list_slice(list_sort(list(DISTINCT display_name)), 1, 3), '|') AS tests FROM t GROUP BY relative_path""")
 def _(g: Graph) -> DataFrame:
     return change.test_impact(_without_methods(g), PATHS, 3)
@@ -486,7 +486,7 @@ def _(g: Graph) -> DataFrame:
     return scc.dependency_cycles(g, ["imports"])
 
 
-TESTS = "EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = n.id AND role = 'test')"
+TESTS = "EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = n.id AND role = 'quality.test_module')"
 N_EXTERNAL = EXTERNAL.replace("kind", "n.kind").replace("origin", "n.origin")
 
 
@@ -630,9 +630,10 @@ def _(g: Graph) -> DataFrame:
 # --- placement, rendering ---------------------------------------------------------------------------------------------------
 
 
-@query("loc_01_tokens", r"""
-SELECT item_id, token FROM (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 3
-  AND w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'into', 'is', 'it', 'new', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'with')))) AS token FROM benchmark) x""")
+@query("loc_01_tokens", rf"""
+WITH w AS (SELECT item_id, list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+')) AS every FROM benchmark),
+l AS (SELECT item_id, every, list_filter(every, lambda w: length(w) >= 3 AND w NOT IN ({quoted(T.STOP_WORDS)})) AS long FROM w)
+SELECT item_id, unnest(CASE WHEN len(long) > 0 THEN long ELSE list_filter(every, lambda w: length(w) >= 2) END) AS token FROM l""")
 def _(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token"))
 

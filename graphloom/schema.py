@@ -16,9 +16,13 @@ SEMANTIC_KINDS = ["routes_to", "dispatches", "handles", "listens_to", "binds", "
 INHERITANCE_KINDS = ["implements", "extends"]
 CONFIDENCES = ["possible", "probable", "certain"]
 #: Kinds that can be dead-code candidates.
-CANDIDATE_KINDS = ["class", "interface", "trait", "enum", "function", "method", "component"]
+CANDIDATE_KINDS = ["class", "interface", "trait", "enum", "function", "method", "module"]
 ENTRY_KINDS = ["route", "command"]
-TEST_ROLE = "test"
+ENTRY_ROLES = ["application.controller", "application.command", "laravel.controller", "laravel.command", "laravel.job", "application.entry_point"]
+TEST_ROLE = "quality.test_module"
+TOOL_ROLE = "tooling.config"
+# Roles whose components something outside the graph reaches.
+CONVENTION_ROLES = ["application.controller", "application.command", "application.entry_point", "laravel.controller", "laravel.command", "laravel.job", "laravel.listener", TEST_ROLE, TOOL_ROLE]
 SNAPSHOT_TABLES = ["files", "nodes", "edges", "classifications", "boundaries", "boundary_memberships"]
 
 _S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()

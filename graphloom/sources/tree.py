@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Path segments that are never scanned, languages by extension and by interpreter.
-EXCLUDED_SEGMENTS = [".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "venv", "coverage", ".cache"]
+EXCLUDED_SEGMENTS = [".git", "vendor", "node_modules", "coverage", ".next", ".nuxt", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".stryker-tmp", "build", "dist"]
+EXCLUDED_PREFIXES = ["public/build", "storage/framework"]
 EXTENSIONS = {"php": "php", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "mts": "typescript", "cts": "typescript", "py": "python", "pyi": "python"}
 INTERPRETERS = {"php": "php", "node": "typescript", "bun": "typescript", "deno": "typescript", "python": "python"}
 MANIFESTS = {"composer.json": "composer", "package.json": "node", "pyproject.toml": "python", "tsconfig.json": "typescript"}
@@ -45,7 +46,10 @@ def ignored(path: str, patterns: list[str]) -> Column:
     for p in patterns:
         negated = p.startswith("!")
         by_user = F.when(F.col(path).rlike(ignore_regex(p[1:] if negated else p)), F.lit(not negated)).otherwise(by_user)
-    return F.arrays_overlap(F.split(F.col(path), "/"), F.array(*[F.lit(s) for s in EXCLUDED_SEGMENTS])) | by_user
+    always = F.arrays_overlap(F.split(F.col(path), "/"), F.array(*[F.lit(s) for s in EXCLUDED_SEGMENTS]))
+    for p in EXCLUDED_PREFIXES:
+        always = always | (F.col(path) == p) | F.col(path).startswith(p + "/")
+    return always | by_user
 
 
 def language(path: str, first_line: str | None = None) -> Column:

@@ -66,7 +66,7 @@ UNION ALL SELECT concat('nn:', source_id, ':', target_id), 'imports', source_id,
 UNION ALL SELECT concat('ps:', CAST(l_partkey AS STRING)), 'implements', concat('p:', CAST(l_partkey AS STRING)), concat('s:', CAST(min(l_suppkey) AS STRING)), 'f:6', 1, 'ast', 'certain' FROM lineitem GROUP BY l_partkey
 UNION ALL SELECT concat('ss:', CAST(s_suppkey AS STRING)), 'extends', concat('s:', CAST(s_suppkey AS STRING)), concat('s:', CAST(CAST(floor(s_suppkey / 3) AS BIGINT) AS STRING)), 'f:7', 1, 'ast', 'certain' FROM supplier WHERE s_suppkey >= 3""",
     "classifications": """
-SELECT concat('p:', CAST(p_partkey AS STRING)) AS node_id, CASE WHEN p_size <= 5 THEN 'test' WHEN p_size <= 8 THEN 'application.controller' ELSE 'application.service' END AS role, 'derived' AS origin, 'probable' AS confidence, 'size' AS rule_id FROM part WHERE p_size <= 20
+SELECT concat('p:', CAST(p_partkey AS STRING)) AS node_id, CASE WHEN p_size <= 5 THEN 'quality.test_module' WHEN p_size <= 8 THEN 'application.controller' ELSE 'application.service' END AS role, 'derived' AS origin, 'probable' AS confidence, 'size' AS rule_id FROM part WHERE p_size <= 20
 UNION ALL SELECT concat('c:', CAST(c_custkey AS STRING)), concat('crm.', lower(c_mktsegment)), 'derived', 'certain', 'segment' FROM customer WHERE c_acctbal > 5000""",
     "boundaries": """
 SELECT concat('b:', CAST(r_regionkey AS STRING)) AS id, r_name AS name, 'namespace_prefix' AS matcher_type, concat('geo.', r_name) AS matcher_value, 'inferred' AS source FROM region

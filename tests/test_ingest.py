@@ -36,7 +36,7 @@ def test_scan_of_a_tree(spark, tmp_path):
     e = g.edges.join(ends.withColumnsRenamed({"id": "source_id", "canonical_name": "s"}), "source_id").join(ends.withColumnsRenamed({"id": "target_id", "canonical_name": "t"}), "target_id")
     assert ("app.main.build", "constructs", "app.models.Item") in {(r["s"], r["kind"], r["t"]) for r in e.collect()}
     assert "PYTHON_SYNTAX" in {r["code"] for r in g.diagnostics.collect()}
-    assert {r["role"] for r in g.classifications.collect()} == {"test"}
+    assert {r["role"] for r in g.classifications.collect()} == {"quality.test_module"}
 
 
 def test_incremental_facts_equal_a_full_scan(spark, tmp_path):
@@ -73,10 +73,13 @@ def test_resolution_cascade(spark):
 
 
 def test_classification_rules(spark):
-    rows = [("1", "class", "App\\OrderController", "OrderController", "app/Http/Controllers/OrderController.php", '{"extends":"Illuminate\\\\Database\\\\Eloquent\\\\Model","roles":["nestjs.module","other"]}'), ("2", "module", "m", "m", "tests/a.py", "{}"), ("3", "module", "m", "m", "src/tests/a.py", "{}"), ("4", "module", "m", "m", "web/vite.config.ts", "{}")]
+    model = '{"extends":"Illuminate\\\\Database\\\\Eloquent\\\\Model","nestjs_roles":["nestjs.module","other"],"php_attributes":["A\\\\AsCommand"]}'
+    rows = [("1", "class", "App\\OrderController", "OrderController", "app/Http/Controllers/OrderController.php", model), ("2", "module", "m", "m", "tests/a.py", "{}"), ("3", "module", "m", "m", "src/tests/a.py", "{}"), ("4", "module", "m", "m", "web/vite.config.ts", "{}")]
     nodes = spark.createDataFrame(rows, "id string, kind string, canonical_name string, display_name string, relative_path string, attributes_json string").withColumn("language", F.lit("php"))
     got = {(r["node_id"], r["role"]) for r in classify.classify(nodes).collect()}
-    assert got == {("1", "application.controller"), ("1", "laravel.model"), ("1", "nestjs.module"), ("2", "test"), ("4", "tool.config")}
+    assert got == {("1", "application.controller"), ("1", "nestjs.module"), ("2", "quality.test_module"), ("4", "tooling.config")}
+    framework = {(r["role"], r["rule_id"]) for r in classify.classify(nodes, classify.LARAVEL + classify.SYMFONY).collect()}
+    assert framework == {("laravel.model", "laravel_types"), ("laravel.controller", "laravel_paths"), ("laravel.controller", "laravel_suffix"), ("symfony.command", "symfony")}
     bounds = classify.infer_boundaries(nodes)
     assert [tuple(r) for r in bounds.collect()] == [("App", "namespace_prefix", "App\\")]
     members = classify.memberships(nodes, bounds.withColumn("id", F.col("name")))
