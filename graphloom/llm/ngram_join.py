@@ -51,7 +51,7 @@ COUNTERS = 1 << 18
 STAR_ROUNDS = 4
 PAIRS_EACH = 16
 #: Rows of a tile from which its pairs are compared by bitmaps within tasks, and rows of a block of such a tile.
-WIDE_TILE, BLOCK = 32, 4096
+WIDE_TILE, BLOCK = 8, 4096
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 
 
@@ -159,8 +159,8 @@ def describe(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.nda
 
 
 def bitmap_bits(n: int) -> int:
-    """Bitmap length for a set of n: a power of two of twice the size or more."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Bitmap length for a set of n: a power of two of four times the size or more."""
+    return max(64, 1 << int(4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
