@@ -47,6 +47,8 @@ FAR_PERCENT = 100 - 2 * (100 - PERCENT)
 COMMON = 1 << 19
 #: Counters of each partition's Misra-Gries sketch.
 COUNTERS = 1 << 18
+#: Ids that are broadcast to fetch their texts at most, 8 bytes each.
+SENT_IDS = 500_000
 #: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
 STAR_ROUNDS = 4
 PAIRS_EACH = 16
@@ -221,8 +223,9 @@ def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> tuple[
     right = signatures.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
     near = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long, close boolean"), "near")
     close = near.where("close").select("x", "y")
-    ids = close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id")
+    ids = stored(close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
+    # A counted, small set of ids goes to the texts; beyond it both sides are shuffled.
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id")
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
     return near, stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
