@@ -47,8 +47,8 @@ FAR_PERCENT = 100 - 2 * (100 - PERCENT)
 COMMON = 1 << 19
 #: Counters of each partition's Misra-Gries sketch.
 COUNTERS = 1 << 18
-#: Ids that are broadcast to fetch their texts at most, 8 bytes each.
-SENT_IDS = 500_000
+#: Rows of a few numbers each that are broadcast at most, after they were counted.
+SENT_ROWS = 500_000
 #: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
 STAR_ROUNDS = 4
 PAIRS_EACH = 16
@@ -217,6 +217,11 @@ def _reach(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """A stored table that is broadcast if it has few rows; beyond it the join shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the distinct pairs ``x, y`` those near by their bitmaps, and those that link, which their texts decide."""
     left = signatures.select(F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
@@ -224,8 +229,7 @@ def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> tuple[
     near = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long, close boolean"), "near")
     close = near.where("close").select("x", "y")
     ids = stored(close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
-    # A counted, small set of ids goes to the texts; beyond it both sides are shuffled.
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id")
+    texts = docs.select("doc_id", "text").join(sent(ids), "doc_id")
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
     return near, stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
@@ -248,8 +252,9 @@ def _graded(faced: DataFrame, near: DataFrame, links: DataFrame, components_: Da
     """Rows of tiles that hold several components, with their component and how they stand to the leader: 2 linked, 1 near, 0 far."""
     ends = [F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")]
     marks = near.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("g")).unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(2).alias("g"))).groupBy("a", "b").agg(F.max("g").alias("g"))
+    marks = sent(stored(marks, "marks"))
     rows = faced.select("h", "band", "own", "doc_id", "n", "y", *ends).join(marks, ["a", "b"], "left").withColumn("g", F.when(F.col("doc_id") == F.col("y"), 2).otherwise(F.coalesce("g", F.lit(0))))
-    label = components_.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    label = sent(components_.select(F.col("node").alias("doc_id"), F.col("component").alias("c")))
     rows = stored(rows.join(label, "doc_id", "left").select("h", "band", "own", "doc_id", "n", "g", F.coalesce("c", "doc_id").alias("c")), "rows")
     mixed = stored(rows.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "band"), "mixed")
     return stored(rows.join(mixed, ["h", "band"]), "tiles")
@@ -323,7 +328,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def _wide_pairs(tiles: DataFrame, wide: DataFrame, signatures: DataFrame) -> DataFrame:
     """Close pairs of wide tiles.  A tile of over BLOCK rows is dealt out as pairs of blocks, so that no task holds it all."""
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiles.join(wide.select("h", "band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), ["h", "band"]).join(signatures.select("doc_id", "bits"), "doc_id")
+    rows = tiles.join(wide, ["h", "band"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(signatures.select("doc_id", "bits"), "doc_id")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("h", "band", F.least("blk", "to").cast("int").alias("i"), F.greatest("blk", "to").cast("int").alias("j"), "blk", "own", "doc_id", "n", "g", "c", "bits")
     return rows.repartition(n, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j").mapInArrow(compare_blocks, "x long, y long").distinct()
@@ -353,7 +358,7 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
         tiles = _graded(faced, near, more, found)
         # Where few rows are left to meet, listing their pairs is less work than another round.
         each = stored(tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("if(g = 1, 1, 0)")).alias("b"), F.sum(F.expr("if(g = 0, 1, 0)")).alias("f")), "sizes")
-        wide = each.where(F.col("k") > wide_tile)
+        wide = sent(each.where(F.col("k") > wide_tile).select("h", "band", "k"))
         size, cost = each.agg(F.sum("k"), F.sum(F.when(F.col("k") <= wide_tile, F.col("b") * F.col("k") + F.col("f") * F.col("f")).otherwise(0))).first()
         if not size:
             return of_row, found
@@ -361,7 +366,7 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
             break
     need = f"ceil({PERCENT} * (n1 + n2) / {100 + PERCENT}.0)"
     # A pair that meets in a wide tile is settled there; the others' shared shingles are all counted here.
-    listed = _pairs(tiles.join(wide.select("h", "band"), ["h", "band"], "left_anti")).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
+    listed = _pairs(tiles.join(wide, ["h", "band"], "left_anti")).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
     _, last = verified(listed.unionByName(_wide_pairs(tiles, wide, signatures)).distinct(), signatures, docs)
     return of_row, components(known.unionByName(last).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
