@@ -213,8 +213,8 @@ def _rest(n: str) -> str:
     return f"(({PERCENT} * {n} + 99) div 100 - 1)"
 
 
-def _reach(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _reach(a: str, b: str, percent: int = PERCENT) -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -351,7 +351,8 @@ def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_RO
     known = None
     for k in range(star_rounds):
         faced = _star(tiles, k)
-        pairs = faced.where(f"doc_id <> y and {_reach('n', 'm')}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
+        # What isn't held against the leader counts as far from it, so sizes only too far apart for a link are held too.
+        pairs = faced.where(f"doc_id <> y and {_reach('n', 'm', FAR_PERCENT)}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
         near, more = verified(pairs, signatures, docs)
         known = more if known is None else stored(known.unionByName(more).distinct(), "links")
         found = stored(components(known.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")

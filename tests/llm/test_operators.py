@@ -118,6 +118,16 @@ def test_jaccard_join_is_exact(spark, options):
     assert got == {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_jaccard_join_links_nested_copies_beyond_the_leaders_reach(spark):
+    """Copies cut to 100, 90 and 75 shingles: the last links with the second only, while the tile's leader links with the second."""
+    rnd = random.Random(11)
+    texts = [[f"w{k}x{rnd.randrange(10**6)}" for _ in range(104)] for k in range(40)]
+    # Copies of a text lie in different partitions, where its shingles are too few to count as common.
+    rows = [(3 * k + i, " ".join(words[: n + 4])) for i, n in enumerate((100, 90, 75)) for k, words in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3 * k + i: (n, 3 * k) for k in range(40) for i, n in enumerate((100, 90, 75))}
+
+
 def test_jaccard_join_on_awkward_rows(awkward, empty):
     rows = ngram_join.jaccard_components(awkward).collect()
     assert len(rows) == len(awkward_rows())
