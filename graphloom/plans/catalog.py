@@ -399,21 +399,14 @@ DIRECT = f"SELECT n.id FROM nodes n JOIN files f ON n.file_id = f.id WHERE f.rel
 
 @on_graph("jon_05_nodes_in_files", f"{DIRECT}")
 def _(g: Graph) -> DataFrame:
-    return change.direct_nodes(_without_methods(g), PATHS)
-
-
-def _without_methods(g: Graph) -> Graph:
-    """Orders are so many that changed files would hold hundreds of them; these queries look at the rest."""
-    from dataclasses import replace
-
-    return replace(g, nodes=g.nodes.where("kind <> 'method'"))
+    return change.direct_nodes(g, PATHS)
 
 
 @on_graph("imp_02_changed_files_impact", f"""
 WITH {bfs(DIRECT, 3)}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, seed) AS k FROM reached)
 SELECT r.id, n.canonical_name, r.distance, r.seed FROM r JOIN nodes n ON n.id = r.id WHERE k = 1 AND n.kind <> 'method' ORDER BY distance, canonical_name, r.id LIMIT 100""")
 def _(g: Graph) -> DataFrame:
-    return change.changed_files_impact(_without_methods(g), PATHS, 3)
+    return change.changed_files_impact(g, PATHS, 3)
 
 
 @on_graph("imp_03_test_impact", f"""
@@ -421,7 +414,7 @@ WITH {bfs(DIRECT, 3)}, a AS (SELECT id, distance FROM reached UNION ALL SELECT i
 t AS (SELECT a.*, n.display_name, f.relative_path FROM a JOIN nodes n ON n.id = a.id JOIN files f ON f.id = n.file_id WHERE EXISTS (SELECT 1 FROM classifications c WHERE c.node_id = a.id AND role = 'quality.test_module'))
 SELECT relative_path, min(distance) AS distance, array_to_string(list_slice(list_sort(list(DISTINCT display_name)), 1, 3), '|') AS tests FROM t GROUP BY relative_path""")
 def _(g: Graph) -> DataFrame:
-    return change.test_impact(_without_methods(g), PATHS, 3)
+    return change.test_impact(g, PATHS, 3)
 
 
 CHURN_FILES = "concat(event_type, '/', CAST(user_id % 20 AS STRING))"
@@ -624,7 +617,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @on_graph("rev_01_review_diff")
 def _(g: Graph) -> DataFrame:
-    return change.review(_without_methods(g), PATHS, POLICIES, 2)
+    return change.review(g, PATHS, POLICIES, 2)
 
 
 # --- placement, rendering ---------------------------------------------------------------------------------------------------

@@ -33,6 +33,36 @@ def test_query_equals_oracle(spark, name):
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, cursor.fetchall()))
 
 
+def test_changed_files_hold_components_of_every_kind(spark):
+    """Orders count among the changed components and their dependants, as a plain walk over the whole graph finds them."""
+    from graphloom import schema as S
+    from graphloom.plans import catalog
+    from graphloom.views import graph
+
+    g = graph(spark, str(DATA))
+    run = lambda name: catalog.QUERIES[name](spark, str(DATA)).collect()
+    files = {r["id"] for r in g.files.where(g.files.relative_path.isin(catalog.PATHS)).collect()}
+    nodes = {r["id"]: (r["canonical_name"], r["kind"]) for r in g.nodes.where("id is not null").collect()}
+    direct = {r["id"] for r in g.nodes.where(g.nodes.file_id.isin(files)).select("id").collect()}
+    assert "method" in {nodes[i][1] for i in direct}
+    assert sorted(r["id"] for r in run("jon_05_nodes_in_files")) == sorted(direct)
+
+    users = {}
+    for r in g.edges.where(g.edges.kind.isin(S.IMPACT_KINDS)).select("source_id", "target_id").distinct().collect():
+        users.setdefault(r["target_id"], set()).add(r["source_id"])
+    best = {}
+    for seed in direct:
+        known = level = {seed}
+        for distance in (1, 2, 3):
+            level = {u for i in level for u in users.get(i, ())} - known
+            known = known | level
+            for i in level & nodes.keys():
+                best[i] = min(best.get(i, (9, "")), (distance, seed))
+    expected = sorted((d, nodes[i][0], i, seed) for i, (d, seed) in best.items())[:100]
+    assert "method" in {nodes[i][1] for _, _, i, _ in expected}
+    assert [(r["distance"], r["canonical_name"], r["id"], r["seed"]) for r in run("imp_02_changed_files_impact")] == expected
+
+
 def test_rest_works_without_the_corpus_subpackage(tmp_path):
     for name in ("graphloom", "__spark_entry__.py"):
         src = ROOT / name
