@@ -20,11 +20,11 @@ def change_impact(g: Graph, symbol: DataFrame, commits: DataFrame, max_depth: in
     return filled.select("id", "canonical_name", "distance", "commit_count", "authors", score.alias("score")).orderBy(F.desc("score"), "distance", "canonical_name", "id")
 
 
-def direct_nodes(g: Graph, paths: list[str], most: int = 1000) -> DataFrame:
-    """Components in the changed files."""
+def direct_nodes(g: Graph, paths: list[str]) -> DataFrame:
+    """All components in the changed files."""
     S.between("files", len(paths), 1, 50)
     files = g.files.where(F.col("relative_path").isin(paths)).select(F.col("id").alias("file_id"))
-    return g.nodes.join(F.broadcast(files), "file_id", "left_semi").orderBy("id").limit(most).select("id")
+    return g.nodes.join(F.broadcast(files), "file_id", "left_semi").select("id")
 
 
 def changed_files_impact(g: Graph, paths: list[str], max_depth: int = 4, limit: int = 100, kinds: list[str] | None = None) -> DataFrame:

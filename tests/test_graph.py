@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom import render
 from graphloom.engine import Engine
 from graphloom.graph import Graph
-from graphloom.operators import counts, health, lookup, policy, scc, snapshot, traverse
+from graphloom.operators import change, counts, health, lookup, policy, scc, snapshot, traverse
 
 
 def node(i, kind="class", name=None, origin="ast", **more):
@@ -47,6 +47,18 @@ def test_impact_takes_levels_and_the_best_confidence(shop):
         traverse.impact(shop, ids(shop, "Invoice"), max_depth=9)
 
 
+def test_changed_files_keep_all_their_components(spark):
+    many = [f"N{i:04}" for i in range(1100)]
+    g = Graph.of(
+        spark,
+        nodes=[node(i, file_id="f") for i in many] + [node("Caller")],
+        edges=[edge("1", "Caller", "calls", many[-1])],
+        files=[{"id": "f", "relative_path": "src/Many.php", "language": "php", "line_count": 40, "size": 900, "content_hash": "x"}],
+    )
+    assert sorted(r["id"] for r in change.direct_nodes(g, ["src/Many.php"]).collect()) == many
+    assert [(r["id"], r["distance"], r["seed"]) for r in change.changed_files_impact(g, ["src/Many.php"], 1).collect()] == [("Caller", 1, many[-1])]
+
+
 def test_cycles_with_and_without_self_loops(shop):
     rows = scc.dependency_cycles(shop).collect()
     assert [(r["size"], r["min_confidence"]) for r in rows] == [(2, "probable")]
