@@ -63,6 +63,20 @@ def test_changed_files_hold_components_of_every_kind(spark):
     assert [(r["distance"], r["canonical_name"], r["id"], r["seed"]) for r in run("imp_02_changed_files_impact")] == expected
 
 
+def test_diagnostics_and_audit_take_all_events(spark):
+    from graphloom.plans import catalog
+    from graphloom.views import graph
+
+    events = spark.read.parquet(str(DATA / "events.parquet")).select("event_id", "user_id").collect()
+    told = graph(spark, str(DATA)).diagnostics.groupBy("severity").count().collect()
+    assert {r["severity"]: r["count"] for r in told} == {s: sum(r["event_id"] % 3 == k for r in events) for k, s in enumerate(("error", "warning", "info"))}
+
+    asked = {str(r["page_id"]) for r in spark.read.parquet(str(DATA / "pages.parquet")).collect()}
+    got = [str(r["user_id"]) for r in events]
+    expected = {(i, "omitted") for i in asked - set(got)} | {(i, "misattributed") for i in set(got) - asked} | {(i, "duplicated") for i in asked & set(got) if got.count(i) > 1}
+    assert {tuple(r) for r in catalog.QUERIES["rec_12_contribution_audit"](spark, str(DATA)).collect()} == expected
+
+
 def test_rest_works_without_the_corpus_subpackage(tmp_path):
     for name in ("graphloom", "__spark_entry__.py"):
         src = ROOT / name
