@@ -1,27 +1,30 @@
 """Exact self-join on the Jaccard similarity of word shingles.
 
 1. Each text becomes its set of distinct 5-word shingles, as sorted 64-bit hashes.
-   Equal sets fall into one class by a 128-bit digest; only the class with the least
-   id goes on.
+   Equal sets fall into one class by a 128-bit digest; only the class's first row goes on.
 2. Two sets at 80 % share a hash among the first ``n - ceil(0.8 n) + 1`` of either, in
-   any fixed order of hashes.  The order puts frequent shingles last: a Misra-Gries
-   pass over all texts finds them, ``COMMON`` at most.  So a line that very many texts
-   share makes no large tile unless the texts have little else.
-3. A tile is a prefix shingle within a band of set sizes (each set also enters the next
-   band, so that any two sets in reach of each other meet).  In each tile every set is compared
-   with one leader, and components are labelled, which joins near copies with work linear
-   in the tile, however large.
-4. Only for tiles that still hold several components are pairs listed: not those of a set
-   far from the leader with one linked to it, which the triangle inequality rules out, and
-   only those that share enough prefix shingles for 80 %.
-5. Every candidate pair is first held against hashed bitmaps: the sets differ in at least
-   as many shingles as the bitmaps differ in bits, which bounds the overlap from
-   above.  What passes is decided by intersecting the sorted arrays.
+   any fixed order of hashes, and for the smaller set ``n - ceil(0.8 * 2 n / 1.8) + 1`` are enough.  The order
+   puts frequent shingles last: a Misra-Gries pass over all texts finds them, ``COMMON`` at most.
+3. Rows that share a prefix shingle go to the tile of that shingle's first row.  Near copies have
+   the same first row at most of their shingles, so a row enters few tiles, however many
+   shingles it shares.  A tile is cut by size bands; each set also enters the next band, so
+   that any two sets in reach of each other meet.
+4. Within a tile, rows are compared by hashed bitmaps: the sets differ in at least as many shingles
+   as the bitmaps differ in bits, which bounds the overlap from above.  A search from row to row connects
+   what may link and yields one pair fewer than it has rows at most.  Connected rows are a group of candidates.
+5. Each group comes together once more, cut by size bands, now with its texts.  Bitmaps come first again, and what
+   they let through is decided by intersecting the sorted arrays; rows already joined are not
+   compared again.  Links are again fewer than rows, and their components are the result.
+
+A tile or group of over ``MOST`` shingles is held against its first row while it streams by.
+Only what is not linked with that is dealt out with all rows of the tile, in
+blocks of bounded size.
 
 Defined results.  Null texts and texts without words have an empty set and are linked
-with nothing.  A text of one to four words is one shingle.  Rows that
+with nothing.  A text of one to four words is one shingle.  Long texts are taken whole.  Rows that
 repeat an id are placed each by its own text.  A row without id is linked with nothing and
-has a null component.  Other columns are ignored.
+has a null component.  Sets of equal size and repeated rows are one class.  An empty table gives an
+empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,25 +38,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import U64, RangeHash, lower_ascii, mix, released, text_buffers, words
-from .common import stored, table
+from .common import sent, stored, table
 from .components import components
 
 WORDS = 5
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Below this similarity to a tile's leader a set can't link with any that links with the leader: distances of 0.4 and 0.2 add up.
-FAR_PERCENT = 100 - 2 * (100 - PERCENT)
 #: The most frequent shingles that are ordered last, rarer ones first; 9 bytes each wherever they are sent.
 COMMON = 1 << 19
 #: Counters of each partition's Misra-Gries sketch.
 COUNTERS = 1 << 18
-#: Rows of a few numbers each that are broadcast at most, after they were counted.
-SENT_ROWS = 500_000
-#: Rounds of comparison with leaders before pairs are listed; after the first, only while the tiles hold over PAIRS_EACH pairs a row.
-STAR_ROUNDS = 4
-PAIRS_EACH = 16
-#: Rows of a tile from which its pairs are compared by bitmaps within tasks, and rows of a block of such a tile.
-WIDE_TILE, BLOCK = 8, 4096
+#: Shingles of the sets that a task holds of one tile; 8 bytes each.
+MOST = 1 << 21
+#: Marks slots beyond the prefix that the smaller set of a pair needs; row numbers lie below.
+_LATE = 1 << 62
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 
 
@@ -146,20 +144,24 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 def describe(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Per text: size, digest and bitmap of its set, and its prefix shingles."""
     for batch in sliced(batches):
-        size, digest, bits, prefix = [], [], [], []
+        size, digests, bits, prefix = [], [], [], []
         for s in sets(batch.column("text")):
             n = len(s)
             size.append(n)
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+            digests.append(digest(s))
             bits.append(bitmap(s, bitmap_bits(n)).tobytes() if n else None)
             take = n - -(-PERCENT * n // 100) + 1 if n else 0
             prefix.append(rare_first(s, common)[:take].view(np.int64))
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int32()), "digest": pa.array(digest, pa.binary()),
+            "doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int32()), "digest": pa.array(digests, pa.binary()),
             "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
         })
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def bitmap_bits(n: int) -> int:
     """Bitmap length for a set of n: a power of two of four times the size or more."""
     return max(64, 1 << int(4 * n - 1).bit_length())
@@ -178,206 +180,236 @@ def fold(packed: np.ndarray, bits: int) -> np.ndarray:
     return packed
 
 
-def most_common(n1: int, b1: bytes, n2: int, b2: bytes) -> int:
-    """Upper bound of the overlap by the bitmaps: (n1 + n2 - differing bits) / 2."""
-    x, y = np.frombuffer(b1, np.uint8), np.frombuffer(b2, np.uint8)
-    bits = 8 * min(len(x), len(y))
-    apart = int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum())
-    return min(n1, n2, (n1 + n2 - apart) // 2)
-
-
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the bitmaps let through, with grade 1; those that may link have ``close`` too."""
-    for batch in sliced(batches):
-        n1, n2 = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
-        b1, b2 = batch.column("bits1").to_pylist(), batch.column("bits2").to_pylist()
-        most = np.array([most_common(*x) for x in zip(n1, b1, n2, b2, strict=True)], dtype=np.int64)
-        union = np.array(n1, dtype=np.int64) + np.array(n2, dtype=np.int64) - most
-        near = 100 * most >= FAR_PERCENT * union
-        out = batch.select(["x", "y"]).append_column("close", pa.array(100 * most >= PERCENT * union, pa.bool_()))
-        yield out.filter(pa.array(near, pa.bool_()))
-
-
-def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact decision over the sorted shingle arrays of both texts."""
+def most_common(n: int, bits: np.ndarray, others: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of a set with others by the bitmaps: (n + m - differing bits) / 2."""
+    apart = np.bitwise_count(maps ^ bits).sum(axis=1, dtype=np.int64)
+    return np.minimum(np.minimum(others, n), (others + n - apart) // 2)
+
+
+def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with other sorted arrays."""
+    t = np.concatenate(others)
+    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+    return np.add.reduceat((s[at] == t).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+class Tile:
+    """Rows of a tile, or of a part of one, with their bitmaps and, where links are decided exactly, their sets."""
+
+    def __init__(self, band: int, rows: list[tuple]):
+        self.band = band
+        self.row = np.array([r[0] for r in rows], dtype=np.int64)
+        self.own = np.array([r[1] for r in rows], dtype=np.int64)
+        self.n = np.array([r[2] for r in rows], dtype=np.int64)
+        least = 8 * min(len(r[3]) for r in rows)
+        self.maps = np.stack([fold(r[3], least) for r in rows]).view(U64)
+        self.sets = [r[4] for r in rows]
+
+    def links(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of the rows ``among`` that link with row i, or may, if there are no sets.  A pair counts in the band of its larger set."""
+        n, m = self.n[i], self.n[among]
+        among = among[(np.maximum(self.own[among], self.own[i]) == self.band) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))]
+        if len(among):
+            m = self.n[among]
+            among = among[100 * (most := most_common(n, self.maps[i], m, self.maps[among])) >= PERCENT * (n + m - most)]
+        if len(among) and self.sets[i] is not None:
+            m, both = self.n[among], overlaps(self.sets[i], [self.sets[k] for k in among])
+            among = among[100 * both >= PERCENT * (n + m - both)]
+        return among
+
+    def forest(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A row and those first reached from it, over all connected rows: a spanning forest.  A row that was reached is not compared again but to reach others."""
+        free = np.ones(len(self.row), dtype=bool)
+        for seed in range(len(self.row)):
+            if not free[seed]:
+                continue
+            free[seed] = False
+            reached = [seed]
+            while reached and len(left := np.flatnonzero(free)):
+                i = reached.pop()
+                found = self.links(i, left)
+                if len(found):
+                    free[found] = False
+                    reached += found.tolist()
+                    yield i, found
+
+
+#: Of edges: two rows, or a row of a wide tile that isn't linked with the tile's first.
+_EDGES = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("tile", pa.int64()), ("band", pa.int32())])
+_EDGES_DDL = "x long, y long, tile long, band int"
+
+
+def _edges(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(x), np.concatenate(y)
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32())], schema=_EDGES)
+
+
+def _described(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, tuple]]:
+    """Each row's key and ``row, own, n, bitmap, set, whether it asks``.  With texts the set comes from the text, if that is the one the row stands for; else there is none."""
+    at = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+    row, own, n = (batch.column(c).to_pylist() for c in ("row", "own", "n"))
+    ask = batch.column("ask").to_pylist() if "ask" in batch.schema.names else [False] * len(row)
+    if "text" not in batch.schema.names:
+        for i, raw in enumerate(batch.column("bits").to_pylist()):
+            yield at[i], (row[i], own[i], n[i], np.frombuffer(raw, np.uint8), None, ask[i])
+        return
+    wanted = batch.column("digest").to_pylist()
+    for i, s in enumerate(sets(batch.column("text"))):
+        if digest(s) == wanted[i]:
+            yield at[i], (row[i], own[i], n[i], bitmap(s, bitmap_bits(n[i])), s, ask[i])
+
+
+def parts(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[tuple, list[tuple], bool]]:
+    """Rows sorted by key, cut into one list a key, or several where their sets hold over ``most`` shingles; whether a list ends its key.  Of equal rows in succession one is taken."""
+    key, held, size, last = None, [], 0, None
     for batch in sliced(batches):
-        keep = []
-        for s, t in zip(sets(batch.column("text1")), sets(batch.column("text2")), strict=True):
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
-        yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _rest(n: str) -> str:
-    """Shingles of a set of n that are not in its prefix."""
-    return f"(({PERCENT} * {n} + 99) div 100 - 1)"
-
-
-def _reach(a: str, b: str, percent: int = PERCENT) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def sent(rows: DataFrame) -> DataFrame:
-    """A stored table that is broadcast if it has few rows; beyond it the join shuffles both sides."""
-    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
-
-
-def verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the distinct pairs ``x, y`` those near by their bitmaps, and those that link, which their texts decide."""
-    left = signatures.select(F.col("doc_id").alias("x"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    right = signatures.select(F.col("doc_id").alias("y"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    near = stored(pairs.join(left, "x").join(right, "y").mapInArrow(bounded, "x long, y long, close boolean"), "near")
-    close = near.where("close").select("x", "y")
-    ids = stored(close.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(sent(ids), "doc_id")
-    one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text1"))
-    two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text2"))
-    return near, stored(close.join(one, "x").join(two, "y").mapInArrow(intersect, "x long, y long").distinct(), "links")
-
-
-def _banded(slots: DataFrame) -> DataFrame:
-    """Each row in the tile of its own size band and of the next, so that sets within reach of each other meet."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    return slots.select("*", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
-
-
-def _star(tiles: DataFrame, k: int) -> DataFrame:
-    """Every row of a tile of several with the tile's leader ``y``; each round has other leaders, from another component where there are several."""
-    rank = F.struct(F.xxhash64(F.lit(k), F.col("c")) if k else F.lit(0), F.col("doc_id"), F.col("n"))
-    leader = stored(tiles.groupBy("h", "band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "band", F.col("lead.doc_id").alias("y"), F.col("lead.n").alias("m")), "leaders")
-    return stored(tiles.join(leader, ["h", "band"]).drop("c"), "faced")
-
-
-def _graded(faced: DataFrame, near: DataFrame, links: DataFrame, components_: DataFrame) -> DataFrame:
-    """Rows of tiles that hold several components, with their component and how they stand to the leader: 2 linked, 1 near, 0 far."""
-    ends = [F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")]
-    marks = near.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("g")).unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(2).alias("g"))).groupBy("a", "b").agg(F.max("g").alias("g"))
-    marks = sent(stored(marks, "marks"))
-    rows = faced.select("h", "band", "own", "doc_id", "n", "y", *ends).join(marks, ["a", "b"], "left").withColumn("g", F.when(F.col("doc_id") == F.col("y"), 2).otherwise(F.coalesce("g", F.lit(0))))
-    label = sent(components_.select(F.col("node").alias("doc_id"), F.col("component").alias("c")))
-    rows = stored(rows.join(label, "doc_id", "left").select("h", "band", "own", "doc_id", "n", "g", F.coalesce("c", "doc_id").alias("c")), "rows")
-    mixed = stored(rows.groupBy("h", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "band"), "mixed")
-    return stored(rows.join(mixed, ["h", "band"]), "tiles")
-
-
-def _pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of different components that may link.
-
-    What is far from the leader (under FAR_PERCENT) can't reach what is linked with it, as Jaccard distance
-    is a metric; so rows near the leader meet all others, and far ones each other.  A pair at PERCENT
-    shares more of its prefix shingles than texts with some passage in common do.
-    """
-    u = tiles.select("h", "band", F.col("doc_id").alias("id2"), F.col("n").alias("m2"), F.col("own").alias("own2"), F.col("c").alias("c2"), F.col("g").alias("g2"))
-    meet = f"c <> c2 and band = greatest(own, own2) and {_reach('n', 'm2')}"
-    some = tiles.where("g = 1").join(u, ["h", "band"]).where(f"({meet}) and (g2 <> 1 or doc_id < id2)")
-    far = tiles.where("g = 0").join(u.where("g2 = 0"), ["h", "band"]).where(f"({meet}) and doc_id < id2")
-    both = some.unionByName(far).select(
-        F.least("doc_id", "id2").alias("x"), F.greatest("doc_id", "id2").alias("y"),
-        F.when(F.col("doc_id") < F.col("id2"), F.col("n")).otherwise(F.col("m2")).alias("n1"), F.when(F.col("doc_id") < F.col("id2"), F.col("m2")).otherwise(F.col("n")).alias("n2"),
-    )
-    return both.groupBy("x", "y", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
+        for k, r in _described(batch, keys):
+            if k != key:
+                if held:
+                    yield key, held, True
+                key, held, size = k, [], 0
+            elif (r[0], r[5]) == last:
+                continue
+            elif size + r[2] > most:
+                yield key, held, False
+                held, size = [], 0
+            held.append(r)
+            size += r[2]
+            last = r[0], r[5]
+    if held:
+        yield key, held, True
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links of each tile, fewer than its rows.  A tile that comes in parts is held against its first row, and what isn't linked with that is named."""
+    xs, ys, n, first = [], [], 0, None
+    for (tile, band), rows, last in parts(batches, ["tile", "band"], most):
+        if first is None and last:
+            t = Tile(band, rows)
+            for i, found in t.forest():
+                xs.append(np.full(len(found), t.row[i]))
+                ys.append(t.row[found])
+                n += len(found)
+        else:
+            first = first or rows[0]
+            t = Tile(band, [first, *[r for r in rows if r[0] != first[0]]])
+            others = np.arange(1, len(t.row))
+            found = t.links(0, others)
+            xs.append(np.full(len(found), first[0]))
+            ys.append(t.row[found])
+            n += len(found)
+            rest = t.row[np.setdiff1d(others, found)]
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.array(rest), pa.nulls(len(rest), pa.int64()), pa.array(np.full(len(rest), tile)), pa.array(np.full(len(rest), band, np.int32))], schema=_EDGES)
+            first = None if last else first
+        if n > 10_000:
+            yield _edges(xs, ys)
+            xs, ys, n = [], [], 0
+    if n:
+        yield _edges(xs, ys)
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of wide tiles that their bitmaps let through.  Rows come sorted by tile and pair of blocks ``i <= j``."""
-    for rows in grouped(batches, ["h", "band", "i", "j"]):
-        ids, n, g, c, own, blk = (rows.column(x).to_numpy() for x in ("doc_id", "n", "g", "c", "own", "blk"))
-        maps = [np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()]
-        least = min(map(len, maps)) * 8
-        maps = np.stack([fold(m, least) for m in maps]).view(U64)
-        band, i, j = rows.column("band")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between left-over rows of a wide tile, which ask, and a block of its rows: fewer than there are rows."""
+    for (_, band, _, _), rows, _ in parts(batches, ["tile", "band", "i", "j"], _LATE):
+        t = Tile(band, rows)
+        ask = np.array([r[5] for r in rows])
+        ids, at = np.unique(t.row, return_inverse=True)
+        group, block = np.arange(len(ids)), np.flatnonzero(~ask)
         xs, ys = [], []
-        for r in np.flatnonzero(g < 2):
-            other = (c != c[r]) & (np.maximum(own, own[r]) == band) & (100 * np.minimum(n, n[r]) >= PERCENT * np.maximum(n, n[r]))
-            if i != j:
-                other &= blk != blk[r]
-            # Near rows meet all, far ones each other; of two alike the smaller id looks.
-            other &= ((g != 1) | (ids > ids[r])) if g[r] == 1 else ((g == 0) & (ids > ids[r]))
-            at = np.flatnonzero(other)
-            if len(at):
-                apart = np.bitwise_count(maps[at] ^ maps[r]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(np.minimum(n[at], n[r]), (n[at].astype(np.int64) + n[r] - apart) // 2)
-                at = at[100 * most >= PERCENT * (n[at].astype(np.int64) + n[r] - most)]
-                xs.append(np.minimum(ids[at], ids[r]))
-                ys.append(np.maximum(ids[at], ids[r]))
+        for i in np.flatnonzero(ask):
+            for k in t.links(i, block[group[at[block]] != group[at[i]]]):
+                if group[at[k]] != group[at[i]]:
+                    group[group == group[at[k]]] = group[at[i]]
+                    xs.append(t.row[i])
+                    ys.append(t.row[k])
         if xs:
-            yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+            yield _edges([np.array(xs)], [np.array(ys)])
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Sorted rows as one table for each key."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slot's row with the first row of its shingle.  Slots come sorted by shingle, early ones first; a shingle that is early nowhere decides no pair."""
+    last, lead = None, -1
     for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in keys]
-        cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
-        at = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if a == b:
-                continue
-            key = tuple(x[a] for x in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _wide_pairs(tiles: DataFrame, wide: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Close pairs of wide tiles.  A tile of over BLOCK rows is dealt out as pairs of blocks, so that no task holds it all."""
-    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiles.join(wide, ["h", "band"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).join(signatures.select("doc_id", "bits"), "doc_id")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("h", "band", F.least("blk", "to").cast("int").alias("i"), F.greatest("blk", "to").cast("int").alias("j"), "blk", "own", "doc_id", "n", "g", "c", "bits")
-    return rows.repartition(n, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j").mapInArrow(compare_blocks, "x long, y long").distinct()
-
-
-def links(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS, wide_tile: int = WIDE_TILE) -> tuple[DataFrame, DataFrame]:
-    """Each row's set size and class (``doc_id, n, rep``), and the components of classes (``node, component``)."""
-    common = common_shingles(docs, most_common)
+        h, v = batch.column("h").to_numpy(), batch.column("v").to_numpy()
+        if not len(h):
+            continue
+        fresh = np.append(h[0] != last, h[1:] != h[:-1])
+        at = np.flatnonzero(fresh)
+        # The shingle's own first row, or the one carried over where it began in an earlier batch.
+        tile = np.append(lead, np.where(v[at] < _LATE, v[at], -1))[np.cumsum(fresh)]
+        row = v & (_LATE - 1)
+        keep = (tile >= 0) & (tile != row)
+        last, lead = h[-1], tile[-1]
+        yield pa.RecordBatch.from_pydict({"tile": tile[keep], "row": row[keep]})
+
+
+def banded(members: DataFrame, name: str) -> DataFrame:
+    """``tile, band, own, row, n``: each row in its own size band and in the next, where that holds a row of its own and another."""
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
+    both = members.select("tile", "row", "n", own.alias("own")).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    full = both.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("top")).where("k > 1 and top = band").select("tile", "band")
+    return stored(both.join(full, ["tile", "band"]).select("tile", "band", "own", "row", "n"), name)
+
+
+def linked(members: DataFrame, placed: DataFrame, most: int) -> DataFrame:
+    """``u, v``: links that connect whatever is linked within a tile.  ``members``: the tiles; ``placed``: the same with what is compared."""
+    found = stored(placed.repartition("tile", "band").sortWithinPartitions("tile", "band", "row").mapInArrow(lambda it: compare_tiles(it, most), _EDGES_DDL), "links")
+    pairs = found.where("tile is null").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    rest = found.where("tile is not null").select("tile", "band", F.col("x").alias("row"))
+    if rest.isEmpty():
+        return pairs
+    asking = rest.join(members, ["tile", "band", "row"]).groupBy("tile", "band").agg(F.sum("n").alias("asking"))
+    wide = stored(
+        members.join(asking, ["tile", "band"]).groupBy("tile", "band").agg(F.sum("n").alias("size"), F.first("asking").alias("asking"))
+        .select("tile", "band", F.ceil(F.col("asking") / most).alias("askers"), F.ceil(F.col("size") / most).alias("blocks")), "wide"
+    )
+    rows = placed.join(wide, ["tile", "band"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
+    asked = rows.withColumn("ask", F.lit(False)).withColumn("i", every("askers")).withColumn("j", one("blocks"))
+    askers = rows.join(rest, ["tile", "band", "row"], "left_semi").withColumn("ask", F.lit(True)).withColumn("i", one("askers")).withColumn("j", every("blocks"))
+    cells = asked.unionByName(askers).drop("askers", "blocks").repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", F.desc("ask"), "row")
+    more = stored(cells.mapInArrow(compare_cells, _EDGES_DDL), "links")
+    return pairs.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
+def links(docs: DataFrame, common: int = COMMON, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Each row with its set's size and class (``doc_id, row, n, head, rep``: the class's first row and its id), and the components of classes (``node, component``, by row)."""
+    frequent_ = common_shingles(docs, common)
     rows = stored(
-        docs.select("doc_id", "text").mapInArrow(lambda it: describe(it, common), "doc_id long, n int, digest binary, bits binary, prefix array<long>")
+        docs.select("doc_id", "text").mapInArrow(lambda it: describe(it, frequent_), "doc_id long, n int, digest binary, bits binary, prefix array<long>")
         .withColumn("row", F.monotonically_increasing_id()), "sets"
     )
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("digest", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
-    of_row = rows.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    heads = rows.join(classes.select("row"), "row")
-    signatures = stored(heads.select("doc_id", "n", "bits"), "signatures")
-    slots = heads.select("doc_id", "n", F.explode("prefix").alias("h"))
-    shared = stored(slots.groupBy("h").count().where("count > 1").select("h"), "shared")
-    tiles = _banded(slots.join(shared, "h")).withColumn("c", F.col("doc_id"))
-    known = None
-    for k in range(star_rounds):
-        faced = _star(tiles, k)
-        # What isn't held against the leader counts as far from it, so sizes only too far apart for a link are held too.
-        pairs = faced.where(f"doc_id <> y and {_reach('n', 'm', FAR_PERCENT)}").select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
-        near, more = verified(pairs, signatures, docs)
-        known = more if known is None else stored(known.unionByName(more).distinct(), "links")
-        found = stored(components(known.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-        tiles = _graded(faced, near, more, found)
-        # Where few rows are left to meet, listing their pairs is less work than another round.
-        each = stored(tiles.groupBy("h", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr("if(g = 1, 1, 0)")).alias("b"), F.sum(F.expr("if(g = 0, 1, 0)")).alias("f")), "sizes")
-        wide = sent(each.where(F.col("k") > wide_tile).select("h", "band", "k"))
-        size, cost = each.agg(F.sum("k"), F.sum(F.when(F.col("k") <= wide_tile, F.col("b") * F.col("k") + F.col("f") * F.col("f")).otherwise(0))).first()
-        if not size:
-            return of_row, found
-        if cost <= PAIRS_EACH * size:
-            break
-    need = f"ceil({PERCENT} * (n1 + n2) / {100 + PERCENT}.0)"
-    # A pair that meets in a wide tile is settled there; the others' shared shingles are all counted here.
-    listed = _pairs(tiles.join(wide, ["h", "band"], "left_anti")).where(f"shared + greatest({_rest('n1')}, {_rest('n2')}) >= {need}").select("x", "y")
-    _, last = verified(listed.unionByName(_wide_pairs(tiles, wide, signatures)).distinct(), signatures, docs)
-    return of_row, components(known.unionByName(last).select(F.col("x").alias("u"), F.col("y").alias("v")))
-
-
-def jaccard_components(docs: DataFrame, most_common: int = COMMON, star_rounds: int = STAR_ROUNDS, wide_tile: int = WIDE_TILE) -> DataFrame:
+    first = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("digest", F.col("first.row").alias("head"), F.col("first.doc_id").alias("rep"))
+    named = F.col("doc_id").isNotNull()
+    of_row = stored(
+        rows.select("doc_id", "row", "n", "digest").join(first, "digest", "left")
+        .select("doc_id", "row", "n", F.when(named, F.col("head")).alias("head"), F.when(named, F.col("rep")).alias("rep")), "classes"
+    )
+    copies = of_row.where("head is null or head <> row").select("row")
+    early = F.expr(f"i <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
+    slots = rows.join(sent(copies), "row", "left_anti").select("row", "n", F.posexplode("prefix").alias("i", "h")).select("h", F.when(early, F.col("row")).otherwise(F.col("row").bitwiseOR(F.lit(_LATE))).alias("v"))
+    met = stored(slots.repartition("h").sortWithinPartitions("h", "v").mapInArrow(leaders, "tile long, row long").distinct(), "met")
+    members = banded(met.unionByName(met.select("tile", F.col("tile").alias("row")).distinct()).join(rows.select("row", "n"), "row"), "members")
+    maybe = linked(members, members.join(rows.select("row", "bits"), "row"), most)
+    group = components(maybe).select(F.col("node").alias("row"), F.col("component").alias("tile"))
+    chosen = stored(rows.select("row", "doc_id", "n", "digest").join(group, "row"), "candidates")
+    members = banded(chosen, "members")
+    asked = stored(members.join(chosen.select("row", "doc_id", "digest"), "row"), "asked")
+    texts = docs.select("doc_id", "text").join(sent(asked), "doc_id").drop("doc_id")
+    return of_row, components(linked(members, texts, most))
+
+
+def jaccard_components(docs: DataFrame, common: int = COMMON, most: int = MOST) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id``."""
-    of_row, found = links(docs, most_common, star_rounds, wide_tile)
-    return (
-        of_row.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    of_row, found = links(docs, common, most)
+    heads = of_row.where("head = row").select(F.col("row").alias("node"), "doc_id")
+    placed = stored(found.join(heads, "node"), "placed")
+    label = placed.select(F.col("node").alias("head"), "component").join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("head", "component_id")
+    return of_row.join(sent(stored(label, "labels")), "head", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id")
     )
 
 
