@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application: the folder of a session on one machine that names none.
+_OWN: dict[str, str | None] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``.  Where it is unset a session on this machine alone gets a folder of its own; on a cluster that would lose data."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if not shared and context.getCheckpointDir().isDefined():
+        shared = context.getCheckpointDir().get()
     if not shared:
-        context = spark.sparkContext._jsc.sc()
-        shared = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = _OWN.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="graphloom-")
+        _OWN[spark.sparkContext.applicationId] = shared
     return shared.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: it cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read again: it cuts lineage and survives lost executors.  ``by``: a column of few values to part the files by."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
