@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text, a row for each document that came."""
-    return bpe.round_trip(docs, keep=False)
+    return bpe.round_trip(docs, remembered=24 << 20)
 
 
 STAGES = [

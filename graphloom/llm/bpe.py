@@ -12,7 +12,8 @@ canonical composition, lower case, then contractions, runs of letters, single di
 and runs of other characters.  The file's added tokens are found in the raw text first.
 
 Defined results.  Null and empty texts, and texts of white space alone, give no ids and decode to the empty
-string.  Rows are independent, so repeated rows give equal results.  Extra columns are ignored.
+string.  Long texts are encoded whole.  Rows are independent, so repeated rows give equal results.  An empty table
+gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +32,49 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .bytescan import released
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
-#: Words in each of a worker's two generations of memory; a full one replaces the older.
-REMEMBERED = 250_000
+#: Bytes that each of a worker's two generations of remembered words takes at most (a full one replaces the older), and the longest word kept.
+REMEMBERED, LONGEST = 96 << 20, 64
+#: Pairs of tokens whose seam is remembered.
+SEAMS = 200_000
+
+# Where the library's Unicode tables differ from those of Python, by code point.
+#: Taken for letters or numbers by the pattern module, which is newer, but not by the library.
+_NEITHER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CF, 0xA7CF), (0xA7DD, 0xA7DD),
+    (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Marks that the library's older composition takes for plain characters, and one that it doesn't compose.
+_UNCOMPOSED = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: Lower case that Python does not know yet: first and last code point, and the first's lower case.
+_LOWERED = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+
+
+def _set(ranges: list[tuple[int, ...]]) -> str:
+    return "".join(f"\\U{r[0]:08x}-\\U{r[1]:08x}" for r in ranges)
+
+
+_UNCOMPOSED_AT = re.compile(f"([{_set(_UNCOMPOSED)}])")
+_LOWERED_AT = re.compile(f"[{_set(_LOWERED)}]")
+_LOWER_OF = {c: to + c - a for a, b, to in _LOWERED for c in range(a, b + 1)}
 #: Fixed values of the vocabulary format: how a normalised text splits into words.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
+_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_set(_NEITHER)}]]+|[\p{{N}}--[{_set(_NEITHER)}]]|[[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{{L}}\p{{N}}]||[{_set(_NEITHER)}]]+", regex.V1)
 #: The same for texts whose letters are all below U+0180 and whose digits are ASCII.
 _PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ]*\Z")
 _SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-ſ]+|[0-9]|[^\t-\r a-z0-9\xc0-\xd6\xd8-\xf6\xf8-ſ]+")
@@ -111,7 +146,7 @@ class Vocabulary:
             else:
                 out = True
                 break
-        if len(self.seams) > 1_000_000:
+        if len(self.seams) > SEAMS:
             self.seams.clear()
         self.seams[a, b] = out
         return out
@@ -160,21 +195,31 @@ class Vocabulary:
 def split(text: str) -> list[str]:
     """The words of a text without added tokens."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _UNCOMPOSED_AT.search(text):
+            text = "".join([x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(_UNCOMPOSED_AT.split(text))])
+        else:
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ")
+        if _LOWERED_AT.search(text):
+            text = text.translate(_LOWER_OF)
     text = text.lower()
     return (_SPLIT_PLAIN if text.isascii() or _PLAIN.match(text) else _SPLIT).findall(text)
 
 
 class Coder(dict):
-    """Remembers for each word its ids and its decoded tokens, both as text.
+    """Remembers for each short word its ids and its decoded tokens, both as text.
 
-    Words in use move on to the new generation, so frequent ones are never forgotten.
+    Words in use move on to the new generation, so frequent ones are never forgotten.  Memory is counted in bytes.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    #: What an entry takes besides its letters, about.
+    ENTRY = 400
+
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         super().__init__()
         self.vocabulary = vocabulary
         self.older: dict[str, tuple[str, str]] = {}
+        self.room = self.remembered = remembered
 
     def entry(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), self.vocabulary.decode(ids).decode()
@@ -183,10 +228,13 @@ class Coder(dict):
         out = self.older.get(word)
         if out is None:
             out = self.entry(self.vocabulary.encode_word(word.encode("utf-8", "surrogatepass")))
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out
+        if len(word) <= LONGEST:
+            if self.room <= 0:
+                self.older = dict(self)
+                self.clear()
+                self.room = self.remembered
+            self.room -= self.ENTRY + 3 * len(word)
+            self[word] = out
         return out
 
     def words(self, text: str) -> list[tuple[str, str]]:
@@ -208,6 +256,8 @@ class Coder(dict):
 class BinaryCoder(Coder):
     """Remembers for each word its ids as little-endian 32-bit integers."""
 
+    ENTRY = 220
+
     def entry(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}i", *ids)
 
@@ -215,14 +265,14 @@ class BinaryCoder(Coder):
         return np.frombuffer(b"".join(self.words(text or "")), dtype="<i4")
 
 
-_CODERS: dict[tuple[type, str], Coder] = {}
+_CODERS: dict[tuple[type, int, str], Coder] = {}
 
 
-def coder(vocabulary: str, kind: type = Coder) -> Coder:
-    """The worker's coder for a vocabulary file's contents."""
-    key = kind, hashlib.sha256(vocabulary.encode()).hexdigest()
+def coder(vocabulary: str, kind: type = Coder, remembered: int = REMEMBERED) -> Coder:
+    """The worker's coder for a vocabulary file's contents; words stay known from one task to the next."""
+    key = kind, remembered, hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _CODERS:
-        _CODERS[key] = kind(Vocabulary(vocabulary))
+        _CODERS[key] = kind(Vocabulary(vocabulary), remembered)
     return _CODERS[key]
 
 
@@ -255,15 +305,12 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
-    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
-
-    Workers remember words from one task to the next if ``keep``; where other stages share them, better not.
-    """
+def round_trip(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``.  Workers remember words within ``remembered`` bytes, twice; where other stages share them, fewer are better."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(sent.value)
+        c = coder(sent.value, Coder, remembered)
         for batch in batches:
             count, ids, decoded = [], [], []
             for text in batch.column("text"):
@@ -273,9 +320,6 @@ def round_trip(docs: DataFrame, path: str | None = None, keep: bool = True) -> D
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
-        if not keep:
-            _CODERS.clear()
-            released()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
