@@ -6,22 +6,24 @@ ratio test and a least share).  The shortest such stem stands for its longer one
 as far as that loses next to none of its texts.  A few built-in words give a start where labels are scarce.  Function words for threats, targets,
 negation and reported speech are fixed lists.
 
-Grammar.  One transducer each reads a clause's tags and scales what passes: insult and
-threat emit weight, target raises it, negation (within the next words) and
-reported speech (within the clause) lower it.  The transducers are composed into one
-machine of some dozen states, so a clause is scored in a single pass, by its matched
-pattern and not by isolated words.
+Grammar.  Words and marks of a sentence become tags.  One transducer each reads them and scales what passes:
+an insult weighs in full only with a target close to it; a threat weighs little by itself, and in full at the target that follows it,
+if intent came before; negation lowers what the next words hold in the same clause; reported speech lowers
+what a verb of saying introduces, to the end of the quotation or sentence.  These are composed into one machine, so a sentence is
+scored by its matched patterns and not by isolated words.  What is said of a clause after it (`you moron, he said`, `morons like you`)
+takes a second machine, which reads the same tags backward; their factors multiply.
 
 Scan.  An Aho-Corasick automaton finds insults and threats in the whole text; only
-clauses around a hit are read word by word.  A text's evidence, the sum over its clauses, becomes
+sentences around a hit are read word by word.  A text's evidence, the sum over its sentences, becomes
 a probability by a logistic curve fitted to the same labelled texts around a stated prior.
 
 Learning uses ``FIT_ROWS`` labelled rows at most, chosen by a hash of the id, never
-those whose ``crc32(doc_id)`` modulo 3 is 1.  Near copies among them count once.  A score depends on the text alone.
+those whose ``crc32(doc_id)`` modulo 3 is 1.  Of near copies among them the one with the least id counts.  A score depends on the text alone.
 
 Defined results.  Null and empty texts have no evidence and get the curve's lowest score.  Labels that are null
-or lack a document are passed over; without labels the built-in words and the prior decide.  Repeated rows score alike.
-Extra columns are ignored by the query and kept by the filter.
+or lack a document are passed over; without labels the built-in words and the prior decide.  Repeated rows score alike,
+and long texts are read whole.  An empty table gives an empty result.  Extra columns are ignored by the query and kept by the filter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -52,19 +54,27 @@ LEXICON = 2000
 LEAST_RATIO, LEAST_SHARE = 24.0, 0.7
 THRESHOLD = 0.7
 #: Prior of the curve: intercept and slope over a text's evidence, and their spread.
-PRIOR, SPREAD = (-4.0, 3.0), 1.5
+PRIOR, SPREAD = (-4.0, 4.0), 1.5
 
 # Built-in words by tag.
 INSULTS = "idiot moron scum trash loser stupid pathetic worthless disgusting clown imbecile vermin".split()
-THREATS = "kill murder hurt destroy strangle stab shoot töten umbringen erwürgen tuer frapper étrangler matar golpear estrangular".split()
-TARGETS = "you your yours u they them their he him she her people du dich dir dein ihr euch sie tu toi te ton vous ils elles tú ti usted ustedes ellos ellas".split()
+#: Verbs of harm, as stems that endings of up to ``ENDING`` letters may follow.
+THREATS = "kill murder hurt destroy strangl stab shoot töte umbring erwürg tuer frapp étrangl mata golpea estrangul".split()
+ENDING = 3
+INTENTS = "will would shall should must gonna going want wants wanna hope let i'll we'll they'll he'll she'll werde werden wird sollte vais va vont veux voy va vamos quiero".split()
+TARGETS = "you your yours u yourself they them their he him his she her people du dich dir dein ihr euch sie tu toi te ton vous ils elles tú ti usted ustedes ellos ellas".split()
 NEGATIONS = "not no never isn't aren't wasn't nobody nicht kein keine nie niemals pas jamais nunca jamás".split()
-REPORTS = "said says wrote writes called calls claimed claims quoted quote sagte sagt schrieb dit écrit disait dijo dice escribió".split()
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
-TAGS = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
+REPORTS = "said says wrote writes called calls claimed claims quoted quote shouted yelled sagte sagt schrieb dit écrit disait dijo dice escribió".split()
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, BREAK, QUOTE, OTHER = "insult", "threat", "target", "negation", "report", "intent", "break", "quote", "other"
+TAGS = (INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, BREAK, QUOTE, OTHER)
+#: Weights and factors: a threat's weight; an insult and a threat by themselves; with a target; a threat with a target but without intent; after a negation; in reported speech.
+HARM, BARE, BARE_THREAT, AIMED, UNMEANT, NEGATED, REPORTED = 0.8, 0.8, 0.15, 1.25, 0.3, 0.4, 0.5
+#: Words over which a target before an insult, one after it, a target after a threat, intent and negation reach.
+BEFORE, AFTER, OBJECT, MEANT, DENIED = 4, 2, 3, 4, 4
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[,;:]|[\"“”„«»]")
+_SENTENCE = re.compile(r"[.!?]+(?![.!?\"“”»])|\n")
 
 
 class Machine(NamedTuple):
@@ -93,42 +103,76 @@ def compose(a: Machine, b: Machine) -> Machine:
     return Machine(start, arcs)
 
 
-def grammar() -> Machine:
-    # Insults pass as they are; everything but insults and threats weighs nothing.
-    insult = machine(0, [0], lambda s, t: (0, 1.0 if t in (INSULT, THREAT) else 0.0))
-    # A threat needs a target before it in the clause to weigh in full.
-    threat = machine(False, [False, True], lambda s, t: (s or t == TARGET, 0.25 if t == THREAT and not s else 1.0))
-    # A target up to four words before an insult raises it.
-    target = machine(0, range(5), lambda s, t: (4 if t == TARGET else max(0, s - 1), 1.25 if s and t == INSULT else 1.0))
-    # A negation reaches over the next two words.
-    negation = machine(0, range(3), lambda s, t: (2 if t == NEGATION else max(0, s - 1), 0.4 if s and t in (INSULT, THREAT) else 1.0))
-    report = machine(False, [False, True], lambda s, t: (s or t == REPORT, 0.5 if s and t in (INSULT, THREAT) else 1.0))
-    return reduce(compose, [insult, threat, target, negation, report])
+def forward() -> Machine:
+    """What comes before decides: targets, threats with their objects, negation and the verb of saying."""
+    # Insults and threats pass as they are, and a target, at which a threat weighs; everything else weighs nothing.
+    clause = machine(0, [0], lambda s, t: (0, {INSULT: BARE, THREAT: 1.0, TARGET: 1.0}.get(t, 0.0)))
+    target = machine(0, range(BEFORE + 1), lambda s, t: (BEFORE if t == TARGET else 0 if t == QUOTE else max(0, s - 1), AIMED if s and t == INSULT else 1.0))
+
+    def threaten(s: tuple[int, int, bool], t: str) -> tuple[tuple[int, int, bool], float]:
+        meant, waiting, earnest = s
+        if t == TARGET and waiting:
+            return (max(0, meant - 1), 0, False), 1.0 if earnest else UNMEANT
+        if t in (BREAK, QUOTE):
+            return (0, 0, False), 1.0
+        if t == THREAT:
+            return (max(0, meant - 1), OBJECT, meant > 0), BARE_THREAT
+        after = waiting > 1
+        return (MEANT if t == INTENT else max(0, meant - 1), max(0, waiting - 1), earnest and after), 0.0 if t == TARGET else 1.0
+
+    threat = machine((0, 0, False), [(m, w, e) for m in range(MEANT + 1) for w in range(OBJECT + 1) for e in (False, True)], threaten)
+    negation = machine(0, range(DENIED + 1), lambda s, t: (DENIED if t == NEGATION else 0 if t in (BREAK, QUOTE) else max(0, s - 1), NEGATED if s and t in (INSULT, THREAT, TARGET) else 1.0))
+
+    def report(s: str, t: str) -> tuple[str, float]:
+        low = REPORTED if s != "none" else 1.0
+        if t == REPORT and s == "none":
+            return "verb", 1.0
+        if t == QUOTE:
+            return {"verb": "quoted", "quoted": "none"}.get(s, s), low
+        return s, low
+
+    return reduce(compose, [clause, target, threat, negation, machine("none", ["none", "verb", "quoted"], report)])
+
+
+def backward() -> Machine:
+    """What comes after decides, read from the end: a target just after an insult, and a verb of saying that follows a clause."""
+    target = machine(0, range(AFTER + 1), lambda s, t: (AFTER if t == TARGET else 0 if t in (BREAK, QUOTE) else max(0, s - 1), AIMED if s and t == INSULT else 1.0))
+
+    def report(s: str, t: str) -> tuple[str, float]:
+        if t == REPORT:
+            return "verb", 1.0
+        if t == BREAK:
+            return {"verb": "clause", "clause": "none"}.get(s, s), 1.0
+        if t == QUOTE:
+            return {"verb": "quoted", "clause": "quoted", "quoted": "none"}.get(s, s), 1.0
+        return s, REPORTED if s in ("clause", "quoted") else 1.0
+
+    return compose(target, machine("none", ["none", "verb", "clause", "quoted"], report))
+
+
+def numbered(m: Machine) -> tuple[int, dict]:
+    number = {s: i for i, s in enumerate({s for s, _ in m.arcs})}
+    return number[m.start], {(number[s], t): (number[n], f) for (s, t), (n, f) in m.arcs.items()}
 
 
 class Grammar:
-    """The composed machine with its lexicon, ready to score texts."""
+    """The composed machines with their lexicon, ready to score texts."""
 
     def __init__(self, lexicon: dict[str, float]):
         """Entries ending in ``$`` are whole words, others stems."""
         self.lexicon = lexicon
+        self.weights: dict[str, float] = {w + "$": 1.0 for w in INSULTS} | lexicon
+        self.tags = {w: tag for words, tag in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT)) for w in words} | dict.fromkeys(",;:", BREAK) | dict.fromkeys('"“”„«»', QUOTE)
         self.automaton = ahocorasick.Automaton()
-        entries = {w + "$": 1.0 for w in INSULTS} | lexicon
-        self.weights: dict[str, float] = entries
-        self.tags = {w: tag for words, tag in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
-        self.threats = set(THREATS)
-        for e in [*entries, *(w + "$" for w in THREATS)]:
-            key = e.rstrip("$")
+        for key in [*(e.rstrip("$") for e in self.weights), *THREATS]:
             self.automaton.add_word(key, len(key))
         self.automaton.make_automaton()
-        built = grammar()
-        number = {s: i for i, s in enumerate({s for s, _ in built.arcs})}
-        self.start = number[built.start]
-        self.table = {(number[s], t): (number[n], f) for (s, t), (n, f) in built.arcs.items()}
-        self.sizes = sorted({len(e) for e in entries if not e.endswith("$")})
+        self.forward, self.backward = numbered(forward()), numbered(backward())
+        self.sizes = sorted({len(e) for e in self.weights if not e.endswith("$")})
+        self.known: dict[str, tuple[str, float]] = {}
 
     def weigh(self, word: str) -> tuple[str, float]:
-        """Tag and weight of a lower-case word."""
+        """Tag and weight of a lower-case word or mark; of a word with an apostrophe the parts count if the whole says nothing."""
         best = self.weights.get(word + "$", 0.0)
         for n in self.sizes:
             if n > len(word):
@@ -136,35 +180,53 @@ class Grammar:
             best = max(best, self.weights.get(word[:n], 0.0))
         if best:
             return INSULT, best
-        if word in self.threats:
-            return THREAT, 0.8
-        return self.tags.get(word, OTHER), 0.0
-
-    def clause(self, text: str) -> float:
-        state, total = self.start, 0.0
-        for m in _WORD.finditer(text):
-            tag, weight = self.weigh(m[0])
-            state, factor = self.table[state, tag]
-            total += weight * factor
+        if (tag := self.tags.get(word)) is not None:
+            return tag, HARM if tag == TARGET else 0.0
+        if any(word.startswith(x) and len(word) <= len(x) + ENDING for x in THREATS):
+            return THREAT, HARM
+        if "'" in word:
+            found = [self.weigh(x) for x in word.split("'")]
+            return next((f for f in found if f[0] != OTHER), (OTHER, 0.0))
+        return OTHER, 0.0
+
+    def sentence(self, text: str) -> float:
+        read = []
+        for m in _TOKEN.finditer(text):
+            word = m[0]
+            if (tagged := self.known.get(word)) is None:
+                tagged = self.weigh(word)
+                if len(self.known) < 50_000 and len(word) <= 32:
+                    self.known[word] = tagged
+            read.append(tagged)
+        state, table = self.backward
+        after = []
+        for tag, _ in reversed(read):
+            state, factor = table[state, tag]
+            after.append(factor)
+        state, table = self.forward
+        total = 0.0
+        for (tag, weight), late in zip(read, reversed(after), strict=True):
+            state, factor = table[state, tag]
+            # An insult is aimed once, from whichever side.
+            total += weight * (min(factor * late, BARE * AIMED) if tag == INSULT else factor * late)
         return total
 
     def evidence(self, text: str | None) -> float:
-        """Summed clause scores of a whole text."""
+        """Summed scores of the sentences of a whole text."""
         if not text:
             return 0.0
         low = text.lower()
-        total, done = 0.0, -1
+        total, done = 0.0, 0
         for end, size in self.automaton.iter(low):
             at = end - size + 1
-            if at < done or at and (low[at - 1].isalnum()):
+            if at < done or at and low[at - 1].isalnum():
                 continue
-            # The clause around the hit, read once.
-            a = at
-            while a > max(0, done) and low[a - 1] not in ".!?;:,\n":
-                a -= 1
-            stop = _CLAUSE.search(low, end)
-            done = stop.start() if stop else len(low)
-            total += self.clause(low[a:done])
+            # The sentence around the hit, read once: from the last end before it to the next.
+            for m in _SENTENCE.finditer(low, done, at):
+                done = m.end()
+            stop = _SENTENCE.search(low, at)
+            total += self.sentence(low[done : stop.start() if stop else len(low)])
+            done = stop.end() if stop else len(low)
         return total
 
 
@@ -237,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = stored(
         docs.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(least_shingle, "doc_id long, text string, toxic int, least long"), "labelled"
-    ).dropDuplicates(["least", "toxic"])
+    ).groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.doc_id", "first.text", "toxic")
     totals = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, toxic = totals[0], totals[1] or 0
     if not n or not toxic:
