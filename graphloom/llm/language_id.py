@@ -13,7 +13,8 @@ prediction sees the text alone.
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0, and so is
 every text when there is nothing to learn from.  Ties go to the first language in code-point order.
-Repeated rows are predicted alike.  Extra columns are ignored.
+Repeated rows are predicted alike, and long texts are read whole.  An empty table gives an empty result.  Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ _MARK = 0x2E
 _SALTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; number forms, marks and digits are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def codes(text: str) -> np.ndarray:
     """Code points of the lower-case letters, every other run as one mark."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -80,7 +86,7 @@ class Model(NamedTuple):
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         at, x = vector(buckets(text), self.idf)
         z = (x @ self.weights[at] + self.bias) / self.temperature
