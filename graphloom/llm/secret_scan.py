@@ -14,7 +14,8 @@ never changed by them.
 
 Defined results.  Null texts count as empty and have no span.  Spans are counted in code
 points, end exclusive, ordered by start, then by kind as listed.  Rows are
-independent, so repeated rows give equal results.  Extra columns are ignored.
+independent, so repeated rows give equal results; long texts are scanned whole.  An empty table gives an empty result.
+Extra columns are ignored by the report and kept by the mask, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ class Rule(NamedTuple):
     flags: int = re.ASCII
     #: Whether a match counts; a match that doesn't still uses up its text.
     accepts: Callable[[re.Match], bool] = bool
+    #: The group at which the span starts.
+    first: int = 0
 
 
 #: The base kinds, with their patterns and least lengths: fixed values.
@@ -55,7 +58,8 @@ EXTRA = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"),
+    # From the start of a run of scheme letters only, so that a long run is read once.
+    Rule("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+)://[^\s/:@]++:[^\s/:@]{4,}+@", first=1),
 )
 
 #: A query: ``True`` (any text), ``("tri", trigram)``, ``("and", parts)`` or ``("or", parts)``.
@@ -219,7 +223,7 @@ def scan(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...] = BASE + EXT
                     text = column[a + i].as_py() or ""
                     for order, (rule, pattern, hit) in enumerate(zip(rules, patterns, hits, strict=True)):
                         if hit[i]:
-                            spans += [(m.start(), order, rule.kind, m.end()) for m in pattern.finditer(text) if rule.accepts(m)]
+                            spans += [(m.start(rule.first), order, rule.kind, m.end()) for m in pattern.finditer(text) if rule.accepts(m)]
                 base = [s for s in spans if s[2] in names]
                 for kind in names:
                     out[f"n_{kind}"].append(sum(s[2] == kind for s in base))
