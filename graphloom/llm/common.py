@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+__all__ = ["crc_mod", "lowered", "sent", "small_batches", "stored", "table"]
 
 #: Rows of the batches that Python workers get: what bounds their memory, and that of the buffers filled for them.
 BATCH_ROWS = 1000
@@ -22,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; set only where it is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        jsc = spark.sparkContext._jsc.sc()
-        shared = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a few numbers each that are broadcast at most, after they were counted.
 SENT_ROWS = 500_000
 

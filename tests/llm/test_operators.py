@@ -236,6 +236,17 @@ def test_secrets_equal_a_full_scan(spark, awkward, empty):
     assert secret_scan.mask(awkward).columns == awkward.columns
 
 
+def test_logins_in_addresses_have_no_greatest_length():
+    import time
+
+    import pyarrow as pa
+
+    texts = [f"see 1https://{'u' * 300}:{'p' * 90}@host and a://b:c@d", "ab1+" * 100_000 + "://x", "://" * 50_000 + ":" * 1000]
+    began = time.time()
+    rows = [r for b in secret_scan.scan(iter([pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": texts})])) for r in b.to_pylist()]
+    assert [r["spans"] for r in rows] == [f"url_login:5:{5 + 8 + 300 + 1 + 90 + 1}", "", ""] and time.time() - began < 20
+
+
 def test_trigram_queries_are_derived_from_patterns():
     assert secret_scan.derive("[0-9a-f]+") is True
     assert secret_scan.derive("AKIA[A-Z0-9]+") == ("and", (("tri", b"aki"), ("tri", b"kia")))
@@ -269,6 +280,29 @@ def test_bpe_equals_the_library(spark, library, awkward, empty):
     assert bpe.decode(encoded).first()["text"] == library.decode(encoded.first()["ids"], skip_special_tokens=False)
 
 
+def test_words_of_every_code_point_equal_the_librarys(library):
+    """Letters, numbers, lower case and composition, in contexts that tell them apart."""
+    import unicodedata
+
+    letters = {c: i for i, c in enumerate(bpe.byte_letters())}
+
+    def words(text):
+        return [bytes(letters[c] for c in w).decode() for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    for context in (lambda c: f"a{c}b", lambda c: f"1{c}2", lambda c: f"a{c}\u0316b", lambda c: f"a\u0315{c}\u0301", lambda c: unicodedata.normalize("NFD", c) + "x"):
+        for i in range(0, len(points), 5000):
+            text = " ".join(map(context, points[i : i + 5000]))
+            assert bpe.split(text) == words(text), hex(ord(points[i]))
+
+
+def test_memory_of_words_is_bounded_by_bytes():
+    c = bpe.Coder(bpe.Vocabulary(bpe.read_vocabulary()), 50_000)
+    for i in range(2000):
+        c.words(f"word{i} {'x' * 200}{i}")
+    assert max(len(c), len(c.older)) <= 50_000 // c.ENTRY + 1 and not any(len(w) > bpe.LONGEST for w in [*c, *c.older])
+
+
 def test_every_one_token_word_is_reached_by_its_merges():
     v = bpe.Vocabulary(bpe.read_vocabulary())
     whole, v.whole = v.whole, {}
@@ -309,10 +343,41 @@ def test_best_fit_decreasing_by_the_tree_is_best_fit():
 # --- mixing, toxicity, languages ------------------------------------------------------------------------------------------------
 
 
-def test_targets_share_the_excess():
-    t = mixing.targets([("a", 100), ("b", 100), (None, 100)])
-    assert t == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
-    assert mixing.targets([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0} and mixing.targets([]) == {}
+def plain_targets(sizes):
+    """Weights in code-point order, null last; whoever is above twice its size drops out and the rest share anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)
+        level = left / sum(w for s, w in weight.items() if s not in full) if len(full) < len(sizes) else 0
+        more = {s for s in sizes if s not in full and 2 * sizes[s] < weight[s] * level}
+        if not more:
+            return {s: 2.0 * sizes[s] if s in full else weight[s] * level for s in sizes}
+        full |= more
+
+
+def test_targets_share_the_excess(spark):
+    rnd = random.Random(3)
+    cases = [{"a": 100, "b": 100, None: 100}, {"a": 0, "b": 0}, {}, {None: 7}, {f"s{i}": rnd.randrange(1, 10 ** rnd.randrange(1, 7)) for i in range(300)} | {None: 5}]
+    for sizes in cases:
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+        assert got == {s: pytest.approx(t) for s, t in plain_targets(sizes).items()}
+    assert plain_targets(cases[0]) == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "alike"])
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark, ids):
+    rnd = random.Random(8)
+    rows = [(None if ids == "null" else 7, prose(rnd, 10) if ids != "alike" else "one two three four five", "en", "ab"[i % 2], None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = mixing.mixed(docs).collect()
+    for target in {r["target"] for r in got}:
+        mine = [r for r in got if r["target"] == target]
+        assert abs(sum(r["taken"] for r in mine) - target) <= 10 and all(r["taken"] <= 2 * r["size"] for r in mine)
+    taken = mixing.take(docs)
+    words = taken.agg(F.sum(mixing.document_size())).first()[0]
+    assert taken.columns == docs.columns and words == sum(r["taken"] for r in got)
 
 
 def test_mix_comes_near_its_targets(spark, awkward, empty):
@@ -337,11 +402,77 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def plain_evidence(text, lexicon):
+    """The grammar written out: every factor is looked up in the words around, without automaton, machines or their composition."""
+    t, total = toxicity, 0.0
+    entries = {w + "$": 1.0 for w in t.INSULTS} | lexicon
+
+    def look(w):
+        weight = max([x for e, x in entries.items() if (w == e[:-1] if e.endswith("$") else w.startswith(e))], default=0.0)
+        if weight:
+            return "insult", weight
+        for words, tag in ((t.TARGETS, "target"), (t.NEGATIONS, "negation"), (t.REPORTS, "report"), (t.INTENTS, "intent"), (list(",;:"), "break"), (list('"“”„«»'), "quote")):
+            if w in words:
+                return tag, 0.0
+        if any(w.startswith(x) and len(w) - len(x) <= 3 for x in t.THREATS):
+            return "threat", 0.0
+        parts = [look(x) for x in w.split("'")] if "'" in w else []
+        return next((p for p in parts if p[0] != "other"), ("other", 0.0))
+
+    for line in re.split(r"[.!?]+(?![.!?\"“”»])|\n", (text or "").lower()):
+        words = [look(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?|[,;:]|[\"“”„«»]", line)]
+        tags = [w[0] for w in words]
+
+        def near(i, tag, before, after, cut):
+            around = [*range(max(0, i - before), i), *range(i + 1, min(len(tags), i + after + 1))]
+            return any(tags[j] == tag and not set(tags[min(i, j) : max(i, j)]) & set(cut) for j in around)
+
+        introduced, followed, state = [], [], "none"
+        for tag in tags:
+            introduced.append(state != "none")
+            state = "verb" if tag == "report" and state == "none" else {"verb": "quoted", "quoted": "none"}.get(state, state) if tag == "quote" else state
+        state = "none"
+        for tag in reversed(tags):
+            followed.insert(0, state in ("clause", "quoted"))
+            if tag == "report":
+                state = "verb"
+            elif tag == "break":
+                state = {"verb": "clause", "clause": "none"}.get(state, state)
+            elif tag == "quote" and state != "none":
+                state = "none" if state == "quoted" else "quoted"
+        waiting, earnest = 0, False
+        for i, (tag, weight) in enumerate(words):
+            low = (0.4 if near(i, "negation", 4, 0, ["break", "quote"]) else 1) * (0.5 if introduced[i] else 1) * (0.5 if followed[i] else 1)
+            if tag == "insult":
+                aimed = 1.25 ** (near(i, "target", 4, 0, ["quote"]) + near(i, "target", 0, 2, ["break", "quote"]))
+                total += weight * min(0.8 * aimed * low, 1.0)
+            if tag == "target" and waiting:
+                total += 0.8 * (1.0 if earnest else 0.3) * low
+                waiting = 0
+            elif tag == "threat":
+                total += 0.8 * 0.15 * low
+                waiting, earnest = 3, near(i, "intent", 4, 0, ["break", "quote"])
+            else:
+                waiting = 0 if tag in ("break", "quote") else max(0, waiting - 1)
+    return total
+
+
+def test_toxicity_evidence_equals_the_grammar_written_out():
+    rnd = random.Random(12)
+    bits = ["you", "moron", "idiots", "trash", "not", "he", "said", "kill", "killed", "will", "the", "lights", ",", ":", ";", '"', "“", "”", ".", "!", "?!", "\n", "l'idiot", "you're", "grubworm", "grub", "a", "_scum", "x-moron", "i'll", "étrangler", "them"]
+    lexicon = {"grub": 0.7, "idiots$": 0.9}
+    g = toxicity.Grammar(lexicon)
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) + rnd.choice([" ", " ", " ", ""]) for _ in range(rnd.randrange(25)))
+        assert g.evidence(text) == pytest.approx(plain_evidence(text, lexicon)), text
+
+
 def test_toxicity_grammar_weighs_clauses(awkward, empty, spark):
     g = toxicity.Grammar({})
-    plain, negated, reported = (g.evidence(t) for t in ("a moron here", "not a moron here", "he said moron"))
-    assert plain > negated > 0 and plain > reported > 0 and g.evidence("you moron") > plain
-    assert g.evidence("will kill, now") < g.evidence("they will kill") and g.evidence("motorway") == 0
+    plain, negated, reported = (g.evidence(t) for t in ("a moron here", "not such a bad moron", "he said: moron"))
+    assert plain > negated > 0 and plain > reported > 0 and g.evidence("you moron") > plain and g.evidence("morons like you, moron like you") > plain
+    assert all(g.evidence(t) < plain for t in ("he said: you moron", "he said, you moron", 'she wrote "you moron"', "you moron, he said", '"You moron!" he said.'))
+    assert g.evidence("they will kill") < g.evidence("The car killed him") < g.evidence("I will kill you") and g.evidence("will you kill the lights") < 0.2 and g.evidence("motorway") == 0
     labels = spark.createDataFrame([(15, 1, None), (0, 0, 0), (None, None, None)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(awkward, labels)
     assert {r["doc_id"] for r in toxicity.scores(awkward, model).where("predicted = 1").collect()} == {15}
@@ -350,6 +481,47 @@ def test_toxicity_grammar_weighs_clauses(awkward, empty, spark):
     assert toxicity.scores(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def plain_language(model, text):
+    """The prediction written out: every n-gram of the lower-case letters one by one, weights looked up one by one."""
+    if not text or not any(c.isalpha() for c in text) or not model.langs:
+        return "und", 0.0
+    marks, before = [], False
+    for c in map(ord, text.lower()):
+        letter = 97 <= c <= 122 or c >= 0xC0 and c not in (0xD7, 0xF7) and not 0x2000 <= c < 0x2070
+        if letter or before:
+            marks.append(c if letter else 0x2E)
+        before = letter
+    found = collections.Counter()
+    for i in range(len(marks)):
+        h = 0
+        for n, salt in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            if i + n < len(marks):
+                h = (h + marks[i + n]) * salt % 2**32
+                h ^= h >> 15
+                found[h * 0x2545F491 % 2**32 >> 18] += 1
+    x = {b: np.log1p(k) * model.idf[b] for b, k in found.items()}
+    size = sum(v * v for v in x.values()) ** 0.5 or 1.0
+    z = [(sum(v / size * model.weights[b][k] for b, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+    e = [np.exp(v - max(z)) for v in z]
+    best = max(range(len(z)), key=lambda k: (z[k], -k))
+    return model.langs[best], e[best] / sum(e)
+
+
+def test_language_predictions_equal_the_model_written_out():
+    rnd = random.Random(4)
+    noise = np.random.default_rng(9)
+    weights = noise.normal(size=(language_id.BUCKETS, 3)) * (noise.random((language_id.BUCKETS, 3)) < 0.3)
+    model = language_id.Model(["de", "en", "fr"], 1 + noise.random(language_id.BUCKETS), weights, np.array([0.1, 0.0, -0.1]), 0.7)
+    texts = [prose(rnd, rnd.randrange(1, 80)) for _ in range(60)] + ["½", "²", "Ⅷ", "12 34", "_", "a", "É", "中文 text", "don't", "\u2028", "ǅ", "", None]
+    for text in texts:
+        lang, score = plain_language(model, text)
+        assert model.predict(text) == (lang, pytest.approx(score)), text
+    assert [model.predict(t)[0] for t in ("½", "²", "Ⅷ", "12 34", "", None)] == ["und"] * 6
+    # Of languages that are as likely the first in order is taken.
+    even = model._replace(weights=np.zeros_like(weights), bias=np.zeros(3))
+    assert even.predict("abc")[0] == "de"
+
+
 def test_languages_on_held_out_texts(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
