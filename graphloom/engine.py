@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 import platform
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -10,13 +12,18 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import render
+from . import config, render
 from . import schema as S
 from .graph import Graph
 from .ingest import classify, incremental, reconcile
 from .operators import change, counts, health, location, lookup, policy, scc, snapshot, traverse
 from .render import Envelope, page
-from .sources import bundle, git, python_code, tree
+from .sources import bundle, declared, git, python_code, tree
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """A table with an ``id``: its own, or all columns together."""
+    return df if "id" in df.columns else df.withColumn("id", F.concat_ws("|", *df.columns))
 
 
 class Engine:
@@ -52,12 +59,32 @@ class Engine:
 
     @classmethod
     def tools(cls) -> list[str]:
-        return sorted(n for n in vars(cls) if not n.startswith("_") and n not in ("tools", "call"))
+        return sorted(n for n in vars(cls) if not n.startswith("_") and n not in ("tools", "call", "snapshot_graph", "archive"))
 
-    def call(self, tool: str, **arguments: Any) -> Envelope:
+    def call(self, tool: str, *, max_chars: int | None = None, refresh: Callable[[], Graph] | None = None, **arguments: Any) -> Envelope:
+        """A tool by name: unknown and missing arguments are rejected, suggestions for what to ask next added, and the answer cut to ``max_chars``.
+
+        ``refresh`` scans anew before the tool runs; if it fails, the answer says so and stands on the graph as it was.
+        """
         if tool not in self.tools():
             raise ValueError(f"unknown tool {tool!r}")
-        return getattr(self, tool)(**arguments)
+        wanted = inspect.signature(getattr(self, tool)).parameters
+        if extra := sorted(set(arguments) - set(wanted)):
+            raise ValueError(f"{tool} has no arguments {extra}")
+        if lacking := [n for n, p in wanted.items() if p.default is p.empty and n not in arguments]:
+            raise ValueError(f"{tool} needs {lacking}")
+        warnings = []
+        if refresh is not None:
+            try:
+                self.graph = refresh()
+            except Exception as e:  # the scan is foreign code to the question: the older graph still answers it
+                warnings.append(f"refresh failed: {type(e).__name__}")
+        out = getattr(self, tool)(**arguments)
+        if not isinstance(out, Envelope):
+            return out
+        out.warnings += warnings
+        out.next_steps = render.next_steps(tool, out)
+        return out.within(max_chars) if max_chars is not None else out
 
     def list_projects(self, projects: DataFrame, scans: DataFrame, counts_by: dict[str, DataFrame] | None = None, limit: int = 50) -> Envelope:
         return self._answer("projects", lookup.list_projects(projects, scans, counts_by or {}).orderBy("name", "id"), S.between("limit", limit, 1, 100))
@@ -141,8 +168,13 @@ class Engine:
     def test_impact(self, files: list[str], max_depth: int = 4, limit: int = 100) -> Envelope:
         return self._answer("tests", change.test_impact(self.graph, files, max_depth), limit)
 
-    def review_diff(self, files: list[str], policies: list[policy.Policy] | None = None, max_depth: int = 4, limit: int = 100) -> Envelope:
-        return self._answer("findings", change.review(self.graph, files, policies, max_depth), limit)
+    def review_diff(self, files: list[str], policies: list[policy.Policy] | None = None, max_depth: int = 4, limit: int = 100, baseline: str | None = None, budgets: dict[str, int] | None = None) -> Envelope:
+        """Without a baseline the newest archived snapshot before the active one is it, if there is a store that has one."""
+        if baseline is None and self.store is not None:
+            row = self.store.snapshots().where("complete").where(F.col("scan_id") != self.snapshot_id).orderBy(F.desc("number")).first()
+            baseline = row["scan_id"] if row else None
+        before = self.snapshot_graph(baseline) if baseline is not None else None
+        return self._answer("findings", change.review(self.graph, files, policies, max_depth, before, budgets), limit, baseline=baseline)
 
     # --- health ----------------------------------------------------------------------------------------------------------
 
@@ -163,31 +195,63 @@ class Engine:
         found, how = location.semantic_rank(found, ranker) if ranker else (found, "deterministic")
         return self._answer("locations", found, limit, ranking=how)
 
-    def export_diagram(self, format: str = "mermaid", edge_kinds: list[str] | None = None, min_confidence: str = "possible", direction: str = "LR", max_nodes: int = 200, max_edges: int = 500) -> Envelope:
-        return Envelope("diagram", {"text": render.export_diagram(self.graph, edge_kinds, min_confidence, max_nodes, max_edges, format, direction)}, self.project_id, self.snapshot_id)
+    def export_diagram(self, format: str = "mermaid", edge_kinds: list[str] | None = None, min_confidence: str = "possible", direction: str = "LR", max_nodes: int = 200, max_edges: int = 500, boundary: str | None = None) -> Envelope:
+        return Envelope("diagram", {"text": render.export_diagram(self.graph, edge_kinds, min_confidence, max_nodes, max_edges, format, direction, boundary)}, self.project_id, self.snapshot_id)
 
     def architecture_context(self, task: str, files: list[str] | None = None, max_chars: int = 30_000) -> Envelope:
         lines = lambda e: [str(r) for rows in e.data.values() if isinstance(rows, list) for r in rows]
-        parts = {"summary": lines(self.architecture_summary(20)), "locations": lines(self.suggest_location(task)), "impact": lines(self.changed_files_impact(files)) if files else [], "dossiers": []}
+        parts = {"summary": lines(self.architecture_summary(20)), "locations": lines(self.suggest_location(task)), "impact": lines(self.changed_files_impact(files)) if files else [], "dossiers": self._dossiers(task, files or [])}
         return Envelope("context", {"text": render.architecture_context(self.graph, parts, max_chars)}, self.project_id, self.snapshot_id)
 
+    def _dossiers(self, task: str, files: list[str], most: int = 3) -> list[str]:
+        """What is known of the components that the task's words name, or else of those in its files."""
+        words = [w for w in dict.fromkeys(re.findall(r"[\w.\\\\:]{3,}", task))][:8]
+        named = self.graph.nodes.where(F.col("display_name").isin(words) | F.col("canonical_name").isin(words)).select("id", "canonical_name")
+        if files:
+            named = named.unionByName(change.direct_nodes(self.graph, files).join(self.graph.nodes.select("id", "canonical_name"), "id"))
+        out = []
+        for r in named.distinct().orderBy("canonical_name", "id").limit(most).collect():
+            one = self.graph.spark.createDataFrame([(r["id"],)], "id string")
+            ends = [f"{x['direction']} {x['kind']} {x['other_name']}" for side in (True, False) for x in lookup.relationships(self.graph, one, side, 5).collect()]
+            out.append(f"{r['canonical_name']}: {'; '.join(ends)}")
+        return out
+
     # --- snapshots and upkeep ----------------------------------------------------------------------------------------------
 
     def _tables(self, scan: str) -> dict[str, DataFrame]:
         if scan == "active":
             g = self.graph
-            return {"files": g.files, "nodes": g.nodes, "edges": g.edges}
-        return {n: self.store.read(n, scan) for n in ("files", "nodes", "edges")}
+            return {"files": g.files, "nodes": g.nodes, "edges": g.edges, "classifications": _keyed(g.classifications), "boundaries": g.boundaries, "boundary_memberships": _keyed(g.memberships)}
+        there = self.store.tables(scan)
+        return {n: _keyed(self.store.read(n, scan)) for n in S.SNAPSHOT_TABLES if n in there}
+
+    def snapshot_graph(self, scan: str) -> Graph:
+        """An archived snapshot as a graph; tables that it lacks are empty."""
+        there = self.store.tables(scan)
+        read = lambda n, schema: self.store.read(n, scan) if n in there else self.graph.spark.createDataFrame([], schema)
+        return Graph(read("nodes", S.NODES), read("edges", S.EDGES), read("files", S.FILES), read("classifications", S.CLASSIFICATIONS), read("boundaries", S.BOUNDARIES), read("boundary_memberships", S.MEMBERSHIPS), read("diagnostics", S.DIAGNOSTICS), self.graph.annotations)
+
+    def archive(self, scan_id: str) -> None:
+        """Writes the graph as a snapshot of the store and publishes it."""
+        g = self.graph
+        tables = {"files": g.files, "nodes": g.nodes, "edges": g.edges, "classifications": g.classifications, "boundaries": g.boundaries, "boundary_memberships": g.memberships, "diagnostics": g.diagnostics}
+        self.store.write(scan_id, {n: t for n, t in tables.items() if t is not None})
 
     def snapshot_diff(self, before: str, after: str = "active", max_changes: int = 25) -> Envelope:
         a, b = self._tables(before), self._tables(after)
-        moved = {n: {r["operation"]: r["n"] for r in snapshot.diff_counts(a[n], b[n]).collect()} for n in a}
+        moved = {n: {r["operation"]: r["n"] for r in snapshot.diff_counts(a[n], b[n]).collect()} for n in a if n in b}
+        a = {n: t for n, t in a.items() if n in b}
         return self._answer("changes", snapshot.snapshot_diff(a, b, max_changes), max_changes, counts=moved, renames=[r.asDict() for r in snapshot.rename_candidates(a["nodes"], b["nodes"]).limit(max_changes).collect()])
 
-    def quality_gate(self, baseline: Graph, budgets: dict[str, int], policies: list[policy.Policy] | None = None, sarif: bool = False) -> Envelope:
-        found = policy.violations(self.graph, policies).count() if policies else None
-        checks = [r.asDict() for r in snapshot.quality_gate(snapshot.quality_metrics(baseline), snapshot.quality_metrics(self.graph), budgets, found).collect()]
-        return Envelope("passed" if all(c["passed"] for c in checks) else "failed", {"checks": checks, **({"sarif": render.sarif(checks)} if sarif else {})}, self.project_id, self.snapshot_id)
+    def quality_gate(self, baseline: Graph | str, budgets: dict[str, int], policies: list[policy.Policy] | None = None, sarif: bool = False, propose_baseline: bool = False) -> Envelope:
+        before = self.snapshot_graph(baseline) if isinstance(baseline, str) else baseline
+        checks = [r.asDict() for r in snapshot.quality_gate(before, self.graph, budgets, policies or ()).collect()]
+        data: dict[str, Any] = {"checks": checks}
+        if propose_baseline:
+            data["proposed_baseline"] = {"budgets": {c["name"]: c["actual"] for c in checks}, "requires_review": True, "applied": False}
+        if sarif:
+            data["sarif"] = render.sarif(checks)
+        return Envelope("passed" if all(c["passed"] for c in checks) else "failed", data, self.project_id, self.snapshot_id)
 
     def architecture_trends(self, metrics: DataFrame, limit: int = 10) -> Envelope:
         return self._answer("trends", snapshot.trends(metrics, limit), limit)
@@ -208,19 +272,30 @@ class Engine:
         rows = rows.where(F.col("kind") == kind) if kind else rows
         return self._answer("annotations", rows.orderBy("canonical_name", "kind").offset(offset), limit)
 
-    def scan_project(self, root: str, patterns: list[str] | None = None, max_files: int = 100_000) -> Graph:
-        """Scans the Python sources under a folder; other languages come in as ready contributions through ``reconcile``."""
-        files, _ = tree.discover(self.graph.spark, root, patterns, max_files)
-        facts = python_code.extract(files).withColumn("language", F.lit("python"))
-        out = reconcile.reconcile(facts, files, self.project_id)
-        nodes = out["nodes"].withColumn("relative_path", F.col("file")).withColumn("attributes_json", F.lit("{}"))
-        bounds = classify.infer_boundaries(nodes, tree.manifest_units(files)).withColumn("id", F.concat_ws(":", "matcher_type", "matcher_value")).withColumn("source", F.lit("inferred"))
+    def scan_project(self, root: str, patterns: list[str] | None = None, max_files: int | None = None, contributions: DataFrame | None = None) -> Graph:
+        """Scans a folder as its checked-in configuration and the arguments say, the latter first.
+
+        Python is read through its syntax tree, PHP and TypeScript by declarations; ``contributions`` of other scanners come in beside them.
+        """
+        spark = self.graph.spark
+        settings = config.load(spark, root).overlaid(ignores=tuple(patterns) if patterns is not None else None, max_files=max_files)
+        files, found = tree.discover(spark, root, list(settings.ignores), settings.max_files or 100_000, settings.max_file_bytes or 2_000_000)
+        facts = python_code.extract(files).withColumn("language", F.lit("python")).unionByName(declared.extract(files))
+        if contributions is not None:
+            facts = facts.unionByName(contributions)
+        out = reconcile.reconcile(facts, files, self.project_id, found)
+        nodes = out["nodes"].withColumn("relative_path", F.col("file")).withColumn("attributes_json", F.coalesce("attributes", F.lit("{}")))
+        units = tree.manifest_units(files)
+        bounds = classify.infer_boundaries(nodes, units).withColumn("id", F.concat_ws(":", "matcher_type", "matcher_value")).withColumn("source", F.lit("inferred"))
+        if settings.boundaries:
+            bounds = bounds.unionByName(classify.explicit_boundaries(spark, settings.boundaries))
+        rules = classify.rules_for(settings.frameworks or tree.frameworks(units), tree.entry_points(units))
         listed = files.select(F.col("relative_path").alias("id"), "relative_path", "content_hash", "size", "language", "line_count")
         blank = lambda df, s: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(s[c].dataType).alias(c) for c in s.names])
         return Graph(
-            nodes=blank(nodes.withColumn("file_id", F.col("file")), S.NODES), edges=blank(out["edges"].withColumn("file_id", F.col("file")), S.EDGES), files=listed, classifications=blank(classify.classify(nodes), S.CLASSIFICATIONS),
-            boundaries=blank(bounds, S.BOUNDARIES), memberships=classify.memberships(nodes, bounds), diagnostics=blank(out["diagnostics"].withColumn("id", F.monotonically_increasing_id().cast("string")), S.DIAGNOSTICS),
-            annotations=self.graph.spark.createDataFrame([], S.ANNOTATIONS),
+            nodes=blank(nodes.withColumn("file_id", F.col("file")), S.NODES), edges=blank(out["edges"].withColumn("file_id", F.col("file")), S.EDGES), files=listed, classifications=blank(classify.classify(nodes, rules), S.CLASSIFICATIONS),
+            boundaries=blank(bounds, S.BOUNDARIES), memberships=classify.memberships(nodes, bounds), diagnostics=blank(out["diagnostics"], S.DIAGNOSTICS),
+            annotations=spark.createDataFrame([], S.ANNOTATIONS),
         )
 
     def git_history(self, root: str, since_days: int = 90, max_commits: int = 500) -> DataFrame:
@@ -231,6 +306,16 @@ class Engine:
         files, nodes = bundle.redact(self.graph.files, self.graph.nodes, redaction)
         return bundle.encode({"files": files, "nodes": nodes, "edges": self.graph.edges})
 
+    def import_bundle(self, data: bytes, name: str) -> Graph:
+        """A checked bundle as the graph of another project: ids are made anew, and what doesn't hang together is refused."""
+        spark, tables = self.graph.spark, bundle.decode(data)
+        made = {k: spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in tables.get(k, [])], schema) for k, schema in (("nodes", S.NODES), ("edges", S.EDGES), ("files", S.FILES))}
+        if not bundle.parent_cycles(made["nodes"]).isEmpty():
+            raise ValueError("a chain of parents comes back to itself")
+        nodes, edges = bundle.remap(made["nodes"], made["edges"], name)
+        none = lambda schema: spark.createDataFrame([], schema)
+        return Graph(nodes, edges, made["files"], none(S.CLASSIFICATIONS), none(S.BOUNDARIES), none(S.MEMBERSHIPS), none(S.DIAGNOSTICS), none(S.ANNOTATIONS))
+
     def remove_project(self, execute: bool = False) -> Envelope:
         sizes = {n: t.count() for n, t in (("nodes", self.graph.nodes), ("edges", self.graph.edges), ("files", self.graph.files))}
         if execute:

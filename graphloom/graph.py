@@ -53,6 +53,11 @@ def flag(attribute: str, column: str = "attributes_json") -> F.Column:
     return F.coalesce(F.get_json_object(F.col(column), f"$.{attribute}") == "true", F.lit(False))
 
 
+def is_script() -> F.Column:
+    """A module whose body something outside runs."""
+    return (F.col("kind") == "module") & flag("executable")
+
+
 def repository_wide() -> F.Column:
     """A path boundary that is empty once slashes are trimmed covers everything, and so separates nothing."""
     return (F.col("matcher_type") == "path_prefix") & (F.trim(F.coalesce(F.col("matcher_value"), F.lit("")), F.lit("/")) == "")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TEST_ROLE, TOOL_ROLE
@@ -115,13 +115,13 @@ def by_tool_config(nodes: DataFrame) -> DataFrame:
 
 def by_entry_point(paths: DataFrame) -> Rule:
     """``paths``: relative_path of the manifests' entry points."""
-    return lambda nodes: _given(nodes.where("kind = 'module'").join(F.broadcast(paths.select("relative_path").distinct()), "relative_path", "left_semi"), "application.entry_point", "certain", "manifest_entry")
+    return lambda nodes: _given(nodes.where("kind = 'module'").join(paths.select("relative_path").distinct(), "relative_path", "left_semi"), "application.entry_point", "certain", "manifest_entry")
 
 
 def explicit(roles: dict[str, str]) -> Rule:
     def rule(nodes: DataFrame) -> DataFrame:
         given = nodes.sparkSession.createDataFrame(list(roles.items()), "canonical_name string, role string")
-        return _given(nodes.join(F.broadcast(given), "canonical_name"), F.col("role"), "certain", "user")
+        return _given(nodes.join(given, "canonical_name"), F.col("role"), "certain", "user")
 
     return rule
 
@@ -132,6 +132,22 @@ LARAVEL: list[Rule] = [by_base_class, by_path, by_laravel_suffix]
 SYMFONY: list[Rule] = [by_symfony]
 
 
+def rules_for(frameworks: list[str] | tuple[str, ...], entry_points: DataFrame | None = None) -> list[Rule]:
+    """The rules of a project that uses these frameworks."""
+    out = [*RULES, *(LARAVEL if "laravel" in frameworks else []), *(SYMFONY if "symfony" in frameworks else [])]
+    return [*out, by_entry_point(entry_points)] if entry_points is not None else out
+
+
+def explicit_boundaries(spark: SparkSession, rows: Iterable[dict[str, str]]) -> DataFrame:
+    """Boundaries as the configuration names them: ``id, name, matcher_type, matcher_value, source``."""
+    out = []
+    for b in rows:
+        kind = "path_prefix" if b.get("path_prefix") is not None else "namespace_prefix"
+        value = b[kind].replace("\\", "/").strip("/") + "/" if kind == "path_prefix" else b[kind].strip("\\") + "\\"
+        out.append((f"explicit:{b['name']}", b["name"], kind, value, "explicit"))
+    return spark.createDataFrame(out, "id string, name string, matcher_type string, matcher_value string, source string")
+
+
 def classify(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """All rules on all nodes; a node has a role by a rule once."""
     return reduce(DataFrame.unionByName, [r(nodes) for r in (rules or RULES)]).dropDuplicates(["node_id", "role", "rule_id"])

@@ -17,6 +17,13 @@ def deleted(files: DataFrame, cache: DataFrame) -> DataFrame:
     return cache.join(files, "relative_path", "left_anti").select("relative_path")
 
 
+def unchanged(files: DataFrame, cache: DataFrame, scanner_version: str, configuration: str, explicit_boundaries: bool = False) -> bool:
+    """Whether a scan would find what is there: every file a hit, none gone, and no explicit boundaries to assign anew."""
+    if explicit_boundaries:
+        return False
+    return partition_cache(files, cache, scanner_version, configuration).where("state <> 'hit'").isEmpty() and deleted(files, cache).isEmpty()
+
+
 def audit(requested: DataFrame, received: DataFrame) -> DataFrame:
     """Owners omitted, misattributed or duplicated among contributions: ``owner_key, problem``."""
     asked = requested.select(F.col("relative_path").alias("owner_key")).distinct().withColumn("asked", F.lit(True))
@@ -33,6 +40,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", scan: str = "last_sc
     return new.withColumn("after", F.struct(*columns)).join(before, key, "left").withColumn("write", F.when(F.col("before").isNull(), "insert").when(~F.col("before").eqNullSafe(F.col("after")), "update").otherwise("keep")).drop("before", "after")
 
 
+def insert_or_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both, each once: what is there stays as it is."""
+    return old.unionByName(new).distinct()
+
+
 def pruned(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Keys to delete: there before, not after."""
     return old.join(new, key, "left_anti").select(key)
@@ -97,26 +109,64 @@ def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+class SnapshotError(ValueError):
+    """A snapshot that can't be read: unknown, or not archived completely."""
+
+
 class SnapshotStore:
-    """Snapshots as ``scan_id=`` partitions of Parquet tables; a pointer, written last, makes one visible."""
+    """Snapshots as ``scan_id=`` partitions of Parquet tables.
+
+    A scan is published by a pointer of its own, written last and never changed; the newest pointer tells what is
+    active, so a reader always sees one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write(self, scan_id: str, tables: dict[str, DataFrame], most_rows: int = 200_000) -> bool:
-        """Archives a scan and publishes it; False if a table has too many rows and only the pointer moves."""
-        complete = all(t.limit(most_rows + 1).count() <= most_rows for t in tables.values())
+    def write(self, scan_id: str, tables: dict[str, DataFrame], most_rows: int | None = None) -> bool:
+        """Archives a scan and publishes it.  Only if ``most_rows`` is given may a table have too many; then the pointer moves alone, and False is returned."""
+        complete = most_rows is None or all(t.limit(most_rows + 1).count() <= most_rows for t in tables.values())
         if complete:
             for name, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{self.root}/{name}/scan_id={scan_id}")
-        self.spark.createDataFrame([(scan_id, complete)], "scan_id string, complete boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_active")
+        number = self._pointers().agg(F.max("number")).first()[0]
+        row = [(scan_id, complete, 1 if number is None else number + 1, sorted(tables))]
+        self.spark.createDataFrame(row, "scan_id string, complete boolean, number long, tables array<string>").coalesce(1).write.mode("append").parquet(f"{self.root}/_published")
         return complete
 
+    def _pointers(self) -> DataFrame:
+        schema = "scan_id string, complete boolean, number long, tables array<string>"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_published")
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/_published")
+
+    def snapshots(self) -> DataFrame:
+        """``scan_id, complete, number``: each scan as it was published last."""
+        return self._pointers().groupBy("scan_id").agg(F.max_by("complete", "number").alias("complete"), F.max("number").alias("number"))
+
     def active(self) -> str:
-        return self.spark.read.parquet(f"{self.root}/_active").first()["scan_id"]
+        row = self._pointers().orderBy(F.desc("number")).first()
+        if row is None:
+            raise SnapshotError("no snapshot is published")
+        return row["scan_id"]
 
     def read(self, name: str, scan_id: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/scan_id={scan_id or self.active()}")
+        """A table of a complete snapshot, the active one by default."""
+        scan = scan_id or self.active()
+        row = self._pointers().where(F.col("scan_id") == scan).orderBy(F.desc("number")).first()
+        if row is None:
+            raise SnapshotError(f"snapshot {scan!r} is unknown")
+        if not row["complete"]:
+            raise SnapshotError(f"snapshot {scan!r} is not archived completely")
+        if name not in row["tables"]:
+            raise SnapshotError(f"snapshot {scan!r} has no table {name!r}")
+        return self.spark.read.parquet(f"{self.root}/{name}/scan_id={scan}")
+
+    def tables(self, scan_id: str | None = None) -> list[str]:
+        scan = scan_id or self.active()
+        row = self._pointers().where(F.col("scan_id") == scan).orderBy(F.desc("number")).first()
+        return row["tables"] if row else []
 
 
 def annotate(annotations: DataFrame, canonical_name: str, kind: str, value: str | None, remove: bool = False) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph
-from . import counts, policy, scc, traverse
+from ..storage import stored
+from . import counts, policy, scc, snapshot, traverse
 
 
 def change_impact(g: Graph, symbol: DataFrame, commits: DataFrame, max_depth: int = 4, max_commits: int = 500, kinds: list[str] | None = None) -> DataFrame:
@@ -24,7 +27,7 @@ def direct_nodes(g: Graph, paths: list[str]) -> DataFrame:
     """All components in the changed files."""
     S.between("files", len(paths), 1, 50)
     files = g.files.where(F.col("relative_path").isin(paths)).select(F.col("id").alias("file_id"))
-    return g.nodes.join(F.broadcast(files), "file_id", "left_semi").select("id")
+    return g.nodes.join(files, "file_id", "left_semi").select("id")
 
 
 def changed_files_impact(g: Graph, paths: list[str], max_depth: int = 4, limit: int = 100, kinds: list[str] | None = None) -> DataFrame:
@@ -42,18 +45,25 @@ def test_impact(g: Graph, paths: list[str], max_depth: int = 4, kinds: list[str]
     return named.groupBy("relative_path").agg(F.min("distance").alias("distance"), F.array_join(F.slice(F.array_sort(F.collect_set("display_name")), 1, 3), "|").alias("tests")).orderBy("distance", "relative_path")
 
 
-def review(g: Graph, paths: list[str], policies: list[policy.Policy] | None = None, max_depth: int = 4) -> DataFrame:
-    """What a change touches: ``section, key, detail`` over impact, policy violations and cycles."""
-    direct = direct_nodes(g, paths)
+def review(g: Graph, paths: list[str], policies: list[policy.Policy] | None = None, max_depth: int = 4, baseline: Graph | None = None, budgets: dict[str, int] | None = None) -> DataFrame:
+    """What a change touches: ``section, key, detail`` over impact, policy violations, cycles and the quality gate.
+
+    What can't be judged says why in a row of its own, with an empty key.
+    """
+    direct = stored(direct_nodes(g, paths), "direct")
     parts = [changed_files_impact(g, paths, max_depth).select(F.lit("impact").alias("section"), F.col("id").alias("key"), F.col("distance").cast("string").alias("detail"))]
+    why = lambda section, reason: g.spark.createDataFrame([(section, "", f"not_evaluated: {reason}")], "section string, key string, detail string")
     if policies:
         clash = policy.violations(g, policies)
         touched = clash.join(direct.select(F.col("id").alias("source_id")), "source_id", "left_semi").unionByName(clash.join(direct.select(F.col("id").alias("target_id")), "target_id", "left_semi")).distinct()
         parts.append(touched.select(F.lit("policy").alias("section"), F.col("edge_id").alias("key"), F.concat_ws(":", "policy_id", "reasons").alias("detail")))
     else:
-        parts.append(g.spark.createDataFrame([("policy", "", "not_evaluated: no policies")], "section string, key string, detail string"))
+        parts.append(why("policy", "no policies"))
     parts.append(scc.components(g.following(S.IMPACT_KINDS)).join(direct, "id", "left_semi").select(F.lit("cycle").alias("section"), F.col("id").alias("key"), F.col("component").alias("detail")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if baseline is None:
+        parts.append(why("gate", "no baseline"))
+    else:
+        limits = budgets or {"new_cycles": 0, "hub_degree_growth": 0} | ({"boundary_violations": 0} if policies else {})
+        checked = snapshot.quality_gate(baseline, g, limits, policies or ())
+        parts.append(checked.select(F.lit("gate").alias("section"), F.col("name").alias("key"), F.concat_ws(":", F.when(F.col("passed"), "passed").otherwise("failed"), F.col("actual").cast("string"), F.col("budget").cast("string")).alias("detail")))
+    return reduce(DataFrame.unionByName, parts)

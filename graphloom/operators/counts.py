@@ -33,7 +33,7 @@ def degree(edges: DataFrame) -> DataFrame:
 def separating(g: Graph) -> DataFrame:
     """Each node's boundaries but those that cover the whole repository: ``id, bs``."""
     narrow = g.boundaries.where(~repository_wide()).select(F.col("id").alias("boundary_id"))
-    return g.memberships.join(F.broadcast(narrow), "boundary_id").groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_set("boundary_id")).alias("bs"))
+    return g.memberships.join(narrow, "boundary_id").groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_set("boundary_id")).alias("bs"))
 
 
 def with_boundaries(g: Graph, edges: DataFrame) -> DataFrame:
@@ -58,8 +58,10 @@ def degrees(g: Graph, edges: DataFrame) -> DataFrame:
 
 
 def cohesion(g: Graph, edges: DataFrame) -> DataFrame:
-    """Per boundary the edges at it, counted once, and those within it."""
-    pairs = with_boundaries(g, edges).select(F.coalesce("source_bs", F.array().cast("array<string>")).alias("a"), F.coalesce("target_bs", F.array().cast("array<string>")).alias("b"))
+    """Per boundary, whole-repository ones too, the edges at it, counted once, and those within it."""
+    b = g.memberships.groupBy(F.col("node_id").alias("id")).agg(F.collect_set("boundary_id").alias("bs"))
+    ends = edges.join(b.select(F.col("id").alias("source_id"), F.col("bs").alias("source_bs")), "source_id", "left").join(b.select(F.col("id").alias("target_id"), F.col("bs").alias("target_bs")), "target_id", "left")
+    pairs = ends.select(F.coalesce("source_bs", F.array().cast("array<string>")).alias("a"), F.coalesce("target_bs", F.array().cast("array<string>")).alias("b"))
     each = pairs.select("a", "b", F.explode(F.array_union("a", "b")).alias("boundary_id"))
     inside = F.expr("array_contains(a, boundary_id) AND array_contains(b, boundary_id)")
     return each.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("incident"), F.sum(inside.cast("int")).alias("internal"))

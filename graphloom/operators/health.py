@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..graph import Graph, flag, is_external
+from ..graph import Graph, is_external, is_script
+from ..functions.text import owner_of
+from ..storage import stored
 from . import counts, scc
 from .traverse import closure
 
@@ -15,10 +17,10 @@ CONVENTION_ROLES = S.CONVENTION_ROLES
 
 def _marked(g: Graph) -> DataFrame:
     """Nodes with the reportability predicates as columns."""
-    roles = g.classifications.groupBy(F.col("node_id").alias("id")).agg(F.max((F.col("role") == S.TEST_ROLE).cast("int")).alias("t"), F.max(F.col("role").isin(CONVENTION_ROLES).cast("int")).alias("c"), F.count(F.lit(1)).alias("n_roles"))
+    roles = g.classifications.groupBy(F.col("node_id").alias("id")).agg(F.max((F.col("role") == S.TEST_ROLE).cast("int")).alias("t"), F.max(F.col("role").isin(CONVENTION_ROLES).cast("int")).alias("c"), F.max((F.col("role").startswith("laravel.") | F.col("origin").startswith("framework_")).cast("int")).alias("f"))
     return g.nodes.join(roles, "id", "left").select(
-        "id", "kind", "canonical_name", "display_name", "origin", is_external().alias("external"), (F.coalesce("t", F.lit(0)) == 1).alias("test"),
-        (F.coalesce("c", F.lit(0)) == 1).alias("convention"), (F.coalesce("n_roles", F.lit(0)) > 0).alias("has_role"), flag("executable_script").alias("script"),
+        "id", "kind", "canonical_name", "display_name", g.nodes["origin"], is_external().alias("external"), (F.coalesce("t", F.lit(0)) == 1).alias("test"),
+        (F.coalesce("c", F.lit(0)) == 1).alias("convention"), (F.coalesce("f", F.lit(0)) == 1).alias("framework"), is_script().alias("script"),
     )
 
 
@@ -61,18 +63,22 @@ def owners(g: Graph) -> DataFrame:
     return g.edges.where("kind = 'contains'").groupBy(F.col("target_id").alias("member")).agg(F.max_by("source_id", "id").alias("owner"))
 
 
-def inherited_members(g: Graph, max_depth: int = 20) -> DataFrame:
-    """Members whose owner has an ancestor: ``id, inherited`` (an internal ancestor has a member of that name) and ``external`` (the first external ancestor)."""
-    up = closure(g.edges.where(F.col("kind").isin("implements", "extends", "returns")).select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")), max_depth)
-    own = owners(g)
-    names = g.nodes.select(F.col("id").alias("member"), "display_name")
-    mine = own.join(names, "member").join(up.select(F.col("child").alias("owner"), "ancestor"), "owner")
+def inherited_members(g: Graph, members: DataFrame, max_depth: int = 20) -> DataFrame:
+    """Of ``members`` (``id, display_name, owner``) those whose owner has an ancestor: ``id, inherited`` (an internal ancestor has a member of that name) and ``external`` (the first external ancestor)."""
+    up = closure(g.edges.where(F.col("kind").isin("implements", "extends", "returns")).select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")), max_depth, members.select(F.col("owner").alias("child")))
+    mine = members.join(up.select(F.col("child").alias("owner"), "ancestor"), "owner").select(F.col("id").alias("member"), "display_name", "ancestor")
     kinds = g.nodes.select(F.col("id").alias("ancestor"), is_external().alias("ext"))
-    theirs = own.join(names, "member").select(F.col("owner").alias("ancestor"), "display_name").distinct().withColumn("has", F.lit(True))
-    joined = mine.join(kinds, "ancestor").join(theirs, ["ancestor", "display_name"], "left")
+    theirs = contained_names(g, mine.select(F.col("ancestor").alias("id"))).select(F.col("id").alias("ancestor"), "display_name", F.lit(True).alias("has"))
+    joined = mine.join(kinds, "ancestor", "left").join(theirs, ["ancestor", "display_name"], "left").withColumn("ext", F.coalesce("ext", F.lit(True)))
     return joined.groupBy(F.col("member").alias("id")).agg(F.max(F.coalesce("has", F.lit(False)) & ~F.col("ext")).alias("inherited"), F.min(F.when(F.col("ext"), F.col("ancestor"))).alias("external_ancestor"))
 
 
+def contained_names(g: Graph, owners_: DataFrame) -> DataFrame:
+    """Names of what the owners (``id``) contain: ``id, display_name``."""
+    inside = g.edges.where("kind = 'contains'").join(owners_.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+    return inside.join(g.nodes.select(F.col("id").alias("target_id"), "display_name"), "target_id").select(F.col("source_id").alias("id"), "display_name").distinct()
+
+
 def subtype_member_names(g: Graph) -> DataFrame:
     """Names that direct subtypes of a type have as members: ``id`` of the type, ``display_name``."""
     direct = g.edges.where(F.col("kind").isin(S.INHERITANCE_KINDS)).select(F.col("target_id").alias("id"), F.col("source_id").alias("owner"))
@@ -82,26 +88,27 @@ def subtype_member_names(g: Graph) -> DataFrame:
 def dead_code(g: Graph, kinds: list[str] | None = None, min_confidence: str = "possible", suppress: list[str] | None = None) -> DataFrame:
     """Components without incoming relationships, each with the first reason that clears it, or null for a candidate.
 
-    Columns ``id, canonical_name, reason, confidence``.
+    Inheritance, contracts and the engine's own calls clear methods only.  Candidates come first, so that the walk up the
+    types starts from their owners alone.  Columns ``id, canonical_name, reason, confidence``.
     """
     edges = g.following(S.kinds_of(kinds, S.IMPACT_KINDS), min_confidence)
-    d = counts.degrees(g, edges).select("id", "in_degree", "inheritance_in")
+    d = stored(counts.degrees(g, edges).select("id", "in_degree", "inheritance_in"), "degrees")
     marked = _marked(g).join(d, "id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
-    base = marked.where(F.col("in_degree") == 0).where(F.col("kind").isin(S.CANDIDATE_KINDS)).where("not external and not convention")
+    base = stored(marked.where(F.col("in_degree") == 0).where(F.col("kind").isin(S.CANDIDATE_KINDS)).where("not external and not convention"), "unreferenced")
     marks = g.annotations.where("kind = 'false_positive'").select("canonical_name").distinct().withColumn("fp", F.lit(True))
-    own = owners(g).select(F.col("member").alias("id"), "owner")
-    used = marked.select(F.col("id").alias("owner"), (F.col("in_degree") > F.coalesce("inheritance_in", F.lit(0))).alias("owner_used"), (F.col("in_degree") > 0).alias("owner_referenced"))
+    methods = stored(base.where("kind = 'method'").select("id", "display_name").join(owners(g).withColumnRenamed("member", "id"), "id"), "methods")
+    used = d.select(F.col("id").alias("owner"), (F.col("in_degree") > F.coalesce("inheritance_in", F.lit(0))).alias("owner_used"))
     contract = subtype_member_names(g).select(F.col("id").alias("owner"), "display_name", F.lit(True).alias("in_contract"))
-    rows = (
-        base.join(F.broadcast(marks), "canonical_name", "left").join(own, "id", "left").join(used, "owner", "left")
-        .join(contract, ["owner", "display_name"], "left").join(inherited_members(g), "id", "left")
-    )
+    context = methods.join(used, "owner", "left").join(contract, ["owner", "display_name"], "left").join(inherited_members(g, methods), "id", "left").drop("display_name", "owner")
+    # The engine calls a constructor of a type that something refers to; the type is known by the method's own name.
+    types = g.nodes.groupBy("canonical_name").agg(F.max("id").alias("type_id")).join(d.where("in_degree > 0").select(F.col("id").alias("type_id")), "type_id").select(F.col("canonical_name").alias("type_name"), F.lit(True).alias("type_referenced"))
+    rows = base.withColumn("type_name", F.when(F.col("kind") == "method", owner_of(F.col("canonical_name")))).join(types, "type_name", "left").join(marks, "canonical_name", "left").join(context, "id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     reason = (
         F.when(suppressed("canonical_name", suppress or []), "suppressed").when(yes("fp"), "annotated").when(yes("inherited"), "inherited")
         .when(yes("in_contract") & yes("owner_used"), "contract")
-        .when(((F.col("display_name") == "constructor") | F.col("display_name").startswith("__")) & yes("owner_referenced"), "engine_invoked")
+        .when(((F.col("display_name") == "constructor") | F.col("display_name").startswith("__")) & yes("type_referenced"), "engine_invoked")
         .when(F.col("script"), "executable_script")
     )
-    sure = F.when((F.col("origin") != "ast") | F.col("has_role") | F.col("external_ancestor").isNotNull(), "possible").otherwise("probable")
+    sure = F.when((F.col("origin") != "ast") | F.col("framework") | F.col("external_ancestor").isNotNull(), "possible").otherwise("probable")
     return rows.select("id", "canonical_name", reason.alias("reason"), sure.alias("confidence"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions import text as T
 from ..graph import Graph
 from . import counts
@@ -16,8 +15,8 @@ from . import counts
 NAME, MEMBER, ROLE, PART = 12, 4, 2, 10
 
 
-def suggest(g: Graph, text: str, limit: int = 5, kinds: list[str] | None = None) -> DataFrame:
-    """``id, name, source, score, confidence``; a word matches a token that it starts with."""
+def suggest(g: Graph, text: str, limit: int = 5) -> DataFrame:
+    """``id, name, source, score, confidence``; a word matches a token that it starts with.  Cohesion is over all relationships."""
     if len(text.encode()) > 2000:
         raise ValueError("text is over 2000 bytes")
     asked = g.spark.createDataFrame([(text,)], "t string").select(F.explode(T.tokens(F.col("t"))).alias("token"))
@@ -29,14 +28,14 @@ def suggest(g: Graph, text: str, limit: int = 5, kinds: list[str] | None = None)
 
     by_name = hits(g.boundaries.select("id", "name"), "name").select(F.col("id").alias("boundary_id"), "token")
     member = g.memberships.select(F.col("node_id").alias("id"), "boundary_id")
-    in_nodes = hits(g.nodes.join(member.select("id").distinct(), "id", "left_semi").select("id", "canonical_name"), "canonical_name").join(member, "id")
+    in_nodes = hits(g.nodes.join(member.select("id").distinct(), "id", "left_semi").select("id", F.concat_ws(" ", "canonical_name", "display_name").alias("names")), "names").join(member, "id")
     in_roles = hits(g.classifications.select(F.col("node_id").alias("id"), "role"), "role").join(member, "id")
     names = by_name.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("name_hits"))
     nodes = in_nodes.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("member_hits"))
     roles = in_roles.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("role_hits"))
     matched = by_name.unionByName(in_nodes.select("boundary_id", "token")).unionByName(in_roles.select("boundary_id", "token")).groupBy("boundary_id").agg(F.countDistinct("token").alias("matched"))
     sizes = counts.member_counts(g).select(F.col("id").alias("boundary_id"), F.greatest(F.lit(1), "member_count").alias("n"))
-    held = counts.cohesion(g, g.following(S.kinds_of(kinds, S.IMPACT_KINDS)))
+    held = counts.cohesion(g, g.edges)
     rows = g.boundaries.withColumnRenamed("id", "boundary_id").join(sizes, "boundary_id")
     for part in (names, nodes, roles, matched, held):
         rows = rows.join(part, "boundary_id", "left")

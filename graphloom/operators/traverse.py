@@ -20,16 +20,19 @@ def impact(g: Graph, seeds: DataFrame, max_depth: int = 4, kinds: list[str] | No
 
     ``seeds`` has ``id``.  Distance is the breadth-first level.  ``rank`` is the best over all shortest
     paths of the least confidence along the path; ``via`` is the dependency reached, by best rank and then id.
-    Each level joins only what the last one found, and leaves out what is known.
+    Each level joins only what the last one found, leaves out what is known, and is written, so that the plan stays as
+    long as one level; the walk ends when a level finds nothing.
     """
     S.between("max_depth", max_depth, 1, 8)
-    edges = hops(g, kinds, min_confidence)
-    known = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("via"))
+    edges = stored(hops(g, kinds, min_confidence), "hops")
+    known = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("via")), "level")
     frontier = known
     for depth in range(1, max_depth + 1):
         step = frontier.select("seed", F.col("id").alias("target_id"), F.col("rank").alias("so_far")).join(edges, "target_id").select("seed", F.col("source_id").alias("id"), F.least("rank", "so_far").alias("rank"), F.col("target_id").alias("via"))
         best = step.groupBy("seed", "id").agg(F.max("rank").alias("rank"), F.min_by("via", F.struct(-F.col("rank"), F.col("via"))).alias("via"))
-        frontier = best.join(known.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(depth).alias("distance"), "rank", "via")
+        frontier = stored(best.join(known.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(depth).alias("distance"), "rank", "via"), "level")
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known.where("distance > 0")
 
@@ -46,10 +49,14 @@ def entry_points(g: Graph, found: DataFrame, roles: list[str]) -> DataFrame:
     return found.join(g.nodes.select("id", "kind"), "id").join(by_role, "id", "left").where(F.col("kind").isin(S.ENTRY_KINDS) | F.coalesce("r", F.lit(False))).drop("r")
 
 
-def closure(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Ancestors by ``child, parent``: ``child, ancestor, depth`` with the least depth; ends when a round finds nothing."""
-    step = edges.select("child", "parent").where("child <> parent").distinct()
-    known = step.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+def closure(edges: DataFrame, max_depth: int = 20, start: DataFrame | None = None) -> DataFrame:
+    """Ancestors by ``child, parent``: ``child, ancestor, depth`` with the least depth; ends when a round finds nothing.
+
+    ``start``: the children asked about, all by default.
+    """
+    step = stored(edges.select("child", "parent").where("child <> parent").distinct(), "steps")
+    first = step if start is None else step.join(start.select("child").distinct(), "child", "left_semi")
+    known = first.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     frontier = known
     for depth in range(2, max_depth + 1):
         more = frontier.select("child", F.col("ancestor").alias("mid")).join(step.select(F.col("child").alias("mid"), "parent"), "mid").select("child", F.col("parent").alias("ancestor")).where("child <> ancestor").distinct()
@@ -71,25 +78,35 @@ def endpoints(g: Graph, ids: DataFrame, most: int = 200) -> DataFrame:
 def paths(g: Graph, start: DataFrame, goal: DataFrame, max_depth: int = 6, max_paths: int = 5, kinds: list[str] | None = None, min_confidence: str = "possible", most_states: int | None = None) -> DataFrame:
     """Simple paths from ``start`` to ``goal`` (``id`` each), ranked: ``signature, hops, rank, semantic``.
 
-    Every simple path up to ``max_depth`` is found; a path ends at a goal.  Order: best least confidence, fewer
+    Every simple path up to ``max_depth`` is found; a path ends at a goal.  Distances to the goal are found first, backward,
+    so that no path is followed that can't reach it in the hops left.  Order: best least confidence, fewer
     hops, more semantic edges, signature.  Of parallel edges the best counts.  ``most_states`` fails the call, and
     never cuts the result, when a level grows past it.
     """
     S.between("max_depth", max_depth, 1, 8)
     semantic = F.col("kind").isin(S.SEMANTIC_KINDS).cast("int")
     edges = g.following(S.kinds_of(kinds, S.FLOW_KINDS), min_confidence).groupBy("source_id", "target_id").agg(F.max(F.struct("rank", semantic.alias("semantic"))).alias("best"))
-    edges = edges.select(F.col("source_id").alias("tip"), F.col("target_id").alias("next"), F.col("best.rank").alias("r"), F.col("best.semantic").alias("s"))
+    edges = stored(edges.select(F.col("source_id").alias("tip"), F.col("target_id").alias("next"), F.col("best.rank").alias("r"), F.col("best.semantic").alias("s")), "steps")
+    away = stored(endpoints(g, goal).select(F.col("id").alias("next"), F.lit(0).alias("left")), "distances")
+    level = away
+    for distance in range(1, max_depth):
+        level = stored(edges.join(level.select("next"), "next", "left_semi").select(F.col("tip").alias("next")).distinct().join(away, "next", "left_anti").select("next", F.lit(distance).alias("left")), "distances")
+        if level.isEmpty():
+            break
+        away = away.unionByName(level)
     states = endpoints(g, start).select(F.array("id").alias("path"), F.col("id").alias("tip"), F.lit(3).alias("rank"), F.lit(0).alias("semantic"))
-    ends = endpoints(g, goal).select(F.col("id").alias("next"), F.lit(True).alias("done"))
     out = None
     for depth in range(1, max_depth + 1):
-        moved = states.join(edges, "tip").join(ends, "next", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        moved = states.join(edges, "tip").join(away, "next").where(F.col("left") <= max_depth - depth).withColumn("done", F.col("left") == 0)
         moved = moved.where(F.col("done") | ~F.array_contains("path", F.col("next"))).select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("tip"), F.least("rank", "r").alias("rank"), (F.col("semantic") + F.col("s")).alias("semantic"), "done")
+        moved = stored(moved, "paths")
         if most_states is not None and moved.count() > most_states:
             raise ValueError(f"more than {most_states} paths at depth {depth}")
         hits = moved.where("done").select(F.array_join("path", ">").alias("signature"), F.lit(depth).alias("hops"), "rank", "semantic")
         out = hits if out is None else out.unionByName(hits)
         states = moved.where("not done").drop("done")
+        if states.isEmpty():
+            break
     order = Window.partitionBy("signature").orderBy(F.desc("rank"), F.desc("semantic"))
     once = out.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
     return once.orderBy(F.desc("rank"), "hops", F.desc("semantic"), "signature").limit(max_paths)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .graph import Graph, is_external
-from .operators import counts, health
+from .operators import counts, health, policy
 
 
 @dataclass
@@ -43,6 +43,24 @@ class Envelope:
         return self
 
 
+def next_steps(tool: str, found: Envelope) -> list[str]:
+    """Up to three tools that follow from an answer, with their arguments."""
+    rows = found.data.get("components") or found.data.get("candidates") or found.data.get("hubs") or []
+    name = next((r["canonical_name"] for r in rows if r.get("canonical_name")), None)
+    if tool in ("find_component", "search_architecture"):
+        steps = [f"inspect_component(component={name!r})", f"list_usages(symbol={name!r})"] if name else ["search_architecture with fewer terms"]
+    elif tool == "inspect_component" and "component" in found.data:
+        name = found.data["component"]["canonical_name"]
+        steps = [f"impact_analysis(symbol={name!r})", f"list_usages(symbol={name!r})", f"change_impact(symbol={name!r})"]
+    elif tool == "impact_analysis":
+        steps = ["test_impact for the files of the dependants", "explain_flow from an entry point"] if found.data.get("dependants") else ["dependency_cycles()"]
+    elif tool == "architecture_health":
+        steps = [f"inspect_component(component={name!r})", "dependency_cycles()"] if name else ["architecture_summary()"]
+    else:
+        steps = [f"inspect_component(component={name!r})"] if found.summary == "ambiguous" and name else []
+    return steps[:3]
+
+
 def page(df: DataFrame, limit: int) -> tuple[list[dict], bool]:
     """Rows up to the limit and whether there are more, by asking for one more."""
     rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
@@ -61,10 +79,11 @@ def legend(rows: list[dict], key: str) -> tuple[list[dict], dict[str, dict]]:
     return out, seen
 
 
-def diagram_pool(g: Graph, edges: DataFrame, max_nodes: int = 200) -> DataFrame:
-    """The candidates of a diagram: nodes by degree, ``min(2000, 8 * max_nodes)`` at most."""
-    d = counts.degree(edges)
-    return g.nodes.join(d, "id").select("id", "display_name", "kind", "degree").orderBy(F.desc("degree"), "display_name", "id").limit(min(2000, 8 * max_nodes))
+def diagram_pool(g: Graph, edges: DataFrame, max_nodes: int = 200, boundary: str | None = None) -> DataFrame:
+    """The candidates of a diagram: nodes by degree, those without edges last, and name; ``min(2000, 8 * max_nodes)`` at most.  ``boundary``: the id of the boundary that they belong to."""
+    nodes = g.nodes if boundary is None else g.nodes.join(g.memberships.where(F.col("boundary_id") == boundary).select(F.col("node_id").alias("id")), "id", "left_semi")
+    ranked = nodes.join(counts.degree(edges), "id", "left").select("id", "canonical_name", "display_name", "kind", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return ranked.orderBy(F.desc("degree"), "canonical_name", "id").limit(max(min(2000, 8 * max_nodes), max_nodes + 1))
 
 
 def select_connected(order: list[str], edges: list[tuple[str, str]], most: int) -> list[str]:
@@ -89,12 +108,14 @@ def select_connected(order: list[str], edges: list[tuple[str, str]], most: int)
     return chosen
 
 
-def export_diagram(g: Graph, kinds: list[str] | None = None, min_confidence: str = "possible", max_nodes: int = 200, max_edges: int = 500, form: str = "mermaid", direction: str = "LR") -> str:
-    S.between("max_nodes", max_nodes, 1, 200)
-    if form not in ("mermaid", "plantuml") or direction not in ("LR", "RL", "TB", "BT"):
-        raise ValueError("form is mermaid or plantuml, direction LR, RL, TB or BT")
+def export_diagram(g: Graph, kinds: list[str] | None = None, min_confidence: str = "possible", max_nodes: int = 200, max_edges: int = 500, form: str = "mermaid", direction: str = "LR", boundary: str | None = None) -> str:
+    """A bounded slice of the graph as text.  Only relationships among the pool's few nodes come to the driver, each once."""
+    S.between("max_nodes", max_nodes, 1, 400)
+    S.between("max_edges", max_edges, 1, 1000)
+    if form not in ("mermaid", "plantuml") or direction not in ("LR", "TB"):
+        raise ValueError("form is mermaid or plantuml, direction LR or TB")
     edges = g.following(S.kinds_of(kinds, S.IMPACT_KINDS), min_confidence)
-    pool = diagram_pool(g, edges, max_nodes).collect()
+    pool = diagram_pool(g, edges, max_nodes, policy.resolve_boundary(g, boundary) if boundary is not None else None).collect()
     ids = g.spark.createDataFrame([(r["id"],) for r in pool], "id string")
     inside = edges.join(F.broadcast(ids.select(F.col("id").alias("source_id"))), "source_id", "left_semi").join(F.broadcast(ids.select(F.col("id").alias("target_id"))), "target_id", "left_semi")
     links = [(r[0], r[1], r[2]) for r in inside.select("source_id", "target_id", "kind").distinct().orderBy("source_id", "target_id", "kind").collect()]
@@ -107,7 +128,7 @@ def export_diagram(g: Graph, kinds: list[str] | None = None, min_confidence: str
         lines = [f"flowchart {direction}", *(f'    {alias[n]}["{clean(names[n])}"]' for n in chosen), *(f"    {alias[a]} -->|{k}| {alias[b]}" for a, b, k in kept)]
     else:
         clean = lambda s: s.replace("\\", "\\\\").replace('"', "'")
-        lines = ["@startuml", *(["left to right direction"] if direction in ("LR", "RL") else []), *(f'component "{clean(names[n])}" as {alias[n]}' for n in chosen), *(f"{alias[a]} --> {alias[b]} : {k}" for a, b, k in kept), "@enduml"]
+        lines = ["@startuml", *(["left to right direction"] if direction == "LR" else []), *(f'component "{clean(names[n])}" as {alias[n]}' for n in chosen), *(f"{alias[a]} --> {alias[b]} : {k}" for a, b, k in kept), "@enduml"]
     return "\n".join(lines) + "\n"
 
 

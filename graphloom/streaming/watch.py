@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,6 +24,15 @@ def coalesce(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by("change", F.struct("ts", "seq")).alias("change"), F.count(F.lit(1)).alias("coalesced"))
 
 
+def overflow(changes: DataFrame, most_paths: int) -> DataFrame:
+    """What each batch asks for: ``batch, path, change, full_scan``.  A batch of more than ``most_paths`` paths drops them and asks for a full scan.  ``changes``: batch, path, change, ts, seq."""
+    latest = changes.groupBy("batch", "path").agg(F.max_by("change", F.struct("ts", "seq")).alias("change"))
+    many = latest.groupBy("batch").agg((F.count(F.lit(1)) > most_paths).alias("full_scan"))
+    few = latest.join(many, "batch").where("not full_scan").select("batch", "path", "change", "full_scan")
+    none = F.lit(None).cast("string")
+    return many.where("full_scan").select("batch", none.alias("path"), none.alias("change"), "full_scan").unionByName(few)
+
+
 def backoff(failures: int, poll_seconds: float, most: float = 30.0) -> float:
     """Doubles with each failure in a row."""
     return min(poll_seconds * 2 ** max(0, failures - 1), most)
@@ -57,18 +68,67 @@ class Debounce:
         return out
 
 
-def refresh(source: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str, most_paths: int = 10_000, full_scan: Callable[[int], None] | None = None) -> StreamingQuery:
+class Lifecycle:
+    """What happened to a watch, the first ``most`` events of it."""
+
+    def __init__(self, most: int = 200):
+        self.most, self.events, self.dropped = most, [], 0
+
+    def add(self, event: str, **details: object) -> None:
+        if len(self.events) < self.most:
+            self.events.append({"event": event, **details})
+        else:
+            self.dropped += 1
+
+
+class Terminal(Exception):
+    """A scan failed in a way that trying again can't mend."""
+
+
+@contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[Callable[[], None]]:
+    """Spark jobs started within belong to a group; what is yielded cancels them, from any thread."""
+    spark.sparkContext.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield lambda: spark.sparkContext.cancelJobGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def attempt(scan: Callable[[], None], poll_seconds: float, retries: int = 5, log: Lifecycle | None = None, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Runs a scan, again after a growing wait while it fails; a ``Terminal`` failure, or the last one, goes to the caller."""
+    log = log or Lifecycle()
+    for failures in range(retries + 1):
+        log.add("scan_started", attempt=failures + 1)
+        try:
+            scan()
+        except Terminal as e:
+            log.add("scan_failed", reason=str(e), retry=False)
+            raise
+        except Exception as e:
+            again = failures < retries
+            log.add("scan_failed", reason=type(e).__name__, retry=again)
+            if not again:
+                raise
+            sleep(backoff(failures + 1, poll_seconds))
+        else:
+            log.add("scan_completed", attempt=failures + 1)
+            return
+
+
+def refresh(source: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str, most_paths: int = 10_000, full_scan: Callable[[int], None] | None = None, poll_seconds: float = 1.0, log: Lifecycle | None = None) -> StreamingQuery:
     """Runs ``scan`` on each micro-batch of changes, coalesced by path; a batch of too many paths runs ``full_scan``.
 
-    ``source`` is a stream of path, change, ts and seq.  The checkpoint replays a batch whose scan failed.
+    ``source`` is a stream of path, change, ts and seq.  A scan that fails is tried again, later each time; the
+    checkpoint replays the batch when it fails for good.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         latest = coalesce(batch)
         if full_scan is not None and latest.limit(most_paths + 1).count() > most_paths:
-            full_scan(number)
+            attempt(lambda: full_scan(number), poll_seconds, log=log)
         elif not latest.isEmpty():
-            scan(latest, number)
+            attempt(lambda: scan(latest, number), poll_seconds, log=log)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

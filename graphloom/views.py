@@ -11,9 +11,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .graph import Graph
+from .storage import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark")
 
@@ -27,7 +27,7 @@ FROM documents""",
 SELECT concat('r:', CAST(r_regionkey AS STRING)) AS id, 'php' AS language, 'package' AS kind, concat('geo.', r_name) AS canonical_name, r_name AS display_name,
        CAST(NULL AS STRING) AS parent_id, concat('f:', CAST(r_regionkey AS STRING)) AS file_id, 1 AS start_line, 9 AS end_line, 'config' AS origin, 'certain' AS confidence, '{}' AS attributes_json FROM region
 UNION ALL
-SELECT concat('n:', CAST(n_nationkey AS STRING)), 'php', 'module', concat('geo.', r_name, '.', n_name), n_name, concat('r:', CAST(n_regionkey AS STRING)), concat('f:', CAST(n_nationkey AS STRING)), 1, 20, 'ast', 'certain', '{}'
+SELECT concat('n:', CAST(n_nationkey AS STRING)), 'php', 'module', concat('geo.', r_name, '.', n_name), n_name, concat('r:', CAST(n_regionkey AS STRING)), concat('f:', CAST(n_nationkey AS STRING)), 1, 20, 'ast', 'certain', CASE WHEN n_nationkey % 4 = 0 THEN '{"executable":true}' ELSE '{}' END
 FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL
 SELECT concat('c:', CAST(c_custkey AS STRING)), 'typescript', 'class', concat('crm.', c_mktsegment, '.', c_name), c_name, concat('n:', CAST(c_nationkey AS STRING)), concat('f:', CAST(c_custkey % 200 AS STRING)), 1, 30, 'ast',
@@ -39,7 +39,7 @@ SELECT concat('p:', CAST(p_partkey AS STRING)), CASE WHEN p_partkey % 3 = 0 THEN
        CASE WHEN p_size > 46 THEN 'external_symbol' WHEN p_size = 46 THEN 'route' WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'function' END,
        concat('catalog.', p_brand, '.', p_name, '.', CAST(p_partkey AS STRING)), p_name, CAST(NULL AS STRING), concat('f:', CAST(p_partkey % 200 AS STRING)), 1, p_size,
        CASE WHEN p_size > 46 THEN 'derived' ELSE 'ast' END, CASE WHEN p_size > 46 THEN 'possible' ELSE 'certain' END,
-       CASE WHEN p_size = 10 THEN '{"executable_script":true}' ELSE concat('{"type":"', p_type, '"}') END FROM part
+       concat('{"type":"', p_type, '"}') FROM part
 UNION ALL
 SELECT concat('o:', CAST(o_orderkey AS STRING)), 'typescript', 'method', concat('shop.Order#', CAST(o_orderkey AS STRING)), concat('Order', CAST(o_orderkey AS STRING)), concat('c:', CAST(o_custkey AS STRING)), concat('f:', CAST(o_orderkey % 200 AS STRING)), 1, 5, 'ast',
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'certain' WHEN o_orderpriority = '5-LOW' THEN 'possible' ELSE 'probable' END, '{}' FROM orders""",
@@ -67,7 +67,7 @@ UNION ALL SELECT concat('nn:', source_id, ':', target_id), 'imports', source_id,
 UNION ALL SELECT concat('ps:', CAST(l_partkey AS STRING)), 'implements', concat('p:', CAST(l_partkey AS STRING)), concat('s:', CAST(min(l_suppkey) AS STRING)), 'f:6', 1, 'ast', 'certain' FROM lineitem GROUP BY l_partkey
 UNION ALL SELECT concat('ss:', CAST(s_suppkey AS STRING)), 'extends', concat('s:', CAST(s_suppkey AS STRING)), concat('s:', CAST(CAST(floor(s_suppkey / 3) AS BIGINT) AS STRING)), 'f:7', 1, 'ast', 'certain' FROM supplier WHERE s_suppkey >= 3""",
     "classifications": """
-SELECT concat('p:', CAST(p_partkey AS STRING)) AS node_id, CASE WHEN p_size <= 5 THEN 'quality.test_module' WHEN p_size <= 8 THEN 'application.controller' ELSE 'application.service' END AS role, 'derived' AS origin, 'probable' AS confidence, 'size' AS rule_id FROM part WHERE p_size <= 20
+SELECT concat('p:', CAST(p_partkey AS STRING)) AS node_id, CASE WHEN p_size <= 5 THEN 'quality.test_module' WHEN p_size <= 8 THEN 'application.controller' WHEN p_size = 9 THEN 'application.public_api' WHEN p_size = 10 THEN 'laravel.model' ELSE 'application.service' END AS role, 'derived' AS origin, 'probable' AS confidence, 'size' AS rule_id FROM part WHERE p_size <= 20
 UNION ALL SELECT concat('c:', CAST(c_custkey AS STRING)), concat('crm.', lower(c_mktsegment)), 'derived', 'certain', 'segment' FROM customer WHERE c_acctbal > 5000""",
     "boundaries": """
 SELECT concat('b:', CAST(r_regionkey AS STRING)) AS id, r_name AS name, 'namespace_prefix' AS matcher_type, concat('geo.', r_name) AS matcher_value, 'inferred' AS source FROM region
@@ -80,10 +80,15 @@ UNION ALL SELECT concat('b:', CAST(n_regionkey AS STRING)), concat('s:', CAST(s_
 UNION ALL SELECT concat('b:', p_brand), concat('p:', CAST(p_partkey AS STRING)) FROM part
 UNION ALL SELECT 'b:all', concat('n:', CAST(n_nationkey AS STRING)) FROM nation""",
     "diagnostics": """
-SELECT concat('d:', CAST(event_id AS STRING)) AS id, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, upper(event_type) AS code, props AS message FROM events WHERE event_id % 50 = 0""",
+SELECT concat('d:', CAST(event_id AS STRING)) AS id, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, upper(event_type) AS code, props AS message FROM events""",
     "annotations": """
 SELECT concat('catalog.', p_brand, '.', p_name, '.', CAST(p_partkey AS STRING)) AS canonical_name, CASE p_partkey % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'confirmed_dead' WHEN 2 THEN 'note' ELSE 'intended_boundary' END AS kind, concat('about ', p_name) AS value
 FROM part WHERE p_size = 12""",
+    "paths": """
+SELECT doc_id, concat(source, CASE n_chars % 6 WHEN 0 THEN '/tests' WHEN 1 THEN '/src/tests' WHEN 2 THEN '/__tests__' WHEN 3 THEN '/lib/spec' ELSE '' END, '/', lang, CASE n_chars % 5 WHEN 0 THEN '/test_' ELSE '/d' END, CAST(doc_id AS STRING),
+       CASE n_chars % 7 WHEN 0 THEN '.test' WHEN 1 THEN '_test' WHEN 2 THEN 'test' WHEN 3 THEN 'xTest' WHEN 4 THEN '.config' ELSE '' END,
+       CASE lang WHEN 'en' THEN '.php' WHEN 'de' THEN '.TSX' WHEN 'fr' THEN '' ELSE '.pyi' END) AS path,
+       CASE n_chars % 3 WHEN 0 THEN '#!/usr/bin/env node' WHEN 1 THEN '#!/usr/bin/python3' ELSE substr(text, 1, 20) END AS first_line FROM documents""",
     "commits": """
 SELECT event_id AS commit_id, concat(event_type, '/', CAST(user_id % 20 AS STRING)) AS path, CAST(user_id AS STRING) AS author, ts FROM events""",
     "snap_a": """
@@ -112,13 +117,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text), **used)
 
 
-def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as diagnostics; the view of that name, which the oracles read, keeps one in 50."""
-    k = F.col("event_id") % 3
-    severity = F.when(k == 0, "error").when(k == 1, "warning").otherwise("info")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("d:"), F.col("event_id").cast("string")).alias("id"), severity.alias("severity"), F.upper("event_type").alias("code"), F.col("props").alias("message"))
+#: What a graph is made of.
+TABLES_OF_GRAPH = ("nodes", "edges", "files", "classifications", "boundaries", "memberships", "annotations", "diagnostics")
+_WRITTEN: dict[tuple[str, str], Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    v = {name: view(spark, sf_dir, name) for name in ("nodes", "edges", "files", "classifications", "boundaries", "memberships", "annotations")}
-    return Graph(**v, diagnostics=diagnostics(spark, sf_dir))
+    """The graph of the test tables, written once for each session and folder, edges by kind; queries read what was written."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        v = {name: stored(view(spark, sf_dir, name), name, by="kind" if name == "edges" else None) for name in TABLES_OF_GRAPH}
+        _WRITTEN[key] = Graph(**v)
+    return _WRITTEN[key]
