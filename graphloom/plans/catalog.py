@@ -898,3 +898,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("str_04_event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s: SparkSession, d: str) -> DataFrame:
     return watch.event_windows(s.read.parquet(f"{d}/events.parquet"))
+
+
+from . import parts as parts  # noqa: E402  registers its queries beside these
