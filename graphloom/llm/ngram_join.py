@@ -425,3 +425,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT r, doc_id, len(sh) AS n FROM s), e AS (SELECT r, unnest(sh) AS h FROM s),
+i AS (SELECT a.r AS x, b.r AS y, count(*) AS met FROM e a JOIN e b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM i JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * met >= 80 * (a.n + b.n - met) AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (WITH RECURSIVE c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, u.y FROM c JOIN u ON u.x = c.b) SELECT * FROM c)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(m.doc_id) AS component_id FROM n JOIN c ON c.a = n.r JOIN n m ON m.r = c.b GROUP BY n.r, n.doc_id, n.n
+"""

@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_topk_search": topk_search.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
     "op6_mixing": mixing.SQL,
+    "op7_ngram_jaccard_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -23,8 +23,8 @@ in an independently hashed window, 128 bits in all.
 
 Defined results.  Null texts are empty, and empty or short texts lose nothing.  A row
 repeated as a whole counts as another occurrence, so its text goes if it has ``LENGTH``
-bytes.  Matches never cross texts.  Extra columns are ignored.  Rows are
-told apart by the 64-bit hash of id and text.
+bytes.  Matches never cross texts, and long texts are scanned whole.  An empty table gives an empty result.  Extra columns
+are ignored, whatever their names.  Rows are told apart by id and a 64-bit hash of the text, or two such hashes where the id is null.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from .bytescan import U64, RangeHash, mix, sliding_min, text_buffers
 from .common import stored, table
 
 LENGTH = 200
+#: What tells rows apart.
+ROW = ["ra", "rb"]
 #: Distinct pairs of one anchor rank from which its windows are compared in Spark, not within one task.
 WIDE = 20_000
 _LOW = (1 << 28) - 1
@@ -89,7 +91,7 @@ def _pieces(batch: pa.RecordBatch, length: int):
 
 def anchors(batches: Iterator[pa.RecordBatch], length: int = LENGTH, ranks_only: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column("rk").to_numpy()
+        ra, rb = (batch.column(c).to_numpy() for c in ROW)
         for a, base, data, offsets in _pieces(batch, length):
             if (found := _anchors(data, offsets, length)) is None:
                 continue
@@ -99,24 +101,25 @@ def anchors(batches: Iterator[pa.RecordBatch], length: int = LENGTH, ranks_only:
                 continue
             # start of the first window, offset of the anchor and number of further windows; the last two are below 256
             spot = ((low - offsets[text] + base) << 16) | ((at - low) << 8) | (high - low)
-            yield pa.RecordBatch.from_pydict({"kh": rank.view(np.int64), "hh": cover.view(np.int64), "rk": keys[a + text], "spot": spot})
+            yield pa.RecordBatch.from_pydict({"kh": rank.view(np.int64), "hh": cover.view(np.int64), "ra": ra[a + text], "rb": rb[a + text], "spot": spot})
 
 
 def contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """The bytes under the windows of the anchors asked for."""
     for batch in batches:
         column = batch.column("asked").combine_chunks() if isinstance(batch.column("asked"), pa.ChunkedArray) else batch.column("asked")
-        keys = batch.column("rk")
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ROW), strict=True))
         text = batch.column("text").cast(pa.binary())
-        out: dict[str, list] = {"kh": [], "wide": [], "open": [], "rk": [], "spot": [], "bytes": []}
+        out: dict[str, list] = {"kh": [], "wide": [], "open": [], "ra": [], "rb": [], "spot": [], "bytes": []}
         for i in range(len(column)):
-            raw, key = text[i].as_py() or b"", keys[i].as_py()
+            raw, key = text[i].as_py() or b"", keys[i]
             for ask in column[i].as_py():
                 low, more = ask["spot"] >> 16, ask["spot"] & 255
                 out["kh"].append(ask["kh"])
                 out["wide"].append(ask["wide"])
                 out["open"].append(ask["open"])
-                out["rk"].append(key)
+                out["ra"].append(key[0])
+                out["rb"].append(key[1])
                 out["spot"].append(ask["spot"])
                 out["bytes"].append(raw[low : low + more + length])
             if len(out["kh"]) >= 4096:
@@ -126,8 +129,8 @@ def contexts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterato
             yield pa.RecordBatch.from_pydict(out, schema=_CONTEXT)
 
 
-_CONTEXT = pa.schema([("kh", pa.int64()), ("wide", pa.bool_()), ("open", pa.bool_()), ("rk", pa.int64()), ("spot", pa.int64()), ("bytes", pa.binary())])
-_CONTEXT_DDL = "kh long, wide boolean, open boolean, rk long, spot long, bytes binary"
+_CONTEXT = pa.schema([("kh", pa.int64()), ("wide", pa.bool_()), ("open", pa.bool_()), ("ra", pa.int64()), ("rb", pa.int64()), ("spot", pa.int64()), ("bytes", pa.binary())])
+_CONTEXT_DDL = "kh long, wide boolean, open boolean, ra long, rb long, spot long, bytes binary"
 
 
 def _windows(rows: pa.Table, length: int):
@@ -154,7 +157,7 @@ def _spans(rows: pa.Table, row: np.ndarray, start: np.ndarray, length: int) -> p
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     last = np.append(first[1:], len(row)) - 1
     low = rows.column("spot").to_numpy()[row[first]] >> 16
-    return pa.RecordBatch.from_pydict({"rk": rows.column("rk").to_numpy()[row[first]], "a": low + start[first], "b": low + start[last] + length})
+    return pa.RecordBatch.from_pydict({**{c: rows.column(c).to_numpy()[row[first]] for c in ROW}, "a": low + start[first], "b": low + start[last] + length})
 
 
 def _double(rows: pa.Table, length: int) -> pa.RecordBatch | None:
@@ -208,7 +211,7 @@ def loose(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[p
         rank = mix(hashes.of(at, at + length) + U64(0x94D049BB133111EB) * place)
         low = rows.column("spot").to_numpy() >> 16
         wanted = rows.column("open").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_pydict({"kh": place.view(np.int64), "w": rank.view(np.int64), "rk": rows.column("rk").to_numpy()[row], "low": low[row], "a": low[row] + start, "open": pa.array(wanted[row])})
+        yield pa.RecordBatch.from_pydict({"kh": place.view(np.int64), "w": rank.view(np.int64), **{c: rows.column(c).to_numpy()[row] for c in ROW}, "low": low[row], "a": low[row] + start, "open": pa.array(wanted[row])})
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -242,35 +245,48 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
-    """The texts by row key ``rk``, and the spans ``rk, a, b`` (bytes) that repeats cover."""
+    """The texts by row key ``ra, rb``, and the spans ``ra, rb, a, b`` (bytes) that repeats cover."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    source = docs.select(F.xxhash64("doc_id", text).alias("rk"), "doc_id", text.alias("text"))
-    slim = source.select("rk", "text").where(F.octet_length("text") >= length)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias("ra"), F.xxhash64(text).alias("rb"), "doc_id", text.alias("text"))
+    slim = source.select(*ROW, "text").where(F.octet_length("text") >= length)
     # Written out, so that the join's other side, which may hold a very frequent rank, can be split.
     counts = stored(slim.mapInArrow(lambda it: anchors(it, length, True), "kh long").groupBy("kh").count().where("count > 1").select("kh"), "ranks")
-    found = stored(slim.mapInArrow(lambda it: anchors(it, length), "kh long, hh long, rk long, spot long").join(counts, "kh"), "anchors")
-    pairs = stored(found.groupBy("kh", "hh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "spot")).alias("one")), "pairs")
+    found = stored(slim.mapInArrow(lambda it: anchors(it, length), "kh long, hh long, ra long, rb long, spot long").join(counts, "kh"), "anchors")
+    pairs = stored(found.groupBy("kh", "hh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "spot")).alias("one")), "pairs")
     ranks = pairs.groupBy("kh").agg(F.count(F.lit(1)).alias("pairs"), F.min("n").alias("least")).where("least = 1").select("kh", (F.col("pairs") > wide).alias("wide"))
-    whole = found.join(pairs.where("n > 1").select("kh", "hh"), ["kh", "hh"]).select("rk", F.shiftright("spot", 16).alias("a"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255) + length).alias("b"))
+    whole = found.join(pairs.where("n > 1").select("kh", "hh"), ["kh", "hh"]).select(*ROW, F.shiftright("spot", 16).alias("a"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255) + length).alias("b"))
     asked = (
-        pairs.join(ranks, "kh").select(F.col("one.rk").alias("rk"), F.struct("kh", "wide", (F.col("n") == 1).alias("open"), F.col("one.spot").alias("spot")).alias("ask"))
-        .groupBy("rk").agg(F.collect_list("ask").alias("asked"))
+        pairs.join(ranks, "kh").select("one.ra", "one.rb", F.struct("kh", "wide", (F.col("n") == 1).alias("open"), F.col("one.spot").alias("spot")).alias("ask"))
+        .groupBy(*ROW).agg(F.collect_list("ask").alias("asked"))
     )
-    edges = stored(source.join(asked, "rk").mapInArrow(lambda it: contexts(it, length), _CONTEXT_DDL), "edges")
+    edges = stored(source.join(asked, ROW).mapInArrow(lambda it: contexts(it, length), _CONTEXT_DDL), "edges")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = edges.where("not wide").repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(lambda it: settle(it, length), "rk long, a long, b long")
-    single = edges.where("wide").mapInArrow(lambda it: loose(it, length), "kh long, w long, rk long, low long, a long, open boolean")
+    near = edges.where("not wide").repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(lambda it: settle(it, length), "ra long, rb long, a long, b long")
+    single = edges.where("wide").mapInArrow(lambda it: loose(it, length), "kh long, w long, ra long, rb long, low long, a long, open boolean")
     twice = single.groupBy("kh", "w").count().where("count > 1").select("kh", "w")
-    far = single.where("open").join(twice, ["kh", "w"]).groupBy("rk", "low").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).select("rk", "a", "b")
+    far = single.where("open").join(twice, ["kh", "w"]).groupBy(*ROW, "low").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).select(*ROW, "a", "b")
     return source, whole.unionByName(near).unionByName(far)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the bytes ``kept``."""
     source, spans = repeated_spans(docs, length, wide)
-    by_row = spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return source.join(by_row, "rk", "left").select("doc_id", "text", "spans").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    by_row = spans.groupBy(*ROW).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return source.join(by_row, ROW, "left").select("doc_id", "text", "spans").mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, s, substr(h, 2 * s + 1, 2400) AS piece, CAST(length(h) / 2 AS BIGINT) AS n FROM (SELECT r, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT), 1000)) AS s FROM d) q),
+p AS (SELECT r, s, piece, n, unnest(range(least(1000, n - s))) AS j FROM c),
+w AS (SELECT r, s + j AS i, substr(piece, 2 * j + 1, 2) AS x, CASE WHEN s + j + 200 <= n THEN md5(substr(piece, 2 * j + 1, 400)) END AS k FROM p),
+f AS (SELECT r, i, x, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS f FROM w),
+g AS (SELECT r, i, x, max(f) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM f),
+a AS (SELECT *, CASE WHEN gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY i) = 0 THEN 1 ELSE 0 END AS starts FROM g),
+t AS (SELECT r, CAST(count(*) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(starts) AS BIGINT) AS n_spans, string_agg(CASE WHEN gone = 0 THEN x END, '' ORDER BY i) AS kept FROM a GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""

@@ -178,7 +178,11 @@ def test_repeats_are_removed_to_the_byte(spark, awkward, empty, wide):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(suffix_dedup.remove_repeats(docs, wide=wide).drop("kept").collect())
     assert [tuple(r)[1:] for r in got] == plain_removal(texts, 200)
-    assert suffix_dedup.remove_repeats(awkward).count() == len(awkward_rows()) and suffix_dedup.remove_repeats(empty).count() == 0
+    # Rows that repeat id and text, and rows without id, each by its own text.
+    own = [(r[0], r[1]) for r in awkward_rows()]
+    want = [(i, *x) for (i, _), x in zip(own, plain_removal([t for _, t in own], 200), strict=True)]
+    assert sorted(map(str, (tuple(r) for r in suffix_dedup.remove_repeats(awkward, wide=wide).drop("kept").collect()))) == sorted(map(str, want))
+    assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
 def test_a_long_text_is_scanned_in_parts():
@@ -188,13 +192,35 @@ def test_a_long_text_is_scanned_in_parts():
     whole = suffix_dedup._anchors(data, np.array([0, len(data)]), 200)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"rk": pa.array([1], pa.int64()), "text": pa.array([text.decode()])})
+    batch = pa.RecordBatch.from_pydict({"ra": pa.array([1], pa.int64()), "rb": pa.array([1], pa.int64()), "text": pa.array([text.decode()])})
     parts = [b for b in suffix_dedup.anchors(iter([batch]))]
     spots = np.concatenate([b.column("spot").to_numpy() for b in parts])
     windows = sum((int(s) & 255) + 1 for s in spots)
     assert windows == len(data) - 199 == sum(whole[3] - whole[2] + 1)
 
 
+def test_texts_of_a_megabyte_are_taken_whole(spark, library):
+    """What decides stands at the very end of the text."""
+    rnd = random.Random(21)
+    body = prose(rnd, 160_000)
+    assert len(body) > 1_000_000
+    text = body + " password = 'abcdefghijklmnop' You are an idiot and a moron, you worthless scum."
+    docs = spark.createDataFrame([(1, text, "en", "a", None), (2, body, "en", "a", None), (3, "short", "en", "b", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r["doc_id"]: r["n_assign"] for r in secret_scan.secrets(docs).collect()}
+    assert spans == {1: 1, 2: 0, 3: 0}
+    ids = library.encode(text, add_special_tokens=False).ids
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in bpe.round_trip(docs).collect()}
+    assert got[1] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    assert packing.packed(docs.where("doc_id = 1")).agg(F.sum("n_tokens")).first()[0] == len(ids)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, toxicity.Model({}, *toxicity.PRIOR)).collect()}
+    assert scored[1] > scored[2] == scored[3]
+    sizes = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert sizes == {1: (len(shingle_set(text)), 1), 2: (len(shingle_set(body)), 1), 3: (1, 3)}
+    assert {r["doc_id"]: r["size"] for r in mixing.mixed(docs).collect()}[1] == len(WORD.findall(text))
+    model = language_id.Model(["en"], np.ones(language_id.BUCKETS), np.ones((language_id.BUCKETS, 1)), np.zeros(1), 1.0)
+    assert {r["lang_pred"] for r in language_id.predictions(docs, model).collect()} == {"en"}
+
+
 # --- search -----------------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +237,10 @@ def test_top_k_is_exact_with_ties(spark):
     want = {i: sorted(((j, int(q[i] @ q[j])) for j in q if j != i), key=lambda p: (-p[1], p[0]))[:20] for i in q if i % 20 == 0}
     assert dict(got) == want
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
+    # Columns that clash with names used inside, and an id that comes twice.
+    twice = df.where("vec_id < 40").unionByName(df.where("vec_id = 20")).selectExpr("*", "'x' AS q", "'x' AS block", "1 AS kind", "2 AS score")
+    again = topk_search.top_k(twice, twice.where("vec_id = 20")).orderBy("rank").collect()
+    assert all(r["query_id"] == 20 and r["vec_id"] != 20 for r in again) and [(r["vec_id"], r["score"]) for r in again] == sorted(((j, int(q[20] @ q[j])) for j in range(40) if j != 20), key=lambda p: (-p[1], p[0]))[:20]
 
 
 # --- secrets ------------------------------------------------------------------------------------------------------------------
@@ -566,3 +596,5 @@ def test_pipeline_stages_against_plain_versions(spark, awkward):
     assert p.run(spark, d).count() == mixed.count()
     for name, stage in p.STAGES[:-1]:
         assert stage(spark, awkward, d).columns == awkward.columns, name
+        assert stage(spark, awkward.limit(0), d).count() == 0, name
+    assert p.STAGES[-1][1](spark, awkward.limit(0), d).count() == 0
