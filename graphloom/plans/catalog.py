@@ -658,7 +658,15 @@ def _(g: Graph) -> DataFrame:
     return snapshot.quality_gate(_baseline(g), g, LIMITS, POLICIES)
 
 
-@on_graph("rev_01_review_diff")
+@on_graph("rev_01_review_diff", f"""
+WITH {bfs(DIRECT, 2)}, direct AS ({DIRECT}), one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, seed) AS k FROM reached),
+impact AS (SELECT one.id, distance FROM one JOIN nodes n ON n.id = one.id WHERE k = 1 ORDER BY distance, canonical_name, one.id LIMIT 100),
+{VIOLATIONS}, {gate_metrics('a', OLD_NODES.replace('ends_with', 'suffix'), OLD_EDGES.replace('ends_with', 'suffix'))}, {gate_metrics('b', 'SELECT * FROM nodes', 'SELECT * FROM edges')},
+checks AS (SELECT 'new_cycles' AS name, CAST(greatest(0, b.cycles - a.cycles) AS BIGINT) AS actual FROM ametrics a, bmetrics b UNION ALL SELECT 'hub_degree_growth', greatest(0, b.max_degree - a.max_degree) FROM ametrics a, bmetrics b UNION ALL SELECT 'boundary_violations', count(*) FROM v WHERE d OR o)
+SELECT 'impact' AS section, id AS key, CAST(distance AS STRING) AS detail FROM impact
+UNION ALL SELECT DISTINCT 'policy', edge_id, policy_id || ':' || concat_ws(',', CASE WHEN d THEN 'denied_target' END, CASE WHEN o THEN 'target_not_allowed' END) FROM v WHERE (d OR o) AND (source_id IN (SELECT id FROM direct) OR target_id IN (SELECT id FROM direct))
+UNION ALL SELECT 'cycle', id, component FROM bmutual WHERE id IN (SELECT id FROM direct)
+UNION ALL SELECT 'gate', name, CASE WHEN actual <= 0 THEN 'passed' ELSE 'failed' END || ':' || CAST(actual AS STRING) || ':0' FROM checks""")
 def _(g: Graph) -> DataFrame:
     return change.review(g, PATHS, POLICIES, 2, _baseline(g))
 
@@ -674,7 +682,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
-@on_graph("loc_01_suggest_location")
+def identifier_words(text: str) -> str:
+    return rf"string_split_regex(lower(regexp_replace(regexp_replace({text}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+')"
+
+
+def matches(text: str) -> str:
+    return f"len(list_filter({identifier_words(text)}, lambda w: starts_with(w, t))) > 0"
+
+
+@on_graph("loc_01_suggest_location", f"""
+WITH tok AS (SELECT unnest(['controller', 'service', 'brand', 'asia', 'geo', 'module', 'india']) AS t), {COHESION},
+by_name AS (SELECT b.id AS boundary_id, t FROM boundaries b, tok WHERE {matches('b.name')}),
+node_hits AS (SELECT n.id, t FROM nodes n, tok WHERE n.id IN (SELECT node_id FROM memberships) AND {matches("n.canonical_name || ' ' || n.display_name")}), by_member AS (SELECT boundary_id, id, t FROM node_hits JOIN memberships ON node_id = id),
+role_hits AS (SELECT DISTINCT node_id AS id, t FROM classifications, tok WHERE {matches('role')}), by_role AS (SELECT boundary_id, id, t FROM role_hits JOIN memberships ON node_id = id),
+every_ AS (SELECT boundary_id, count(DISTINCT t) AS matched FROM (SELECT boundary_id, t FROM by_name UNION ALL SELECT boundary_id, t FROM by_member UNION ALL SELECT boundary_id, t FROM by_role) q GROUP BY boundary_id),
+size_ AS (SELECT b.id, greatest(1, count(m.node_id)) AS n FROM boundaries b LEFT JOIN memberships m ON m.boundary_id = b.id GROUP BY b.id)
+SELECT b.id, b.name, b.source, round(12.0 * (SELECT count(*) FROM by_name x WHERE x.boundary_id = b.id) + round(10 * (4.0 * (SELECT count(*) FROM by_member x WHERE x.boundary_id = b.id) / n), 3) + round(10 * (2.0 * (SELECT count(*) FROM by_role x WHERE x.boundary_id = b.id) / n), 3)
+  + round(10 * coalesce(CAST(internal AS DOUBLE) / incident, 0.0), 3), 3) AS score, CASE WHEN matched >= 2 THEN 'probable' ELSE 'possible' END AS confidence
+FROM boundaries b JOIN size_ USING (id) JOIN every_ v ON v.boundary_id = b.id LEFT JOIN cohesion c ON c.boundary_id = b.id ORDER BY score DESC, b.source, b.name, b.id LIMIT 5""")
 def _(g: Graph) -> DataFrame:
     return location.suggest(g, "A controller service for brand 12 in Asia, geo module INDIA")
 
