@@ -31,4 +31,6 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Reading puts the column that parts the files last.
+    return out.select(*[f"`{c}`" for c in df.columns]) if by else out
