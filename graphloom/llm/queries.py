@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fill_in_middle, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, topk_search, toxicity
+from . import bpe, exact_dedup, fill_in_middle, language_id, mixing, ngram_join, packing, secret_scan, suffix_dedup, topk_search, toxicity, vector_packing, whitening
 
 QUERIES = {
     "op4_packing": packing.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op7_ngram_jaccard_join": ngram_join.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_vector_packing": vector_packing.query,
     "op12_fill_in_middle": fill_in_middle.query,
+    "op13_whitening": whitening.query,
 }
 
 SQL = {
