@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id, tail
-from ..operators.traverse import closure
 from ..storage import stored
+from . import resolution
 from .contributions import numbered
 
-TYPE_KINDS = ["class", "interface", "trait", "enum"]
+
+NODE_COLUMNS = ["id", "language", "kind", "canonical_name", "display_name", "origin", "confidence", "file", "start_line", "end_line", "attributes"]
+EDGE_COLUMNS = ["id", "kind", "source_id", "target_id", "file", "start_line", "origin", "confidence"]
 
 
 def explode_contributions(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -26,14 +28,30 @@ def reference(language: str, kind: str, name: str) -> Column:
     return F.concat_ws(":", F.col(language), F.col(kind), F.col(name))
 
 
-def collect_nodes(nodes: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
-    """The first declaration of each id, by file and place, and a warning for each id that another file declares again."""
-    ids = nodes.withColumn("id", stable_id("symbol", F.lit(project), F.col("language"), F.col("kind"), F.col("canonical_name"))).withColumn("ref", reference("language", "kind", "canonical_name"))
+def identified(nodes: DataFrame, project: str) -> DataFrame:
+    return nodes.withColumn("id", stable_id("symbol", F.lit(project), F.col("language"), F.col("kind"), F.col("canonical_name"))).withColumn("ref", reference("language", "kind", "canonical_name"))
+
+
+def ranked_nodes(nodes: DataFrame) -> DataFrame:
+    """Declarations of each id in order of file and place (``k``), with the file of the first."""
     order = Window.partitionBy("id").orderBy("file", "place")
-    ranked = ids.withColumn("k", F.row_number().over(order)).withColumn("first_file", F.first("file").over(order))
+    return nodes.withColumn("k", F.row_number().over(order)).withColumn("first_file", F.first("file").over(order))
+
+
+def duplicates(ranked: DataFrame) -> DataFrame:
+    """Ids that another file declares again: ``id, name``."""
     again = ranked.where((F.col("k") > 1) & (F.col("file") != F.col("first_file")) & (F.col("kind") != "package") & ~F.col("kind").startswith("external_"))
-    warnings = again.groupBy("id").agg(F.min("canonical_name").alias("name")).select(F.lit("warning").alias("severity"), F.lit("duplicate_symbol_evidence").alias("code"), F.col("name").alias("message"))
-    return ranked.where("k = 1").drop("k", "first_file", "place"), warnings
+    return again.groupBy("id").agg(F.min("canonical_name").alias("name"))
+
+
+def duplicate_warnings(again: DataFrame) -> DataFrame:
+    return again.select(F.lit("warning").alias("severity"), F.lit("duplicate_symbol_evidence").alias("code"), F.col("name").alias("message"))
+
+
+def collect_nodes(nodes: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """The first declaration of each id, by file and place, and a warning for each id that another file declares again."""
+    ranked = ranked_nodes(identified(nodes, project))
+    return ranked.where("k = 1").drop("k", "first_file", "place"), duplicate_warnings(duplicates(ranked))
 
 
 def local_conflicts(nodes: DataFrame) -> DataFrame:
@@ -41,83 +59,19 @@ def local_conflicts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file", "local_id").agg(F.countDistinct("kind", "canonical_name").alias("n")).where("n > 1")
 
 
-def well_formed(ref: Column) -> Column:
-    parts = F.split(ref, ":", 3)
-    return (F.size(parts) == 3) & ~F.exists(parts, lambda p: p == "")
-
-
-def resolve_targets(edges: DataFrame, nodes: DataFrame, max_depth: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Edges with the id of what they point at, and warnings for references that aren't any.
-
-    In order: the reference itself; the same name as another kind of type; a member inherited from the
-    nearest ancestor (traits before parents before interfaces at equal depth); else an external node.
-    Kind ``namespaced_function`` is the namespace's function if that is declared, and else the global one, declared or not.
-    Kind ``method_of_return`` is a member of what the named call returns, and is dropped if that isn't known.
-    """
-    edges = returned_members(edges, max_depth)
-    bad = edges.where(~well_formed(F.col("target"))).select(F.lit("warning").alias("severity"), F.lit("unresolvable_reference").alias("code"), F.col("target").alias("message")).distinct()
-    good = edges.where(well_formed(F.col("target")))
-    parts = F.split("target", ":", 3)
-    good = good.withColumns({"t_lang": parts[0], "t_kind": parts[1], "t_name": parts[2]})
-    known = nodes.select("ref", F.col("id").alias("hit"))
-    exact = good.join(known.select(F.col("ref").alias("target"), F.col("hit").alias("exact")), "target", "left")
-    types = nodes.where(F.col("kind").isin(TYPE_KINDS)).select(F.col("language").alias("t_lang"), F.col("canonical_name").alias("t_name"), "id", F.array_position(F.array(*[F.lit(k) for k in TYPE_KINDS]), F.col("kind")).alias("place"))
-    alias = types.groupBy("t_lang", "t_name").agg(F.min_by("id", "place").alias("alias"))
-    aliased = exact.join(alias, ["t_lang", "t_name"], "left").withColumn("alias", F.when(F.col("t_kind").isin(TYPE_KINDS), F.col("alias")))
-    global_ = nodes.where("kind = 'function'").select(F.col("language").alias("t_lang"), F.col("canonical_name").alias("g_name"), F.col("id").alias("global"))
-    named = aliased.withColumn("g_name", F.when(F.col("t_kind") == "namespaced_function", F.element_at(F.split("t_name", r"\\"), -1))).join(global_, ["t_lang", "g_name"], "left")
-    own = nodes.where("kind = 'function'").select(F.col("language").alias("t_lang"), F.col("canonical_name").alias("t_name"), F.col("id").alias("namespaced"))
-    named = named.join(own, ["t_lang", "t_name"], "left").withColumn("namespaced", F.when(F.col("t_kind") == "namespaced_function", F.col("namespaced")))
-    # A function that neither the namespace nor the global scope declares is an external one of its bare name.
-    plain = F.col("t_kind") == "namespaced_function"
-    named = named.withColumn("x_kind", F.when(plain, "function").otherwise(F.col("t_kind"))).withColumn("x_name", F.when(plain, F.col("g_name")).otherwise(F.col("t_name")))
-    inherited = inherited_hits(edges, nodes, max_depth)
-    out = named.join(inherited, ["t_lang", "t_name"], "left").withColumn("inherited", F.when(F.col("t_kind") == "method", F.col("inherited")))
-    resolved = F.coalesce("exact", "alias", "namespaced", "global", "inherited")
-    external = stable_id("symbol", F.lit("external"), F.col("t_lang"), F.concat(F.lit("external_"), F.col("x_kind")), F.col("x_name"))
-    done = out.withColumn("target_id", F.coalesce(resolved, F.when(~F.col("deferred"), external))).where("target_id is not null").withColumn("external", resolved.isNull())
-    return done.drop("exact", "alias", "namespaced", "global", "inherited", "g_name", "t_kind", "t_name", "deferred").withColumnsRenamed({"x_kind": "t_kind", "x_name": "t_name"}), bad
-
-
-def returned_members(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``edges`` with each ``method_of_return`` target, ``Type::call::member``, turned into the member of the type that the call returns.
-
-    The return type is that of the call's own ``returns`` relationship, the first one told, or of the nearest ancestor
-    that has one.  Targets whose return type isn't known are left out; ``deferred`` marks those that were turned.
-    """
-    waiting = F.col("target").contains(":method_of_return:")
-    plain = edges.where(~waiting).withColumn("deferred", F.lit(False))
-    parts = F.split("target", ":", 3)
-    asked = edges.where(waiting).withColumns({"r_lang": parts[0], "r_call": F.regexp_extract(parts[2], r"^(.+)::([^:]+)$", 1), "r_member": F.regexp_extract(parts[2], r"^(.+)::([^:]+)$", 2)}).where("r_call <> '' and r_member <> ''")
-    if asked.isEmpty():
-        return plain
-    told = edges.where("kind = 'returns'").groupBy("source").agg(F.min_by("target", F.struct("file", "place")).alias("returned"))
-    told = told.select(F.split("source", ":", 3)[0].alias("r_lang"), F.split("source", ":", 3)[2].alias("r_call"), F.split("returned", ":", 3)[2].alias("returned")).where("returned <> ''")
-    near = nearest_ancestors(edges, max_depth)
-    owner, call = F.regexp_extract("r_call", r"^(.+)::([^:]+)$", 1), F.regexp_extract("r_call", r"^(.+)::([^:]+)$", 2)
-    above = told.select("r_lang", owner.alias("ancestor"), call.alias("call"), "returned").where("ancestor <> ''").join(near, "ancestor")
-    by_ancestor = above.select("r_lang", F.concat("child", F.lit("::"), "call").alias("r_call"), F.struct("depth", "o", "ancestor").alias("near"), "returned").groupBy("r_lang", "r_call").agg(F.min_by("returned", "near").alias("inherited_return"))
-    known = asked.join(told, ["r_lang", "r_call"], "left").join(by_ancestor, ["r_lang", "r_call"], "left").withColumn("returned", F.coalesce("returned", "inherited_return")).where("returned is not null")
-    turned = known.withColumn("target", F.concat("r_lang", F.lit(":method:"), "returned", F.lit("::"), "r_member")).withColumn("deferred", F.lit(True))
-    return plain.unionByName(turned.select(*plain.columns))
-
-
-def nearest_ancestors(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``child, ancestor, depth, o``: at equal depth traits come before parents and those before interfaces."""
-    order = F.when(F.col("kind") == "uses_trait", 0).when(F.col("kind") == "extends", 1).otherwise(2)
-    name = lambda c: F.split(c, ":", 3)[2]
-    up = edges.where(F.col("kind").isin("uses_trait", "extends", "implements")).select(name("source").alias("child"), name("target").alias("parent"), order.alias("o")).groupBy("child", "parent").agg(F.min("o").alias("o"))
-    ancestors = closure(up.select("child", "parent"), max_depth)
-    return ancestors.join(up.select("child", F.col("parent").alias("ancestor"), "o"), ["child", "ancestor"], "left").withColumn("o", F.coalesce("o", F.lit(3)))
-
-
-def inherited_hits(edges: DataFrame, nodes: DataFrame, max_depth: int = 20) -> DataFrame:
-    """For ``Type::member`` names: the member of the nearest ancestor that has it (``t_lang, t_name, inherited``)."""
-    sep = r"^(.+)(::|\.|#)([^:.#]+)$"
-    first = nearest_ancestors(edges, max_depth)
-    members = nodes.where(F.col("kind") == "method").select(F.col("language").alias("t_lang"), F.regexp_extract("canonical_name", sep, 1).alias("ancestor"), F.regexp_extract("canonical_name", sep, 2).alias("sep"), F.regexp_extract("canonical_name", sep, 3).alias("member"), "id")
-    hits = first.join(members, "ancestor").select("t_lang", F.concat("child", "sep", "member").alias("t_name"), F.struct("depth", "o", "ancestor").alias("near"), "id")
-    return hits.groupBy("t_lang", "t_name").agg(F.min_by("id", "near").alias("inherited"))
+def resolve_targets(edges: DataFrame, nodes: DataFrame, max_depth: int = resolution.MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Edges with the id of what they point at, and warnings for references that aren't any; ``resolution`` says how."""
+    refs, _ = resolution.resolve_references(edges, resolution.Known.of(edges, nodes), max_depth)
+    return pointed(edges, stored(refs, "resolved"))
+
+
+def pointed(edges: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges by the references' decisions, and a warning for each reference that isn't one."""
+    return edges.join(refs.where("target_id IS NOT NULL").drop("status"), "target"), bad_references(refs)
+
+
+def bad_references(refs: DataFrame) -> DataFrame:
+    return refs.where("status = 'malformed'").select(F.lit("warning").alias("severity"), F.lit("unresolvable_reference").alias("code"), F.col("target").alias("message"))
 
 
 def external_nodes(edges: DataFrame) -> DataFrame:
@@ -157,7 +111,7 @@ def reconcile(contributions: DataFrame, files: DataFrame, project: str, discover
         raise ValueError(f"edge source {bad[0]['source']!r} is missing")
     resolved, bad_refs = resolve_targets(stored(with_source, "edges"), first)
     kept = stored(collapse_edges(resolved, project), "edges")
-    all_nodes = first.select("id", "language", "kind", "canonical_name", "display_name", "origin", "confidence", "file", "start_line", "end_line", "attributes").unionByName(external_nodes(kept), allowMissingColumns=True)
+    all_nodes = first.select(*NODE_COLUMNS).unionByName(external_nodes(kept), allowMissingColumns=True)
     owned = lambda df: df if "owner_key" in df.columns else df.withColumn("owner_key", F.lit(None).cast("string"))
     diagnostics = numbered({"scanner": told.withColumnRenamed("file", "owner_key"), "discovery": owned(discovery) if discovery is not None else owned(told.limit(0).drop("file")), "reconciler": owned(warnings.unionByName(bad_refs))})
-    return {"nodes": all_nodes, "edges": kept.select("id", "kind", "source_id", "target_id", "file", "start_line", "origin", "confidence"), "diagnostics": diagnostics}
+    return {"nodes": all_nodes, "edges": kept.select(*EDGE_COLUMNS), "diagnostics": diagnostics}

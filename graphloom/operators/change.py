@@ -32,14 +32,15 @@ def direct_nodes(g: Graph, paths: list[str]) -> DataFrame:
 
 def changed_files_impact(g: Graph, paths: list[str], max_depth: int = 4, limit: int = 100, kinds: list[str] | None = None) -> DataFrame:
     """Dependants of any changed component at their smallest distance: ``id, canonical_name, distance, seed``."""
-    found = traverse.nearest(traverse.impact(g, direct_nodes(g, paths), max_depth, kinds))
+    found = traverse.nearest_impact(g, direct_nodes(g, paths), max_depth, kinds)
     return found.join(g.nodes.select("id", "canonical_name"), "id").select("id", "canonical_name", "distance", "seed").orderBy("distance", "canonical_name", "id").limit(limit)
 
 
 def test_impact(g: Graph, paths: list[str], max_depth: int = 4, kinds: list[str] | None = None) -> DataFrame:
     """Test files to run: least distance and the first three test names of each."""
     direct = direct_nodes(g, paths)
-    reached = traverse.impact(g, direct, max_depth, kinds).select("id", "distance").unionByName(direct.select("id", F.lit(0).alias("distance")))
+    # Seeds count at distance 0 anyway.
+    reached = traverse.nearest_impact(g, direct, max_depth, kinds, labels=1).select("id", "distance").unionByName(direct.select("id", F.lit(0).alias("distance")))
     tests = g.classifications.where(F.col("role") == S.TEST_ROLE).select(F.col("node_id").alias("id"))
     named = reached.join(tests, "id", "left_semi").join(g.nodes.select("id", "display_name", "file_id"), "id").join(g.files.select(F.col("id").alias("file_id"), "relative_path"), "file_id")
     return named.groupBy("relative_path").agg(F.min("distance").alias("distance"), F.array_join(F.slice(F.array_sort(F.collect_set("display_name")), 1, 3), "|").alias("tests")).orderBy("distance", "relative_path")

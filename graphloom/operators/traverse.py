@@ -43,6 +43,34 @@ def nearest(found: DataFrame) -> DataFrame:
     return found.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
+def nearest_impact(g: Graph, seeds: DataFrame, max_depth: int = 4, kinds: list[str] | None = None, min_confidence: str = "possible", labels: int = 2) -> DataFrame:
+    """What ``nearest(impact(...))`` gives, without a row for each seed and component: ``id, seed, distance, rank, via``.
+
+    All seeds go at once, and a component keeps its ``labels`` nearest seeds, by distance and then id.  One label
+    is enough for components that aren't seeds: whatever lies on a shortest way from a component's nearest
+    seed has that seed as its own nearest.  A seed is nearest to itself, so what depends on which other seed takes
+    a second label; where seeds among the dependants don't matter, ``labels=1`` leaves them out.
+    """
+    S.between("max_depth", max_depth, 1, 8)
+    S.between("labels", labels, 1, 2)
+    edges = stored(hops(g, kinds, min_confidence), "hops")
+    known = stored(seeds.select("id").distinct().select("id", F.col("id").alias("seed"), F.lit(0).alias("distance"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("via")), "labels")
+    frontier = known
+    for depth in range(1, max_depth + 1):
+        step = frontier.select("seed", F.col("id").alias("target_id"), F.col("rank").alias("so_far")).join(edges, "target_id").select("seed", F.col("source_id").alias("id"), F.least("rank", "so_far").alias("rank"), F.col("target_id").alias("via"))
+        best = step.groupBy("id", "seed").agg(F.max("rank").alias("rank"), F.min_by("via", F.struct(-F.col("rank"), F.col("via"))).alias("via"))
+        # No more seeds than labels are held.
+        held = known.groupBy("id").agg(F.collect_set("seed").alias("held"))
+        fresh = best.join(held, "id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>"))).where((F.size("held") < labels) & ~F.array_contains("held", F.col("seed")))
+        first = fresh.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("seed"))).where(F.col("k") <= labels).where(F.col("k") <= labels - F.size("held"))
+        frontier = stored(first.select("id", "seed", F.lit(depth).alias("distance"), "rank", "via"), "labels")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    label = F.struct("distance", "seed", "rank", "via")
+    return known.where("distance > 0").groupBy("id").agg(F.min(label).alias("label")).select("id", "label.seed", "label.distance", "label.rank", "label.via")
+
+
 def entry_points(g: Graph, found: DataFrame, roles: list[str]) -> DataFrame:
     """Dependants that start something: routes and commands, or nodes of an entry role."""
     by_role = g.classifications.where(F.col("role").isin(roles)).select(F.col("node_id").alias("id")).distinct().withColumn("r", F.lit(True))

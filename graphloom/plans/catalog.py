@@ -925,4 +925,4 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return watch.event_windows(s.read.parquet(f"{d}/events.parquet"))
 
 
-from . import parts as parts  # noqa: E402  registers its queries beside these
+from . import parts as parts, upkeep as upkeep  # noqa: E402  register their queries beside these

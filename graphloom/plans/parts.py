@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,6 +236,29 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _resolved(_edges(p.select(F.lit("references").alias("kind"), ref.alias("source"), ref.alias("target"), F.col("p_partkey").alias("place"))), nodes)
 
 
+@query("rec_02_inherited_members", """
+SELECT concat('php:class:P', CAST(p_partkey AS STRING)) AS source, p_partkey AS place, CASE WHEN own THEN 'method' ELSE 'external_method' END AS kind, concat(holder, '::run') AS name FROM (
+  SELECT p_partkey, true AS own, CASE WHEN p_size % 7 = 0 THEN concat('P', CAST(p_partkey AS STRING)) WHEN p_size <= 9 THEN concat('T', CAST(p_size AS STRING)) WHEN p_brand LIKE '%1' THEN concat('B', p_brand) WHEN p_type LIKE '%E%' THEN concat('I', p_type)
+    WHEN p_size % 10 <= 2 THEN concat('U', CAST(p_size % 10 AS STRING)) WHEN p_brand LIKE '%2' THEN concat('N', right(p_brand, 1)) WHEN p_type LIKE 'S%' THEN concat('J', substr(p_type, 1, 2))
+    WHEN p_brand LIKE '%3' THEN concat('Z', right(p_brand, 1)) END AS holder FROM part) q WHERE holder IS NOT NULL
+UNION ALL SELECT concat('php:class:P', CAST(p_partkey AS STRING)), p_partkey, 'external_method', concat('P', CAST(p_partkey AS STRING), '::run') FROM part
+WHERE p_size % 7 <> 0 AND p_size > 9 AND NOT p_brand LIKE '%1' AND NOT p_type LIKE '%E%' AND p_size % 10 > 2 AND NOT p_brand LIKE '%2' AND NOT p_type LIKE 'S%' AND NOT p_brand LIKE '%3'""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # A trait, a parent and an interface each; what those are composed of in turn; and one level above.  Of a level the trait's side comes first.
+    p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_brand", "p_type")
+    last, first = F.substring("p_brand", -1, 1), F.substring("p_type", 1, 2)
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    part, trait, base, face = name("P", F.col("p_partkey")), name("T", F.col("p_size")), name("B", F.col("p_brand")), name("I", F.col("p_type"))
+    mixed, parent, wide, top = name("U", F.col("p_size") % 10), name("N", last), name("J", first), name("Z", last)
+    holds = [(part, "p_size % 7 = 0"), (trait, "p_size <= 9"), (base, "p_brand LIKE '%1'"), (face, "p_type LIKE '%E%'"), (mixed, "p_size % 10 <= 2"), (parent, "p_brand LIKE '%2'"), (wide, "p_type LIKE 'S%'"), (top, "p_brand LIKE '%3'")]
+    members = reduce(DataFrame.unionByName, [p.where(where).select(F.lit("method").alias("kind"), F.concat(who, F.lit("::run")).alias("canonical_name")).distinct() for who, where in holds])
+    up = [("uses_trait", "class", part, "trait", trait), ("extends", "class", part, "class", base), ("implements", "class", part, "interface", face), ("uses_trait", "trait", trait, "trait", mixed), ("extends", "class", base, "class", parent), ("extends", "interface", face, "interface", wide), ("extends", "class", parent, "class", top)]
+    ref = lambda kind, who: F.concat(F.lit(f"php:{kind}:"), who)
+    composed = reduce(DataFrame.unionByName, [p.select(F.lit(kind).alias("kind"), ref(a, who).alias("source"), ref(b, above).alias("target"), F.col("p_partkey").alias("place")) for kind, a, who, b, above in up])
+    calls = p.select(F.lit("calls").alias("kind"), ref("class", part).alias("source"), F.concat(ref("method", part), F.lit("::run")).alias("target"), F.col("p_partkey").alias("place"))
+    return _resolved(_edges(composed.unionByName(calls)), _facts(s, members)).where("endswith(name, '::run')")
+
+
 @query("rec_03_method_of_return", """
 WITH m AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS own FROM customer),
 up AS (SELECT a.c, coalesce(a.own, b.own, e.own) AS n FROM m a LEFT JOIN m b ON b.c = a.c + 1 LEFT JOIN m e ON e.c = a.c + 2)
