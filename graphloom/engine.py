@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import platform
 import re
@@ -16,6 +17,8 @@ from . import config, render
 from . import schema as S
 from .graph import Graph
 from .ingest import classify, incremental, reconcile
+from .ingest.maintain import Maintained
+from .ingest.store import BucketStore
 from .operators import change, counts, health, location, lookup, policy, scc, snapshot, traverse
 from .render import Envelope, page
 from .sources import bundle, declared, git, python_code, tree
@@ -26,6 +29,10 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df if "id" in df.columns else df.withColumn("id", F.concat_ws("|", *df.columns))
 
 
+#: Changes when an extractor states other facts of the same file.
+SCANNERS = "1"
+
+
 class Engine:
     """Queries of one project's graph.  ``scans``, ``snapshots`` and ``commits`` are only needed by the tools that read them."""
 
@@ -272,18 +279,30 @@ class Engine:
         rows = rows.where(F.col("kind") == kind) if kind else rows
         return self._answer("annotations", rows.orderBy("canonical_name", "kind").offset(offset), limit)
 
-    def scan_project(self, root: str, patterns: list[str] | None = None, max_files: int | None = None, contributions: DataFrame | None = None) -> Graph:
+    def scan_project(self, root: str, patterns: list[str] | None = None, max_files: int | None = None, contributions: DataFrame | None = None, state: str | None = None, force: bool = False) -> Graph:
         """Scans a folder as its checked-in configuration and the arguments say, the latter first.
 
         Python is read through its syntax tree, PHP and TypeScript by declarations; ``contributions`` of other scanners come in beside them.
+        With ``state``, a folder that keeps the graph, only files that changed since the last scan are read, and only what they can touch is
+        decided again; nothing is written where nothing changed.  Another configuration, or ``force``, makes every file count as changed.
         """
         spark = self.graph.spark
         settings = config.load(spark, root).overlaid(ignores=tuple(patterns) if patterns is not None else None, max_files=max_files)
         files, found = tree.discover(spark, root, list(settings.ignores), settings.max_files or 100_000, settings.max_file_bytes or 2_000_000)
-        facts = python_code.extract(files).withColumn("language", F.lit("python")).unionByName(declared.extract(files))
-        if contributions is not None:
-            facts = facts.unionByName(contributions)
-        out = reconcile.reconcile(facts, files, self.project_id, found)
+
+        def facts(some: DataFrame) -> DataFrame:
+            out = python_code.extract(some).withColumn("language", F.lit("python")).unionByName(declared.extract(some))
+            if contributions is None:
+                return out
+            return out.unionByName(contributions.join(some.select(F.col("relative_path").alias("owner_key")), "owner_key", "left_semi"))
+
+        if state is None:
+            out = reconcile.reconcile(facts(files), files, self.project_id, found)
+        else:
+            kept, made = Maintained(BucketStore(spark, state), self.project_id), (SCANNERS, hashlib.sha256(repr(settings).encode()).hexdigest())
+            work = kept.work(files, *made, force=force)
+            self.last_scan = kept.scan(work, facts(work.changed), *made)
+            out = kept.graph(discovery=found)
         nodes = out["nodes"].withColumn("relative_path", F.col("file")).withColumn("attributes_json", F.coalesce("attributes", F.lit("{}")))
         units = tree.manifest_units(files)
         bounds = classify.infer_boundaries(nodes, units).withColumn("id", F.concat_ws(":", "matcher_type", "matcher_value")).withColumn("source", F.lit("inferred"))

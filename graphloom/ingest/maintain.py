@@ -85,7 +85,7 @@ class Maintained:
         linked = self._link(change, touched, moved)
 
         paths = work.changed.select("relative_path", "content_hash", F.lit(scanner_version).alias("scanner_version"), F.lit(configuration).alias("configuration_hash"))
-        change.put("cache", "relative_path", paths, work.gone.select("relative_path"))
+        change.put("cache", "relative_path", paths, touched.withColumnRenamed("file", "relative_path"))
         return Done(change.publish(), touched.count(), counts, again, linked)
 
     def _before(self, name: str, like: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -97,13 +97,12 @@ class Maintained:
     def _declare(self, change: Change, old: DataFrame, new: DataFrame) -> DataFrame:
         """Declarations of the ids that changed files declare or declared; gives the references that exist now or no longer (``key``)."""
         ids = stored(old.select("id").unionByName(new.select("id")).distinct(), "ids")
-        facts = change.read("node_facts").join(ids, "id", "left_semi")
-        ranked = stored(reconcile.ranked_nodes(facts), "ranked")
-        first = stored(ranked.where("k = 1").drop("k", "first_file", "place"), "declared")
-        before = stored(self._before("declared", first, of=ids), "declared")
+        ranked = stored(reconcile.ranked_nodes(change.read("node_facts").join(ids, "id", "left_semi")), "ranked")
+        first = ranked.where("k = 1").drop("k", "first_file", "place")
+        before = self._before("declared", first, of=ids)
         change.put("declared", "id", first, ids)
-        change.put("duplicates", "id", stored(reconcile.duplicates(ranked), "duplicates"), ids)
-        return stored(_differences(before.select("ref"), first.select("ref"), "ref").select(F.concat(F.lit("n|"), "ref").alias("key")), "keys")
+        change.put("duplicates", "id", reconcile.duplicates(ranked), ids)
+        return _differences(before.select("ref"), first.select("ref"), "ref").select(F.concat(F.lit("n|"), "ref").alias("key"))
 
     def _compose(self, change: Change, old: DataFrame, new: DataFrame) -> DataFrame:
         return self._by_source(change, "links", old, new, F.col("kind").isin(resolution.COMPOSITION), resolution.links, "u|")
@@ -116,16 +115,16 @@ class Maintained:
         refs = stored(old.where(kinds).select("source").unionByName(new.where(kinds).select("source")).distinct(), "refs")
         after = stored(made(change.read("edge_facts").where(kinds).join(refs, "source", "left_semi")), name)
         sources = refs.withColumnRenamed("source", "ref")
-        before = stored(self._before(name, after, of=sources), name)
+        before = self._before(name, after, of=sources)
         change.put(name, "ref", after, sources)
-        return stored(_differences(before, after, "ref").select(F.concat(F.lit(prefix), "ref").alias("key")), "keys")
+        return _differences(before, after, "ref").select(F.concat(F.lit(prefix), "ref").alias("key"))
 
     def _sources_exist(self, change: Change, new: DataFrame, differing: DataFrame) -> None:
         """A relationship starts at a declared component; looked at where files changed, and where a declaration went."""
         refs = change.read("declared").select(F.col("ref").alias("source"))
         reconcile.assert_complete(new.select("source").distinct(), "source", refs, "edge source", "source")
-        went = stored(differing.select(F.expr("substr(key, 3)").alias("source")).join(refs, "source", "left_anti"), "went")
-        if not went.isEmpty() and (bad := change.read("edge_facts").join(went, "source", "left_semi").head(1)):
+        went = differing.select(F.expr("substr(key, 3)").alias("source")).join(refs, "source", "left_anti")
+        if bad := change.read("edge_facts").join(went, "source", "left_semi").head(1):
             raise ValueError(f"edge source: {bad[0]['source']!r} is missing")
 
     def _decide(self, change: Change, old: DataFrame, new: DataFrame, keys: DataFrame) -> tuple[int, DataFrame, int]:
@@ -136,21 +135,22 @@ class Maintained:
         empty = spark.createDataFrame([], resolution.REFERENCES + ", uses long")
         # A change may also touch references of files that stay.
         read = stored((self.store.read("reads").join(keys, "key", "left_semi").select("target").distinct()) if self.store.has("reads") else uses.select("target").limit(0), "touched")
-        concerned = stored(uses.select("target").unionByName(read).distinct(), "concerned")
-        before = stored(self._before("references", empty, of=concerned), "before")
+        concerned = uses.select("target").unionByName(read).distinct()
+        before = self._before("references", empty, of=concerned)
         now = concerned.join(before, "target", "left").join(uses, "target", "left").withColumn("uses", F.coalesce("uses", F.lit(0)) + F.coalesce("more", F.lit(0))).drop("more")
         now = stored(now.join(read.withColumn("read", F.lit(True)), "target", "left"), "now")
+        concerned = now.select("target")
         asked = stored(now.where("uses > 0 AND (status IS NULL OR read)").select("target", "uses"), "asked")
         known = resolution.Known(change.read("declared").select("ref", "id"), change.read("links"), change.read("returned"))
         decided, reads = resolution.resolve_references(asked.select("target"), known)
-        decided, reads = stored(decided, "decided"), stored(reads, "reads")
+        decided = stored(decided, "decided")
         stays = now.where("uses > 0 AND status IS NOT NULL AND read IS NULL").select(*empty.columns)
-        change.put("references", "target", stored(decided.join(asked, "target").select(*empty.columns).unionByName(stays), "references"), concerned)
+        change.put("references", "target", decided.join(asked, "target").select(*empty.columns).unionByName(stays), concerned)
         ended = now.where("uses <= 0").select("target")
-        change.put("reads", "target", reads, stored(asked.select("target").unionByName(ended), "ended"))
+        change.put("reads", "target", reads, asked.select("target").unionByName(ended))
         was, is_ = (F.struct(*[F.col(f"{a}.{c}") for c in ("target_id", "status")]) for a in ("b", "d"))
         moved = decided.alias("d").join(before.alias("b"), F.col("d.target") == F.col("b.target")).where(~was.eqNullSafe(is_)).select("d.target")
-        return asked.count(), stored(moved, "moved"), change.read("references").count()
+        return asked.count(), moved, change.read("references").count()
 
     def _link(self, change: Change, touched: DataFrame, moved: DataFrame) -> int:
         """Relationships of files that changed and of those with a reference that came out differently; gives how many files."""
@@ -159,7 +159,7 @@ class Maintained:
         some = change.read("edge_facts", of=files)
         source = change.read("declared").select(F.col("ref").alias("source"), F.col("id").alias("source_id"))
         pointed, _ = reconcile.pointed(some.join(source, "source"), change.read("references").drop("uses"))
-        change.put("edges", "file", stored(reconcile.collapse_edges(pointed, self.project), "edges"), files)
+        change.put("edges", "file", reconcile.collapse_edges(pointed, self.project), files)
         return files.count()
 
     def graph(self, number: int | None = None, discovery: DataFrame | None = None) -> dict[str, DataFrame]:

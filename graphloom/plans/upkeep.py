@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..ingest.maintain import Maintained
 from ..ingest.store import BucketStore, bucket_of, upsert_into
+from ..operators import scc
 from ..storage import scratch_dir
 from .catalog import query
 
@@ -29,7 +30,7 @@ def contributions_of(s: SparkSession, d: str, second: bool) -> DataFrame:
     """Each customer is a file with a class, some with a method and a parent; each customer's orders are a file of calls to the customer's method."""
     c, o = s.read.parquet(f"{d}/customer.parquet"), s.read.parquet(f"{d}/orders.parquet")
     key = F.col("c_custkey")
-    goes, parent = F.col("c_nationkey") < 5, F.when(F.col("c_acctbal") < 8000, key + 1)
+    goes, parent = F.col("c_nationkey") < 5, F.when(F.col("c_acctbal") < 4000, key + 1)
     if second:
         c = c.where(f"NOT ({GONE})")
         goes, parent = F.when(F.expr(CHANGED), F.col("c_nationkey").between(3, 7)).otherwise(goes), F.when(F.expr(CHANGED), key + 2).otherwise(parent)
@@ -55,7 +56,7 @@ def listing(contributions: DataFrame) -> DataFrame:
 
 
 @query("str_07_incremental_equals_full", f"""
-WITH b AS (SELECT c_custkey AS k, CASE WHEN {CHANGED} THEN c_nationkey BETWEEN 3 AND 7 ELSE c_nationkey < 5 END AS go, CASE WHEN {CHANGED} THEN c_custkey + 2 WHEN c_acctbal < 8000 THEN c_custkey + 1 END AS parent FROM customer WHERE NOT ({GONE})),
+WITH b AS (SELECT c_custkey AS k, CASE WHEN {CHANGED} THEN c_nationkey BETWEEN 3 AND 7 ELSE c_nationkey < 5 END AS go, CASE WHEN {CHANGED} THEN c_custkey + 2 WHEN c_acctbal < 4000 THEN c_custkey + 1 END AS parent FROM customer WHERE NOT ({GONE})),
 up AS (SELECT k AS start, parent AS at_, 1 AS depth FROM b WHERE NOT go AND parent IS NOT NULL UNION ALL SELECT up.start, b.parent, depth + 1 FROM up JOIN b ON b.k = up.at_ WHERE NOT b.go AND b.parent IS NOT NULL AND depth < 20),
 hit AS (SELECT k AS start, k AS holder FROM b WHERE go UNION ALL SELECT up.start, b.k FROM up JOIN b ON b.k = up.at_ AND b.go)
 SELECT concat('o', CAST(o_custkey AS STRING)) AS file, CAST(o_orderkey AS INTEGER) AS line, CASE WHEN holder IS NULL THEN 'external_method' ELSE 'method' END AS kind, concat('C', CAST(coalesce(holder, o_custkey) AS STRING), '::go') AS name FROM orders LEFT JOIN hit ON hit.start = o_custkey
@@ -75,6 +76,47 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return shown.select("file", F.col("start_line").alias("line"), F.col("hit").alias("kind"), F.col("canonical_name").alias("name")).unionByName(metric)
 
 
+# --- components of long rings and chains -----------------------------------------------------------------------------------------
+
+#: Tables written one after the other, at most, however long a ring or chain is.
+FEW_ROUNDS = 40
+
+
+def _in_turn(s: SparkSession, d: str, closed: bool) -> DataFrame:
+    """Each order of a customer leads to the customer's next; the last leads to the next customer's first, and the very last to the very first if ``closed``."""
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    inner = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(order).alias("b")).where("b IS NOT NULL").select("a", "b")
+    ends = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    # Customers are dealt by ranges of their keys: where a range begins is a small table.
+    ranked = ends.withColumn("range", F.floor(F.col("o_custkey") / 1000))
+    within = ranked.withColumn("next", F.lead("first").over(Window.partitionBy("range").orderBy("o_custkey")))
+    starts = ranked.groupBy("range").agg(F.min_by("first", "o_custkey").alias("start"))
+    following = starts.select("range", F.lead("start", 1).over(Window.orderBy("range")).alias("start"))
+    last = within.where("next IS NULL").join(following, "range").select(F.col("last").alias("a"), F.col("start").alias("b"))
+    if closed:
+        # The end of all leads to the beginning of all.
+        last = last.withColumn("b", F.coalesce("b", F.lit(starts.agg(F.min_by("start", "range")).first()[0])))
+    edges = inner.unionByName(within.where("next IS NOT NULL").select(F.col("last").alias("a"), F.col("next").alias("b"))).unionByName(last.where("b IS NOT NULL"))
+    return edges.select(*(F.concat(F.lit("o:"), F.col(c).cast("string")).alias(n) for c, n in (("a", "source_id"), ("b", "target_id"))))
+
+
+def _found(s: SparkSession, d: str, closed: bool) -> DataFrame:
+    rounds = scc.Rounds()
+    found = scc.components(_in_turn(s, d, closed), 0, rounds)
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select("component", "size", F.lit(rounds.n <= FEW_ROUNDS).alias("few_rounds"))
+
+
+@query("cyc_01_long_ring", "SELECT min(concat('o:', CAST(o_orderkey AS STRING))) AS component, count(*) AS size, true AS few_rounds FROM orders")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _found(s, d, True)
+
+
+@query("cyc_01_long_chain", "SELECT CAST(NULL AS STRING) AS component, CAST(0 AS BIGINT) AS size, true AS few_rounds FROM region WHERE r_regionkey < 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _found(s, d, False)
+
+
 # --- upserts that write --------------------------------------------------------------------------------------------------------
 
 TOUCHED = "c_acctbal > 9800 OR c_acctbal BETWEEN 4000 AND 4020 OR c_acctbal < -970"

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.engine import Engine
 from graphloom.graph import Graph
 from graphloom.ingest import reconcile, resolution
 from graphloom.ingest.maintain import Maintained
@@ -187,13 +188,12 @@ def test_maintained_equals_reconciled(spark, tmp_path, seed):
     types = [f"T{i}" for i in range(6)]
     kept = Maintained(BucketStore(spark, f"file://{tmp_path}/store", 1), "p")
     files = {f"{i}.php": facts_of(rnd, i, types) for i in range(6)}
-    for version in range(3):
+    for version in range(2):
         if version:
             some = rnd.sample(sorted(files), 3)
             for path in some[:2]:
                 files[path] = facts_of(rnd, path, types)
-            if version == 2:
-                del files[some[2]]
+            del files[some[2]]
             files[f"new{version}.php"] = facts_of(rnd, f"new{version}", types)
         work = kept.work(listing(spark, files), "1", "c")
         changed = {r["relative_path"] for r in work.changed.collect()}
@@ -202,7 +202,7 @@ def test_maintained_equals_reconciled(spark, tmp_path, seed):
         full = reconcile.reconcile(contributions(spark, files), listing(spark, files), "p")
         assert shown(kept.graph()) == shown(full)
     again = kept.work(listing(spark, files), "1", "c")
-    assert again.nothing and kept.scan(again, contributions(spark, files), "1", "c").number == 3
+    assert again.nothing and kept.scan(again, contributions(spark, files), "1", "c").number == 2
     assert kept.work(listing(spark, files), "2", "c").changed.count() == len(files)
 
 
@@ -226,6 +226,29 @@ def test_a_body_that_changes_decides_nothing_again(spark, tmp_path):
     assert kept.store.numbers() == [1, 2, 3]
 
 
+def test_a_tree_is_scanned_again_only_where_it_changed(spark, tmp_path):
+    root, state = tmp_path / "tree", f"file://{tmp_path}/state"
+    root.mkdir()
+    (root / "base.py").write_text("class Base:\n    def run(self):\n        pass\n")
+    (root / "item.py").write_text("from base import Base\n\nclass Item(Base):\n    pass\n")
+    (root / "main.py").write_text("from item import Item\n\ndef main():\n    i = Item()\n    i.run()\n")
+    engine = Engine(Graph.of(spark))
+
+    def both():
+        kept, full = engine.scan_project(str(root), state=state), Engine(Graph.of(spark)).scan_project(str(root))
+        for name in ("nodes", "edges", "memberships"):
+            assert shown({name: getattr(kept, name)}) == shown({name: getattr(full, name)}), name
+        return engine.last_scan
+
+    first = both()
+    assert (first.number, first.files) == (1, 3)
+    (root / "base.py").write_text("class Base:\n    def walk(self):\n        pass\n")
+    second = both()
+    assert (second.number, second.files) == (2, 1) and second.decided_again < second.references
+    third = engine.scan_project(str(root), state=state)
+    assert engine.last_scan.number == 2 and engine.last_scan.files == 0 and third.nodes.count() > 0
+
+
 # --- buckets ------------------------------------------------------------------------------------------------------------------
 
 
