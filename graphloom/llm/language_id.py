@@ -5,15 +5,15 @@ bounded by one mark), hashed to ``BUCKETS`` places and scaled to unit length.  D
 frequencies are counted over every training text.  The weights are trained by
 follow-the-regularised-leader (proximal, one learning rate per weight) with elastic-net
 penalties, which leave most of them zero, on at most ``FIT_ROWS`` texts chosen by a
-hash of the id.  A part of those is set aside to fit the temperature that calibrates the
-probabilities.
+hash of id and text, and ``LANGUAGE_ROWS`` of each language besides.  A part of those is set aside to fit
+the temperature that calibrates the probabilities.
 
 Learning sees only rows with a language and with ``crc32(doc_id)`` modulo 4 other than 2; a
 prediction sees the text alone.
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0, and so is
 every text when there is nothing to learn from.  Ties go to the first language in code-point order.
-Repeated rows are predicted alike, and long texts are read whole.  An empty table gives an empty result.  Extra columns
+Repeated rows are learned from once and predicted alike, and long texts are read whole.  An empty table gives an empty result.  Extra columns
 are ignored, whatever their names.
 """
 
@@ -25,14 +25,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, sent, stored, table
 
 BUCKETS = 1 << 14
 #: Training texts at most, and passes over them.
 FIT_ROWS, EPOCHS = 3000, 4
+#: Training texts of each language besides, so that none is unknown because it is rare.
+LANGUAGE_ROWS = 30
 #: Follow-the-regularised-leader: learning rate, its offset, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 #: One in so many training texts is set aside for the temperature.
@@ -158,6 +160,15 @@ def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "lang": batch.column("lang"), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(n, pa.list_(pa.int32()))})
 
 
+def sample(train: DataFrame, most: int = FIT_ROWS, least: int = LANGUAGE_ROWS) -> DataFrame:
+    """``h, lang, text``: the ``most`` texts whose hash of id and text is least, and the ``least`` first of every language.  Rows that are alike count once."""
+    h = F.xxhash64(F.lit("language"), "doc_id", "text").alias("h")
+    first = train.select(h, "lang").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most)
+    first = stored(first, "sample")
+    keys = stored(first.orderBy("h", "lang").limit(most).unionByName(first.where(F.col("k") <= least)).select("h", "lang").distinct(), "sample")
+    return train.select(h, "lang", "text").join(sent(keys), ["h", "lang"]).groupBy("h", "lang").agg(F.first("text").alias("text"))
+
+
 def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
     train = docs.where("text is not null and lang is not null").where(crc_mod(F.col("doc_id"), 4) != 2)
     counted = train.select("text").mapInArrow(count_documents, "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()
@@ -168,10 +179,7 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
     idf = np.full(BUCKETS, np.log1p(total))
     for b, n in texts.items():
         idf[b] = np.log((1 + total) / (1 + n)) + 1e-3
-    # An even share of ids by hash, about `most` texts and never many more.
-    h = F.xxhash64(F.lit("language"), "doc_id")
-    bound = int((2.0 * most / total - 1) * 2**63) if total > most else 2**63 - 1
-    chosen = train.select(h.alias("h"), "text", "lang").where(F.col("h") <= min(bound, 2**63 - 1)).mapInArrow(featurise, "h long, lang string, at array<int>, n array<int>")
+    chosen = sample(train, most).mapInArrow(featurise, "h long, lang string, at array<int>, n array<int>")
     rows = sorted(zip(*(c.to_pylist() for c in chosen.toArrow().columns), strict=True), key=lambda r: (r[0], r[1]))
     langs = sorted({r[1] for r in rows})
     vectors, labels = [], np.array([langs.index(r[1]) for r in rows])
@@ -188,10 +196,10 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Model:
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """Per document ``doc_id, held_out, lang_pred, score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model._asdict())
+    given = docs.sparkSession.sparkContext.broadcast(model._asdict())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**sent.value)
+        m = Model(**given.value)
         for batch in batches:
             found = [m.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_pydict({

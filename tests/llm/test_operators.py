@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,19 @@ def test_logins_in_addresses_have_no_greatest_length():
     assert [r["spans"] for r in rows] == [f"url_login:5:{5 + 8 + 300 + 1 + 90 + 1}", "", ""] and time.time() - began < 20
 
 
+@pytest.mark.parametrize("run", [
+    "eyJ" * 400_000, "eyJabcdefgh." * 90_000, "ghp_" * 300_000, "ghp_" + "a" * 1_000_000, "xoxa-" * 240_000, "-----BEGIN " + "RSA " * 300_000, "-----BEGIN " * 100_000, "AKIA" * 300_000, "password=" * 130_000,
+    "password" + " " * 1_000_000 + "=", "secret:" + "'" * 1_000_000, "token" * 240_000, "0123456789abcdef" * 70_000,
+])
+def test_a_megabyte_of_any_kind_is_read_once(run):
+    """Spans stay those of the patterns, in time that grows with the text."""
+    import time
+
+    began = time.time()
+    rows = [r for b in secret_scan.scan(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [f"{run} eyJabcdefgh.eyJabcdefgh.abcdefgh {run}"]})])) for r in b.to_pylist()]
+    assert f"web_token:{len(run) + 1}:" in rows[0]["spans"] and time.time() - began < 20
+
+
 def test_trigram_queries_are_derived_from_patterns():
     assert secret_scan.derive("[0-9a-f]+") is True
     assert secret_scan.derive("AKIA[A-Z0-9]+") == ("and", (("tri", b"aki"), ("tri", b"kia")))
@@ -552,6 +566,22 @@ def test_language_predictions_equal_the_model_written_out():
     assert even.predict("abc")[0] == "de"
 
 
+def test_texts_that_share_one_id_are_learned_from(spark):
+    """An id hashes high or low, its texts don't: the sample stays bounded and holds every language, however rare."""
+    words = {"en": "the quick brown fox and the lazy dog".split(), "de": "der schnelle braune fuchs und der faule hund".split(), "xx": "zzyq qyzz xkqj jqkx".split()}
+    rnd = random.Random(4)
+    rows = [(3, " ".join(rnd.choice(words[lang]) for _ in range(12)), lang) for lang, n in (("en", 900), ("de", 500), ("xx", 4)) for _ in range(n)]
+    rows += [(None, "the fox and the dog", "en")] * 400 + [(3, rows[0][1], "en")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    chosen = language_id.sample(docs, 200, 10).collect()
+    assert 200 <= len(chosen) <= 230 and sum(r["lang"] == "xx" for r in chosen) == 4 and len({(r["h"], r["lang"]) for r in chosen}) == len(chosen)
+    model = language_id.fit(docs, 200)
+    assert model.langs == ["de", "en", "xx"]
+    assert [model.predict(t)[0] for t in ("the brown dog", "der braune hund", "zzyq xkqj")] == ["en", "de", "xx"]
+    one = language_id.fit(docs.where("lang = 'en' AND doc_id = 3").limit(1), 200)
+    assert one.langs == ["en"] and one.predict("zzz")[0] == "en"
+
+
 def test_languages_on_held_out_texts(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
