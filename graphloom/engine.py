@@ -340,7 +340,7 @@ class Engine:
         if execute:
             from dataclasses import replace
 
-            self.graph = replace(self.graph, nodes=self.graph.nodes.limit(0), edges=self.graph.edges.limit(0), files=self.graph.files.limit(0))
+            self.graph = replace(self.graph, nodes=self.graph.nodes.limit(0), edges=self.graph.edges.limit(0), files=self.graph.files.limit(0), extras={})
         return Envelope("executed" if execute else "preview", sizes)
 
     def cleanup_stale_scans(self, scans: DataFrame, active: DataFrame, snapshots: DataFrame, now: str, older_than_hours: int = 24) -> Envelope:

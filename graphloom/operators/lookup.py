@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph
+from . import names
 
 _ID = re.compile(r"(symbol|route)_[0-9a-f]{64}")
 
@@ -54,7 +55,7 @@ def find_component(g: Graph, name: str, limit: int = 20) -> DataFrame:
         .when(starts("canonical_name", name), 2).when(starts("display_name", name), 3).otherwise(4)
     )
     return (
-        g.nodes.where(contains("canonical_name", name) | contains("display_name", name))
+        names.narrowed(g, [name]).where(contains("canonical_name", name) | contains("display_name", name))
         .select("id", "kind", "canonical_name", "display_name", rank.alias("relevance"))
         .orderBy("relevance", "canonical_name", "id").limit(limit + 1)
     )
@@ -65,7 +66,7 @@ def search(g: Graph, query: str, kinds: list[str] | None = None, roles: list[str
     terms = query.split()
     if len(terms) > 8:
         raise ValueError("at most 8 terms")
-    rows = g.nodes
+    rows = names.narrowed(g, terms)
     if kinds:
         rows = rows.where(F.col("kind").isin(kinds))
     if confidences:

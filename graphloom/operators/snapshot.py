@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph, is_external, is_script
+from ..storage import stored
 from . import counts, policy, scc
 
 #: Columns that name the scan and so never count as a change.
@@ -78,6 +79,28 @@ def quality_metrics(g: Graph) -> DataFrame:
     return one(cycles).join(one(nodes), "one").join(one(told), "one").drop("one")
 
 
+def quality_by_scan(nodes: DataFrame, edges: DataFrame, classifications: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """``quality_metrics`` of several snapshots at once: every table has a ``scan`` column more, and so has the result.
+
+    Components of different scans have different names, so one search finds the cycles of all.
+    """
+    named = lambda c: F.concat_ws("|", F.col("scan"), F.col(c))
+    edges = edges.where(F.col("kind").isin(S.IMPACT_KINDS)).select("scan", named("source_id").alias("source_id"), named("target_id").alias("target_id"))
+    nodes = nodes.withColumn("id", named("id"))
+    ids = nodes.select("id")
+    edges = stored(edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"), "relations")
+    cycles = scc.components(edges).groupBy(F.substring_index("component", "|", 1).cast("long").alias("scan")).agg(F.countDistinct("component").alias("cycles"))
+    roles = classifications.groupBy(named("node_id").alias("id")).agg(F.max((F.col("role") == S.TEST_ROLE).cast("int")).alias("test"), F.max(F.col("role").isin(S.CONVENTION_ROLES).cast("int")).alias("convention"))
+    ends = edges.select(F.col("source_id").alias("id"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target_id").alias("id"), F.lit(1).alias("i")))
+    d = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("i").alias("in_degree"))
+    plain = nodes.where(~is_external()).join(roles, "id", "left").where(F.coalesce("test", F.lit(0)) == 0).join(d, "id", "left")
+    made = (F.col("kind") == "method") & F.col("display_name").isin("__construct", "constructor")
+    loose = (F.coalesce("in_degree", F.lit(0)) == 0) & F.col("kind").isin(S.CANDIDATE_KINDS) & ~made & ~is_script() & (F.coalesce("convention", F.lit(0)) == 0)
+    by_node = plain.groupBy("scan").agg(F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.sum(loose.cast("long")).alias("unreferenced_candidates"))
+    told = diagnostics.groupBy("scan").agg(F.count(F.when(F.col("severity") == "error", 1)).alias("error_diagnostics"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warning_diagnostics"))
+    return by_node.join(cycles, "scan", "left").join(told, "scan", "left").na.fill(0)
+
+
 def public_surface(g: Graph) -> DataFrame:
     """Ids of what others see: routes, commands, endpoints and exports, and what a role calls public or an entry point."""
     by_role = g.classifications.where(F.col("role").contains("entry_point") | F.col("role").contains("public")).select(F.col("node_id").alias("id"))

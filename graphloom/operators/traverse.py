@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,46 +97,95 @@ def closure(edges: DataFrame, max_depth: int = 20, start: DataFrame | None = Non
     return known
 
 
-def endpoints(g: Graph, ids: DataFrame, most: int = 200) -> DataFrame:
-    """A class or interface stands also for what it contains, ``most`` members at most."""
+def endpoints(g: Graph, ids: DataFrame) -> DataFrame:
+    """A class or interface stands also for all that it contains."""
     big = g.nodes.join(ids.select("id"), "id", "left_semi").where(F.col("kind").isin("class", "interface")).select(F.col("id").alias("source_id"))
-    order = Window.partitionBy("source_id").orderBy("target_id")
-    members = g.edges.where("kind = 'contains'").join(big, "source_id", "left_semi").select("source_id", "target_id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select(F.col("target_id").alias("id"))
+    members = g.edges.where("kind = 'contains'").join(big, "source_id", "left_semi").select(F.col("target_id").alias("id"))
     return ids.select("id").unionByName(members).distinct()
 
 
-def paths(g: Graph, start: DataFrame, goal: DataFrame, max_depth: int = 6, max_paths: int = 5, kinds: list[str] | None = None, min_confidence: str = "possible", most_states: int | None = None) -> DataFrame:
-    """Simple paths from ``start`` to ``goal`` (``id`` each), ranked: ``signature, hops, rank, semantic``.
-
-    Every simple path up to ``max_depth`` is found; a path ends at a goal.  Distances to the goal are found first, backward,
-    so that no path is followed that can't reach it in the hops left.  Order: best least confidence, fewer
-    hops, more semantic edges, signature.  Of parallel edges the best counts.  ``most_states`` fails the call, and
-    never cuts the result, when a level grows past it.
-    """
-    S.between("max_depth", max_depth, 1, 8)
-    semantic = F.col("kind").isin(S.SEMANTIC_KINDS).cast("int")
-    edges = g.following(S.kinds_of(kinds, S.FLOW_KINDS), min_confidence).groupBy("source_id", "target_id").agg(F.max(F.struct("rank", semantic.alias("semantic"))).alias("best"))
-    edges = stored(edges.select(F.col("source_id").alias("tip"), F.col("target_id").alias("next"), F.col("best.rank").alias("r"), F.col("best.semantic").alias("s")), "steps")
-    away = stored(endpoints(g, goal).select(F.col("id").alias("next"), F.lit(0).alias("left")), "distances")
-    level = away
-    for distance in range(1, max_depth):
-        level = stored(edges.join(level.select("next"), "next", "left_semi").select(F.col("tip").alias("next")).distinct().join(away, "next", "left_anti").select("next", F.lit(distance).alias("left")), "distances")
+def _away(steps: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """How many hops each component is from a goal, up to ``most``: ``next, left``."""
+    away = level = stored(goals.select(F.col("id").alias("next"), F.lit(0).alias("left")), "distances")
+    for distance in range(1, most + 1):
+        level = stored(steps.join(level.select("next"), "next", "left_semi").select(F.col("tip").alias("next")).distinct().join(away, "next", "left_anti").select("next", F.lit(distance).alias("left")), "distances")
         if level.isEmpty():
             break
         away = away.unionByName(level)
-    states = endpoints(g, start).select(F.array("id").alias("path"), F.col("id").alias("tip"), F.lit(3).alias("rank"), F.lit(0).alias("semantic"))
+    return away
+
+
+def _up_to(steps: DataFrame, away: DataFrame, starts: DataFrame, most: int, count: Callable[[int, int], bool]) -> DataFrame | None:
+    """Simple paths of ``most`` hops at most, each up to the first goal that it meets; only what can still reach one in the hops left is followed.
+
+    ``count`` takes each level's states; None if it gives False.
+    """
+    states = starts.select(F.array("id").alias("path"), F.col("id").alias("tip"), F.lit(3).alias("rank"), F.lit(0).alias("semantic"))
     out = None
-    for depth in range(1, max_depth + 1):
-        moved = states.join(edges, "tip").join(away, "next").where(F.col("left") <= max_depth - depth).withColumn("done", F.col("left") == 0)
+    for depth in range(1, most + 1):
+        moved = states.join(steps, "tip").join(away, "next").where(F.col("left") <= most - depth).withColumn("done", F.col("left") == 0)
+        # A path may end where it began.
         moved = moved.where(F.col("done") | ~F.array_contains("path", F.col("next"))).select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("tip"), F.least("rank", "r").alias("rank"), (F.col("semantic") + F.col("s")).alias("semantic"), "done")
         moved = stored(moved, "paths")
-        if most_states is not None and moved.count() > most_states:
-            raise ValueError(f"more than {most_states} paths at depth {depth}")
+        n = moved.count()
+        if not count(n, depth):
+            return None
         hits = moved.where("done").select(F.array_join("path", ">").alias("signature"), F.lit(depth).alias("hops"), "rank", "semantic")
         out = hits if out is None else out.unionByName(hits)
-        states = moved.where("not done").drop("done")
-        if states.isEmpty():
+        if not n:
             break
-    order = Window.partitionBy("signature").orderBy(F.desc("rank"), F.desc("semantic"))
-    once = out.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
-    return once.orderBy(F.desc("rank"), "hops", F.desc("semantic"), "signature").limit(max_paths)
+        states = moved.where("not done").drop("done")
+    return out
+
+
+#: States up to which all paths are listed in one go; beyond it the best are looked for first, with equal results.
+FEW_STATES = 100_000
+
+
+def paths(g: Graph, start: DataFrame, goal: DataFrame, max_depth: int = 6, max_paths: int = 5, kinds: list[str] | None = None, min_confidence: str = "possible", most_states: int | None = None, few_states: int = FEW_STATES, followed: list[int] | None = None) -> DataFrame:
+    """The best simple paths from ``start`` to ``goal`` (``id`` each), ranked: ``signature, hops, rank, semantic``.
+
+    Order: best least confidence, fewer hops, more semantic edges, signature.  Of parallel edges the best counts.  Distances to
+    the goal, found backward first, keep out what can't reach it in time.  Where all paths take over ``few_states`` states,
+    they are looked for in their order: over certain edges alone, then with probable, then with possible ones, and of each the
+    shortest first; the search ends when enough are found, as all that is left is worse.  ``most_states`` fails the call, and
+    never cuts the result, when a level grows past it; ``followed`` takes the number of states of each search.
+    """
+    S.between("max_depth", max_depth, 1, 8)
+    semantic = F.col("kind").isin(S.SEMANTIC_KINDS).cast("int")
+    edges = g.following(S.kinds_of(kinds, S.FLOW_KINDS), min_confidence).groupBy("source_id", "target_id").agg(F.max(F.struct("rank", semantic.alias("semantic"))).alias("best"))
+    edges = stored(edges.select(F.col("source_id").alias("tip"), F.col("target_id").alias("next"), F.col("best.rank").alias("r"), F.col("best.semantic").alias("s")), "steps")
+    starts, goals = stored(endpoints(g, start), "starts"), stored(endpoints(g, goal), "goals")
+    followed = [] if followed is None else followed
+    first = lambda df: df.orderBy(F.desc("rank"), "hops", F.desc("semantic"), "signature").limit(max_paths)
+
+    def search(steps: DataFrame, away: DataFrame, hops: int, few: int | None = None) -> DataFrame | None:
+        followed.append(0)
+
+        def count(n: int, depth: int) -> bool:
+            if few is None and most_states is not None and n > most_states:
+                raise ValueError(f"more than {most_states} paths at depth {depth}")
+            followed[-1] += n
+            return few is None or followed[-1] <= few
+
+        return _up_to(steps, away, starts, hops, count)
+
+    away = _away(edges, goals, max_depth - 1)
+    few = few_states if most_states is None else min(few_states, most_states)
+    if (every := search(edges, away, max_depth, few)) is not None:
+        return first(every)
+    out, found = None, 0
+    for least in range(3, S.least_rank(min_confidence) - 1, -1):
+        if edges.where(F.col("r") == least).isEmpty():
+            continue
+        steps = edges.where(F.col("r") >= least)
+        away = _away(steps, goals, max_depth - 1)
+        nearest = starts.withColumnRenamed("id", "tip").join(steps, "tip").join(away, "next").agg(F.min("left")).first()[0]
+        # The shortest alone, a little longer, and all: what one search found is found again by the next.
+        for hops in sorted({min(nearest + 1, max_depth), min(nearest + 3, max_depth), max_depth}) if nearest is not None else ():
+            hits = stored(search(steps, away, hops).where(F.col("rank") == least), "paths")
+            if found + (n := hits.count()) >= max_paths:
+                return first(hits if out is None else out.unionByName(hits))
+        if nearest is not None:
+            out, found = hits if out is None else out.unionByName(hits), found + n
+    return first(g.spark.createDataFrame([], "signature string, hops int, rank int, semantic int") if out is None else out)

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import config
 from .. import schema as S
+from ..ingest import classify, incremental
+from ..ingest.intervals import Intervals
 from ..ingest.maintain import Maintained
 from ..ingest.store import BucketStore, bucket_of, upsert_into
-from ..operators import scc
+from ..operators import lookup, names, scc
+from ..sources import bundle, merkle
 from ..storage import scratch_dir
-from .catalog import query
+from ..streaming import debounce
+from ..views import graph, indexed_graph, view
+from .catalog import SQL, TERM, gate_metrics, query
 
 
 def own_store(s: SparkSession, name: str, digits: int = 2) -> BucketStore:
@@ -117,6 +124,67 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _found(s, d, False)
 
 
+# --- archived snapshots ----------------------------------------------------------------------------------------------------------
+
+#: Older states of the graph's tables: conditions that rows met, and what other rows had in a column.
+OLDER = {
+    "files": ("language <> 'fr'", "content_hash", "size < 400", "'older'"),
+    "nodes": ("NOT (kind = 'route' AND length(id) % 2 = 0)", "file_id", "kind = 'interface'", "'f:elsewhere'"),
+    "edges": ("confidence = 'certain'", "start_line", "kind = 'imports'", "7"),
+    "classifications": ("role <> 'application.public_api'", "confidence", "role = 'laravel.model'", "'possible'"),
+    "boundaries": ("id <> 'b:all'", "name", "source = 'inferred'", "lower(name)"),
+    "memberships": ("boundary_id <> 'b:all'", "node_id", "false", "node_id"),
+}
+
+
+def older_sql(name: str) -> str:
+    where, column, when, value = OLDER[name]
+    return f"SELECT * REPLACE (CASE WHEN {when} THEN {value} ELSE {column} END AS {column}) FROM {name} WHERE {where}"
+
+
+def older(name: str, df: DataFrame) -> DataFrame:
+    where, column, when, value = OLDER[name]
+    return df.where(where).withColumn(column, F.when(F.expr(when), F.expr(value)).otherwise(F.col(column)))
+
+
+def archived(s: SparkSession, d: str) -> Intervals:
+    """Three snapshots of the graph: an older state, one in which only the components are new, and the present."""
+    g = graph(s, d)
+    now = {n: getattr(g, n) for n in OLDER} | {"diagnostics": g.diagnostics}
+    name = lambda n: "boundary_memberships" if n == "memberships" else n
+    kept = Intervals(s, f"{scratch_dir(s)}/archive-{uuid.uuid4().hex}")
+    before = {n: older(n, df) if n in OLDER else df for n, df in now.items()}
+    for tables in (before, before | {"nodes": now["nodes"]}, now):
+        kept.write({name(n): df for n, df in tables.items()})
+    return kept
+
+
+def _diff_sql(name: str) -> str:
+    key = {"classifications": "concat_ws('|', node_id, role, rule_id)", "memberships": "concat_ws('|', boundary_id, node_id)"}.get(name, "id")
+    ha, hb = (f"SELECT {key} AS key, md5(CAST(t AS STRING)) AS whole FROM (SELECT * {'EXCLUDE (file_id)' if name in ('nodes', 'edges') else ''} FROM ({q}) x) t" for q in (older_sql(name), f"SELECT * FROM {name}"))
+    files = (f"SELECT {key} AS key, file_id FROM ({q}) x" for q in (older_sql(name), f"SELECT * FROM {name}")) if name in ("nodes", "edges") else None
+    section = "boundary_memberships" if name == "memberships" else name
+    out = f"SELECT '{section}' AS section, coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS operation FROM (SELECT DISTINCT key, whole FROM ({ha})) a FULL JOIN (SELECT DISTINCT key, whole FROM ({hb})) b ON a.key = b.key WHERE a.whole IS DISTINCT FROM b.whole"
+    if files:
+        fa, fb = files
+        out += f" UNION ALL SELECT '{section}', a.key, 'moved' FROM ({fa}) a JOIN ({fb}) b ON a.key = b.key WHERE a.file_id IS DISTINCT FROM b.file_id"
+    return out
+
+
+@query("snp_01_all_tables", " UNION ALL ".join(_diff_sql(n) for n in OLDER))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return archived(s, d).diff(1, 3)
+
+
+@query("snp_06_trends_of_archived", f"""
+WITH {gate_metrics('x', older_sql('nodes'), older_sql('edges')).replace('classifications', 'older_roles')}, {gate_metrics('y', 'SELECT * FROM nodes', older_sql('edges')).replace('classifications', 'older_roles')}, {gate_metrics('z', 'SELECT * FROM nodes', 'SELECT * FROM edges')},
+m AS (SELECT 's1' AS scan_id, CAST(1 AS BIGINT) AS sequence, * FROM xmetrics UNION ALL SELECT 's2', 2, * FROM ymetrics UNION ALL SELECT 's3', 3, * FROM zmetrics)
+SELECT *, coalesce(CAST(cycles - lag(cycles) OVER (ORDER BY sequence) AS BIGINT), 0) AS cycles_change, coalesce(CAST(max_degree - lag(max_degree) OVER (ORDER BY sequence) AS BIGINT), 0) AS max_degree_change, coalesce(CAST(unreferenced_candidates - lag(unreferenced_candidates) OVER (ORDER BY sequence) AS BIGINT), 0) AS unreferenced_candidates_change,
+  coalesce(error_diagnostics - lag(error_diagnostics) OVER (ORDER BY sequence), 0) AS error_diagnostics_change, coalesce(warning_diagnostics - lag(warning_diagnostics) OVER (ORDER BY sequence), 0) AS warning_diagnostics_change FROM m""".replace("WITH ", f"WITH older_roles AS ({older_sql('classifications')}), ", 1))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return archived(s, d).trends(3).na.fill(0)
+
+
 # --- upserts that write --------------------------------------------------------------------------------------------------------
 
 TOUCHED = "c_acctbal > 9800 OR c_acctbal BETWEEN 4000 AND 4020 OR c_acctbal < -970"
@@ -138,3 +206,141 @@ def _(s: SparkSession, d: str) -> DataFrame:
     two.publish()
     bucket = bucket_of("id", store.digits)
     return store.read("customers").select("id", "name", "last_scan_id", bucket.alias("bucket"), bucket.isin(two.written["customers"]).alias("written"))
+
+
+# --- index of names --------------------------------------------------------------------------------------------------------------
+
+TERMS = ["Supplier_7", "order100", "ÉCRU", "o1", "nation_1"]
+
+
+@query("qry_02_indexed_names", " UNION ALL ".join(f"SELECT '{t}' AS term, id FROM nodes WHERE canonical_name ILIKE '%{t.replace('_', '!_')}%' ESCAPE '!' OR display_name ILIKE '%{t.replace('_', '!_')}%' ESCAPE '!'" for t in TERMS) + " UNION ALL SELECT 'read', 'less than a tenth of the components'")
+def _(s: SparkSession, d: str) -> DataFrame:
+    g = indexed_graph(s, d)
+    parts = [names.narrowed(g, [t]).where(lookup.contains("canonical_name", t) | lookup.contains("display_name", t)).select(F.lit(t).alias("term"), "id") for t in TERMS]
+    # What is read of the components for a term that some of them hold.
+    some = names.candidates(g, TERMS[0])
+    read = g.extras["names"].join(some.select("block").distinct(), "block", "left_semi").count(), names.narrowed(g, TERMS[:1]).count(), g.nodes.count()
+    told = "less than a tenth of the components" if 10 * read[1] < read[2] else f"{read}"
+    return reduce(DataFrame.unionByName, parts).unionByName(s.createDataFrame([("read", told)], "term string, id string"))
+
+
+for _name, _found in (("qry_02_find_component", lambda g: lookup.find_component(g, TERM)), ("qry_03_search_architecture", lambda g: lookup.search(g, "catalog service", kinds=["class", "function"]))):
+    # The same SQL, answered through the index.
+    query(f"{_name}_indexed")(lambda s, d, found=_found: found(indexed_graph(s, d)))
+    SQL[f"{_name}_indexed"] = SQL[_name]
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------------
+
+DELAY_HOURS, MOST_PATHS = 6, 12
+
+
+def _replayed(s: SparkSession, d: str, parts: int = 4) -> DataFrame:
+    """Events as a stream in order of time, a part a trigger: event types are trees, users' numbers paths."""
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("tree"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("path"), F.lower("event_type").alias("change"), "ts", F.col("event_id").alias("seq"))
+    e = e.withColumn("change", F.when(F.col("seq") % 3 == 0, "deleted").otherwise("changed"))
+    path, day = f"{scratch_dir(s)}/replay-{uuid.uuid4().hex}", F.dayofyear("ts")
+    days = e.agg(F.min(day), F.max(day)).first()
+    for i in range(parts):
+        low, high = (days[0] + (days[1] + 1 - days[0]) * k // parts for k in (i, i + 1))
+        # One after the other, as files are taken in order of their times.
+        e.where((day >= low) & (day < high)).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(s: SparkSession, stream: DataFrame) -> tuple[DataFrame, str]:
+    """What a stream gives until its source is read: the rows and the id of the run."""
+    out, checkpoint = (f"{scratch_dir(s)}/{n}-{uuid.uuid4().hex}" for n in ("stream", "progress"))
+    with debounce.state_store(s):
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(stream.schema).parquet(out), str(q.runId)
+
+
+@query("str_02_debounced", f"""
+WITH e AS (SELECT event_type AS tree, concat('u', CAST(user_id % 20 AS STRING)) AS path, CASE WHEN event_id % 3 = 0 THEN 'deleted' ELSE 'changed' END AS change, ts, event_id AS seq FROM events),
+w AS (SELECT tree, min(ts) AS since FROM e GROUP BY tree UNION ALL SELECT w.tree, min(e.ts) FROM w JOIN e ON e.tree = w.tree AND e.ts >= w.since + INTERVAL {DELAY_HOURS} HOURS GROUP BY w.tree),
+held AS (SELECT w.tree, w.since, path, arg_max(change, (e.ts, seq)) AS change, count(*) AS n FROM w JOIN e ON e.tree = w.tree AND e.ts >= w.since AND e.ts < w.since + INTERVAL {DELAY_HOURS} HOURS
+  WHERE w.since + INTERVAL {DELAY_HOURS} HOURS < (SELECT max(ts) FROM events) GROUP BY w.tree, w.since, path),
+many AS (SELECT tree, since, count(*) > {MOST_PATHS} AS full_scan, CAST(sum(n) AS BIGINT) AS n FROM held GROUP BY tree, since)
+SELECT h.tree, h.since, path, change, h.n AS coalesced, false AS full_scan FROM held h JOIN many m ON m.tree = h.tree AND m.since = h.since WHERE NOT m.full_scan UNION ALL SELECT tree, since, NULL, NULL, n, true FROM many WHERE full_scan""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _run(s, debounce.debounced(_replayed(s, d), DELAY_HOURS * 3_600_000, MOST_PATHS))[0].drop("due").withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+@query("str_06_lifecycle", "SELECT 'started' AS event, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 'progressed', 4, count(*) FROM events UNION ALL SELECT 'ended', 1, 0")
+def _(s: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_dir(s)}/lifecycle-{uuid.uuid4().hex}"
+    log = debounce.LifecycleLog(s, path)
+    s.streams.addListener(log)
+    try:
+        _, run = _run(s, _replayed(s, d))
+        log.wait(run)
+    finally:
+        s.streams.removeListener(log)
+    rows = s.read.schema(log.SCHEMA).parquet(path).where((F.col("run_id") == run) & (F.col("event") != "idle"))
+    return rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
+# --- trees of hashes -----------------------------------------------------------------------------------------------------------
+
+
+@query("src_07_hash_tree", """
+WITH leaf AS (SELECT substr(md5(relative_path), 1, 2) AS node, sha256(string_agg(relative_path || '=' || content_hash, chr(10) ORDER BY relative_path || '=' || content_hash)) AS hash FROM files GROUP BY 1),
+up AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(node || '=' || hash, chr(10) ORDER BY node || '=' || hash)) AS hash FROM leaf GROUP BY 1),
+top AS (SELECT '' AS node, sha256(string_agg(node || '=' || hash, chr(10) ORDER BY node || '=' || hash)) AS hash FROM up)
+SELECT 2 AS depth, node, hash FROM leaf UNION ALL SELECT 1, node, hash FROM up UNION ALL SELECT 0, node, hash FROM top""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return merkle.tree(view(s, d, "files"), 2)
+
+
+@query("stl_01_drift_by_tree", """
+SELECT relative_path, 'changed' AS change FROM files WHERE content_hash < '02' UNION ALL SELECT relative_path, 'added' FROM files WHERE content_hash LIKE 'ff%'
+UNION ALL SELECT 'leaves joined', 'less than a quarter'""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    now = view(s, d, "files").select("relative_path", "content_hash")
+    then = now.where("NOT content_hash LIKE 'ff%'").withColumn("content_hash", F.when(F.col("content_hash") < "02", "older").otherwise(F.col("content_hash")))
+    found, leaves = merkle.drift(now, then, 8)
+    every = 16 ** merkle.depth_for(now.count(), 8)
+    told = "less than a quarter" if 4 * leaves.count() < every else f"{leaves.count()} of {every}"
+    return found.unionByName(s.createDataFrame([("leaves joined", told)], "relative_path string, change string"))
+
+
+# --- tables that are broken on purpose -----------------------------------------------------------------------------------------
+
+
+@query("mnt_03_dangling", """
+WITH n AS (SELECT * FROM nodes WHERE NOT kind IN ('route', 'interface')), f AS (SELECT * FROM files WHERE language <> 'fr'), b AS (SELECT * FROM boundaries WHERE source = 'explicit')
+SELECT 'edges.source_id' AS relation, source_id AS id FROM edges WHERE source_id NOT IN (SELECT id FROM n) UNION ALL SELECT 'edges.target_id', target_id FROM edges WHERE target_id NOT IN (SELECT id FROM n)
+UNION ALL SELECT 'nodes.file_id', file_id FROM n WHERE file_id NOT IN (SELECT id FROM f) UNION ALL SELECT 'memberships.node_id', node_id FROM memberships WHERE node_id NOT IN (SELECT id FROM n)
+UNION ALL SELECT 'memberships.boundary_id', boundary_id FROM memberships WHERE boundary_id NOT IN (SELECT id FROM b) UNION ALL SELECT 'classifications.node_id', node_id FROM classifications WHERE node_id NOT IN (SELECT id FROM n)""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    g = graph(s, d)
+    return incremental.integrity({
+        "edges": g.edges, "nodes": g.nodes.where("NOT kind IN ('route', 'interface')"), "files": g.files.where("language <> 'fr'"), "memberships": g.memberships,
+        "boundaries": g.boundaries.where("source = 'explicit'"), "classifications": g.classifications,
+    })
+
+
+@query("snk_02_memberships_of_two_scans", "SELECT boundary_id, node_id FROM memberships WHERE boundary_id <> 'b:all' UNION SELECT boundary_id, node_id FROM memberships WHERE boundary_id LIKE 'b:%1%' OR boundary_id = 'b:all'")
+def _(s: SparkSession, d: str) -> DataFrame:
+    m = graph(s, d).memberships
+    return incremental.insert_or_ignore(m.where("boundary_id <> 'b:all'"), m.where("boundary_id LIKE 'b:%1%' OR boundary_id = 'b:all'"))
+
+
+@query("snk_08_parent_rings", "SELECT concat('s:', CAST(s_suppkey AS STRING)) AS id FROM supplier WHERE s_nationkey < 5")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # Each nation's suppliers stand below one another; in some nations the last stands above the first.
+    p = s.read.parquet(f"{d}/supplier.parquet")
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    first = F.min("s_suppkey").over(Window.partitionBy("s_nationkey"))
+    parent = F.coalesce(F.lead("s_suppkey").over(order), F.when(F.col("s_nationkey") < 5, first))
+    name = lambda c: F.concat(F.lit("s:"), c.cast("string"))
+    return bundle.parent_cycles(p.select(name(F.col("s_suppkey")).alias("id"), name(parent).alias("parent_id")))
+
+
+@query("bnd_02_boundaries_of_brands", "SELECT DISTINCT concat('explicit:', p_brand) AS id, p_brand AS name, 'path_prefix' AS matcher_type, concat('catalog/', p_brand, '/') AS matcher_value FROM part")
+def _(s: SparkSession, d: str) -> DataFrame:
+    # A configuration names fifty boundaries at most; there are half as many brands.
+    brands = s.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().orderBy("p_brand").limit(51).collect()
+    return classify.explicit_boundaries(s, config.boundaries([{"name": r["p_brand"], "path_prefix": f"catalog/{r['p_brand']}"} for r in brands])).drop("source")

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .graph import Graph
+from .operators import names
 from .storage import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark")
@@ -129,3 +130,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         v = {name: stored(view(spark, sf_dir, name), name, by="kind" if name == "edges" else None) for name in TABLES_OF_GRAPH}
         _WRITTEN[key] = Graph(**v)
     return _WRITTEN[key]
+
+
+_INDEXED: dict[tuple[str, str], Graph] = {}
+
+
+def indexed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same graph with an index of its names, written once as well."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXED:
+        _INDEXED[key] = names.indexed(graph(spark, sf_dir))
+    return _INDEXED[key]

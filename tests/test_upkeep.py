@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.engine import Engine
 from graphloom.graph import Graph
 from graphloom.ingest import reconcile, resolution
+from graphloom.ingest.incremental import SnapshotError
+from graphloom.ingest.intervals import Intervals
 from graphloom.ingest.maintain import Maintained
 from graphloom.ingest.store import BucketStore, StoreError, upsert_into
-from graphloom.operators import scc, traverse
+from graphloom.operators import scc, snapshot, traverse
 from graphloom.schema import CONTRIBUTION
 
 
@@ -293,6 +295,30 @@ def test_a_state_is_published_once(spark, tmp_path):
     assert store.vacuum(1) >= 1 and store.numbers() == [2]
 
 
+def test_snapshots_as_intervals(spark, tmp_path):
+    kept = Intervals(spark, f"file://{tmp_path}/archive", 1)
+    files = lambda rows: spark.createDataFrame(rows, "id string, content_hash string, last_scan_id string")
+    roles = spark.createDataFrame([("n", "r", "x", "certain"), ("n", "r", "x", "certain"), ("m", "r", None, "certain")], "node_id string, role string, rule_id string, confidence string")
+    states = [[("a", "1", "s1"), ("b", "1", "s1"), ("c", None, "s1")], [("a", "2", "s2"), ("b", "1", "s2"), ("d", "1", "s2")], [("a", "1", "s3"), ("b", "1", "s3"), ("c", "x", "s3")]]
+    for i, rows in enumerate(states):
+        assert kept.write({"files": files(rows), "classifications": roles}) == i + 1
+    # Another scan of the same rows writes nothing of them.
+    before = kept.store.manifest()["tables"]
+    assert kept.write({"files": files(states[2]), "classifications": roles}) == 4 and kept.wrote == {"files": (0, 0), "classifications": (0, 0)} and kept.store.manifest()["tables"] == before
+    for i, rows in enumerate(states):
+        assert sorted(map(tuple, kept.as_of("files", i + 1).collect())) == sorted((k, h) for k, h, _ in rows)
+    assert kept.as_of("files").count() == 3 and kept.as_of("classifications", 1).count() == 2
+    for a in (1, 2, 3):
+        for b in (1, 2, 3):
+            want = {(r["key"], r["operation"]) for r in snapshot.diff(files(states[a - 1]), files(states[b - 1])).collect()}
+            assert {(r["key"], r["operation"]) for r in kept.diff(a, b, ["files"]).collect()} == want
+    assert kept.by_scan("files", [1, 2, 3]).groupBy("scan").count().where("count = 3").count() == 3
+    with pytest.raises(SnapshotError):
+        kept.as_of("files", 9)
+    with pytest.raises(SnapshotError):
+        kept.as_of("edges")
+
+
 # --- searches -----------------------------------------------------------------------------------------------------------------
 
 
@@ -316,6 +342,35 @@ def test_one_search_from_all_seeds(spark, seed):
     assert {(r["id"], r["distance"]) for r in alone} == {(i, d) for i, _, d, _, _ in want if i not in {r["id"] for r in seeds.collect()}}
 
 
+@pytest.mark.parametrize("seed", [0])
+def test_best_paths_are_the_first_of_all_paths(spark, seed):
+    rnd = random.Random(seed)
+    rows = sorted({(f"n{rnd.randrange(9)}", rnd.choice(["calls", "dispatches"]), f"n{rnd.randrange(9)}", rnd.choice(["certain", "certain", "probable", "possible"])) for _ in range(26)})
+    g = graph_of(spark, rows)
+    best = {}
+    for a, k, b, c in rows:
+        step = ({"certain": 3, "probable": 2}.get(c, 1), int(k == "dispatches"))
+        best[a, b] = max(best.get((a, b), step), step)
+    every = []
+
+    def go(path, rank, semantic):
+        for (a, b), (r, s) in best.items():
+            if a == path[-1] and len(path) <= 6:
+                now = (min(rank, r), semantic + s)
+                if b == "n8":
+                    every.append((-now[0], len(path), -now[1], ">".join([*path, b])))
+                elif b not in path:
+                    go([*path, b], *now)
+
+    go(["n0"], 3, 0)
+    ids = lambda x: spark.createDataFrame([(x,)], "id string")
+    for most, few in ((3, 0), (1000, 0), (3, 10**6)):
+        followed = []
+        got = [(-r["rank"], r["hops"], -r["semantic"], r["signature"]) for r in traverse.paths(g, ids("n0"), ids("n8"), 6, most, few_states=few, followed=followed).collect()]
+        assert got == sorted(every)[:most] and (len(followed) == 1) == (few > 0)
+    assert traverse.paths(g, ids("n0"), ids("nowhere"), 6).count() == 0
+
+
 def strong(edges):
     found = scc.strong_components(iter(sorted(edges)))
     return {a: c for a, c in found.items() if sum(x == c for x in found.values()) > 1}
