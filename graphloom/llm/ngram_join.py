@@ -9,6 +9,8 @@
    the same first row at most of their shingles, so a row enters few tiles, however many
    shingles it shares.  A tile is cut by size bands; each set also enters the next band, so
    that any two sets in reach of each other meet.
+   The smaller of two linked sets holds the first shingle that they share early in its prefix.  So rows that
+   have a tile's shingles late, as all letters of one template may, are held against its early rows alone.
 4. Within a tile, rows are compared by hashed bitmaps: the sets differ in at least as many shingles
    as the bitmaps differ in bits, which bounds the overlap from above.  A search from row to row connects
    what may link and yields one pair fewer than it has rows at most.  Connected rows are a group of candidates.
@@ -23,7 +25,7 @@ blocks of bounded size.
 Defined results.  Null texts and texts without words have an empty set and are linked
 with nothing.  A text of one to four words is one shingle.  Long texts are taken whole.  Rows that
 repeat an id are placed each by its own text.  A row without id is linked with nothing and
-has a null component.  Sets of equal size and repeated rows are one class.  An empty table gives an
+has a null component.  Equal sets and repeated rows are one class.  An empty table gives an
 empty result.  Other columns are ignored, whatever their names.
 """
 
@@ -204,9 +206,12 @@ class Tile:
         least = 8 * min(len(r[3]) for r in rows)
         self.maps = np.stack([fold(r[3], least) for r in rows]).view(U64)
         self.sets = [r[4] for r in rows]
+        self.late = np.array([r[6] for r in rows], dtype=bool)
 
     def links(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Those of the rows ``among`` that link with row i, or may, if there are no sets.  A pair counts in the band of its larger set."""
+        """Those of the rows ``among`` that link with row i, or may, if there are no sets.  A pair counts in the band of its larger set, and where one of it is early."""
+        if self.late[i]:
+            among = among[~self.late[among]]
         n, m = self.n[i], self.n[among]
         among = among[(np.maximum(self.own[among], self.own[i]) == self.band) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))]
         if len(among):
@@ -219,15 +224,17 @@ class Tile:
 
     def forest(self) -> Iterator[tuple[int, np.ndarray]]:
         """A row and those first reached from it, over all connected rows: a spanning forest.  A row that was reached is not compared again but to reach others."""
-        free = np.ones(len(self.row), dtype=bool)
-        for seed in range(len(self.row)):
+        free, early = np.ones(len(self.row), dtype=bool), ~self.late
+        # Late rows link with early ones alone, so nothing is left for them once those were seeds.
+        for seed in np.flatnonzero(early):
             if not free[seed]:
                 continue
             free[seed] = False
             reached = [seed]
-            while reached and len(left := np.flatnonzero(free)):
+            while reached:
                 i = reached.pop()
-                found = self.links(i, left)
+                left = np.flatnonzero(free & early if self.late[i] else free)
+                found = self.links(i, left) if len(left) else left
                 if len(found):
                     free[found] = False
                     reached += found.tolist()
@@ -246,18 +253,19 @@ def _edges(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _described(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, tuple]]:
-    """Each row's key and ``row, own, n, bitmap, set, whether it asks``.  With texts the set comes from the text, if that is the one the row stands for; else there is none."""
+    """Each row's key and ``row, own, n, bitmap, set, whether it asks, whether it is late``.  With texts the set comes from the text, if that is the one the row stands for; else there is none."""
     at = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
     row, own, n = (batch.column(c).to_pylist() for c in ("row", "own", "n"))
     ask = batch.column("ask").to_pylist() if "ask" in batch.schema.names else [False] * len(row)
+    late = batch.column("late").to_pylist()
     if "text" not in batch.schema.names:
         for i, raw in enumerate(batch.column("bits").to_pylist()):
-            yield at[i], (row[i], own[i], n[i], np.frombuffer(raw, np.uint8), None, ask[i])
+            yield at[i], (row[i], own[i], n[i], np.frombuffer(raw, np.uint8), None, ask[i], late[i])
         return
     wanted = batch.column("digest").to_pylist()
     for i, s in enumerate(sets(batch.column("text"))):
         if digest(s) == wanted[i]:
-            yield at[i], (row[i], own[i], n[i], bitmap(s, bitmap_bits(n[i])), s, ask[i])
+            yield at[i], (row[i], own[i], n[i], bitmap(s, bitmap_bits(n[i])), s, ask[i], late[i])
 
 
 def parts(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[tuple, list[tuple], bool]]:
@@ -342,35 +350,42 @@ def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = v & (_LATE - 1)
         keep = (tile >= 0) & (tile != row)
         last, lead = h[-1], tile[-1]
-        yield pa.RecordBatch.from_pydict({"tile": tile[keep], "row": row[keep]})
+        yield pa.RecordBatch.from_pydict({"tile": tile[keep], "row": row[keep], "late": v[keep] >= _LATE})
 
 
 def banded(members: DataFrame, name: str) -> DataFrame:
-    """``tile, band, own, row, n``: each row in its own size band and in the next, where that holds a row of its own and another."""
+    """``tile, band, own, late, row, n``: each row in its own size band and in the next, where that holds a row of its own, an early one and another."""
     own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    both = members.select("tile", "row", "n", own.alias("own")).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-    full = both.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("top")).where("k > 1 and top = band").select("tile", "band")
-    return stored(both.join(full, ["tile", "band"]).select("tile", "band", "own", "row", "n"), name)
+    both = members.select("tile", "row", "n", "late", own.alias("own")).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+    full = both.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("top"), F.min("late").alias("late")).where("k > 1 and top = band and not late").select("tile", "band")
+    return stored(both.join(full, ["tile", "band"]).select("tile", "band", "own", "late", "row", "n"), name)
 
 
 def linked(members: DataFrame, placed: DataFrame, most: int) -> DataFrame:
     """``u, v``: links that connect whatever is linked within a tile.  ``members``: the tiles; ``placed``: the same with what is compared."""
-    found = stored(placed.repartition("tile", "band").sortWithinPartitions("tile", "band", "row").mapInArrow(lambda it: compare_tiles(it, most), _EDGES_DDL), "links")
+    found = stored(placed.repartition("tile", "band").sortWithinPartitions("tile", "band", "late", "row").mapInArrow(lambda it: compare_tiles(it, most), _EDGES_DDL), "links")
     pairs = found.where("tile is null").select(F.col("x").alias("u"), F.col("y").alias("v"))
     rest = found.where("tile is not null").select("tile", "band", F.col("x").alias("row"))
     if rest.isEmpty():
         return pairs
-    asking = rest.join(members, ["tile", "band", "row"]).groupBy("tile", "band").agg(F.sum("n").alias("asking"))
-    wide = stored(
-        members.join(asking, ["tile", "band"]).groupBy("tile", "band").agg(F.sum("n").alias("size"), F.first("asking").alias("asking"))
-        .select("tile", "band", F.ceil(F.col("asking") / most).alias("askers"), F.ceil(F.col("size") / most).alias("blocks")), "wide"
-    )
+    # Early rows that ask meet every block, late ones the blocks of early rows: a late row is no late row's partner.
+    part = lambda df, name: df.groupBy("tile", "band").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("late") == late, F.col("n"))), F.lit(0)) / most).alias(f"{kind}_{name}") for kind, late in (("early", False), ("late", True))])
+    asking = part(rest.join(members, ["tile", "band", "row"]), "askers")
+    wide = stored(part(members.join(asking, ["tile", "band"], "left_semi"), "blocks").join(asking, ["tile", "band"]), "wide")
     rows = placed.join(wide, ["tile", "band"])
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
-    asked = rows.withColumn("ask", F.lit(False)).withColumn("i", every("askers")).withColumn("j", one("blocks"))
-    askers = rows.join(rest, ["tile", "band", "row"], "left_semi").withColumn("ask", F.lit(True)).withColumn("i", one("askers")).withColumn("j", every("blocks"))
-    cells = asked.unionByName(askers).drop("askers", "blocks").repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", F.desc("ask"), "row")
+
+    def dealt(kind: str) -> F.Column:
+        """A row's number among the early or late parts, early ones first."""
+        of = lambda n: F.pmod(F.xxhash64("row"), F.greatest(n, F.lit(1)))
+        return F.when(F.col("late"), F.col(f"early_{kind}") + of(F.col(f"late_{kind}"))).otherwise(of(F.col(f"early_{kind}")))
+
+    def every(kind: str) -> F.Column:
+        n = F.col(f"early_{kind}") + F.when(F.col("late"), 0).otherwise(F.col(f"late_{kind}"))
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))
+
+    asked = rows.withColumn("ask", F.lit(False)).withColumn("i", every("askers")).withColumn("j", dealt("blocks"))
+    askers = rows.join(rest, ["tile", "band", "row"], "left_semi").withColumn("ask", F.lit(True)).withColumn("i", dealt("askers")).withColumn("j", every("blocks"))
+    cells = asked.unionByName(askers).drop(*wide.columns[2:]).repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", F.desc("ask"), "row")
     more = stored(cells.mapInArrow(compare_cells, _EDGES_DDL), "links")
     return pairs.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
@@ -391,12 +406,12 @@ def links(docs: DataFrame, common: int = COMMON, most: int = MOST) -> tuple[Data
     copies = of_row.where("head is null or head <> row").select("row")
     early = F.expr(f"i <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
     slots = rows.join(sent(copies), "row", "left_anti").select("row", "n", F.posexplode("prefix").alias("i", "h")).select("h", F.when(early, F.col("row")).otherwise(F.col("row").bitwiseOR(F.lit(_LATE))).alias("v"))
-    met = stored(slots.repartition("h").sortWithinPartitions("h", "v").mapInArrow(leaders, "tile long, row long").distinct(), "met")
-    members = banded(met.unionByName(met.select("tile", F.col("tile").alias("row")).distinct()).join(rows.select("row", "n"), "row"), "members")
+    met = stored(slots.repartition("h").sortWithinPartitions("h", "v").mapInArrow(leaders, "tile long, row long, late boolean").groupBy("tile", "row").agg(F.min("late").alias("late")), "met")
+    members = banded(met.unionByName(met.select("tile", F.col("tile").alias("row"), F.lit(False).alias("late")).distinct()).join(rows.select("row", "n"), "row"), "members")
     maybe = linked(members, members.join(rows.select("row", "bits"), "row"), most)
     group = components(maybe).select(F.col("node").alias("row"), F.col("component").alias("tile"))
     chosen = stored(rows.select("row", "doc_id", "n", "digest").join(group, "row"), "candidates")
-    members = banded(chosen, "members")
+    members = banded(chosen.withColumn("late", F.lit(False)), "members")
     asked = stored(members.join(chosen.select("row", "doc_id", "digest"), "row"), "asked")
     texts = docs.select("doc_id", "text").join(sent(asked), "doc_id").drop("doc_id")
     return of_row, components(linked(members, texts, most))

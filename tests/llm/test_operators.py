@@ -129,6 +129,46 @@ def test_jaccard_join_links_nested_copies_beyond_the_leaders_reach(spark):
     assert got == {3 * k + i: (n, 3 * k) for k in range(40) for i, n in enumerate((100, 90, 75))}
 
 
+def letters(rnd, n, generic=1):
+    """Thirty words of one letter with a name in the middle, and the letter as it goes to nobody in particular; some letters have near copies."""
+    body = [f"word{i}" for i in range(30)]
+    out = [" ".join(body)] * generic
+    for i in range(n):
+        mine = [*body[:15], f"name{rnd.randrange(10**9)}", *body[16:]]
+        out.append(" ".join(mine))
+        if i % 7 == 0:
+            out.append(" ".join([*mine, "ps"]))
+    rnd.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 500}, {"most": 60}, {"common": 0, "most": 200}])
+def test_letters_of_one_template_link_with_their_copies_alone(spark, options):
+    """All share most shingles and few link, in tiles that fit a task and in tiles that don't."""
+    texts = letters(random.Random(9), 60, 30)
+    sets = [shingle_set(t) for t in texts]
+    first = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if linked(sets[a], sets[b]):
+                first = [first[b] if x == first[a] else x for x in first] if first[b] < first[a] else [first[a] if x == first[b] else x for x in first]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), **options).collect()}
+    assert got == dict(enumerate(first)) and len(set(first)) == 61
+
+
+def test_late_rows_of_a_tile_are_not_compared_with_each_other(monkeypatch):
+    """The work of a tile grows with its rows where one leads and the others have its shingle late."""
+    compared, plain = [], ngram_join.most_common
+    monkeypatch.setattr(ngram_join, "most_common", lambda n, bits, others, maps: compared.append(len(others)) or plain(n, bits, others, maps))
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 2**63, 21, dtype=np.int64).astype(np.uint64)
+    for n in (500, 4000):
+        sets = [np.unique(np.concatenate([shared, rng.integers(0, 2**63, 5, dtype=np.int64).astype(np.uint64)])) for _ in range(n)]
+        compared.clear()
+        tile = ngram_join.Tile(14, [(i, 14, len(s), ngram_join.bitmap(s, 128), s, False, i > 0) for i, s in enumerate(sets)])
+        assert list(tile.forest()) == [] and sum(compared) <= 2 * n
+
+
 def test_jaccard_join_on_awkward_rows(awkward, empty):
     rows = ngram_join.jaccard_components(awkward).collect()
     assert len(rows) == len(awkward_rows())
