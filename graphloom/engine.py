@@ -7,6 +7,7 @@ import inspect
 import platform
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 import pyspark
@@ -22,6 +23,7 @@ from .ingest.store import BucketStore
 from .operators import change, counts, health, location, lookup, policy, scc, snapshot, traverse
 from .render import Envelope, page
 from .sources import bundle, declared, git, python_code, tree
+from .storage import stored
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -29,6 +31,8 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df if "id" in df.columns else df.withColumn("id", F.concat_ws("|", *df.columns))
 
 
+#: The tables of a bundle.
+_BUNDLED = {"files": S.FILES, "nodes": S.NODES, "edges": S.EDGES, "classifications": S.CLASSIFICATIONS, "boundaries": S.BOUNDARIES, "memberships": S.MEMBERSHIPS, "diagnostics": S.DIAGNOSTICS}
 #: Changes when an extractor states other facts of the same file.
 SCANNERS = "1"
 
@@ -38,6 +42,8 @@ class Engine:
 
     def __init__(self, graph: Graph, project_id: str = "project", snapshot_id: str = "active", store: incremental.SnapshotStore | None = None, commits: DataFrame | None = None):
         self.graph, self.project_id, self.snapshot_id, self.store, self.commits = graph, project_id, snapshot_id, store, commits
+        #: What the scanned folder's configuration says; arguments of a call go before it.
+        self.settings = config.ProjectConfig()
 
     # --- answers -------------------------------------------------------------------------------------------------------
 
@@ -68,10 +74,12 @@ class Engine:
     def tools(cls) -> list[str]:
         return sorted(n for n in vars(cls) if not n.startswith("_") and n not in ("tools", "call", "snapshot_graph", "archive"))
 
-    def call(self, tool: str, *, max_chars: int | None = None, refresh: Callable[[], Graph] | None = None, **arguments: Any) -> Envelope:
+    def call(self, tool: str, *, max_chars: int | None = None, refresh: Callable[[], Graph] | None = None, listing: DataFrame | None = None, newer_attempt: bool = False, **arguments: Any) -> Envelope:
         """A tool by name: unknown and missing arguments are rejected, suggestions for what to ask next added, and the answer cut to ``max_chars``.
 
         ``refresh`` scans anew before the tool runs; if it fails, the answer says so and stands on the graph as it was.
+        With ``listing`` (relative_path, content_hash) the answer tells how the graph stands to the files, and only a graph
+        that isn't fresh is scanned anew.
         """
         if tool not in self.tools():
             raise ValueError(f"unknown tool {tool!r}")
@@ -80,19 +88,33 @@ class Engine:
             raise ValueError(f"{tool} has no arguments {extra}")
         if lacking := [n for n, p in wanted.items() if p.default is p.empty and n not in arguments]:
             raise ValueError(f"{tool} needs {lacking}")
-        warnings = []
-        if refresh is not None:
+        warnings: list[str] = []
+        state = self._staleness(listing, newer_attempt) if listing is not None else None
+        if refresh is not None and (state is None or state["state"] != "fresh"):
             try:
                 self.graph = refresh()
             except Exception as e:  # the scan is foreign code to the question: the older graph still answers it
                 warnings.append(f"refresh failed: {type(e).__name__}")
+            else:
+                state = self._staleness(listing, False) if listing is not None else None
         out = getattr(self, tool)(**arguments)
         if not isinstance(out, Envelope):
             return out
         out.warnings += warnings
+        if state is not None:
+            out.data["staleness"] = state
         out.next_steps = render.next_steps(tool, out)
         return out.within(max_chars) if max_chars is not None else out
 
+    def _staleness(self, listing: DataFrame, newer_attempt: bool, most_files: int = 500) -> dict[str, Any]:
+        """The state of the graph against a listing, and how many files differ in which way where that was looked at."""
+        state = incremental.staleness(listing, self.graph.files, newer_attempt, most_files)
+        if state == "unverified":
+            return {"state": state, "guidance": "too many files to compare; scan_project makes it certain"}
+        found = {r["change"]: r["count"] for r in incremental.drift(listing, self.graph.files).groupBy("change").count().collect()}
+        told = {f"{k}_files_since": found.get(k, 0) for k in ("changed", "added", "deleted")}
+        return {"state": state, **told} | ({"guidance": "scan_project brings the graph up to date"} if state == "stale" else {})
+
     def list_projects(self, projects: DataFrame, scans: DataFrame, counts_by: dict[str, DataFrame] | None = None, limit: int = 50) -> Envelope:
         return self._answer("projects", lookup.list_projects(projects, scans, counts_by or {}).orderBy("name", "id"), S.between("limit", limit, 1, 100))
 
@@ -169,31 +191,59 @@ class Engine:
             raise ValueError("no commits were given")
         return self._on_symbol(symbol, lambda s: self._answer("components", change.change_impact(self.graph, s, self.commits, max_depth, max_commits, edge_kinds), limit))
 
-    def changed_files_impact(self, files: list[str], max_depth: int = 4, limit: int = 100, edge_kinds: list[str] | None = None) -> Envelope:
-        return self._answer("components", change.changed_files_impact(self.graph, files, max_depth, limit + 1, edge_kinds), limit)
+    def _changed(self, files: list[str] | None, working_tree: str | None, base: str) -> list[str]:
+        """Paths as given, or those that differ in a working tree; a renamed file counts under both names."""
+        if (files is None) == (working_tree is None):
+            raise ValueError("give either files or a working tree")
+        if files is None:
+            rows = git.changes(self.graph.spark, working_tree, base, 50).collect()
+            files = [p for r in rows for p in (r["path"], r["previous"]) if p]
+        return sorted(set(files))
+
+    def changed_files_impact(self, files: list[str] | None = None, max_depth: int = 4, limit: int = 100, edge_kinds: list[str] | None = None, min_confidence: str = "possible", entry_roles: list[str] | None = None, working_tree: str | None = None, base: str = "HEAD") -> Envelope:
+        """What depends on components in changed files; which of the files hold none, the components themselves, and what starts something among the dependants."""
+        g, files = self.graph, self._changed(files, working_tree, base)
+        S.between("limit", limit, 1, 500)
+        if not files:
+            return Envelope("0 components", {"components": [], "changed_files": [], "unresolved_files": [], "direct_components": [], "entry_points": []}, self.project_id, self.snapshot_id)
+        paths = g.files.select(F.col("id").alias("file_id"), "relative_path")
+        direct = stored(g.nodes.join(change.direct_nodes(g, files), "id", "left_semi").join(paths, "file_id"), "direct")
+        found = stored(traverse.nearest_impact(g, direct.select("id"), max_depth, edge_kinds, min_confidence), "impact")
+        named = found.join(g.nodes.select("id", "canonical_name"), "id").select("id", "canonical_name", "distance", "seed").orderBy("distance", "canonical_name", "id")
+        rows, more = page(direct.orderBy("relative_path", "canonical_name", "id").select("id", "kind", "canonical_name", "relative_path", "start_line", "end_line"), 1000)
+        resolved = {r[0] for r in direct.select("relative_path").distinct().collect()}
+        entries = traverse.entry_points(g, found, entry_roles or S.ENTRY_ROLES).select("id", "kind", "distance").orderBy("id")
+        out = self._answer("components", named, limit, changed_files=files, unresolved_files=[f for f in files if f not in resolved], direct_components=rows, entry_points=page(entries, limit)[0])
+        out.evidence = [{"component_id": r["id"], "path": r["relative_path"], "start_line": r["start_line"], "end_line": r["end_line"]} for r in rows[:100]]
+        out.truncated |= more
+        return out
 
-    def test_impact(self, files: list[str], max_depth: int = 4, limit: int = 100) -> Envelope:
-        return self._answer("tests", change.test_impact(self.graph, files, max_depth), limit)
+    def test_impact(self, files: list[str] | None = None, max_depth: int = 4, limit: int = 100, working_tree: str | None = None, base: str = "HEAD") -> Envelope:
+        return self._answer("tests", change.test_impact(self.graph, self._changed(files, working_tree, base), max_depth), limit)
 
-    def review_diff(self, files: list[str], policies: list[policy.Policy] | None = None, max_depth: int = 4, limit: int = 100, baseline: str | None = None, budgets: dict[str, int] | None = None) -> Envelope:
+    def review_diff(self, files: list[str] | None = None, policies: list[policy.Policy] | None = None, max_depth: int = 4, limit: int = 100, baseline: str | None = None, budgets: dict[str, int] | None = None, working_tree: str | None = None, base: str = "HEAD") -> Envelope:
         """Without a baseline the newest archived snapshot before the active one is it, if there is a store that has one."""
         if baseline is None and self.store is not None:
             row = self.store.snapshots().where("complete").where(F.col("scan_id") != self.snapshot_id).orderBy(F.desc("number")).first()
             baseline = row["scan_id"] if row else None
         before = self.snapshot_graph(baseline) if baseline is not None else None
-        return self._answer("findings", change.review(self.graph, files, policies, max_depth, before, budgets), limit, baseline=baseline)
+        policies = list(self.settings.policies) if policies is None else policies
+        return self._answer("findings", change.review(self.graph, self._changed(files, working_tree, base), policies, max_depth, before, budgets or self.settings.quality_budgets or None), limit, baseline=baseline)
 
     # --- health ----------------------------------------------------------------------------------------------------------
 
     def architecture_health(self, edge_kinds: list[str] | None = None, min_confidence: str = "possible", limit: int = 20, include_external: bool = False, include_tests: bool = False, suppress: list[str] | None = None) -> Envelope:
         g, a = self.graph, (edge_kinds, min_confidence)
-        dead = health.dead_code(g, *a, suppress)
+        dead = health.dead_code(g, *a, list(self.settings.dead_code_suppressions) if suppress is None else suppress)
         reasons = {r["reason"]: r["count"] for r in dead.where("reason is not null").groupBy("reason").count().collect()}
         return self._answer("hubs", health.hubs(g, *a, limit + 1, include_external, include_tests), limit,
             hotspots=[r.asDict() for r in health.hotspots(g, *a, limit, include_external, include_tests).collect()],
             dead_code_candidates=[r.asDict() for r in dead.where("reason is null").drop("reason").orderBy("canonical_name", "id").limit(limit).collect()], excluded=reasons)
 
-    def check_architecture(self, policies: list[policy.Policy], min_confidence: str = "possible", limit: int = 100) -> Envelope:
+    def check_architecture(self, policies: list[policy.Policy] | None = None, min_confidence: str = "possible", limit: int = 100) -> Envelope:
+        """Violations of the policies that are given, or else of those that the project's configuration holds."""
+        if not (policies := list(self.settings.policies) if policies is None else policies):
+            raise ValueError("no policies are given or configured")
         found = policy.violations(self.graph, policies, min_confidence)
         return self._answer("violations", found.orderBy("policy_id", "edge_id"), limit, total=found.count())
 
@@ -250,8 +300,9 @@ class Engine:
         a = {n: t for n, t in a.items() if n in b}
         return self._answer("changes", snapshot.snapshot_diff(a, b, max_changes), max_changes, counts=moved, renames=[r.asDict() for r in snapshot.rename_candidates(a["nodes"], b["nodes"]).limit(max_changes).collect()])
 
-    def quality_gate(self, baseline: Graph | str, budgets: dict[str, int], policies: list[policy.Policy] | None = None, sarif: bool = False, propose_baseline: bool = False) -> Envelope:
+    def quality_gate(self, baseline: Graph | str, budgets: dict[str, int] | None = None, policies: list[policy.Policy] | None = None, sarif: bool = False, propose_baseline: bool = False) -> Envelope:
         before = self.snapshot_graph(baseline) if isinstance(baseline, str) else baseline
+        budgets, policies = budgets or self.settings.quality_budgets, self.settings.policies if policies is None else policies
         checks = [r.asDict() for r in snapshot.quality_gate(before, self.graph, budgets, policies or ()).collect()]
         data: dict[str, Any] = {"checks": checks}
         if propose_baseline:
@@ -268,8 +319,6 @@ class Engine:
         after = incremental.annotate(self.graph.annotations, component, kind, value, remove)
         known = not self.graph.nodes.where(F.col("canonical_name") == component).isEmpty()
         if execute:
-            from dataclasses import replace
-
             self.graph = replace(self.graph, annotations=after)
         return Envelope("executed" if execute else "preview", {"annotations": [r.asDict() for r in after.where(F.col("canonical_name") == component).collect()]}, warnings=[] if known else ["no component has this name"])
 
@@ -288,6 +337,7 @@ class Engine:
         """
         spark = self.graph.spark
         settings = config.load(spark, root).overlaid(ignores=tuple(patterns) if patterns is not None else None, max_files=max_files)
+        self.settings = settings
         files, found = tree.discover(spark, root, list(settings.ignores), settings.max_files or 100_000, settings.max_file_bytes or 2_000_000)
 
         def facts(some: DataFrame) -> DataFrame:
@@ -322,24 +372,24 @@ class Engine:
         return self.commits
 
     def export_bundle(self, redaction: str = "none") -> bytes:
-        files, nodes = bundle.redact(self.graph.files, self.graph.nodes, redaction)
-        return bundle.encode({"files": files, "nodes": nodes, "edges": self.graph.edges})
+        tables = {n: df for n in _BUNDLED if (df := getattr(self.graph, n)) is not None}
+        return bundle.encode(bundle.redact_all(tables, redaction))
 
     def import_bundle(self, data: bytes, name: str) -> Graph:
         """A checked bundle as the graph of another project: ids are made anew, and what doesn't hang together is refused."""
         spark, tables = self.graph.spark, bundle.decode(data)
-        made = {k: spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in tables.get(k, [])], schema) for k, schema in (("nodes", S.NODES), ("edges", S.EDGES), ("files", S.FILES))}
+        made = {k: spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in tables.get(k, [])], schema) for k, schema in _BUNDLED.items()}
         if not bundle.parent_cycles(made["nodes"]).isEmpty():
             raise ValueError("a chain of parents comes back to itself")
         nodes, edges = bundle.remap(made["nodes"], made["edges"], name)
-        none = lambda schema: spark.createDataFrame([], schema)
-        return Graph(nodes, edges, made["files"], none(S.CLASSIFICATIONS), none(S.BOUNDARIES), none(S.MEMBERSHIPS), none(S.DIAGNOSTICS), none(S.ANNOTATIONS))
+        return Graph(**made | bundle.remap_rest(made, bundle.new_ids(made["nodes"], name)) | {"nodes": nodes, "edges": edges}, annotations=spark.createDataFrame([], S.ANNOTATIONS))
 
-    def remove_project(self, execute: bool = False) -> Envelope:
+    def remove_project(self, execute: bool = False, state: str | None = None) -> Envelope:
+        """How much there is; executed, the graph is emptied, and the folder that a scan kept it in is deleted."""
         sizes = {n: t.count() for n, t in (("nodes", self.graph.nodes), ("edges", self.graph.edges), ("files", self.graph.files))}
+        if execute and state is not None:
+            BucketStore(self.graph.spark, state).delete()
         if execute:
-            from dataclasses import replace
-
             self.graph = replace(self.graph, nodes=self.graph.nodes.limit(0), edges=self.graph.edges.limit(0), files=self.graph.files.limit(0), extras={})
         return Envelope("executed" if execute else "preview", sizes)
 

@@ -17,7 +17,6 @@ from ..ingest.store import BucketStore, bucket_of, upsert_into
 from ..operators import lookup, names, scc
 from ..sources import bundle, merkle
 from ..storage import scratch_dir
-from ..streaming import debounce
 from ..views import graph, indexed_graph, view
 from .catalog import SQL, TERM, gate_metrics, query
 
@@ -250,6 +249,8 @@ def _replayed(s: SparkSession, d: str, parts: int = 4) -> DataFrame:
 
 def _run(s: SparkSession, stream: DataFrame) -> tuple[DataFrame, str]:
     """What a stream gives until its source is read: the rows and the id of the run."""
+    from ..streaming import debounce
+
     out, checkpoint = (f"{scratch_dir(s)}/{n}-{uuid.uuid4().hex}" for n in ("stream", "progress"))
     with debounce.state_store(s):
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -265,11 +266,16 @@ held AS (SELECT w.tree, w.since, path, arg_max(change, (e.ts, seq)) AS change, c
 many AS (SELECT tree, since, count(*) > {MOST_PATHS} AS full_scan, CAST(sum(n) AS BIGINT) AS n FROM held GROUP BY tree, since)
 SELECT h.tree, h.since, path, change, h.n AS coalesced, false AS full_scan FROM held h JOIN many m ON m.tree = h.tree AND m.since = h.since WHERE NOT m.full_scan UNION ALL SELECT tree, since, NULL, NULL, n, true FROM many WHERE full_scan""")
 def _(s: SparkSession, d: str) -> DataFrame:
+    # Not with the other imports: what keeps state needs a package that the rest doesn't.
+    from ..streaming import debounce
+
     return _run(s, debounce.debounced(_replayed(s, d), DELAY_HOURS * 3_600_000, MOST_PATHS))[0].drop("due").withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
 @query("str_06_lifecycle", "SELECT 'started' AS event, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 'progressed', 4, count(*) FROM events UNION ALL SELECT 'ended', 1, 0")
 def _(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming import debounce
+
     path = f"{scratch_dir(s)}/lifecycle-{uuid.uuid4().hex}"
     log = debounce.LifecycleLog(s, path)
     s.streams.addListener(log)

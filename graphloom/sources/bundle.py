@@ -32,6 +32,39 @@ def redact(files: DataFrame, nodes: DataFrame, level: str = "none") -> tuple[Dat
     return files, nodes
 
 
+def redact_all(tables: dict[str, DataFrame], level: str = "none") -> dict[str, DataFrame]:
+    """All tables of a graph: as ``redact``, and ids of files that are their paths hashed wherever they stand; strict masks what diagnostics say as well."""
+    files, nodes = redact(tables["files"], tables["nodes"], level)
+    out = tables | {"files": files, "nodes": nodes}
+    if level == "none":
+        return out
+    named = tables["files"].where("id = relative_path").select(F.col("id").alias("file_id"), redacted_path(F.col("id")).alias("hashed"))
+    out["files"] = tables["files"].join(named, F.col("id") == F.col("file_id"), "left").withColumn("id", F.coalesce("hashed", "id")).withColumn("relative_path", redacted_path(F.col("relative_path"))).select(*files.columns)
+    for name in ("nodes", "edges"):
+        out[name] = out[name].join(named, "file_id", "left").withColumn("file_id", F.coalesce("hashed", "file_id")).select(*tables[name].columns)
+    if level == "strict" and "diagnostics" in out:
+        # A message quotes the source, and an id may begin with the path that it is about.
+        out["diagnostics"] = out["diagnostics"].withColumn("message", F.lit("redacted")).withColumn("id", F.concat(F.lit("redacted:"), F.substring(F.sha2("id", 256), 1, 24)))
+    return out
+
+
+def remap_rest(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Roles and memberships under the new ids of their components; one of an unknown component or boundary fails the import.  ``ids``: id, new_id."""
+    out = {}
+    for name in ("classifications", "memberships"):
+        rows = tables[name]
+        if not rows.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti").isEmpty():
+            raise ValueError(f"{name} of an unknown component")
+        out[name] = rows.join(ids.select(F.col("id").alias("node_id"), "new_id"), "node_id").withColumn("node_id", F.col("new_id")).select(*rows.columns)
+    if not tables["memberships"].join(tables["boundaries"].select(F.col("id").alias("boundary_id")), "boundary_id", "left_anti").isEmpty():
+        raise ValueError("memberships of an unknown boundary")
+    return out
+
+
+def new_ids(nodes: DataFrame, project: str) -> DataFrame:
+    return nodes.select("id", stable_id("symbol", F.lit(project), F.col("language"), F.col("kind"), F.col("canonical_name")).alias("new_id"))
+
+
 def canonical(value: object) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
@@ -70,7 +103,7 @@ def decode(data: bytes) -> dict[str, list[dict]]:
 
 def remap(nodes: DataFrame, edges: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges under new ids of another project; an edge with a missing end fails the import."""
-    ids = nodes.select("id", stable_id("symbol", F.lit(project), F.col("language"), F.col("kind"), F.col("canonical_name")).alias("new_id"))
+    ids = new_ids(nodes, project)
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     if not ends.join(ids, "id", "left_anti").isEmpty():
         raise ValueError("an edge has no node")

@@ -83,13 +83,27 @@ def gathered(language: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def php(files: DataFrame) -> DataFrame:
-    """Types, methods and functions with what they extend, implement, use, construct, call and return; routes of Laravel and Symfony."""
+    """Types, methods and functions with what they extend, implement, use, construct, call and return.
+
+    Of Laravel also routes with their group's prefix, container bindings, dispatches, observers and the maps of providers; of Symfony routes with
+    their class's prefix, commands, service aliases, injected services, event listeners and subscribers, message handlers.
+    """
     function = r"^\s*(?:abstract\s+|final\s+|public\s+|protected\s+|private\s+|static\s+)*function\s+&?(\w+)\s*\("
     rows = surrounded(lines(files, "php"), found("line", function), found("line", r"^\s*namespace\s+([\w\\]+)\s*[;{]"))
     use = r"^use\s+(?:function\s+)?\\?([\w\\]+)(?:\s+as\s+(\w+))?\s*;"
     names = rows.where(F.col("line").rlike(use)).select("path", F.coalesce(found("line", use, 2), F.element_at(F.split(found("line", use), r"\\"), -1)).alias("k"), found("line", use).alias("v"))
     rows = rows.join(names.groupBy("path", "k").agg(F.first("v").alias("v")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("used")), "path", "left")
 
+    so_far = Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    opened, group_ = r"\$(listen|policies)\s*=\s*\[", r"Route::(?:\w+\([^()]*\)->)*prefix\(\s*['\"]([^'\"]*)['\"]\)(?:->\w+\([^()]*\))*->group\("
+    rows = rows.withColumns({
+        # The provider's map that a line lies in, the prefix of its group of routes, and the attributes of its class.
+        "map": F.coalesce(last(F.when(F.col("line").rlike(opened), found("line", opened)).when(F.col("line").rlike(r"\]\s*;\s*$"), F.lit(""))), F.lit("")),
+        "group": F.coalesce(last(F.when(F.col("line").rlike(group_), found("line", group_)).when(F.col("line").rlike(r"^\}\)"), F.lit(""))), F.lit("")),
+        "class_marks": F.coalesce(last(F.when(F.col("own_type").isNotNull(), F.col("marks"))), F.array().cast("array<string>")),
+    })
+
     def full(name: Column) -> Column:
         """The full name of a type as written in the file."""
         head, rest = F.substring_index(name, "\\", 1), F.regexp_replace(name, r"^[^\\]+", "")
@@ -106,13 +120,26 @@ def php(files: DataFrame) -> DataFrame:
     attributes = F.to_json(F.struct(full(parent).alias("extends"), F.transform(F.filter(contracts, lambda x: x != ""), lambda x: full(F.trim(x))).alias("implements"), F.transform(F.col("marks"), lambda m: F.regexp_extract(m, r"^\\?([\w\\]+)", 1)).alias("php_attributes")))
     route = rf"Route::({HTTP})\(\s*['\"]([^'\"]*)['\"]\s*,\s*\[?\s*\\?([\w\\]+)::class(?:\s*,\s*['\"](\w+)['\"])?"
     mark = F.try_element_at(F.filter("marks", lambda m: m.rlike(r"^Route\(\s*['\"]")), F.lit(-1))
-    symfony = F.when(F.col("own_function").isNotNull() & within & mark.isNotNull(), F.concat(F.lit("ANY "), F.regexp_extract(mark, r"['\"]([^'\"]*)['\"]", 1)))
-    laravel = F.when(F.col("line").rlike(route), F.concat(F.upper(found("line", route)), F.lit(" /"), F.ltrim(F.coalesce(found("line", route, 2), F.lit("")), F.lit("/"))))
+    # What an attribute of a short name says first, of those just before a line or before its class.
+    said = lambda marks, name, argument: F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(F.filter(marks, lambda m: m.rlike(rf"^\\?(?:\w+\\)*{name}\b")), F.lit(-1)), F.lit("")), rf"{name}\(\s*(?:\w+:\s*)?{argument}", 1), F.lit(""))
+    text, class_ = r"['\"]([^'\"]*)['\"]", r"\\?([A-Z][\w\\]*)::class"
+    joined = lambda prefix, path: F.concat(F.lit("/"), F.trim(F.concat(F.trim(prefix, F.lit("/")), F.lit("/"), F.trim(path, F.lit("/"))), F.lit("/")))
+    own_path, prefix = F.regexp_extract(mark, text, 1), said(F.col("class_marks"), "Route", text)
+    symfony = F.when(F.col("own_function").isNotNull() & within & mark.isNotNull(), F.concat(F.lit("ANY "), F.when(prefix.isNull(), own_path).otherwise(joined(prefix, own_path))))
+    laravel = F.when(F.col("line").rlike(route), F.concat(F.upper(found("line", route)), F.lit(" "), joined(F.col("group"), F.coalesce(found("line", route, 2), F.lit("")))))
+    declares = F.col("own_type").isNotNull()
+    command, alias = F.when(declares, said(F.col("marks"), "AsCommand", text)), F.when(declares, said(F.col("marks"), "AsAlias", text))
+    wired = r"#\[\\?(?:\w+\\)*Autowire\(\s*service:\s*['\"]([^'\"]+)['\"]"
+    injected = F.when(within & F.col("line").rlike(wired), found("line", wired))
+    heard = F.when(declares | (F.col("own_function").isNotNull() & within), said(F.col("marks"), "AsEventListener", class_))
+    handler = F.exists("marks", lambda m: m.rlike(r"^\\?(?:\w+\\)*AsMessageHandler\b")) | ((F.col("own_function") == "__invoke") & F.exists("class_marks", lambda m: m.rlike(r"^\\?(?:\w+\\)*AsMessageHandler\b")))
+    message = F.when(F.col("own_function").isNotNull() & within & handler, found("line", r"function\s+&?\w+\s*\(\s*\??\\?([A-Z][\w\\]*)\s+\$"))
     nodes = rows.withColumn("facts", some(
         F.when(F.col("number") == 1, node("module", F.col("path"), F.element_at(F.split("path", "/"), -1))),
         F.when(F.col("own_type").isNotNull(), node(F.col("own_kind"), cls, F.col("own_type"), attributes)),
         F.when(F.col("own_function").isNotNull(), node(member_kind, member, F.col("own_function"))),
         F.when(laravel.isNotNull(), node("route", laravel, laravel)), F.when(symfony.isNotNull(), node("route", symfony, symfony)),
+        F.when(command.isNotNull(), node("command", command, command)), F.when(alias.isNotNull(), node("service", alias, alias)), F.when(injected.isNotNull(), node("service", injected, injected)),
     ))
     returns = found("line", r"function\s+&?\w+\s*\(.*\)\s*:\s*\??\\?([A-Z][\w\\]*)")
     one = some(
@@ -121,6 +148,11 @@ def php(files: DataFrame) -> DataFrame:
         F.when(returns.isNotNull(), edge("returns", here, F.concat(F.lit("php:class:"), full(returns)), "certain")),
         F.when(laravel.isNotNull(), edge("routes_to", F.concat(F.lit("php:route:"), laravel), F.concat(F.lit("php:method:"), full(found("line", route, 3)), F.lit("::"), F.coalesce(found("line", route, 4), F.lit("__invoke"))))),
         F.when(symfony.isNotNull(), edge("routes_to", F.concat(F.lit("php:route:"), symfony), here)),
+        F.when(command.isNotNull(), edge("handles", F.concat(F.lit("php:command:"), command), type_ref, "certain")),
+        F.when(alias.isNotNull(), edge("binds", F.concat(F.lit("php:service:"), alias), type_ref, "certain")),
+        F.when(injected.isNotNull(), edge("injects", type_ref, F.concat(F.lit("php:service:"), injected), "certain")),
+        F.when(heard.isNotNull(), edge("listens_to", F.when(declares, type_ref).otherwise(here), F.concat(F.lit("php:class:"), full(heard)), "certain")),
+        F.when(message.isNotNull(), edge("handles_message", type_ref, F.concat(F.lit("php:class:"), full(message)), "certain")),
     )
     trait = F.when(within & (F.col("function") == ""), found("line", r"^\s+use\s+([\w\\,\s]+);"))
     static = r"\b([A-Z]\w*|self|static|parent)::(\w+)\("
@@ -130,6 +162,16 @@ def php(files: DataFrame) -> DataFrame:
         F.transform(every("line", r"\bnew\s+\\?([A-Z][\w\\]*)"), lambda x: edge("constructs", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
         F.when(within, F.transform(every("line", r"\$this->(\w+)\("), lambda x: edge("calls", here, F.concat(F.lit("php:method:"), cls, F.lit("::"), x), "certain"))),
         F.transform(F.filter(F.arrays_zip(every("line", static).alias("t"), every("line", static, 2).alias("m")), lambda z: ~z["t"].isin("parent", "Route")), lambda z: edge("calls", here, F.concat(F.lit("php:method:"), full(z["t"]), F.lit("::"), z["m"]))),
+        # What a container gives for a contract, what is dispatched to whom, and who observes what.
+        F.transform(every("line", r"->(?:bind|singleton|scoped)\(\s*\\?[\w\\]+::class\s*,\s*\\?([\w\\]+)::class"), lambda x: edge("binds", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(F.filter(every("line", r"\b([A-Z][\w\\]*)::dispatch\("), lambda x: ~x.rlike(r"(?:^|\\)(?:Bus|Event)$")), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(every("line", r"(?<![\w>:$\\])(?:event|dispatch)\(\s*new\s+\\?([A-Z][\w\\]*)"), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(every("line", r"\b[A-Z][\w\\]*::observe\(\s*\\?([\w\\]+)::class"), lambda x: edge("observes", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.when(F.col("map") == "listen", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.when(F.col("map") == "policies", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("handles", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.when(F.lower("function") == "getsubscribedevents", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.when(F.lower("function") == "getsubscribedevents", F.transform(F.filter(F.arrays_zip(every("line", r"([A-Z][\w\\]*)::([A-Z_]+)\s*=>").alias("t"), every("line", r"([A-Z][\w\\]*)::([A-Z_]+)\s*=>", 2).alias("c")), lambda z: z["t"] != ""), lambda z: edge("listens_to", type_ref, F.concat(F.lit("php:event:"), full(z["t"]), F.lit("::"), z["c"]), "certain"))),
+        F.when(F.lower("function") == "getsubscribedevents", F.transform(every("line", r"^\s*(?:return\s*\[\s*)?['\"]([^'\"]+)['\"]\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:event:"), x), "certain"))),
         # What a call on the result of another call reaches is decided when return types are known.
         F.when(within, F.transform(F.arrays_zip(every("line", r"\$this->(\w+)\([^()]*\)->(\w+)\(").alias("f"), every("line", r"\$this->(\w+)\([^()]*\)->(\w+)\(", 2).alias("m")), lambda z: edge("calls", here, F.concat(F.lit("php:method_of_return:"), cls, F.lit("::"), z["f"], F.lit("::"), z["m"])))),
         F.transform(F.filter(every("code", r"(?<!new )(?<![\w>:$\\])([a-z_]\w*)\("), lambda x: ~F.lower(x).isin(KEYWORDS) & ~x.eqNullSafe(F.col("own_function"))), lambda x: edge("calls", here, F.concat(F.lit("php:namespaced_function:"), F.when(F.col("namespace") == "", x).otherwise(F.concat("namespace", F.lit("\\"), x))))),

@@ -53,8 +53,18 @@ def facts(path: str, text: str) -> dict:
             return f"{base}.{x.attr}"
         return None
 
-    own = {n.name for n in tree.body if isinstance(n, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)}
-    types = {n.name for n in tree.body if isinstance(n, ast.ClassDef)}
+    def statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
+        """Statements of one level, and those in its branches, loops and guarded parts."""
+        for x in body:
+            yield x
+            if not isinstance(x, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                for part in ("body", "orelse", "finalbody"):
+                    yield from statements(getattr(x, part, []))
+                for handler in [*getattr(x, "handlers", []), *getattr(x, "cases", [])]:
+                    yield from statements(handler.body)
+
+    own = {n.name for n in statements(tree.body) if isinstance(n, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)}
+    types = {n.name for n in statements(tree.body) if isinstance(n, ast.ClassDef)}
     for item in ast.walk(tree):
         if isinstance(item, ast.Import):
             for a in item.names:
@@ -81,7 +91,7 @@ def facts(path: str, text: str) -> dict:
     def receiver_types(item: ast.AST, cls: str | None) -> dict[str, str]:
         """Types of names in a function: annotated arguments, ``x = Type()``, and self."""
         out = {}
-        args = item.args
+        args = getattr(item, "args", ast.arguments([], [], None, [], [], None, []))
         for a in [*args.posonlyargs, *args.args, *args.kwonlyargs]:
             if a.annotation is not None and (name := dotted(a.annotation)):
                 out[a.arg] = name
@@ -128,18 +138,29 @@ def facts(path: str, text: str) -> dict:
         for x in own_body(item):
             if isinstance(x, functions):
                 define(x, found, f"{name}.", None)
-
-    for item in tree.body:
+            elif isinstance(x, ast.ClassDef):
+                define_class(x, found, name)
+
+    def define_class(item: ast.ClassDef, holder: str, outer: str) -> None:
+        """A class with its methods, and classes nested in it."""
+        full = f"{outer}.{item.name}"
+        bases = [name for b in item.bases if (name := dotted(b))]
+        django = next((role for base, role in DJANGO_BASES.items() if base in bases), None)
+        cls = node("class", full, item.name, item, json.dumps({"bases": bases} | ({"python_framework_roles": [django]} if django else {})))
+        edge("contains", holder, cls, item.lineno)
+        for name in bases:
+            edge("extends", cls, f"python:class:{name}", item.lineno)
+        for m in statements(item.body):
+            if isinstance(m, functions):
+                define(m, cls, f"{full}::", full)
+            elif isinstance(m, ast.ClassDef):
+                define_class(m, cls, full)
+
+    # What runs when the module is loaded.
+    calls(tree, here, None)
+    for item in statements(tree.body):
         if isinstance(item, ast.ClassDef):
-            bases = [name for b in item.bases if (name := dotted(b))]
-            django = next((role for base, role in DJANGO_BASES.items() if base in bases), None)
-            cls = node("class", f"{module}.{item.name}", item.name, item, json.dumps({"bases": bases} | ({"python_framework_roles": [django]} if django else {})))
-            edge("contains", here, cls, item.lineno)
-            for name in bases:
-                edge("extends", cls, f"python:class:{name}", item.lineno)
-            for m in item.body:
-                if isinstance(m, functions):
-                    define(m, cls, f"{module}.{item.name}::", f"{module}.{item.name}")
+            define_class(item, here, module)
         elif isinstance(item, functions):
             define(item, here, f"{module}.", None)
         elif isinstance(item, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in item.targets) and isinstance(item.value, ast.List | ast.Tuple):

@@ -1,5 +1,6 @@
 """The driver's contract, and that the corpus subpackage can be taken away."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -14,6 +15,7 @@ DATA = Path("/root/testdata/sf0.001")
 SOME = [
     "qry_01_architecture_summary", "imp_01_impact_analysis", "cyc_01_all_kinds", "pol_01_check_architecture", "snp_01_snapshot_diff", "agg_05_in_out_cross_degree", "bnd_03_prefix_membership", "snp_05_quality_gate", "ded_01_dead_code",
     "rec_02_resolution_cascade", "rec_03_method_of_return", "rec_04_namespaced_function", "jon_05_nodes_in_files", "imp_02_changed_files_impact", "rec_12_contribution_audit", "snp_04_quality_metrics", "loc_01_suggest_location", "dia_01_diagram_pool",
+    "rec_02_inherited_members", "str_07_incremental_equals_full", "imp_03_test_impact", "cyc_01_long_ring", "snp_01_all_tables", "snk_01_written", "str_02_debounced", "qry_02_indexed_names", "src_07_hash_tree",
     "src_02_ignore_matcher", "src_03_language", "cls_07_test_path", "cls_00_engine", "rec_07_collapse_edges", "str_04_overflow", "agg_07_boundary_cohesion", "hlt_02_hotspots", "flw_01_explain_flow",
 ]
 
@@ -83,9 +85,18 @@ def test_diagnostics_and_audit_take_all_events(spark):
 
 
 def test_rest_works_without_the_corpus_subpackage(tmp_path):
-    for name in ("graphloom", "__spark_entry__.py"):
+    """Everything but the corpus folders is there, as after their deletion; a query of the rest runs."""
+    for name in ("graphloom", "__spark_entry__.py", "tests", "bench.py"):
         src = ROOT / name
         (shutil.copytree if src.is_dir() else shutil.copy)(src, tmp_path / name)
     shutil.rmtree(tmp_path / "graphloom/llm")
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True, check=False)
-    assert said.returncode == 0 and said.stdout.split()[1] == "False", said.stderr
+    shutil.rmtree(tmp_path / "tests/llm")
+    text = f"""
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+print(len(q), any(n.startswith("op") or n == "pipeline" for n in q), q["src_06_fingerprint"](s, {str(DATA)!r}).count())
+"""
+    said = subprocess.run([sys.executable, "-c", text], cwd=tmp_path, env=os.environ | {"HOME": str(tmp_path), "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert said.returncode == 0 and said.stdout.split()[-3:][1:] == ["False", "200"], said.stderr

@@ -2,14 +2,17 @@
 
 import itertools
 import random
+import subprocess
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import render
+from graphloom import config, render
 from graphloom.engine import Engine
 from graphloom.graph import Graph
 from graphloom.operators import change, counts, health, lookup, policy, scc, snapshot, traverse
+from graphloom.sources import bundle
 
 
 def node(i, kind="class", name=None, origin="ast", **more):
@@ -153,3 +156,71 @@ def test_counts_are_exact(shop):
     assert (row["incident"], row["internal"]) == (3, 0)
     assert counts.count_by(shop.edges, "kind").first().asDict() == {"kind": "calls", "n": 2}
     assert shop.edges.where(F.col("kind") == "calls").count() == 2
+
+
+def test_changed_files_answer_tells_all_that_was_looked_at(spark, tmp_path):
+    g = Graph.of(
+        spark, nodes=[node("A") | {"file_id": "f1"}, node("B") | {"file_id": "f2"}, node("route", "route") | {"file_id": "f3"}],
+        edges=[edge("1", "B", "calls", "A", "possible"), edge("2", "route", "routes_to", "B")], files=[{"id": f"f{i}", "relative_path": f"src/{i}.php", "content_hash": str(i)} for i in (1, 2, 3)],
+    )
+    e = Engine(g)
+    out = e.call("changed_files_impact", files=["src/1.php", "gone.php"])
+    assert [r["id"] for r in out.data["components"]] == ["B", "route"] and out.data["unresolved_files"] == ["gone.php"]
+    assert [(r["id"], r["relative_path"]) for r in out.data["direct_components"]] == [("A", "src/1.php")] and [r["id"] for r in out.data["entry_points"]] == ["route"]
+    assert out.evidence[0]["component_id"] == "A"
+    assert e.changed_files_impact(["src/1.php"], min_confidence="certain").data["components"] == []
+    with pytest.raises(ValueError, match="either"):
+        e.changed_files_impact()
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/1.php").write_text("<?php")
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    assert e.changed_files_impact(working_tree=str(tmp_path)).data["changed_files"] == []
+    (tmp_path / "src/1.php").write_text("<?php 1;")
+    assert [r["id"] for r in e.changed_files_impact(working_tree=str(tmp_path)).data["components"]] == ["B", "route"]
+
+
+def test_answers_tell_whether_the_graph_is_fresh(spark):
+    g = Graph.of(spark, nodes=[node("A")], files=[{"id": "f", "relative_path": "a.php", "content_hash": "1"}])
+    same = spark.createDataFrame([("a.php", "1")], "relative_path string, content_hash string")
+    other = spark.createDataFrame([("a.php", "2"), ("b.php", "1")], same.schema)
+    scans = []
+    e = Engine(g)
+    refresh = lambda: scans.append(1) or replace(g, files=other.select(F.col("relative_path").alias("id"), "relative_path", "content_hash"))
+    assert e.call("find_component", name="A", listing=same, refresh=refresh).data["staleness"]["state"] == "fresh" and scans == []
+    stale = e.call("find_component", name="A", listing=other).data["staleness"]
+    assert (stale["state"], stale["changed_files_since"], stale["added_files_since"], stale["deleted_files_since"]) == ("stale", 1, 1, 0)
+    assert e.call("find_component", name="A", listing=other, refresh=refresh).data["staleness"]["state"] == "fresh" and scans == [1]
+
+
+def test_configured_policies_and_budgets_are_applied(spark, shop):
+    e = Engine(shop)
+    with pytest.raises(ValueError, match="configured"):
+        e.check_architecture()
+    e.settings = config.parse('{"version": 1, "policies": [{"id": "p", "from_boundary": "Backend", "deny_targets": ["Billing"]}], "quality_budgets": {"boundary_violations": 0}, "dead_code_suppressions": ["App*"]}')
+    assert e.check_architecture().data["total"] == 1
+    gate = e.quality_gate(shop)
+    assert gate.summary == "failed" and gate.data["checks"][0]["actual"] == 1
+    assert "App\\Orphan" not in {r["canonical_name"] for r in e.architecture_health().data["dead_code_candidates"]}
+    assert "App\\Orphan" in {r["canonical_name"] for r in e.architecture_health(suppress=[]).data["dead_code_candidates"]}
+
+
+def test_bundles_hold_all_tables_and_strict_ones_no_paths(spark, shop):
+    g = replace(
+        shop, files=spark.createDataFrame([("src/Secret.php", "src/Secret.php", "x", 1, "php", 1)], shop.files.schema), nodes=shop.nodes.withColumn("file_id", F.lit("src/Secret.php")),
+        diagnostics=spark.createDataFrame([("src/Secret.php:1", "error", "E", "in src/Secret.php")], shop.diagnostics.schema),
+    )
+    e = Engine(g)
+    back = e.import_bundle(e.export_bundle(), "other")
+    names = back.nodes.select(F.col("id").alias("node_id"), "canonical_name")
+    assert {(r["canonical_name"], r["role"]) for r in back.classifications.join(names, "node_id").collect()} == {("App\\Checkout", "application.controller")}
+    assert {(r["canonical_name"], r["boundary_id"]) for r in back.memberships.join(names, "node_id").collect()} == {("App\\Checkout", "b1"), ("App\\Invoice", "b2")}
+    assert back.boundaries.count() == 2 and back.diagnostics.first()["message"] == "in src/Secret.php"
+    for level in ("paths", "strict"):
+        tables = bundle.decode(e.export_bundle(level))
+        text = bundle.canonical({k: v for k, v in tables.items() if level == "strict" or k != "diagnostics"}).decode()
+        assert "Secret" not in text and {n["file_id"] for n in tables["nodes"]} == {f["id"] for f in tables["files"]}
+    with pytest.raises(ValueError, match="unknown component"):
+        Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).import_bundle(Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).export_bundle(), "x")

@@ -245,3 +245,114 @@ def test_tools_guard_their_arguments_and_tell_what_follows(spark):
 def test_explicit_boundaries(spark):
     rows = classify.explicit_boundaries(spark, [{"name": "a", "path_prefix": "/src/x/"}, {"name": "b", "namespace_prefix": "App\\Http"}]).collect()
     assert [(r["matcher_type"], r["matcher_value"], r["source"]) for r in rows] == [("path_prefix", "src/x/", "explicit"), ("namespace_prefix", "App\\Http\\", "explicit")]
+
+
+def test_python_reads_nested_classes_branches_and_module_level():
+    text = "import os\nclass A:\n    class Meta:\n        def run(self): ...\n    if os.name:\n        def late(self): self.run()\ntry:\n    class B(A): ...\nexcept ImportError:\n    def fallback(): ...\nstart()\nif os.name:\n    A()\ndef start():\n    class Local:\n        def go(self): ...\n"
+    got = python_code.facts("m.py", text)
+    assert {(n["kind"], n["canonical_name"]) for n in got["nodes"]} == {
+        ("module", "m"), ("class", "m.A"), ("class", "m.A.Meta"), ("method", "m.A.Meta::run"), ("method", "m.A::late"), ("class", "m.B"), ("function", "m.fallback"), ("function", "m.start"), ("class", "m.start.Local"), ("method", "m.start.Local::go"),
+    }
+    edges = {(e["kind"], e["source"], e["target"]) for e in got["edges"]}
+    assert {("calls", "python:module:m", "python:function:m.start"), ("constructs", "python:module:m", "python:class:m.A"), ("calls", "python:method:m.A::late", "python:method:m.A::run"), ("contains", "python:class:m.A", "python:class:m.A.Meta"), ("extends", "python:class:m.B", "python:class:m.A")} <= edges
+
+
+FRAMEWORKS = {
+    "app/Providers/AppServiceProvider.php": """<?php
+namespace App\\Providers;
+
+use App\\Contracts\\Gateway;
+use App\\Services\\{Unused};
+use App\\Services\\StripeGateway;
+use App\\Models\\Order;
+
+class AppServiceProvider
+{
+    protected $listen = [
+        \\App\\Events\\OrderPaid::class => [
+            \\App\\Listeners\\SendReceipt::class,
+        ],
+        \\App\\Events\\OrderLost::class => [\\App\\Listeners\\Tell::class],
+    ];
+
+    protected $policies = [
+        Order::class => \\App\\Policies\\OrderPolicy::class,
+    ];
+
+    public function register(): void
+    {
+        $this->app->singleton(Gateway::class, StripeGateway::class);
+        Order::observe(\\App\\Observers\\OrderObserver::class);
+        SendMail::dispatch($order);
+        Bus::dispatch(new Nothing());
+        event(new \\App\\Events\\OrderPaid($order));
+    }
+}
+""",
+    "routes/web.php": """<?php
+use App\\Http\\OrderController;
+
+Route::get('/', [OrderController::class, 'home']);
+Route::middleware('auth')->prefix('admin')->group(function () {
+    Route::get('/orders', [OrderController::class, 'index']);
+});
+Route::post('orders', [OrderController::class, 'store']);
+""",
+    "src/Shop.php": """<?php
+namespace App;
+
+use Symfony\\Component\\Console\\Attribute\\AsCommand;
+
+#[AsCommand(name: 'shop:open')]
+#[AsAlias('shop.service')]
+#[Route('/shop')]
+class Shop
+{
+    public function __construct(
+        #[Autowire(service: 'mailer.fast')] private Mailer $mailer,
+    ) {
+    }
+
+    #[Route('/open/', name: 'open')]
+    public function open(): void
+    {
+    }
+
+    #[AsEventListener(event: Closed::class)]
+    public function closed(): void
+    {
+    }
+
+    #[AsMessageHandler]
+    public function handle(Message\\Sold $sold): void
+    {
+    }
+
+    public static function getSubscribedEvents(): array
+    {
+        return [
+            'kernel.request' => 'open',
+            KernelEvents::RESPONSE => 'open',
+            Closed::class => 'closed',
+        ];
+    }
+}
+""",
+}
+
+
+def test_frameworks_of_php(spark):
+    files = spark.createDataFrame([(p, t, "php") for p, t in FRAMEWORKS.items()], "relative_path string, text string, language string")
+    rows = {r["owner_key"]: r for r in declared.php(files).collect()}
+    edges = lambda p: {(e["kind"], e["source"].split(":", 1)[1], e["target"].split(":", 1)[1]) for e in rows[p]["edges"]}
+    provider, register = "class:App\\Providers\\AppServiceProvider", "method:App\\Providers\\AppServiceProvider::register"
+    assert {
+        ("binds", register, "class:App\\Services\\StripeGateway"), ("observes", register, "class:App\\Observers\\OrderObserver"), ("dispatches", register, "class:App\\Providers\\SendMail"),
+        ("dispatches", register, "class:App\\Events\\OrderPaid"), ("listens_to", provider, "class:App\\Events\\OrderPaid"), ("listens_to", provider, "class:App\\Events\\OrderLost"), ("handles", provider, "class:App\\Models\\Order"),
+    } == {e for e in edges("app/Providers/AppServiceProvider.php") if e[0] in ("binds", "observes", "dispatches", "listens_to", "handles")}
+    assert {n["canonical_name"] for n in rows["routes/web.php"]["nodes"] if n["kind"] == "route"} == {"GET /", "GET /admin/orders", "POST /orders"}
+    shop = "class:App\\Shop"
+    assert {
+        ("handles", "command:shop:open", shop), ("binds", "service:shop.service", shop), ("injects", shop, "service:mailer.fast"), ("listens_to", "method:App\\Shop::closed", "class:App\\Closed"), ("handles_message", shop, "class:App\\Message\\Sold"),
+        ("listens_to", shop, "event:kernel.request"), ("listens_to", shop, "event:App\\KernelEvents::RESPONSE"), ("listens_to", shop, "class:App\\Closed"), ("routes_to", "route:ANY /shop/open", "method:App\\Shop::open"),
+    } == {e for e in edges("src/Shop.php") if e[0] in ("binds", "injects", "listens_to", "handles", "handles_message", "routes_to")}
