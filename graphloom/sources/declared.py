@@ -43,6 +43,8 @@ def surrounded(rows: DataFrame, function: Column, namespace: Column | None = Non
     """Lines with ``namespace``, the type (``type_kind, type``), and the ``function`` that they lie in; empty outside."""
     so_far = Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     closed = F.col("line").rlike(r"^\}")
+    ended = F.sum(F.col("line").rlike(r"[;{}]\s*$").cast("int")).over(Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.coalesce(ended, F.lit(0)))
     out = rows.withColumns({"own_kind": found("line", TYPE), "own_type": found("line", TYPE, 2), "own_function": function, "ns": namespace if namespace is not None else F.lit(None).cast("string")})
     outer = F.col("own_function").isNotNull() & F.col("line").rlike(r"^\S")
     top = closed | F.col("own_type").isNotNull()
@@ -51,8 +53,8 @@ def surrounded(rows: DataFrame, function: Column, namespace: Column | None = Non
         "code": F.when(F.ltrim("line").rlike(r"^(?:@|#\[)"), "").otherwise(F.col("line")), "namespace": last(F.col("ns")),
         "type": last(F.when(closed | outer, "").otherwise(F.col("own_type"))), "type_kind": last(F.when(closed | outer, "").otherwise(F.col("own_kind"))),
         "function": last(F.coalesce(F.col("own_function"), F.when(top, ""))),
-        # Attributes and decorators stand on the lines just before what they mark.
-        "marks": F.collect_list(found("line", r"^\s*(?:#\[|@)(.+)$")).over(Window.partitionBy("path").orderBy("number").rowsBetween(-4, 0)),
+        # Attributes and decorators stand on the lines just before what they mark, with no statement or brace between.
+        "marks": F.collect_list(found("line", r"^\s*(?:#\[|@)(.+)$")).over(Window.partitionBy("path", "run").orderBy("number").rowsBetween(-4, 0)),
     })
 
 
@@ -122,7 +124,7 @@ def php(files: DataFrame) -> DataFrame:
     mark = F.try_element_at(F.filter("marks", lambda m: m.rlike(r"^Route\(\s*['\"]")), F.lit(-1))
     # What an attribute of a short name says first, of those just before a line or before its class.
     said = lambda marks, name, argument: F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(F.filter(marks, lambda m: m.rlike(rf"^\\?(?:\w+\\)*{name}\b")), F.lit(-1)), F.lit("")), rf"{name}\(\s*(?:\w+:\s*)?{argument}", 1), F.lit(""))
-    text, class_ = r"['\"]([^'\"]*)['\"]", r"\\?([A-Z][\w\\]*)::class"
+    text, class_ = r"['\"]([^'\"]*)['\"]", r"(\\?[A-Z][\w\\]*)::class"
     joined = lambda prefix, path: F.concat(F.lit("/"), F.trim(F.concat(F.trim(prefix, F.lit("/")), F.lit("/"), F.trim(path, F.lit("/"))), F.lit("/")))
     own_path, prefix = F.regexp_extract(mark, text, 1), said(F.col("class_marks"), "Route", text)
     symfony = F.when(F.col("own_function").isNotNull() & within & mark.isNotNull(), F.concat(F.lit("ANY "), F.when(prefix.isNull(), own_path).otherwise(joined(prefix, own_path))))
@@ -133,7 +135,7 @@ def php(files: DataFrame) -> DataFrame:
     injected = F.when(within & F.col("line").rlike(wired), found("line", wired))
     heard = F.when(declares | (F.col("own_function").isNotNull() & within), said(F.col("marks"), "AsEventListener", class_))
     handler = F.exists("marks", lambda m: m.rlike(r"^\\?(?:\w+\\)*AsMessageHandler\b")) | ((F.col("own_function") == "__invoke") & F.exists("class_marks", lambda m: m.rlike(r"^\\?(?:\w+\\)*AsMessageHandler\b")))
-    message = F.when(F.col("own_function").isNotNull() & within & handler, found("line", r"function\s+&?\w+\s*\(\s*\??\\?([A-Z][\w\\]*)\s+\$"))
+    message = F.when(F.col("own_function").isNotNull() & within & handler, found("line", r"function\s+&?\w+\s*\(\s*\??(\\?[A-Z][\w\\]*)\s+\$"))
     nodes = rows.withColumn("facts", some(
         F.when(F.col("number") == 1, node("module", F.col("path"), F.element_at(F.split("path", "/"), -1))),
         F.when(F.col("own_type").isNotNull(), node(F.col("own_kind"), cls, F.col("own_type"), attributes)),
@@ -141,7 +143,7 @@ def php(files: DataFrame) -> DataFrame:
         F.when(laravel.isNotNull(), node("route", laravel, laravel)), F.when(symfony.isNotNull(), node("route", symfony, symfony)),
         F.when(command.isNotNull(), node("command", command, command)), F.when(alias.isNotNull(), node("service", alias, alias)), F.when(injected.isNotNull(), node("service", injected, injected)),
     ))
-    returns = found("line", r"function\s+&?\w+\s*\(.*\)\s*:\s*\??\\?([A-Z][\w\\]*)")
+    returns = found("line", r"function\s+&?\w+\s*\(.*\)\s*:\s*\??(\\?[A-Z][\w\\]*)")
     one = some(
         F.when(F.col("own_type").isNotNull() & parent.isNotNull(), edge("extends", type_ref, F.concat(F.lit("php:class:"), full(parent)), "certain")),
         F.when(F.col("own_function").isNotNull() & within, edge("contains", type_ref, here, "certain")),
@@ -159,17 +161,17 @@ def php(files: DataFrame) -> DataFrame:
     many = [
         F.when(F.col("own_type").isNotNull(), F.transform(F.filter(contracts, lambda x: x != ""), lambda x: edge("implements", type_ref, F.concat(F.lit("php:interface:"), full(F.trim(x))), "certain"))),
         F.when(trait.isNotNull(), F.transform(F.split(trait, r"\s*,\s*"), lambda x: edge("uses_trait", type_ref, F.concat(F.lit("php:trait:"), full(F.trim(x))), "certain"))),
-        F.transform(every("line", r"\bnew\s+\\?([A-Z][\w\\]*)"), lambda x: edge("constructs", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(every("line", r"\bnew\s+(\\?[A-Z][\w\\]*)"), lambda x: edge("constructs", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
         F.when(within, F.transform(every("line", r"\$this->(\w+)\("), lambda x: edge("calls", here, F.concat(F.lit("php:method:"), cls, F.lit("::"), x), "certain"))),
         F.transform(F.filter(F.arrays_zip(every("line", static).alias("t"), every("line", static, 2).alias("m")), lambda z: ~z["t"].isin("parent", "Route")), lambda z: edge("calls", here, F.concat(F.lit("php:method:"), full(z["t"]), F.lit("::"), z["m"]))),
         # What a container gives for a contract, what is dispatched to whom, and who observes what.
-        F.transform(every("line", r"->(?:bind|singleton|scoped)\(\s*\\?[\w\\]+::class\s*,\s*\\?([\w\\]+)::class"), lambda x: edge("binds", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
-        F.transform(F.filter(every("line", r"\b([A-Z][\w\\]*)::dispatch\("), lambda x: ~x.rlike(r"(?:^|\\)(?:Bus|Event)$")), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
-        F.transform(every("line", r"(?<![\w>:$\\])(?:event|dispatch)\(\s*new\s+\\?([A-Z][\w\\]*)"), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
-        F.transform(every("line", r"\b[A-Z][\w\\]*::observe\(\s*\\?([\w\\]+)::class"), lambda x: edge("observes", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
-        F.when(F.col("map") == "listen", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
-        F.when(F.col("map") == "policies", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("handles", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
-        F.when(F.lower("function") == "getsubscribedevents", F.transform(every("line", r"\\?([\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.transform(every("line", r"->(?:bind|singleton|scoped)\(\s*\\?[\w\\]+::class\s*,\s*(\\?[\w\\]+)::class"), lambda x: edge("binds", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(F.filter(every("line", r"(?<![\w\\])(\\?[A-Z][\w\\]*)::dispatch\("), lambda x: ~x.rlike(r"(?:^|\\)(?:Bus|Event)$")), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(every("line", r"(?<![\w>:$\\])(?:event|dispatch)\(\s*new\s+(\\?[A-Z][\w\\]*)"), lambda x: edge("dispatches", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.transform(every("line", r"\b[A-Z][\w\\]*::observe\(\s*(\\?[\w\\]+)::class"), lambda x: edge("observes", here, F.concat(F.lit("php:class:"), full(x)), "certain")),
+        F.when(F.col("map") == "listen", F.transform(every("line", r"(\\?[\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.when(F.col("map") == "policies", F.transform(every("line", r"(\\?[\w\\]+)::class\s*=>"), lambda x: edge("handles", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
+        F.when(F.lower("function") == "getsubscribedevents", F.transform(every("line", r"(\\?[\w\\]+)::class\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:class:"), full(x)), "certain"))),
         F.when(F.lower("function") == "getsubscribedevents", F.transform(F.filter(F.arrays_zip(every("line", r"([A-Z][\w\\]*)::([A-Z_]+)\s*=>").alias("t"), every("line", r"([A-Z][\w\\]*)::([A-Z_]+)\s*=>", 2).alias("c")), lambda z: z["t"] != ""), lambda z: edge("listens_to", type_ref, F.concat(F.lit("php:event:"), full(z["t"]), F.lit("::"), z["c"]), "certain"))),
         F.when(F.lower("function") == "getsubscribedevents", F.transform(every("line", r"^\s*(?:return\s*\[\s*)?['\"]([^'\"]+)['\"]\s*=>"), lambda x: edge("listens_to", type_ref, F.concat(F.lit("php:event:"), x), "certain"))),
         # What a call on the result of another call reaches is decided when return types are known.
