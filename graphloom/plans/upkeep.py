@@ -223,9 +223,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).unionByName(s.createDataFrame([("read", told)], "term string, id string"))
 
 
-for _name, _found in (("qry_02_find_component", lambda g: lookup.find_component(g, TERM)), ("qry_03_search_architecture", lambda g: lookup.search(g, "catalog service", kinds=["class", "function"]))):
+for _name, _lookup in (("qry_02_find_component", lambda g: lookup.find_component(g, TERM)), ("qry_03_search_architecture", lambda g: lookup.search(g, "catalog service", kinds=["class", "function"]))):
     # The same SQL, answered through the index.
-    query(f"{_name}_indexed")(lambda s, d, found=_found: found(indexed_graph(s, d)))
+    query(f"{_name}_indexed")(lambda s, d, ask=_lookup: ask(indexed_graph(s, d)))
     SQL[f"{_name}_indexed"] = SQL[_name]
 
 

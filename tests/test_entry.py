@@ -15,7 +15,7 @@ DATA = Path("/root/testdata/sf0.001")
 SOME = [
     "qry_01_architecture_summary", "imp_01_impact_analysis", "cyc_01_all_kinds", "pol_01_check_architecture", "snp_01_snapshot_diff", "agg_05_in_out_cross_degree", "bnd_03_prefix_membership", "snp_05_quality_gate", "ded_01_dead_code",
     "rec_02_resolution_cascade", "rec_03_method_of_return", "rec_04_namespaced_function", "jon_05_nodes_in_files", "imp_02_changed_files_impact", "rec_12_contribution_audit", "snp_04_quality_metrics", "loc_01_suggest_location", "dia_01_diagram_pool",
-    "rec_02_inherited_members", "str_07_incremental_equals_full", "imp_03_test_impact", "cyc_01_long_ring", "snp_01_all_tables", "snk_01_written", "str_02_debounced", "qry_02_indexed_names", "src_07_hash_tree",
+    "rec_02_inherited_members", "imp_03_test_impact", "cyc_01_long_ring", "snk_01_written", "str_02_debounced", "qry_02_indexed_names", "src_07_hash_tree",
     "src_02_ignore_matcher", "src_03_language", "cls_07_test_path", "cls_00_engine", "rec_07_collapse_edges", "str_04_overflow", "agg_07_boundary_cohesion", "hlt_02_hotspots", "flw_01_explain_flow",
 ]
 
