@@ -224,3 +224,20 @@ def test_bundles_hold_all_tables_and_strict_ones_no_paths(spark, shop):
         assert "Secret" not in text and {n["file_id"] for n in tables["nodes"]} == {f["id"] for f in tables["files"]}
     with pytest.raises(ValueError, match="unknown component"):
         Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).import_bundle(Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).export_bundle(), "x")
+
+
+def test_subtypes_members_are_paired_without_a_shuffle_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(health, "CHUNK", 2)
+    members = [("a", f"m{i}") for i in range(7)] + [("b", "m0"), ("b", "n0")]
+    nodes = [node(f"{o}.{m}", "method", m) for o, m in members] + [node(x) for x in ("a", "b", "T", "U", "V")]
+    edges = [edge(f"{o}.{m}", o, "contains", f"{o}.{m}") for o, m in members] + [edge("1", "a", "extends", "T"), edge("2", "a", "implements", "T"), edge("3", "a", "extends", "U"), edge("4", "b", "extends", "U"), edge("5", "T", "extends", "V")]
+    found = health.subtype_member_names(Graph.of(spark, nodes=nodes, edges=edges))
+    mine = [f"m{i}" for i in range(7)]
+    assert sorted((r["id"], r["display_name"]) for r in found.collect()) == sorted([("T", m) for m in mine] + [("U", m) for m in [*mine, "n0"]])
+    # Two hundred types below one type with two hundred members: 40 000 pairs, of which none is shuffled.
+    names = [f"k{i}" for i in range(200)]
+    g = Graph.of(spark, nodes=[node(n) for n in [*names, "top"]], edges=[edge(f"c{n}", "top", "contains", n) for n in names] + [edge(f"x{n}", "top", "extends", n) for n in names])
+    pairs = health.subtype_member_names(g)
+    assert pairs.count() == 40_000 and pairs.distinct().count() == 40_000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(display_names") < plan.index("Repartition")
