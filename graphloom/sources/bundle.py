@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
+from ..storage import stored
 
 FORMAT, VERSION = "architecture-graph", 1
 #: Limits of a bundle: compressed bytes, raw bytes and facts.
@@ -114,14 +115,16 @@ def remap(nodes: DataFrame, edges: DataFrame, project: str) -> tuple[DataFrame,
     return out, moved
 
 
-def parent_cycles(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes whose chain of parents comes back or runs deeper than ``most``."""
-    up = nodes.select("id", "parent_id").where("parent_id is not null")
-    now = up.select(F.col("id").alias("start"), F.col("parent_id").alias("at"))
-    step = 1
-    while step < most:
-        # Pointer jumping: the chain walked doubles each round.
+def parent_cycles(nodes: DataFrame) -> DataFrame:
+    """Nodes whose chain of parents comes back to itself, or runs into one that does; a chain may be of any depth."""
+    now = stored(nodes.select(F.col("id").alias("start"), F.col("parent_id").alias("at")).where("at is not null").distinct(), "parents")
+    n = now.select("start").distinct().count()
+    while n:
+        # Pointer jumping: the chain walked doubles each round, and what has ended is left out.
         jump = now.select(F.col("start").alias("at"), F.col("at").alias("next"))
-        now = now.join(jump, "at").select("start", F.col("next").alias("at"))
-        step *= 2
+        now = stored(now.join(jump, "at").select("start", F.col("next").alias("at")).distinct(), "parents")
+        before, n = n, now.select("start").distinct().count()
+        # A chain that ends later would have had a node that ended in this round.
+        if n == before:
+            break
     return now.select(F.col("start").alias("id")).distinct()

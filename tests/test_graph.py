@@ -226,6 +226,12 @@ def test_bundles_hold_all_tables_and_strict_ones_no_paths(spark, shop):
         Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).import_bundle(Engine(replace(g, nodes=g.nodes.where("id <> 'Checkout'"), edges=g.edges.limit(0))).export_bundle(), "x")
 
 
+def test_parent_rings_are_told_from_long_chains(spark):
+    up = [(f"c{i}", f"c{i + 1}") for i in range(200)] + [(f"r{i}", f"r{(i + 1) % 70}") for i in range(70)] + [("below", "r3"), ("own", "own"), ("top", None)]
+    found = bundle.parent_cycles(spark.createDataFrame(up, "id string, parent_id string"))
+    assert sorted(r["id"] for r in found.collect()) == sorted([f"r{i}" for i in range(70)] + ["below", "own"])
+
+
 def test_subtypes_members_are_paired_without_a_shuffle_of_the_pairs(spark, monkeypatch):
     monkeypatch.setattr(health, "CHUNK", 2)
     members = [("a", f"m{i}") for i in range(7)] + [("b", "m0"), ("b", "n0")]
