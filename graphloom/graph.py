@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,21 @@ from pyspark.sql import functions as F
 from . import schema as S
 
 
+class Later:
+    """A table that is made when something first reads it."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self._make, self._made = make, None
+
+    def get(self) -> DataFrame:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Tables of one project at one scan; every query is a function of these."""
+    """Tables of one project at one scan; every query is a function of these.  A table may be given as ``Later``."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -24,6 +37,10 @@ class Graph:
     annotations: DataFrame | None = None
     extras: dict[str, DataFrame] = field(default_factory=dict)
 
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        return value.get() if isinstance(value, Later) else value
+
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
@@ -34,8 +51,12 @@ class Graph:
         low = S.least_rank(min_confidence)
         return out.where(F.col("rank") >= low) if low > 1 else out
 
+    def with_tables(self, **tables) -> Graph:
+        """The graph with other tables; those that stay aren't made for it."""
+        return Graph(**{f.name: object.__getattribute__(self, f.name) for f in fields(self)} | tables)
+
     def with_edges(self, edges: DataFrame) -> Graph:
-        return replace(self, edges=edges)
+        return self.with_tables(edges=edges)
 
     @staticmethod
     def of(spark: SparkSession, **rows: list) -> Graph:

@@ -58,9 +58,7 @@ def build(g: Graph, block: int = BLOCK) -> dict[str, DataFrame]:
 
 def indexed(g: Graph, block: int = BLOCK) -> Graph:
     """The graph with an index that lookups use."""
-    from dataclasses import replace
-
-    return replace(g, extras=g.extras | build(g, block))
+    return g.with_tables(extras=g.extras | build(g, block))
 
 
 def candidates(g: Graph, term: str) -> DataFrame | None:

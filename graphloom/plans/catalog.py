@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -644,7 +643,7 @@ LIMITS = {"new_cycles": 0, "boundary_violations": 2000, "error_diagnostics": 340
 def _baseline(g: Graph) -> Graph:
     """An older state of the graph: some routes, uncertain edges and imports less."""
     old = g.nodes.where("NOT (kind = 'route' AND length(id) % 2 = 0)")
-    return replace(g, nodes=old, edges=g.edges.where("confidence = 'certain' AND NOT (kind = 'imports' AND endswith(source_id, '1'))"), classifications=g.classifications.where("role <> 'application.public_api'"))
+    return g.with_tables(nodes=old, edges=g.edges.where("confidence = 'certain' AND NOT (kind = 'imports' AND endswith(source_id, '1'))"), classifications=g.classifications.where("role <> 'application.public_api'"))
 
 
 @on_graph("snp_05_quality_gate", f"""

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str | None] = {}
 
 
+OPEN_FILES, MOST_OPEN = "spark.sql.maxConcurrentOutputFileWriters", "12"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``.  Where it is unset a session on this machine alone gets a folder of its own; on a cluster that would lose data."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +33,16 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet and read again: it cuts lineage and survives lost executors.  ``by``: a column of few values to part the files by."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if by:
+        # A file stays open for each value, so that a task's rows needn't be sorted by it; tasks that meet more values sort the rest.
+        before = spark.conf.get(OPEN_FILES, "0")
+        spark.conf.set(OPEN_FILES, MOST_OPEN)
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            spark.conf.set(OPEN_FILES, before)
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     # Reading puts the column that parts the files last.
     return out.select(*[f"`{c}`" for c in df.columns]) if by else out

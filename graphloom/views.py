@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .graph import Graph
+from .graph import Graph, Later
 from .operators import names
 from .storage import stored
 
@@ -106,9 +106,20 @@ FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'""",
 WITH = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in VIEWS.items())
 
 
+#: Views for Spark in words that shuffle less, with equal rows: an order's lines meet by the order alone, so both sides are one exchange, and pairs are counted where they are ranked.
+SHUFFLED_ONCE: dict[str, str] = {
+    "co": """
+SELECT concat('p:', CAST(s AS STRING)) AS source_id, concat('p:', CAST(t AS STRING)) AS target_id FROM (
+  SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS k FROM (
+    SELECT s, t, count(*) AS n FROM (SELECT a.l_partkey AS s, b.l_partkey AS t
+      FROM (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem DISTRIBUTE BY l_orderkey) a JOIN (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem DISTRIBUTE BY l_orderkey) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber - a.l_linenumber = 1
+      WHERE a.l_partkey <> b.l_partkey DISTRIBUTE BY s) p GROUP BY s, t) x) y WHERE k = 1""",
+}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view; only the tables and views that it names are read."""
-    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    text = SHUFFLED_ONCE.get(name, VIEWS[name]).replace("{", "{{").replace("}", "}}")
     used: dict[str, DataFrame] = {}
     for t in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)):
         if t in TABLES:
@@ -124,11 +135,11 @@ _WRITTEN: dict[tuple[str, str], Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the test tables, written once for each session and folder, edges by kind; queries read what was written."""
+    """The graph of the test tables, each table written once for each session and folder when a query first reads it, edges by kind."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _WRITTEN:
-        v = {name: stored(view(spark, sf_dir, name), name, by="kind" if name == "edges" else None) for name in TABLES_OF_GRAPH}
-        _WRITTEN[key] = Graph(**v)
+        written = lambda name: stored(view(spark, sf_dir, name), name, by="kind" if name == "edges" else None)
+        _WRITTEN[key] = Graph(**{name: Later(lambda name=name: written(name)) for name in TABLES_OF_GRAPH})
     return _WRITTEN[key]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import config, render
 from graphloom.engine import Engine
-from graphloom.graph import Graph
+from graphloom.graph import Graph, Later
 from graphloom.operators import change, counts, health, lookup, policy, scc, snapshot, traverse
 from graphloom.sources import bundle
 
@@ -247,3 +247,25 @@ def test_subtypes_members_are_paired_without_a_shuffle_of_the_pairs(spark, monke
     assert pairs.count() == 40_000 and pairs.distinct().count() == 40_000
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(display_names") < plan.index("Repartition")
+
+
+def test_a_table_is_made_when_it_is_read_first(spark):
+    from graphloom.views import TABLES_OF_GRAPH, graph
+
+    made = []
+    g = graph(spark, "/root/testdata/sf0.001")
+    plain = Graph(**{n: Later(lambda n=n: made.append(n) or getattr(g, n)) for n in TABLES_OF_GRAPH})
+    assert lookup.find_component(plain, "nation_1").count() > 0 and snapshot.public_surface(plain.with_edges(plain.nodes)).count() > 0
+    assert sorted(made) == ["classifications", "nodes"]
+
+
+def test_parts_bought_one_after_the_other_are_shuffled_once(spark, tmp_path):
+    from graphloom.views import VIEWS, view
+
+    rows = [(o, (o * 7 + n * n) % 11, n) for o in range(60) for n in (1, 2, 2, 4, 5, 7)] + [(99, 3, 1), (99, None, 2), (None, 4, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    lines.createOrReplaceTempView("lineitem")
+    found = view(spark, str(tmp_path), "co")
+    assert sorted(found.collect()) == sorted(spark.sql(VIEWS["co"]).collect()) and found.count() == 11
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 3
