@@ -405,3 +405,27 @@ def test_long_rings_and_chains_take_few_rounds(spark, closed):
     found = scc.components(spark.range(n).select(name(F.col("id")).alias("source_id"), name(next_).alias("target_id")), 0, rounds)
     assert found.count() == (n if closed else 0) and rounds.n <= 40
     assert found.select("component").distinct().count() == (1 if closed else 0)
+
+
+def test_shortened_paths_and_rings_equal_the_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(scc, "FEW_INNER", 3)
+    edges = set()
+    for r, n in enumerate((2, 3, 5, 40, 150)):
+        edges |= {(f"r{r}_{i}", f"r{r}_{(i + 1) % n}") for i in range(n)}
+    for r, n in enumerate((1, 4, 60)):
+        way = ["hub", *[f"p{r}_{i}" for i in range(n)], "hub" if r else "r4_7"]
+        edges |= set(zip(way, way[1:]))
+    edges |= {("r3_5", "hub"), ("hub", "r3_9")} | {(f"t{i}", f"t{i + 1}") for i in range(50)}
+    df = spark.createDataFrame(sorted(edges), "source_id string, target_id string")
+    assert {r["id"]: r["component"] for r in scc.coloured_components(df).collect()} == strong(edges)
+
+
+def test_shortening_takes_most_inner_nodes_out(spark):
+    n, rounds = 20_000, scc.Rounds()
+    name = lambda c: F.format_string("n%07d", c)
+    ring = spark.range(n).select(name(F.col("id")).alias("id"), name((F.col("id") + 1) % n).alias("fore"), name((F.col("id") + n - 1) % n).alias("back"), name(F.col("id")).alias("least"))
+    short = scc._shorten(ring, 0, rounds)
+    # Each of the three rounds in the one table takes about a third, and no two neighbours.
+    assert rounds.n == 1 and short.count() == n and short.where("gone IS NULL").count() < 0.4 * n
+    first = short.where("gone = 0")
+    assert first.join(first.select(F.col("id").alias("fore")), "fore", "left_semi").isEmpty()
