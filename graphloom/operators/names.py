@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from ..graph import Graph
@@ -38,10 +41,19 @@ def differences(places: Column) -> Column:
     return F.filter(F.zip_with(places, F.concat(F.array(F.lit(0)), F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0)))), lambda a, b: a - b), lambda x: x.isNotNull())
 
 
-def summed(steps: Column) -> Column:
+@F.pandas_udf(ArrayType(IntegerType()))
+def summed(steps: pd.Series) -> pd.Series:
     """Steps as the numbers that they lead to."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(steps, start, lambda out, x: F.concat(out, F.array(x + F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)))))
+    return steps.map(lambda x: np.cumsum(x, dtype=np.int32))
+
+
+def _posted(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's postings: each trigram with the steps between the places of the components that hold it."""
+    places: dict[str, list[int]] = {}
+    for place, low in rows[["place", "low"]].sort_values("place").itertuples(index=False):
+        for gram in {low[i : i + 3] for i in range(len(low) - 2)}:
+            places.setdefault(gram, []).append(place)
+    return pd.DataFrame({"gram": list(places), "block": rows["block"].iloc[0], "steps": [np.diff(p, prepend=0).astype(np.int32) for p in places.values()]})
 
 
 def build(g: Graph, block: int = BLOCK) -> dict[str, DataFrame]:
@@ -51,9 +63,10 @@ def build(g: Graph, block: int = BLOCK) -> dict[str, DataFrame]:
     laid = g.nodes.repartitionByRange(blocks, "canonical_name", "id").withColumn("block", F.spark_partition_id())
     names = stored(laid.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("canonical_name", "id"))), "names", by="block")
     text = F.concat_ws("\n", "canonical_name", "display_name", "attributes_json", "roles")
-    each = names.join(roles, "id", "left").select("block", "place", text.alias("text")).where(F.length("text") >= 3).select("block", "place", F.explode(grams(F.col("text"))).alias("gram"))
-    postings = each.groupBy("gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return {"names": names, "postings": stored(postings.select("gram", "block", differences(F.col("places")).alias("steps"), _part(F.col("gram")).alias("part")).repartition("part"), "postings", by="part")}
+    # A block's texts are shuffled and not their trigrams, which are some eighty times as many rows.
+    each = names.join(roles, "id", "left").select("block", "place", F.lower(text).alias("low")).where(F.length("low") >= 3)
+    postings = each.groupBy("block").applyInPandas(_posted, "gram string, block int, steps array<int>")
+    return {"names": names, "postings": stored(postings.select("gram", "block", "steps", _part(F.col("gram")).alias("part")).repartition("part"), "postings", by="part")}
 
 
 def indexed(g: Graph, block: int = BLOCK) -> Graph:
@@ -70,9 +83,8 @@ def candidates(g: Graph, term: str) -> DataFrame | None:
     some = g.extras["postings"].where(F.col("gram").isin(wanted))
     parts = [r[0] for r in g.spark.createDataFrame([(w,) for w in wanted], "gram string").select(_part(F.col("gram"))).distinct().collect()]
     # A block's lists are as many as the term has trigrams.
-    lists = some.where(F.col("part").isin(parts)).groupBy("block").agg(F.collect_list("steps").alias("lists")).where(F.size("lists") == len(wanted))
-    first = summed(F.get("lists", F.lit(0)))
-    both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), first, lambda out, x: F.array_intersect(out, summed(x)))
+    lists = some.where(F.col("part").isin(parts)).withColumn("places", summed("steps")).groupBy("block").agg(F.collect_list("places").alias("lists")).where(F.size("lists") == len(wanted))
+    both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.get("lists", F.lit(0)), F.array_intersect)
     return lists.select("block", F.explode(both).alias("place"))
 
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -116,3 +118,13 @@ def test_index_finds_what_a_scan_finds(spark):
     assert [r["p"] for r in steps] == [[3, 7, 8, 20], []]
     empty = names.indexed(Graph.of(spark))
     assert lookup.find_component(empty, "abc").count() == 0
+
+
+def test_postings_of_a_block_hold_every_trigram_in_order(spark):
+    rows = pd.DataFrame({"block": [3, 3, 3], "place": [9, 2, 5], "low": ["abcab", "xabc", "éab\U0001f600"]})
+    found = names._posted(rows)
+    assert {g: np.cumsum(s).tolist() for g, s in zip(found["gram"], found["steps"])} == {"abc": [2, 9], "bca": [9], "cab": [9], "xab": [2], "éab": [5], "ab\U0001f600": [5]}
+    # Numbers are summed outside of lambdas, in one pass over a list.
+    places = list(range(0, 60_000, 3))
+    steps = spark.createDataFrame([(places,)], "p array<int>").select(names.summed(names.differences(F.col("p"))).alias("p")).first()["p"]
+    assert steps == places
