@@ -249,6 +249,16 @@ def test_subtypes_members_are_paired_without_a_shuffle_of_the_pairs(spark, monke
     assert plan.index("Generate explode(display_names") < plan.index("Repartition")
 
 
+def test_pairs_of_types_and_names_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """Few bytes may stand for many pairs: what is shuffled small isn't made by one task."""
+    monkeypatch.setattr(health, "CHUNK", 8)
+    names = [f"k{i}" for i in range(40)]
+    g = Graph.of(spark, nodes=[node(n) for n in [*names, "top"]], edges=[edge(f"c{n}", "top", "contains", n) for n in names] + [edge(f"x{n}", "top", "extends", n) for n in names])
+    pairs = health.subtype_member_names(g)
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in names for b in names} and pairs.count() == 1600
+    assert pairs.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
+
+
 def test_a_table_is_made_when_it_is_read_first(spark):
     from graphloom.views import TABLES_OF_GRAPH, graph
 
