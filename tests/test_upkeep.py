@@ -319,6 +319,52 @@ def test_snapshots_as_intervals(spark, tmp_path):
         kept.as_of("edges")
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have sent."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_snapshots_send_rows_once_and_equal_ones_never(spark, tmp_path):
+    kept, n = Intervals(spark, f"file://{tmp_path}/archive", 1), 4000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("kind"), F.lit(None).cast("string").alias("other"))
+
+    def sent(df):
+        before = shuffled_rows(spark)
+        kept.write({"nodes": df})
+        return sum(v for k, v in shuffled_rows(spark).items() if k not in before)
+
+    few = n // 10
+    assert n <= sent(rows) < n + few
+    # The same rows in another order: only counts and sums go.
+    assert sent(rows.orderBy(F.desc("id")).limit(n).repartition(3)) < 3 * n and kept.wrote == {"nodes": (0, 0)}
+    assert sent(rows) < few and kept.wrote == {"nodes": (0, 0)}
+    # A value that goes over to a column that was null is a change; a row given twice is none.
+    moved = rows.select("id", F.when(F.col("id") != "7", F.col("kind")).alias("kind"), F.when(F.col("id") == "7", "x").alias("other"))
+    assert sent(moved) < n and kept.wrote == {"nodes": (1, 1)}
+    kept.write({"nodes": moved.unionByName(moved.where("id = '9'"))})
+    assert kept.wrote == {"nodes": (0, 0)}
+    assert n <= sent(rows.withColumn("kind", F.lit("y"))) < 2 * n + few and kept.wrote == {"nodes": (n, n)}
+    assert [kept.as_of("nodes", i).where("kind = 'x'").count() for i in (1, 4, 5, 6)] == [n, n - 1, n - 1, 0]
+    assert kept.store.vacuum(1) >= 1 and kept.rows("nodes").count() == 2 * n + 1
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_differences_are_the_same_whichever_side_is_sent(spark, tmp_path, monkeypatch, few):
+    from graphloom.ingest import intervals
+
+    monkeypatch.setattr(intervals, "FEW", few)
+    kept = Intervals(spark, f"file://{tmp_path}/archive", 1)
+    states = [spark.createDataFrame(rows, "id string, kind string, file_id string") for rows in ([("a", "k", "f"), ("b", "k", "f"), ("c", "k", None), ("d", "k", "f")], [("a", "k", "g"), ("b", "l", "g"), ("c", "k", None), ("e", "k", "f"), ("f", "k", "f")])]
+    for s in states:
+        kept.write({"nodes": s})
+    want = [("a", "moved"), ("b", "changed"), ("b", "moved")]
+    assert sorted((r["key"], r["operation"]) for r in kept.diff(1, 2, ["nodes"]).collect()) == sorted([*want, ("d", "removed"), ("e", "added"), ("f", "added")])
+    assert sorted((r["key"], r["operation"]) for r in kept.diff(2, 1, ["nodes"]).collect()) == sorted([*want, ("d", "added"), ("e", "removed"), ("f", "removed")])
+
+
 # --- searches -----------------------------------------------------------------------------------------------------------------
 
 
