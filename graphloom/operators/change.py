@@ -54,17 +54,18 @@ def review(g: Graph, paths: list[str], policies: list[policy.Policy] | None = No
     direct = stored(direct_nodes(g, paths), "direct")
     parts = [changed_files_impact(g, paths, max_depth).select(F.lit("impact").alias("section"), F.col("id").alias("key"), F.col("distance").cast("string").alias("detail"))]
     why = lambda section, reason: g.spark.createDataFrame([(section, "", f"not_evaluated: {reason}")], "section string, key string, detail string")
+    clash = stored(policy.violations(g, policies), "violations") if policies else None
     if policies:
-        clash = policy.violations(g, policies)
         touched = clash.join(direct.select(F.col("id").alias("source_id")), "source_id", "left_semi").unionByName(clash.join(direct.select(F.col("id").alias("target_id")), "target_id", "left_semi")).distinct()
         parts.append(touched.select(F.lit("policy").alias("section"), F.col("edge_id").alias("key"), F.concat_ws(":", "policy_id", "reasons").alias("detail")))
     else:
         parts.append(why("policy", "no policies"))
-    parts.append(scc.components(g.following(S.IMPACT_KINDS)).join(direct, "id", "left_semi").select(F.lit("cycle").alias("section"), F.col("id").alias("key"), F.col("component").alias("detail")))
+    found = stored(scc.components(g.following(S.IMPACT_KINDS)), "cycles")
+    parts.append(found.join(direct, "id", "left_semi").select(F.lit("cycle").alias("section"), F.col("id").alias("key"), F.col("component").alias("detail")))
     if baseline is None:
         parts.append(why("gate", "no baseline"))
     else:
         limits = budgets or {"new_cycles": 0, "hub_degree_growth": 0} | ({"boundary_violations": 0} if policies else {})
-        checked = snapshot.quality_gate(baseline, g, limits, policies or ())
+        checked = snapshot.quality_gate(baseline, g, limits, policies or (), found, clash)
         parts.append(checked.select(F.lit("gate").alias("section"), F.col("name").alias("key"), F.concat_ws(":", F.when(F.col("passed"), "passed").otherwise("failed"), F.col("actual").cast("string"), F.col("budget").cast("string")).alias("detail")))
     return reduce(DataFrame.unionByName, parts)

@@ -17,6 +17,27 @@ def hops(g: Graph, kinds: list[str] | None = None, min_confidence: str = "possib
     return g.following(S.kinds_of(kinds, S.IMPACT_KINDS), min_confidence).groupBy("source_id", "target_id").agg(F.max(F.struct("rank", "kind")).alias("best")).select("source_id", "target_id", F.col("best.rank").alias("rank"), F.col("best.kind").alias("via_kind"))
 
 
+#: A frontier up to which it is sent to the edges; larger ones meet the edges as they are so many times, and then the distinct relations, which are written for it.
+FEW_FRONTIER, PLAIN = 100_000, 2
+
+
+def _users(g: Graph, kinds: list[str] | None, min_confidence: str) -> Callable[[DataFrame, int], DataFrame]:
+    """What uses a frontier (``seed, id, rank``) of so many rows: ``seed, id, rank, via``, where parallel occurrences may repeat."""
+    plain, large = g.following(S.kinds_of(kinds, S.IMPACT_KINDS), min_confidence), []
+
+    def step(frontier: DataFrame, n: int) -> DataFrame:
+        tips = frontier.select("seed", F.col("id").alias("target_id"), F.col("rank").alias("so_far"))
+        edges = large[-1] if len(large) > PLAIN else plain
+        if n <= FEW_FRONTIER:
+            tips = F.broadcast(tips)
+        elif len(large) <= PLAIN:
+            large.append(plain if len(large) < PLAIN else stored(hops(g, kinds, min_confidence), "hops"))
+            edges = large[-1]
+        return tips.join(edges, "target_id").select("seed", F.col("source_id").alias("id"), F.least("rank", "so_far").alias("rank"), F.col("target_id").alias("via"))
+
+    return step
+
+
 def impact(g: Graph, seeds: DataFrame, max_depth: int = 4, kinds: list[str] | None = None, min_confidence: str = "possible") -> DataFrame:
     """Everything that depends on the seeds: ``seed, id, distance, rank, via``.
 
@@ -26,14 +47,14 @@ def impact(g: Graph, seeds: DataFrame, max_depth: int = 4, kinds: list[str] | No
     long as one level; the walk ends when a level finds nothing.
     """
     S.between("max_depth", max_depth, 1, 8)
-    edges = stored(hops(g, kinds, min_confidence), "hops")
+    users = _users(g, kinds, min_confidence)
     known = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("via")), "level")
-    frontier = known
+    frontier, n = known, known.count()
     for depth in range(1, max_depth + 1):
-        step = frontier.select("seed", F.col("id").alias("target_id"), F.col("rank").alias("so_far")).join(edges, "target_id").select("seed", F.col("source_id").alias("id"), F.least("rank", "so_far").alias("rank"), F.col("target_id").alias("via"))
+        step = users(frontier, n)
         best = step.groupBy("seed", "id").agg(F.max("rank").alias("rank"), F.min_by("via", F.struct(-F.col("rank"), F.col("via"))).alias("via"))
         frontier = stored(best.join(known.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(depth).alias("distance"), "rank", "via"), "level")
-        if frontier.isEmpty():
+        if not (n := frontier.count()):
             break
         known = known.unionByName(frontier)
     return known.where("distance > 0")
@@ -55,18 +76,18 @@ def nearest_impact(g: Graph, seeds: DataFrame, max_depth: int = 4, kinds: list[s
     """
     S.between("max_depth", max_depth, 1, 8)
     S.between("labels", labels, 1, 2)
-    edges = stored(hops(g, kinds, min_confidence), "hops")
+    users = _users(g, kinds, min_confidence)
     known = stored(seeds.select("id").distinct().select("id", F.col("id").alias("seed"), F.lit(0).alias("distance"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("via")), "labels")
-    frontier = known
+    frontier, n = known, known.count()
     for depth in range(1, max_depth + 1):
-        step = frontier.select("seed", F.col("id").alias("target_id"), F.col("rank").alias("so_far")).join(edges, "target_id").select("seed", F.col("source_id").alias("id"), F.least("rank", "so_far").alias("rank"), F.col("target_id").alias("via"))
+        step = users(frontier, n)
         best = step.groupBy("id", "seed").agg(F.max("rank").alias("rank"), F.min_by("via", F.struct(-F.col("rank"), F.col("via"))).alias("via"))
         # No more seeds than labels are held.
         held = known.groupBy("id").agg(F.collect_set("seed").alias("held"))
         fresh = best.join(held, "id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>"))).where((F.size("held") < labels) & ~F.array_contains("held", F.col("seed")))
         first = fresh.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("seed"))).where(F.col("k") <= labels).where(F.col("k") <= labels - F.size("held"))
         frontier = stored(first.select("id", "seed", F.lit(depth).alias("distance"), "rank", "via"), "labels")
-        if frontier.isEmpty():
+        if not (n := frontier.count()):
             break
         known = known.unionByName(frontier)
     label = F.struct("distance", "seed", "rank", "via")

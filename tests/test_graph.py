@@ -128,6 +128,43 @@ def test_diff_moved_and_changed(spark):
     assert {(r["key"], r["operation"]) for r in snapshot.diff(a, b).collect()} == {("1", "moved"), ("2", "changed"), ("2", "moved"), ("3", "removed"), ("5", "added")}
 
 
+def test_metrics_look_ends_up_by_component(spark):
+    """Edges with a missing end count for nothing, whether the components on cycles are known or not; the edges aren't sent for it."""
+    names = [f"n{i:03}" for i in range(60)]
+    ring = [edge(f"e{i}", names[i], "calls", names[(i + 1) % 30]) for i in range(30)]
+    loose = [edge("x1", "n040", "calls", "gone"), edge("x2", "gone", "calls", "n040"), edge("x3", "n041", "calls", "n040"), edge("x4", None, "calls", "n040")]
+    g = Graph.of(spark, nodes=[node(n) for n in names], edges=ring + loose)
+    found = scc.components(g.following(["calls"]))
+    assert found.count() == 32 and [tuple(r)[:3] for r in snapshot.quality_metrics(g, found).collect()] == [tuple(r)[:3] for r in snapshot.quality_metrics(g).collect()] == [(1, 2, 29)]
+    whole = Graph.of(spark, nodes=[node(n) for n in names], edges=ring)
+    edges, degrees, all_ = snapshot._with_ends(whole.following(["calls"]), whole.nodes.select("id"))
+    assert all_ and "Join" not in edges._jdf.queryExecution().optimizedPlan().toString() and degrees.where("in_degree = 1 AND out_degree = 1").count() == 30
+
+
+def test_what_hangs_on_nothing_is_peeled_off_in_one_sending(spark):
+    """Two steps of a tree go at once; a relation that repeats counts once; what is on a ring stays."""
+    pairs = [(f"a{i}", f"b{i % 7}") for i in range(50)] + [(f"b{i}", "r0") for i in range(7)] + [("r0", "r1"), ("r1", "r0"), ("r1", "r0"), ("r1", "z"), (None, "r0"), ("r0", None)]
+    relations = spark.createDataFrame(pairs, "source_id string, target_id string")
+    rounds = scc.Rounds()
+    left = scc._peel(relations, "source_id", "target_id", rounds)
+    assert rounds.n == 1 and sorted(map(tuple, left.collect())) == [("r0", "r1"), ("r1", "r0"), ("r1", "z")]
+    assert sorted(map(tuple, scc._peel(left, "target_id", "source_id", rounds).collect())) == [("r0", "r1"), ("r1", "r0")]
+    assert sorted(map(tuple, scc.components(relations, 1).collect())) == [("r0", "r0"), ("r1", "r0")]
+
+
+def test_impact_is_the_same_for_small_and_large_frontiers(spark, monkeypatch):
+    rnd = random.Random(5)
+    g = Graph.of(spark, nodes=[node(f"n{i}") for i in range(40)], edges=[edge(str(i), f"n{rnd.randrange(40)}", rnd.choice(["calls", "imports"]), f"n{rnd.randrange(40)}", rnd.choice(["certain", "probable", "possible"])) for i in range(90)])
+    seeds = spark.createDataFrame([("n1",), ("n2",)], "id string")
+    both = lambda: [sorted(map(str, f(g, seeds, 6).collect())) for f in (traverse.impact, traverse.nearest_impact)]
+    written = []
+    monkeypatch.setattr(traverse, "hops", lambda *a, f=traverse.hops: written.append(1) or f(*a))
+    small = both()
+    assert not written
+    monkeypatch.setattr(traverse, "FEW_FRONTIER", 0)
+    assert both() == small and len(written) == 2
+
+
 def test_empty_graph(spark):
     g = Graph.of(spark)
     assert counts.degree(g.edges).count() == 0 and health.dead_code(g).count() == 0 and scc.dependency_cycles(g).count() == 0
