@@ -9,11 +9,42 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..graph import Graph
+from ..storage import stored
 from . import names
 
 _ID = re.compile(r"(symbol|route)_[0-9a-f]{64}")
 
 
+#: Named files up to which they are sent to the rows; components up to which Spark chooses how edges meet them; components whose names a task holds about.
+FEW_FILES, FEW_NODES, HELD = 100_000, 100_000, 500_000
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which both ends are known, with ``source`` and ``target``, the ends' canonical names.
+
+    A task holds the names of its share of the components and lets the edges pass: these are many more and longer, and sorting
+    them would spill.
+    """
+    n = nodes.count()
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // HELD))
+    for end, name in (("source_id", "source"), ("target_id", "target")):
+        names_ = nodes.select(F.col("id").alias(end), F.col("canonical_name").alias(name))
+        if n > FEW_NODES:
+            edges, names_ = edges.repartition(tasks, end), names_.repartition(tasks, end).hint("shuffle_hash")
+        edges = edges.join(names_, end)
+    return edges
+
+
+def with_paths(rows: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` made from ``edges`` with ``relative_path`` by ``file_id``, null where the file is unknown.
+
+    Many edges may name one file, so where few files are named these are sent to the rows, however many files there are; otherwise
+    all rows of a file would meet in one task.
+    """
+    named = stored(files.select(F.col("id").alias("file_id"), "relative_path").join(edges.select("file_id").distinct(), "file_id", "left_semi"), "paths")
+    return rows.join(F.broadcast(named) if named.count() <= FEW_FILES else named, "file_id", "left")
+
+
 def like(term: str) -> str:
     """A term as a LIKE pattern's literal part, with ``!`` as the escape."""
     return re.sub(r"([!%_])", r"!\1", term)

@@ -355,9 +355,8 @@ def _(g: Graph) -> DataFrame:
 
 @on_graph("jon_01_edges_with_ends", "SELECT e.id, e.kind, a.canonical_name AS source, b.canonical_name AS target, f.relative_path FROM edges e JOIN nodes a ON e.source_id = a.id JOIN nodes b ON e.target_id = b.id LEFT JOIN files f ON e.file_id = f.id WHERE e.kind <> 'contains'")
 def _(g: Graph) -> DataFrame:
-    a = g.nodes.select(F.col("id").alias("source_id"), F.col("canonical_name").alias("source"))
-    b = g.nodes.select(F.col("id").alias("target_id"), F.col("canonical_name").alias("target"))
-    return g.edges.where("kind <> 'contains'").join(a, "source_id").join(b, "target_id").join(g.files.select(F.col("id").alias("file_id"), "relative_path"), "file_id", "left").select("id", "kind", "source", "target", "relative_path")
+    edges = g.edges.where("kind <> 'contains'").select("id", "kind", "source_id", "target_id", "file_id")
+    return lookup.with_paths(lookup.with_ends(edges, g.nodes), edges, g.files).select("id", "kind", "source", "target", "relative_path")
 
 
 @on_graph("jon_06_boundaries_per_node", "SELECT node_id, string_agg(name, '|' ORDER BY name) AS names FROM memberships JOIN boundaries ON boundaries.id = boundary_id GROUP BY node_id")

@@ -165,6 +165,42 @@ def test_impact_is_the_same_for_small_and_large_frontiers(spark, monkeypatch):
     assert both() == small and len(written) == 2
 
 
+def test_paths_of_edges_take_only_the_files_they_name(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FEW_FILES", 3)
+    files = spark.range(5000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("relative_path"))
+    edges = spark.createDataFrame([(str(i), None if i == 3 else f"f{9000 if i == 5 else i % 2}") for i in range(40)], "id string, file_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = lookup.with_paths(edges, edges, files)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        want = {(str(i), None if i in (3, 5) else f"src/{i % 2}") for i in range(40)}
+        assert {(r["id"], r["relative_path"]) for r in few.collect()} == want and few.count() == 40
+        monkeypatch.setattr(lookup, "FEW_FILES", 1)
+        many = lookup.with_paths(edges, edges, files)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString() and {(r["id"], r["relative_path"]) for r in many.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_edges_pass_names_without_being_sorted(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HELD", 2)
+    nodes = Graph.of(spark, nodes=[node(f"n{i}") for i in range(20)]).nodes
+    edges = spark.createDataFrame([(str(i), f"n{i % 23}", f"n{i * 7 % 20}") for i in range(60)] + [("x", None, "n1"), ("y", "n1", None)], "id string, source_id string, target_id string")
+    want = {(str(i), f"App\\n{i % 23}", f"App\\n{i * 7 % 20}") for i in range(60) if i % 23 < 20}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (0, 100):
+            monkeypatch.setattr(lookup, "FEW_NODES", few)
+            named = lookup.with_ends(edges, nodes)
+            assert {(r["id"], r["source"], r["target"]) for r in named.collect()} == want
+            plan = named._jdf.queryExecution().executedPlan().toString()
+            assert ("Sort" in plan) == (few > 0) and named.rdd.getNumPartitions() >= (10 if not few else 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty_graph(spark):
     g = Graph.of(spark)
     assert counts.degree(g.edges).count() == 0 and health.dead_code(g).count() == 0 and scc.dependency_cycles(g).count() == 0
