@@ -351,6 +351,23 @@ def test_snapshots_send_rows_once_and_equal_ones_never(spark, tmp_path):
     assert kept.store.vacuum(1) >= 1 and kept.rows("nodes").count() == 2 * n + 1
 
 
+def test_metrics_of_several_snapshots_send_no_edges_for_their_ends(spark):
+    names = [f"n{i:02}" for i in range(30)]
+    g = graph_of(spark, [(names[i % 30], "calls", names[i * 7 % 29 if i % 30 else 1], "certain") for i in range(3000)])
+    gone = g.with_tables(nodes=g.nodes.where("id <> 'n05'"))
+    scans = lambda a, b: a.withColumn("scan", F.lit(1).cast("long")).unionByName(b.withColumn("scan", F.lit(2).cast("long")))
+    tables = [scans(getattr(g, n), getattr(gone, n)) for n in ("nodes", "edges", "classifications", "diagnostics")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        got = {r["scan"]: (r["cycles"], r["max_degree"], r["unreferenced_candidates"]) for r in snapshot.quality_by_scan(*tables).collect()}
+        assert sum(v for k, v in shuffled_rows(spark).items() if k not in before) < 10_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {i: tuple(snapshot.quality_metrics(x).first())[:3] for i, x in ((1, g), (2, gone))}
+
+
 @pytest.mark.parametrize("few", [0, 100])
 def test_differences_are_the_same_whichever_side_is_sent(spark, tmp_path, monkeypatch, few):
     from graphloom.ingest import intervals
